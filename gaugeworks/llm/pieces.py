@@ -121,7 +121,8 @@ class Lattices:
             if k == 1:
                 miss = node[~hit]
                 cost = [sum(self.vocab["weight"][self.vocab["bytes"][b]] for b in chr(int(c)).encode("utf-8", "surrogatepass")) for c in code[miss]]
-                found.append((miss, miss + 1, -code[miss].astype(np.int64) - 1, np.array(cost, float)))
+                plain = np.array([self.vocab["bytes"][int(c)] if c < 128 else -int(c) - 1 for c in code[miss]], np.int64)
+                found.append((miss, miss + 1, plain, np.array(cost, float)))
             more = live & (room[node] > k)
             node, h = node[more], h[more]
             if not len(node):
@@ -138,9 +139,9 @@ class Lattices:
             top = np.maximum.reduceat(v, first)
             size_of = np.diff([*first, hi - lo])
             beta[a[lo:hi][first]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, size_of)), first))
-        order = np.lexsort((e, a))
-        a, e, p, w = a[order], e[order], p[order], w[order]
         lp = w + beta[e] - beta[a]
+        order = np.lexsort((e, -lp, a))  # likely edges first
+        a, e, p, lp = a[order], e[order], p[order], lp[order]
         first = np.searchsorted(a, np.arange(total + 1))
         run = np.cumsum(np.exp(lp))
         before = np.concatenate([[0.0], run])[first[:-1]]
@@ -152,8 +153,12 @@ class Lattices:
         self.end, self.edge_piece, self.lp, self.upto, self.first = self._end[: self.m], self._piece[: self.m], self._lp[: self.m], self._upto[: self.m], self._first[: self.n + 1]
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        e = np.searchsorted(self.upto, node + u, "right")
-        return np.clip(e, self.first[node], self.first[node + 1] - 1)
+        e, last, x = self.first[node], self.first[node + 1] - 1, node + u
+        on = np.flatnonzero((self.upto[e] <= x) & (e < last))
+        while len(on):
+            e[on] += 1
+            on = on[(self.upto[e[on]] <= x[on]) & (e[on] < last[on])]
+        return e
 
 
 def _descend(lat: Lattices, node, key, sample, occ):

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from .common import components, materialize, text_bytes
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
+ROWS_A_TASK = 1_000_000
 
 
 def _signed(x: int) -> int:
@@ -88,15 +89,20 @@ def _ball() -> list[int]:
 def _clique_stars(keyed: DataFrame) -> DataFrame:
     """(u, v): every fp of a shared key with the key's least fp. The join back is on the keys that are shared only."""
     least = keyed.groupBy("k").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("k", "a")
-    return keyed.join(least, "k").where("fp <> a").select(F.col("fp").alias("u"), F.col("a").alias("v")).distinct()
+    return keyed.join(least.hint("shuffle_hash"), "k").where("fp <> a").select(F.col("fp").alias("u"), F.col("a").alias("v")).distinct()
+
+
+def _dealt(fps: DataFrame, fan_out: int) -> DataFrame:
+    """fps over so many tasks that each writes about ROWS_A_TASK rows; Spark sizes tasks by the few bytes they read."""
+    return fps.repartition(max(fps.sparkSession.sparkContext.defaultParallelism, fps.count() * fan_out // ROWS_A_TASK + 1))
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (u, v) between distinct fingerprints whose transitive closure is that of 'at most RADIUS bits apart'."""
-    keyed = fps.select("fp", F.explode(_screen_keys(F.col("fp"))).alias("k"))
+    keyed = _dealt(fps, 131).select("fp", F.explode(_screen_keys(F.col("fp"))).alias("k"))
     shared = keyed.groupBy("k").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("k")
-    near = materialize(keyed.join(shared, "k", "left_semi").select("fp").distinct(), "simhash-screen")
-    return _clique_stars(near.select("fp", F.explode(_xor(F.col("fp"), _ball())).alias("k")))
+    near = materialize(keyed.join(shared.hint("shuffle_hash"), "k", "left_semi").select("fp").distinct(), "simhash-screen")
+    return _clique_stars(_dealt(near, 2081).select("fp", F.explode(_xor(F.col("fp"), _ball())).alias("k")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

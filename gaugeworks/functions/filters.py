@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 Filter = Callable[[Column], Column]
 
@@ -66,7 +66,7 @@ def majority_vote() -> Filter:
         ranked = F.transform(texts, lambda t, i: F.struct(F.size(F.filter(texts, lambda x: x.eqNullSafe(t))).alias("n"), (-i).alias("early"), t.alias("text")))
         return F.when(F.size(texts) > 0, F.array(F.array_max(ranked)["text"])).otherwise(texts)
 
-    return vote
+    return lambda texts: let(texts, vote)
 
 
 # Entity words and their labels, replaced in this order.

@@ -13,6 +13,11 @@ BLANK = r"(?U)[\s\x1c-\x1f]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def let(value: Column, body) -> Column:
+    """body of value, worked out once a row: inside a lambda Spark would work a plain expression out again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """str.strip()"""
     return F.regexp_replace(c, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
@@ -30,8 +35,13 @@ def normalize(c: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens joined by spaces; none if there are fewer tokens."""
-    many = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
-    return F.when(F.size(tokens) >= n, many).otherwise(F.array().cast("array<string>"))
+
+    def of(t):
+        # slice() copies the whole array each time; single elements are read in place
+        many = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.concat_ws(" ", *[F.get(t, i + k) for k in range(n)]))
+        return F.when(F.size(t) >= n, many).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, of)
 
 
 def answer_normal(c: Column) -> Column:
@@ -59,9 +69,12 @@ def _overlap(a: Column, b: Column) -> Column:
 
 def token_f1(prediction: Column, reference: Column) -> Column:
     """F1 of the two word multisets; 0 if they share none (also if both are empty)."""
-    same = _overlap(prediction, reference)
-    p, r = same / F.size(prediction), same / F.size(reference)
-    return F.when(same == 0, 0.0).otherwise(2 * p * r / (p + r))
+
+    def of(a, b):
+        f1 = lambda same: F.when(same == 0, 0.0).otherwise(2.0 * same / (F.size(a) + F.size(b)))
+        return let(_overlap(a, b), f1)
+
+    return let(prediction, lambda a: let(reference, lambda b: of(a, b)))
 
 
 def best_of(golds: Column, score) -> Column:
@@ -102,16 +115,20 @@ def set_f1(a: Column, b: Column) -> Column:
 
 def rouge_l(prediction: Column, reference: Column) -> Column:
     """F1 of the longest common subsequence of two word arrays, one row of the table at a time."""
-    zero = F.transform(F.concat(F.array(F.lit("")), reference), lambda _: F.lit(0))
+    return let(prediction, lambda a: let(reference, lambda b: _lcs_f1(a, b)))
+
+
+def _lcs_f1(a: Column, b: Column) -> Column:
+    zero = F.transform(F.concat(F.array(F.lit("")), b), lambda _: F.lit(0))
 
     def row(previous, word):
         first = F.struct(F.array(F.lit(0)).alias("row"), F.lit(0).alias("left"))
 
         def cell(state, j):
-            v = F.when(F.get(reference, j) == word, F.get(previous, j) + 1).otherwise(F.greatest(F.get(previous, j + 1), state["left"]))
+            v = F.when(F.get(b, j) == word, F.get(previous, j) + 1).otherwise(F.greatest(F.get(previous, j + 1), state["left"]))
             return F.struct(F.concat(state["row"], F.array(v)).alias("row"), v.alias("left"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(reference) - 1), first, cell, lambda s: s["row"])
+        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), first, cell, lambda s: s["row"])
 
-    lcs = F.when((F.size(prediction) == 0) | (F.size(reference) == 0), 0).otherwise(F.element_at(F.aggregate(prediction, zero, row), -1))
-    return F.when(lcs == 0, 0.0).otherwise(2.0 * lcs / (F.size(prediction) + F.size(reference)))
+    lcs = F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, zero, row), -1))
+    return let(lcs, lambda n: F.when(n == 0, 0.0).otherwise(2.0 * n / (F.size(a) + F.size(b))))

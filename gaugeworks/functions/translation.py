@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import ngrams, words
+from .text import let, ngrams, words
 
 
 def tokenize(c: Column) -> Column:
@@ -19,9 +19,9 @@ def tokenize(c: Column) -> Column:
 
 
 def clipped_matches(pred: Column, ref: Column) -> Column:
-    """Size of the intersection of two arrays as multisets. Both are sorted runs, so each distinct value is counted once."""
+    """Size of the intersection of two arrays as multisets."""
     n = lambda x, g: F.size(F.filter(x, lambda y: y == g))
-    return F.aggregate(F.array_intersect(pred, ref), F.lit(0).cast("long"), lambda s, g: s + F.least(n(pred, g), n(ref, g)))
+    return let(pred, lambda a: let(ref, lambda b: F.aggregate(F.array_intersect(a, b), F.lit(0).cast("long"), lambda s, g: s + F.least(n(a, g), n(b, g)))))
 
 
 def bleu(df: DataFrame, keys: list[str], pred: str = "pred", ref: str = "ref", order: int = 4) -> DataFrame:
@@ -36,9 +36,9 @@ def bleu(df: DataFrame, keys: list[str], pred: str = "pred", ref: str = "ref", o
 
 
 def _characters(c: Column, n: int) -> Column:
-    bare = F.regexp_replace(c, r"(?U)\s+", "")
-    starts = F.sequence(F.lit(1), F.length(bare) - n + 1)
-    return F.when(F.length(bare) >= n, F.transform(starts, lambda i: F.substr(bare, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    starts = lambda b: F.sequence(F.lit(1), F.length(b) - n + 1)
+    grams = lambda b: F.when(F.length(b) >= n, F.transform(starts(b), lambda i: F.substr(b, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return let(F.regexp_replace(c, r"(?U)\s+", ""), grams)
 
 
 def chrf(df: DataFrame, keys: list[str], pred: str = "pred", ref: str = "ref", order: int = 6, beta: float = 2.0) -> DataFrame:
@@ -53,8 +53,8 @@ def chrf(df: DataFrame, keys: list[str], pred: str = "pred", ref: str = "ref", o
 
 def rouge_n(pred: Column, ref: Column, n: int) -> Column:
     """F1 of n-gram overlap of two word arrays."""
-    a, b = ngrams(pred, n), ngrams(ref, n)
-    return F.coalesce(F.try_divide(2.0 * clipped_matches(a, b), F.size(a) + F.size(b)), F.lit(0.0))
+    score = lambda a, b: F.coalesce(F.try_divide(2.0 * clipped_matches(a, b), F.size(a) + F.size(b)), F.lit(0.0))
+    return let(ngrams(pred, n), lambda a: let(ngrams(ref, n), lambda b: score(a, b)))
 
 
 def _edits(hyp: list[str], ref: list[str]) -> int:

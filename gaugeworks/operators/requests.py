@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def multiple_choice(docs: DataFrame, context: Column, choices: Column, delimiter: str = " ") -> DataFrame:
     """(doc_id, idx, context, continuation): a request for each choice."""
@@ -23,6 +25,10 @@ def regroup(responses: DataFrame, keys: list[str], value: str, order: list[str])
 
 def rolling_windows(tokens: Column, prefix: Column, max_len: int, context: int = 1) -> Column:
     """Array of (input, predicted): every token is predicted once; later windows see up to max_len tokens. No tokens, no windows."""
+    return let(tokens, lambda t: _windows(t, prefix, max_len, context))
+
+
+def _windows(tokens: Column, prefix: Column, max_len: int, context: int) -> Column:
     n, step = F.size(tokens), max_len - context + 1
     first = F.struct(F.concat(F.array(prefix), F.slice(tokens, 1, F.least(n, F.lit(max_len)) - 1)).alias("input"), F.slice(tokens, 1, max_len).alias("predicted"))
 

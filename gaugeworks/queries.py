@@ -1,11 +1,420 @@
-"""Queries of the engine over the driver's tables, and the SQL that must give the same rows."""
+"""Queries of the engine over the driver's tables, and the SQL that must give the same rows. Floats are rounded to six places in both."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from .functions import filters, metrics, text, translation
+from .functions.stats import bootstrap_stderr, compare, pooled_stderr, weighted_mean
+from .operators import corpus
+from .operators import requests as R
+from .plans.evaluate import Group, Metric, Task, evaluate, group_results, task_results
+from .streaming.incremental import running_results
 
-def oracle_sql():
-    return {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+PUNCT_SQL = text.PUNCTUATION.replace("'", "''")
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+
+
+def norm_sql(e: str) -> str:
+    return f"lower(translate({e}, '{PUNCT_SQL}', ''))"
+
+
+def tokens_sql(e: str) -> str:
+    return f"list_filter(regexp_split_to_array({e}, '\\s+'), lambda x: x <> '')"
+
+
+GRAMS = "CASE WHEN len({t}) >= {n} THEN list_transform(range(0, len({t}) - {n} + 1), lambda i: array_to_string({t}[i + 1 : i + {n}], ' ')) ELSE [] END"
+
+
+def _gram_sql(name: str, table: str, key: str, n: int) -> str:
+    t = tokens_sql(norm_sql("text"))
+    return f"{name} AS (SELECT DISTINCT {key}, unnest({GRAMS.format(t='t', n=n)}) AS ngram FROM (SELECT {key}, {t} AS t FROM {table}))"
+
+
+# ---- corpus
+@query(f"WITH {_gram_sql('d', 'documents', 'doc_id', 13)}, {_gram_sql('b', 'benchmark', 'item_id', 13)} SELECT DISTINCT doc_id FROM d WHERE ngram IN (SELECT ngram FROM b)")
+def contamination_13gram(t):
+    return corpus.contaminated(t("documents"), t("benchmark"), 13, "doc_id", "item_id")
+
+
+@query(f"WITH {_gram_sql('d', 'documents', 'doc_id', 13)}, {_gram_sql('b', 'benchmark', 'item_id', 13)} SELECT DISTINCT item_id FROM b WHERE ngram IN (SELECT ngram FROM d)")
+def contaminated_items_13gram(t):
+    return corpus.contaminated(t("benchmark"), t("documents"), 13, "item_id", "doc_id")
+
+
+@query(f"WITH {_gram_sql('d', 'documents', 'doc_id', 8)} SELECT ngram, count(*) AS docs FROM d GROUP BY ngram HAVING count(*) > 10")
+def ngram_doc_frequency_8(t):
+    return corpus.document_frequency(t("documents"), 8)
+
+
+@query(f"""WITH {_gram_sql('d', 'documents', 'doc_id', 13)}, {_gram_sql('b', 'benchmark', 'item_id', 13)},
+ hit AS (SELECT DISTINCT doc_id FROM d WHERE ngram IN (SELECT ngram FROM b))
+ SELECT l.doc_id IN (SELECT doc_id FROM hit) AS dirty, count(*) AS n, round(avg(quality), 6) AS acc FROM labels l GROUP BY 1""")
+def contamination_clean_split(t):
+    hit = corpus.contaminated(t("documents"), t("benchmark"), 13, "doc_id", "item_id").withColumn("dirty", F.lit(True))
+    j = t("labels").join(hit, "doc_id", "left").withColumn("dirty", F.coalesce("dirty", F.lit(False)))
+    return j.groupBy("dirty").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("quality")).alias("acc"))
+
+
+_T = tokens_sql(norm_sql("text"))
+
+
+@query(f"""WITH {_gram_sql('d', 'documents', 'doc_id', 13)}, b AS (SELECT unnest({GRAMS.format(t='t', n=13)}) AS ngram FROM (SELECT {_T} AS t FROM benchmark)),
+ u AS (SELECT ngram, count(*) AS n FROM b GROUP BY ngram)
+ SELECT sum(n)::BIGINT AS total, count(*) AS "unique", count(*) FILTER (ngram IN (SELECT ngram FROM d)) AS matching, count(*) FILTER (ngram NOT IN (SELECT ngram FROM d)) AS non_matching FROM u""")
+def ngram_match_stats(t):
+    return corpus.match_statistics(t("benchmark"), t("documents"), 13, "item_id", "doc_id")
+
+
+@query("""WITH s AS (SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS characters, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source)
+ SELECT *, coalesce(sum(docs) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s""")
+def corpus_stats_by_source(t):
+    return corpus.statistics(t("documents"), "source")
+
+
+@query()
+def janitor_clean(t):
+    return corpus.clean(t("documents"), t("benchmark"), 13).select("doc_id", F.posexplode("chunks").alias("chunk", "text"))
+
+
+# ---- preparation
+@query("SELECT conv_id, list(role ORDER BY turn) AS \"values\" FROM conversations GROUP BY conv_id")
+def dedup_collect_by_key(t):
+    return R.collect_by_key(t("conversations"), "conv_id", "role", "turn")
+
+
+@query("SELECT item_id, prompt_id, replace(tpl, '{}', text) AS prompt FROM benchmark, (VALUES (0, 'Read: {}'), (1, '{} - continue.')) AS x(prompt_id, tpl)")
+def expand_templates(t):
+    return R.expand_templates(t("benchmark"), ["Read: {}", "{} - continue."]).select("item_id", "prompt_id", "prompt")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 = 1")
+def shard_documents(t):
+    return R.shard(t("documents"), 1, 4).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT (SELECT ceil(count(*) * 0.05)::BIGINT FROM documents)")
+def limit_fraction(t):
+    return R.limited(t("documents"), 0.05).select("doc_id")
+
+
+@query("SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn)::VARCHAR IS NOT NULL AS ok, count(*) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS rendered FROM conversations GROUP BY conv_id")
+def chat_context(t):
+    m = R.chat(t("conversations"))
+    return m.select("conv_id", F.lit(True).alias("ok"), F.size("messages").cast("long").alias("n"), F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n").alias("rendered"))
+
+
+@query("""WITH r AS (SELECT a.item_id AS doc_id, b.text AS shown, row_number() OVER (PARTITION BY a.item_id ORDER BY b.item_id) AS rn, b.item_id AS pid FROM benchmark a JOIN benchmark b ON a.item_id <> b.item_id),
+ s AS (SELECT doc_id, string_agg(shown || ' yes' || chr(10) || chr(10), '' ORDER BY pid) AS shots FROM r WHERE rn <= 2 GROUP BY doc_id)
+ SELECT s.doc_id, shots || text AS context FROM s JOIN benchmark b ON b.item_id = s.doc_id""")
+def few_shot_first_n(t):
+    b = t("benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit("yes").alias("target"))
+    return R.few_shot(b, b, 2)
+
+
+@query()
+def few_shot_sampled(t):
+    b = t("benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit("yes").alias("target"))
+    return R.few_shot(b, b, 2, "default")
+
+
+# ---- filters
+_FIRST, _LAST = "([A-Za-z]+)ing", r"\b(\w+)\W*$"
+
+
+@query("SELECT conv_id, turn, coalesce(regexp_extract_all(text, '([A-Za-z]+)ing', 1)[1], '[invalid]') AS first, coalesce(regexp_extract_all(text, '([A-Za-z]+)ing', 1)[-1], '[invalid]') AS last FROM conversations")
+def filter_regex(t):
+    c = t("conversations")
+    one = lambda k: filters.regex(_FIRST, k)(F.array("text"))[0]
+    return c.select("conv_id", "turn", one(0).alias("first"), one(-1).alias("last"))
+
+
+@query("SELECT page_id, lower(trim(url)) AS low, upper(trim(url)) AS up, CASE WHEN url LIKE 'http:%' THEN 'plain' WHEN url LIKE 'https:%' THEN 'safe' ELSE 'other' END AS scheme FROM pages")
+def filter_case_map(t):
+    p = t("pages").withColumn("texts", F.array("url"))
+    f = lambda *s: filters.chain(list(s))(F.col("texts"))[0]
+    scheme = filters.map_values({"http:": "plain", "https:": "safe"}, "other")(F.array(F.concat(F.substring_index("url", ":", 1), F.lit(":"))))[0]
+    return p.select("page_id", f(("remove_whitespace", {}), ("lowercase", {})).alias("low"), f(("remove_whitespace", {}), ("uppercase", {})).alias("up"), scheme.alias("scheme"))
+
+
+_VOTES = "e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
+
+
+@query(f"""WITH {_VOTES}, c AS (SELECT user_id, event_type, count(*) AS n, min(i) AS f FROM e GROUP BY ALL)
+ SELECT user_id, 'maj' AS filter, arg_max(event_type, n * 1000000 - f) AS answer FROM c GROUP BY user_id
+ UNION ALL SELECT user_id, 'maj@3', arg_max(event_type, n * 1000000 - f) FROM (SELECT user_id, event_type, count(*) AS n, min(i) AS f FROM e WHERE i <= 3 GROUP BY ALL) GROUP BY user_id
+ UNION ALL SELECT user_id, 'score-first', event_type FROM e WHERE i = 1""")
+def filter_chains_vote(t):
+    texts = R.regroup(t("events"), ["user_id"], "event_type", ["ts", "event_id"])
+    chains = {"score-first": [("take_first", {})], "maj": [("majority_vote", {}), ("take_first", {})], "maj@3": [("take_first_k", {"k": 3}), ("majority_vote", {}), ("take_first", {})]}
+    return filters.apply_chains(texts, chains).select("user_id", "filter", F.element_at("filtered", 1).alias("answer"))
+
+
+@query()
+def filter_format_span(t):
+    return t("benchmark").select("item_id", filters.format_span()(F.array(F.concat(F.lit("person: "), F.substring_index("text", " ", 1), F.lit(", none$$place: "), F.substring_index("text", " ", 2))))[0].alias("spans"))
+
+
+@query("SELECT conv_id, turn, split_part(split_part(text, '.', 1), ',', 1) AS cut FROM conversations")
+def stop_sequences(t):
+    return t("conversations").select("conv_id", "turn", text.truncate_at(F.col("text"), [".", ","]).alias("cut"))
+
+
+@query("SELECT conv_id, turn, rep, text FROM conversations, range(3) AS x(rep) WHERE turn = 0")
+def repeats_regroup(t):
+    r = R.repeated(t("conversations").where("turn = 0"), 3).withColumn("rep", F.col("rep").cast("long"))
+    g = R.regroup(r, ["conv_id", "turn"], "text", ["rep"])
+    return g.select("conv_id", "turn", F.posexplode("texts").alias("rep", "text")).withColumn("rep", F.col("rep").cast("long"))
+
+
+# ---- windows and rolling scores
+_W = tokens_sql("text")
+
+
+@query(f"""WITH d AS (SELECT doc_id, len({_W}) AS n FROM documents), w AS (SELECT doc_id, n, 0 AS done, least(n, 64) AS size FROM d WHERE n > 0
+ UNION ALL SELECT doc_id, n, unnest(range(64, n, 49)) AS done, NULL FROM d)
+ SELECT doc_id, done::BIGINT AS start, coalesce(size, least(n - done, 49))::BIGINT AS predicted, CASE WHEN done = 0 THEN size ELSE least(done + least(n - done, 49) - 1, 64) END::BIGINT AS given FROM w""")
+def rolling_windows(t):
+    tokens = text.words(F.col("text"))
+    w = t("documents").select("doc_id", F.posexplode(R.rolling_windows(tokens, F.lit("<s>"), 64, 16)).alias("i", "w"))
+    return w.select("doc_id", F.when(F.col("i") == 0, 0).otherwise(64 + (F.col("i") - 1) * 49).cast("long").alias("start"), F.size("w.predicted").cast("long").alias("predicted"), F.size("w.input").cast("long").alias("given"))
+
+
+_UNI = f"""tok AS (SELECT doc_id, unnest({_W}) AS w FROM documents), voc AS (SELECT w, count(*) AS n FROM tok GROUP BY w), tot AS (SELECT sum(n) AS n, count(*) AS v FROM voc),
+ ll AS (SELECT doc_id, sum(ln((voc.n + 1.0) / (tot.n + tot.v))) AS v, count(*) AS w FROM tok JOIN voc USING (w), tot GROUP BY doc_id)"""
+
+
+def _unigram(t) -> DataFrame:
+    """(doc_id, v, w): add-one unigram log-likelihood and words. Counts are joined to each document's distinct words, not to every word."""
+    words = t("documents").select("doc_id", F.explode(text.words(F.col("text"))).alias("t")).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("k"))
+    counts = words.groupBy("t").agg(F.sum("k").alias("n"))
+    total = counts.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("v"))
+    j = words.join(counts, "t").join(F.broadcast(total))
+    return j.groupBy("doc_id").agg(F.sum(F.col("k") * F.log((F.col("n") + 1.0) / (F.col("all") + F.col("v")))).alias("v"), F.sum("k").alias("w"))
+
+
+@query(f"WITH {_UNI} SELECT doc_id, round(v, 4) AS ll, w AS words FROM ll")
+def unigram_ll(t):
+    return _unigram(t).select("doc_id", F.round("v", 4).alias("ll"), F.col("w").alias("words"))
+
+
+@query(f"""WITH {_UNI} SELECT lang, round(exp(-sum(v) / sum(w)), 4) AS word_perplexity, round(exp(-sum(v) / sum(strlen(text))), 6) AS byte_perplexity, round(-sum(v) / sum(strlen(text)) / ln(2), 6) AS bits_per_byte, round(exp(-avg(v / w)), 4) AS perplexity
+ FROM ll JOIN documents USING (doc_id) GROUP BY lang""")
+def rolling_perplexities(t):
+    j = _unigram(t).join(t("documents").select("doc_id", "lang", F.octet_length("text").alias("b")), "doc_id")
+    return j.groupBy("lang").agg(F.round(metrics.weighted_perplexity(), 4).alias("word_perplexity"), r6(metrics.weighted_perplexity("v", "b")).alias("byte_perplexity"), r6(metrics.bits_per_byte("v", "b")).alias("bits_per_byte"), F.round(F.exp(-F.avg(F.col("v") / F.col("w"))), 4).alias("perplexity"))
+
+
+# ---- multiple choice: choices are an item and its two followers; a choice's ll falls with its length and vowels
+def _ll(c):
+    return -(F.length(c) - F.length(F.translate(c, "aeiou", "")) + 0.01 * F.length(c))
+
+
+_LL = "-(length({0}) - length(translate({0}, 'aeiou', '')) + 0.01 * length({0}))"
+_MC = f"""i AS (SELECT item_id, [text, coalesce(lead(text) OVER o, 'none'), coalesce(lead(text, 2) OVER o, 'none given')] AS c, (item_id % 3)::INT AS gold FROM benchmark WINDOW o AS (ORDER BY item_id)),
+ m AS (SELECT item_id, gold, c, list_transform(c, lambda x: ({_LL.format('x')})::DOUBLE) AS ll, list_transform(c, lambda x: (-0.9 * length(x))::DOUBLE) AS un FROM i),
+ x AS (SELECT *, list_transform(range(1, 4), lambda k: ll[k] / length(c[k])) AS nl, list_transform(range(1, 4), lambda k: ll[k] / strlen(c[k])) AS bl, list_transform(range(1, 4), lambda k: ll[k] - un[k]) AS mi, list_max(ll) AS top FROM m),
+ p AS (SELECT *, list_transform(ll, lambda v: exp(v - top) / list_sum(list_transform(ll, lambda y: exp(y - top)))) AS pr FROM x)"""
+
+
+@query(f"""WITH {_MC} SELECT item_id, (list_position(ll, top) - 1 = gold)::INT AS acc, (list_position(nl, list_max(nl)) - 1 = gold)::INT AS acc_norm, (list_position(bl, list_max(bl)) - 1 = gold)::INT AS acc_bytes,
+ (list_position(mi, list_max(mi)) - 1 = gold)::INT AS acc_mutual_info, round(pr[1] + pr[3], 6) AS mc2, round(list_sum(list_transform(range(0, 3), lambda k: (pr[k + 1] - (k = gold)::INT) ** 2)), 6) AS brier,
+ 1 + len(list_filter(range(0, 3), lambda k: ll[k + 1] > ll[gold + 1] OR (ll[k + 1] = ll[gold + 1] AND k < gold))) AS rank FROM p""")
+def multiple_choice_scores(t):
+    o = Window.orderBy("item_id")  # the benchmark table
+    c = F.array("text", F.coalesce(F.lead("text").over(o), F.lit("none")), F.coalesce(F.lead("text", 2).over(o), F.lit("none given")))
+    d = t("benchmark").select("item_id", c.alias("c"), (F.col("item_id") % 3).cast("int").alias("gold"))
+    d = d.withColumns({"ll": F.transform("c", lambda x: _ll(x).cast("double")), "un": F.transform("c", lambda x: (-0.9 * F.length(x)).cast("double"))})
+    ll, gold = F.col("ll"), F.col("gold")
+    i = lambda x: x.cast("int")
+    return d.select("item_id", i(metrics.acc(ll, gold)).alias("acc"), i(metrics.acc_norm(ll, F.col("c"), gold)).alias("acc_norm"), i(metrics.acc_bytes(ll, F.col("c"), gold)).alias("acc_bytes"), i(metrics.acc_mutual_info(ll, F.col("un"), gold)).alias("acc_mutual_info"), r6(metrics.mc2(ll, F.array(F.lit(1), F.lit(0), F.lit(1)))).alias("mc2"), r6(metrics.brier(metrics.softmax(ll), gold)).alias("brier"), metrics.gold_rank(ll, gold).cast("long").alias("rank"))
+
+
+# ---- classification and answers
+@query("""WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 1 AND toxic = 0) AS fn, count(*) FILTER (quality = 0 AND toxic = 1) AS fp, count(*) FILTER (quality = 0 AND toxic = 0) AS tn FROM labels),
+ f AS (SELECT *, 2.0 * tp / (2 * tp + fp + fn) AS f1, 2.0 * tn / (2 * tn + fp + fn) AS f0, tp + fn AS n1, tn + fp AS n0 FROM c)
+ SELECT round(f1, 6) AS f1, round((f1 + f0) / 2, 6) AS macro_f1, round((f1 * n1 + f0 * n0) / (n1 + n0), 6) AS weighted_f1, round((tp + tn) / (n1 + n0), 6) AS micro_f1,
+ round((tp * tn - fp * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM f""")
+def classification_scores(t):
+    labels = t("labels").select(F.lit(1).alias("k"), F.col("quality").alias("gold"), F.col("toxic").alias("pred"))
+    f1 = labels.groupBy("k").agg(metrics.f1_binary().alias("f1"))
+    return metrics.classification(labels, ["k"]).join(f1, "k").select(*[r6(F.col(c)).alias(c) for c in ("f1", "macro_f1", "weighted_f1", "micro_f1", "mcc")])
+
+
+_PAIRS = "p AS (SELECT a.conv_id, a.turn, a.text AS pred, b.text AS gold FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+
+
+def _pairs(t) -> DataFrame:
+    """Each turn with the next of its conversation."""
+    nxt = F.lead(F.struct("turn", "text")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    return t("conversations").select("conv_id", "turn", F.col("text").alias("pred"), nxt.alias("n")).where("n.turn = turn + 1").select("conv_id", "turn", "pred", F.col("n.text").alias("gold"))
+
+
+def _squad_sql(e: str) -> str:
+    return f"array_to_string(list_filter(regexp_split_to_array(translate(lower({e}), '{PUNCT_SQL}', ''), '\\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')"
+
+
+@query(f"""WITH {_PAIRS}, q AS (SELECT conv_id, turn, pred, gold, string_split({_squad_sql('pred')}, ' ') AS a, string_split({_squad_sql('gold')}, ' ') AS b FROM p),
+ m AS (SELECT *, list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w))))) AS s FROM q)
+ SELECT conv_id, turn, (lower(pred) = lower(gold))::INT AS exact, CASE WHEN s = 0 THEN 0 ELSE round(2.0 * (s / len(a)) * (s / len(b)) / (s / len(a) + s / len(b)), 6) END AS f1 FROM m""")
+def answer_scores(t):
+    p = _pairs(t).withColumns({"a": F.split(text.answer_normal(F.col("pred")), " "), "b": F.split(text.answer_normal(F.col("gold")), " ")})
+    return p.select("conv_id", "turn", text.exact_match(F.col("pred"), F.col("gold"), ignore_case=True).cast("int").alias("exact"), r6(text.token_f1(F.col("a"), F.col("b"))).alias("f1"))
+
+
+@query()
+def translation_scores(t):
+    p = _pairs(t).withColumn("k", F.pmod("conv_id", F.lit(4))).withColumnRenamed("gold", "ref")
+    return translation.bleu(p, ["k"]).join(translation.chrf(p, ["k"]), "k").select("k", r6("bleu").alias("bleu"), r6("chrf").alias("chrf"))
+
+
+@query()
+def translation_edit_rate(t):
+    p = _pairs(t).select((F.col("conv_id") % 4).alias("k"), F.array_join(F.slice(text.words(F.col("pred")), 1, 12), " ").alias("pred"), F.array_join(F.slice(text.words(F.col("gold")), 1, 12), " ").alias("ref"))
+    return translation.ter(p.where("pred <> '' AND ref <> ''"), ["k"])
+
+
+@query()
+def rouge_scores(t):
+    p = _pairs(t).withColumns({"a": text.words(F.lower("pred")), "b": text.words(F.lower("gold"))})
+    return p.select("conv_id", "turn", r6(translation.rouge_n(F.col("a"), F.col("b"), 1)).alias("rouge1"), r6(translation.rouge_n(F.col("a"), F.col("b"), 2)).alias("rouge2"), r6(text.rouge_l(F.col("a"), F.col("b"))).alias("rougeL"))
+
+
+# ---- results
+def _label_samples(t) -> DataFrame:
+    d = t("labels").join(t("documents").select("doc_id", "source", "lang"), "doc_id")
+    return d.select("lang", F.col("source").alias("task"), F.lit("none").alias("filter"), F.lit("acc").alias("metric"), "doc_id", F.col("quality").cast("double").alias("v"))
+
+
+_RES = "r AS (SELECT source AS task, avg(quality) AS value, stddev_samp(quality) / sqrt(count(*)) AS stderr, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY source)"
+
+
+@query(f"WITH {_RES} SELECT task, 'none' AS filter, 'acc' AS metric, round(value, 6) AS value, round(stderr, 6) AS stderr, n, true AS higher_is_better FROM r")
+def task_results_mean_stderr(t):
+    r = task_results(_label_samples(t))
+    return r.withColumns({"value": r6("value"), "stderr": r6("stderr")})
+
+
+@query(f"""WITH {_RES}, g AS (SELECT CASE WHEN substr(task, 4)::INT < 10 THEN 'low' ELSE 'high' END AS grp, * FROM r), u AS (SELECT * FROM g UNION ALL SELECT 'all', task, value, stderr, n FROM r)
+ SELECT grp AS "group", 'none' AS filter, 'acc' AS metric, round(sum(value * n) / sum(n), 6) AS value, round(sqrt(sum((n - 1) * stderr * stderr * n) / (sum(n) - count(*)) / sum(n)), 6) AS stderr, sum(n)::BIGINT AS n FROM u GROUP BY grp""")
+def group_rollup_weighted(t):
+    names = [f"src{i}" for i in range(20)]
+    groups = [Group("low", tuple(names[:10])), Group("high", tuple(names[10:])), Group("all", ("low", "high"))]
+    r = group_results(task_results(_label_samples(t)), groups)
+    return r.withColumns({"value": r6("value"), "stderr": r6("stderr")})
+
+
+@query(f"WITH {_RES} SELECT round(avg(value), 6) AS macro, round(sum(value * n) / sum(n), 6) AS micro, round(sqrt(sum((n - 1) * stderr * stderr * n) / (sum(n) - count(*)) / sum(n)), 6) AS pooled FROM r")
+def macro_micro_pooled(t):
+    return task_results(_label_samples(t)).agg(r6(weighted_mean(by_size=False)).alias("macro"), r6(weighted_mean()).alias("micro"), r6(pooled_stderr()).alias("pooled"))
+
+
+@query("""WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+ SELECT event_type, round(max(value) FILTER (i = n // 2 + 1), 6) AS median, round(avg(value), 6) AS nanmean, round(exp(-avg(value / 1000)), 6) AS perplexity FROM e GROUP BY event_type""")
+def special_aggregates(t):
+    e = t("events").where("value IS NOT NULL").select("event_type", F.col("event_id").alias("doc_id"), F.col("value").alias("v"))
+    return e.groupBy("event_type").agg(r6(metrics.median_positional()).alias("median"), r6(metrics.nanmean()).alias("nanmean"), r6(F.exp(-F.avg(F.col("v") / 1000))).alias("perplexity"))
+
+
+@query("""WITH g AS (SELECT lang, source, bool_and(quality = 1) AS ok FROM labels JOIN documents USING (doc_id) GROUP BY ALL)
+ SELECT lang, round(avg(ok::INT), 6) AS acc_all, round(stddev_samp(ok::INT) / sqrt(count(*)), 6) AS acc_all_stderr FROM g GROUP BY lang""")
+def acc_all(t):
+    d = t("labels").join(t("documents").select("doc_id", "source", "lang"), "doc_id").withColumn("correct", F.col("quality") == 1)
+    a = metrics.acc_all(d, ["lang"], ["source"])
+    return a.withColumns({c: r6(c) for c in ("acc_all", "acc_all_stderr")})
+
+
+@query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, round(CASE WHEN sum(n) = 1 THEN 1 ELSE sum(n * (n - 1)) / (sum(n) * (sum(n) - 1)) END, 6) AS consistency FROM c GROUP BY user_id")
+def consistency_rate(t):
+    return metrics.consistency(t("events"), ["user_id"], "event_type").withColumn("consistency", r6("consistency"))
+
+
+@query("SELECT doc_id, quality AS seed_0, toxic AS seed_1, (quality = toxic)::INT AS agree FROM labels")
+def multi_seed_join(t):
+    a, b = t("labels").select("doc_id", F.col("quality").alias("seed_0")), t("labels").select("doc_id", F.col("toxic").alias("seed_1"))
+    return a.join(b, "doc_id").withColumn("agree", (F.col("seed_0") == F.col("seed_1")).cast("int"))
+
+
+@query("""SELECT least(n_chars // 1000, 10) AS bucket, round(avg(length(text)) FILTER (lang = 'de'), 4) AS de, round(avg(length(text)) FILTER (lang = 'en'), 4) AS en, round(avg(length(text)) FILTER (lang = 'es'), 4) AS es, round(avg(length(text)) FILTER (lang = 'fr'), 4) AS fr
+ FROM documents GROUP BY 1""")
+def heatmap_pivot(t):
+    langs = ["de", "en", "es", "fr"]
+    h = R.heatmap(t("documents").withColumns({"bucket": F.least(F.expr("n_chars div 1000"), F.lit(10)), "v": F.length("text")}), "bucket", "lang", langs)
+    return h.select("bucket", *[F.round(c, 4).alias(c) for c in langs])
+
+
+_CMP = "x AS (SELECT source, avg({0}) AS v, stddev_samp({0}) / sqrt(count(*)) AS s FROM labels JOIN documents USING (doc_id) GROUP BY source)"
+
+
+@query(f"WITH {_CMP.format('quality')}, {_CMP.format('toxic').replace('x AS', 'y AS')} SELECT source AS task, round(x.v - y.v, 6) AS delta, round(CASE WHEN sqrt(x.s ** 2 + y.s ** 2) > 0 THEN (x.v - y.v) / sqrt(x.s ** 2 + y.s ** 2) END, 5) AS z FROM x JOIN y USING (source)")
+def model_compare_z(t):
+    a = task_results(_label_samples(t))
+    tox = t("labels").join(t("documents").select("doc_id", "source"), "doc_id").select(F.col("source").alias("task"), F.lit("none").alias("filter"), F.lit("acc").alias("metric"), "doc_id", F.col("toxic").cast("double").alias("v"))
+    return compare(a, task_results(tox), ["task"]).select("task", r6("delta").alias("delta"), F.round("z", 5).alias("z"))
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def latest_per_key(t):
+    return t("events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@query("SELECT event_type, round(avg(value), 5) AS value, round(stddev_samp(value) / sqrt(count(value)), 5) AS stderr, count(value) AS n FROM events GROUP BY event_type")
+def running_event_scores(t):
+    r = running_results(t("events"), ["event_type"], "value")
+    return r.withColumns({"value": F.round("value", 5), "stderr": F.round("stderr", 5)})
+
+
+@query()
+def bootstrap_error(t):
+    return bootstrap_stderr(_label_samples(t), ["task", "metric"], 200)
+
+
+def length_scorer(batches):
+    """The deterministic stand-in for a model: ll falls with vowels and length; text is the context's last word."""
+    for pdf in batches:
+        c = pdf["continuation"].fillna("").str.strip()
+        pdf["ll"] = -(c.str.count("[aeiou]") + 0.01 * c.str.len())
+        pdf["is_greedy"] = c.str.len() % 2 == 0
+        pdf["text"] = pdf["context"].str.split().str[-1].fillna("")
+        yield pdf
+
+
+@query(f"""WITH {_MC}, a AS (SELECT (list_position(ll, top) - 1 = gold)::INT AS v FROM (SELECT *, list_max(ll) AS top FROM (SELECT item_id, gold, list_transform(c, lambda x: ({_LL.format('trim(x)')})::DOUBLE) AS ll FROM i)))
+ SELECT 'items' AS task, 'none' AS filter, 'acc' AS metric, round(avg(v), 6) AS value, round(stddev_samp(v) / sqrt(count(*)), 6) AS stderr, count(*) AS n, true AS higher_is_better FROM a
+ UNION ALL SELECT 'echo', 'none', 'exact_match', round(avg(v), 6), round(stddev_samp(v) / sqrt(count(*)), 6), count(*), true FROM (SELECT (lower(t[-1]) = lower(t[1]))::INT AS v FROM (SELECT {_W} AS t FROM benchmark))""")
+def evaluate_end_to_end(t):
+    o = Window.orderBy("item_id")
+    c = F.array("text", F.coalesce(F.lead("text").over(o), F.lit("none")), F.coalesce(F.lead("text", 2).over(o), F.lit("none given")))
+    d = t("benchmark").select(F.col("item_id").alias("doc_id"), "text", c.alias("c"), (F.col("item_id") % 3).cast("int").alias("gold"))
+    items = Task("items", d, "multiple_choice", F.col("text"), F.col("gold"), [Metric("acc", lambda: metrics.acc(F.col("lls"), F.col("target")))], choices=F.col("c"))
+    echo = Task("echo", d, "generate_until", F.col("text"), text.words(F.col("text"))[0], [Metric("exact_match", lambda: text.exact_match(F.col("prediction"), F.col("target"), ignore_case=True))])
+    r = evaluate(d.sparkSession, [items, echo], length_scorer)
+    return r.withColumns({"value": r6("value"), "stderr": r6("stderr")})
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -50,9 +50,9 @@ def _count(batches):
 def vocabulary(n: np.ndarray) -> dict:
     """From counts by bucket: class, share of the class (log) and context id of each bucket."""
     order = np.argsort(-n, kind="stable")
-    mass = np.cumsum(np.sqrt(n[order] + SMOOTH))
+    mass = np.cumsum(np.sqrt(n[order]))  # counters of no word all fall in the last class
     cls = np.empty(BUCKETS, np.int64)
-    cls[order] = np.minimum((mass - 1e-9) / mass[-1] * CLASSES, CLASSES - 1).astype(np.int64)
+    cls[order] = np.clip((mass - 1e-9) / max(mass[-1], 1e-9) * CLASSES, 0, CLASSES - 1).astype(np.int64)
     total = np.bincount(cls, weights=n + SMOOTH, minlength=CLASSES)
     context = cls + OWN + 1
     context[order[:OWN]] = np.arange(1, OWN + 1)  # 0: beyond the document's ends

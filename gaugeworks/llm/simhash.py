@@ -87,9 +87,11 @@ def _ball() -> list[int]:
 
 
 def _clique_stars(keyed: DataFrame) -> DataFrame:
-    """(u, v): every fp of a shared key with the key's least fp. The join back is on the keys that are shared only."""
-    least = keyed.groupBy("k").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("k", "a")
-    return keyed.join(least.hint("shuffle_hash"), "k").where("fp <> a").select(F.col("fp").alias("u"), F.col("a").alias("v")).distinct()
+    """(u, v): every fp of a shared key with the key's least fp. A key of two fps gives its edge at once; only keys of more are joined back."""
+    shared = materialize(keyed.groupBy("k").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-shared")
+    pairs = shared.where("n = 2").select(F.col("b").alias("u"), F.col("a").alias("v"))
+    more = keyed.join(shared.where("n > 2").select("k", "a").hint("shuffle_hash"), "k").where("fp <> a")
+    return pairs.unionByName(more.select(F.col("fp").alias("u"), F.col("a").alias("v"))).distinct()
 
 
 def _dealt(fps: DataFrame, fan_out: int) -> DataFrame:

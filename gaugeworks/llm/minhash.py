@@ -104,13 +104,14 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     empty. Repeated doc_ids are one document to those before it, with their least text's beginning and their least
     fingerprint. A row without doc_id has no next document: its quarter is dropped and near_next is null. An empty table gives no rows.
     """
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
-    ids = materialize(d.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.expr("n_chars div 4")).alias("q")), "minhash-ids")
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = materialize(d.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.expr("length(text) div 4").cast("long")).alias("q")), "minhash-ids")
     nxt = materialize(following(ids.select("doc_id")).join(ids, "doc_id").crossJoin(F.broadcast(ids.agg(F.min("doc_id").alias("first")))).select("doc_id", F.coalesce("next_id", "first").alias("next_id"), "q"), "minhash-next")
     need = nxt.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "q")
-    starts = d.join(need, "doc_id").select("for_id", F.substr("text", F.lit(1), F.col("q").cast("int")).alias("start")).groupBy("for_id").agg(F.min("start").alias("start"))
+    # Both joins need the same columns of all of d by doc_id, so Spark moves the texts once and reads that exchange twice.
+    starts = d.join(need, "doc_id", "left").select("for_id", F.substr("text", F.lit(1), F.col("q").cast("int")).alias("start")).groupBy("for_id").agg(F.min("start").alias("start"))
     q = F.expr("n_chars div 4").cast("int")
-    both = d.join(starts, F.col("doc_id") == F.col("for_id"), "left").withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - q), F.coalesce(F.substr("start", F.lit(1), q), F.lit(""))))
+    both = d.join(starts, F.col("doc_id") == F.col("for_id"), "left").withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - q), F.coalesce(F.substr("start", F.lit(1), q), F.lit(""))))
     made = materialize(both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), codes(F.col("text")).cast("array<smallint>").alias("a"), codes(F.col("edited")).cast("array<smallint>").alias("e")), "minhash")
     other = made.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("next_id")).agg(F.min(packed(F.col("a"))).alias("n"), F.min(F.col("a").isNull()).alias("blank"))
     unpacked = F.when(~F.col("blank"), F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.conv(F.substr("n", i * (BITS // 4) + 1, F.lit(BITS // 4)), 16, 10).cast("smallint")))

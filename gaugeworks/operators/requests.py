@@ -30,7 +30,7 @@ def rolling_windows(tokens: Column, prefix: Column, max_len: int, context: int =
 
 def _windows(tokens: Column, prefix: Column, max_len: int, context: int) -> Column:
     n, step = F.size(tokens), max_len - context + 1
-    first = F.struct(F.concat(F.array(prefix), F.slice(tokens, 1, F.least(n, F.lit(max_len)) - 1)).alias("input"), F.slice(tokens, 1, max_len).alias("predicted"))
+    first = F.struct(F.concat(F.array(prefix), F.slice(tokens, 1, F.greatest(F.least(n, F.lit(max_len)) - 1, F.lit(0)))).alias("input"), F.slice(tokens, 1, max_len).alias("predicted"))
 
     def window(done):
         size = F.least(n - done, F.lit(step))

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding; sampled segmentations by Gumbel top-k without replacement.
 
-A vocabulary's pieces span a lattice over each unit (blanks with the word after them; no piece crosses
-into the next unit). Backward sums of piece weights give each edge its probability, so the segmentations of a text have a
+A vocabulary's pieces span a lattice over each unit (blanks with the word after them, or a line feed; no piece
+crosses into the next unit). Backward sums of piece weights give each edge its probability, so the segmentations of a text have a
 product law. A* search over the tree of partial segmentations, each with the largest perturbed
 log-probability below it as its exact bound, pops complete segmentations in falling order: a child that
 carries its parent's bound is followed at once, its siblings get Gumbels truncated at that bound and
@@ -24,7 +24,7 @@ from .common import pieces as slices
 
 SPACE = "▁"
 SAMPLES, ZIPF, SEED, MAX_NODES = 2, 10.0, 17, 2_000_000
-_UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,8 +39,8 @@ def vocabulary(model: bytes) -> dict:
     n = sp.get_piece_size()
     text = [sp.id_to_piece(i) for i in range(n)]
     usable = [not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) for i in range(n)]
-    if crossing := [p for p, u in zip(text, usable) if u and re.search(f"[^{SPACE}]{SPACE}", p)]:
-        raise ValueError(f"pieces cross a blank: {crossing[:3]}")
+    if crossing := [p for p, u in zip(text, usable) if u and re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p)]:
+        raise ValueError(f"pieces cross a blank or line feed: {crossing[:3]}")
     rank = np.array([max(0.0, -sp.get_score(i)) for i in range(n)])
     w = 1 / (rank + ZIPF)
     w = np.log(w / w.sum())
@@ -127,21 +127,21 @@ class Lattices:
             node, h = node[more], h[more]
             if not len(node):
                 break
-        a, e, p, w = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((e, a, room[a]))
+        a, e, p, w = (np.concatenate(x) for x in zip(*found[::-1]))
+        order = np.argsort(a, kind="stable")  # longest edges first, as the likelier ones: drawing tries them in turn
         a, e, p, w = a[order], e[order], p[order], w[order]
         beta = np.zeros(total)
-        r = room[a]
+        level = room[a].astype(np.uint16 if size.max() < 1 << 16 else np.int64)  # short integers are sorted by radix
+        back = np.argsort(level, kind="stable")
+        r, at, to, cost = level[back], a[back], e[back], w[back]
         cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], np.diff(r) != 0])), [len(r)]])
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            v = w[lo:hi] + beta[e[lo:hi]]
-            first = np.flatnonzero(np.concatenate([[True], np.diff(a[lo:hi]) != 0]))
+            v = cost[lo:hi] + beta[to[lo:hi]]
+            first = np.flatnonzero(np.concatenate([[True], at[lo + 1 : hi] != at[lo : hi - 1]]))
             top = np.maximum.reduceat(v, first)
-            size_of = np.diff([*first, hi - lo])
-            beta[a[lo:hi][first]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, size_of)), first))
+            size_of = np.diff(np.append(first, hi - lo))
+            beta[at[lo:hi][first]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, size_of)), first))
         lp = w + beta[e] - beta[a]
-        order = np.lexsort((e, -lp, a))  # likely edges first
-        a, e, p, lp = a[order], e[order], p[order], lp[order]
         first = np.searchsorted(a, np.arange(total + 1))
         run = np.cumsum(np.exp(lp))
         before = np.concatenate([[0.0], run])[first[:-1]]
@@ -195,7 +195,7 @@ def _best_siblings(lat: Lattices, node, edge, phi, doc, place, bound, key, sampl
             break
         first = np.flatnonzero(np.concatenate([[True], np.diff(d) != 0]))
         top = np.maximum.reduceat(g, first)
-        hit = np.flatnonzero(g == np.repeat(top, np.diff([*first, len(g)])))
+        hit = np.flatnonzero(g == np.repeat(top, np.diff(np.append(first, len(g)))))
         hit = hit[np.concatenate([[True], np.diff(d[hit]) != 0])]
         live = hit[g[hit] > -np.inf]
         out.append((d[live], pos[live], other[live], g[live]))
@@ -286,13 +286,16 @@ def expand(lat: Lattices, edges: np.ndarray) -> list[int]:
 
 def decode(vocab: dict, ids: list[int]) -> str:
     """Text of piece ids; byte pieces are joined to UTF-8, bad bytes replaced."""
-    byte = vocab.setdefault("of_byte", {i: b for b, i in enumerate(vocab["bytes"])})
-    text, table = vocab["text"], byte
-    if not table.keys() & set(ids):
-        out = "".join([text[i] for i in ids])
-    else:
-        out = b"".join(bytes([table[i]]) if i in table else text[i].encode() for i in ids).decode("utf-8", "replace")
-    return out.replace(SPACE, " ")[1:]
+    if "out" not in vocab:
+        vocab["out"] = list(vocab["text"])
+        for b, i in enumerate(vocab["bytes"]):
+            vocab["out"][i] = chr(b) if b < 128 else chr(0xDC00 + b)  # lone surrogates stand for bytes
+    t = "".join(map(vocab["out"].__getitem__, ids))
+    try:
+        t.encode()
+    except UnicodeEncodeError:
+        t = t.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+    return t.replace(SPACE, " ")[1:]
 
 
 def sample(docs: DataFrame, model_path: str, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:

@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +46,30 @@ def vocabulary(model: bytes) -> dict:
     rank = np.array([max(0.0, -sp.get_score(i)) for i in range(n)])
     w = 1 / (rank + ZIPF)
     w = np.log(w / w.sum())
-    return {"model": model, "text": text, "usable": usable, "weight": w, "bytes": [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]}
+    return {"model": model, "text": text, "usable": usable, "weight": w, "bytes": [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], "trie": _trie(text, usable)}
+
+
+def _trie(text: list[str], usable: list[bool]) -> tuple:
+    """Longest piece, sorted hashes of all prefixes, the piece that each is or -1, and an open-addressing table of them: a prefix is in the first slots from its own on."""
+    keep = [i for i, u in enumerate(usable) if u]
+    hashes, prefixes = {}, set()
+    for i in keep:
+        h = 0
+        for c in text[i]:
+            h = (h * int(_B) + ord(c) + 1) % (1 << 64)
+            prefixes.add(h)
+        if h in hashes:
+            raise ValueError("two pieces have one hash")
+        hashes[h] = i
+    prefix = np.array(sorted(prefixes), np.uint64)
+    piece = np.array([hashes.get(int(h), -1) for h in prefix])
+    bits = max(10, (8 * len(prefix)).bit_length())
+    shift, slot = np.uint64(64 - bits), np.full(1 << bits, -1, np.int32)
+    for i, x in enumerate((prefix * _B >> shift).tolist()):
+        while slot[x] >= 0:
+            x = (x + 1) % len(slot)
+        slot[x] = i
+    return max((len(text[i]) for i in keep), default=1), prefix, piece, shift, slot
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -67,22 +92,22 @@ class Lattices:
 
     def __init__(self, vocab: dict):
         self.vocab = vocab
-        keep = [i for i, u in enumerate(vocab["usable"]) if u]
-        self.longest = max((len(vocab["text"][i]) for i in keep), default=1)
-        hashes, prefixes = {}, set()
-        for i in keep:
-            h = 0
-            for c in vocab["text"][i]:
-                h = (h * int(_B) + ord(c) + 1) % (1 << 64)
-                prefixes.add(h)
-            if h in hashes:
-                raise ValueError("two pieces have one hash")
-            hashes[h] = i
-        self.prefix = np.array(sorted(prefixes), np.uint64)
-        self.piece = np.array([hashes.get(int(h), -1) for h in self.prefix])
-        self.power = np.array([pow(int(_B), k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
+        self.longest, self.prefix, self.piece, self.shift, self.slot = vocab["trie"]
         self.clear()
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of hashes among the prefixes, -1 where there is none."""
+        x = (h * _B >> self.shift).astype(np.int64)
+        at = self.slot[x]
+        on = np.flatnonzero(at >= 0)
+        on = on[self.prefix[at[on]] != h[on]]
+        while len(on):
+            x[on] = (x[on] + 1) % len(self.slot)
+            at[on] = self.slot[x[on]]
+            on = on[at[on] >= 0]
+            on = on[self.prefix[at[on]] != h[on]]
+        return at
+
     def clear(self):
         self.unit: dict[str, int] = {}
         self.n = self.m = 0  # nodes and edges so far
@@ -96,11 +121,16 @@ class Lattices:
             setattr(self, name, old := new)
         old[at : at + len(values)] = values
 
-    def add(self, units: list[str]) -> None:
-        """Build the lattices of units not yet known."""
-        new = [u for u in dict.fromkeys(units) if u not in self.unit]
-        if not new:
-            return
+    def nodes(self, units: list[str]) -> np.ndarray:
+        """First nodes of units; lattices not yet known are built."""
+        at = np.fromiter(map(self.unit.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self.add(list(dict.fromkeys([units[i] for i in new])))
+            at[new] = [self.unit[units[i]] for i in new]
+        return at
+
+    def add(self, new: list[str]) -> None:
         size = np.array([len(u) for u in new])
         base = np.concatenate([[0], np.cumsum(size + 1)])
         for u, b in zip(new, base.tolist()):
@@ -113,9 +143,9 @@ class Lattices:
         found = []
         for k in range(1, self.longest + 1):
             h = h * _B + code[node + (k - 1)] + np.uint64(1)
-            at = np.minimum(np.searchsorted(self.prefix, h), len(self.prefix) - 1) if len(self.prefix) else np.zeros(len(h), int)
-            live = self.prefix[at] == h if len(self.prefix) else np.zeros(len(h), bool)
-            p = np.where(live, self.piece[at], -1) if len(self.prefix) else np.full(len(h), -1)
+            at = self.find(h)
+            live = at >= 0
+            p = np.where(live, self.piece[at], -1) if len(self.prefix) else at
             hit = p >= 0
             found.append((node[hit], node[hit] + k, p[hit], self.vocab["weight"][p[hit]]))
             if k == 1:
@@ -188,7 +218,7 @@ def _best_siblings(lat: Lattices, node, edge, phi, doc, place, bound, key, sampl
     d = doc[pos]
     f = phi[pos] + lat.lp[other]
     u = _uniform(key[d], sample, (1 << 40) + place[pos] * 4096 + (other - lat.first[node[pos]]))
-    g = f - np.log(np.exp(np.minimum(f - bound[d], 700.0)) - np.log(u))
+    g = f - np.log(-np.log(u))  # rises with the truncated Gumbel's value, which only the best need
     out = []
     for _ in range(keep):
         if not len(g):
@@ -198,7 +228,8 @@ def _best_siblings(lat: Lattices, node, edge, phi, doc, place, bound, key, sampl
         hit = np.flatnonzero(g == np.repeat(top, np.diff(np.append(first, len(g)))))
         hit = hit[np.concatenate([[True], np.diff(d[hit]) != 0])]
         live = hit[g[hit] > -np.inf]
-        out.append((d[live], pos[live], other[live], g[live]))
+        b = bound[d[live]]
+        out.append((d[live], pos[live], other[live], b - np.logaddexp(0.0, b - g[live])))
         g[hit] = -np.inf
         if not len(live):
             break
@@ -206,16 +237,22 @@ def _best_siblings(lat: Lattices, node, edge, phi, doc, place, bound, key, sampl
 
 
 def segmentations(lat: Lattices, texts: list[str], keys: list[int], samples: int = SAMPLES, seed: int = SEED) -> list[list[tuple[list[int], float, float, float]]]:
-    """For each text up to samples distinct segmentations: (piece ids, log-probability, perturbed log-probability, inclusion score).
+    """search() with piece ids."""
+    found = search(lat, texts, keys, samples, seed)
+    at, ids = expand(lat, [x[0] for rows in found for x in rows])
+    each = iter(np.split(ids, at[1:-1]))
+    return [[(next(each).tolist(), *x[1:]) for x in rows] for rows in found]
+
+
+def search(lat: Lattices, texts: list[str], keys: list[int], samples: int = SAMPLES, seed: int = SEED) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """For each text up to samples distinct segmentations: (edges, log-probability, perturbed log-probability, inclusion score).
 
     Fewer come back if the text has fewer. Inclusion is the chance of a perturbed value above the threshold, the perturbed value of the next segmentation; 1 if there is none.
     """
     units = [_UNIT.findall(SPACE + t.replace(" ", SPACE)) for t in texts]
     if lat.n > MAX_NODES:
         lat.clear()
-    lat.add([u for us in units for u in us])
-    known = lat.unit
-    starts = [np.array([known[u] for u in us], np.int64) for us in units]
+    starts = np.split(lat.nodes([u for us in units for u in us]), np.cumsum([len(us) for us in units])[:-1]) if texts else []
     key = np.array([xxhash.xxh64_intdigest(k.to_bytes(8, "little", signed=True), seed) for k in keys], np.uint64)
     value = -np.log(-np.log(_uniform(key, 0, 0)))
     todo = np.arange(len(texts))  # documents whose next path is to be drawn
@@ -270,18 +307,40 @@ def segmentations(lat: Lattices, texts: list[str], keys: list[int], samples: int
     done = []
     for t, rows in enumerate(out):
         bound = value[t] if rows and rows[-1] is None else None
-        done.append([(expand(lat, e), lp, g, 1.0 if bound is None else float(-np.expm1(-np.exp(min(lp - bound, 700.0))))) for e, lp, g in rows[:samples]])
+        done.append([(e, lp, g, 1.0 if bound is None else float(-np.expm1(-np.exp(min(lp - bound, 700.0))))) for e, lp, g in rows[:samples]])
     return done
 
 
-def expand(lat: Lattices, edges: np.ndarray) -> list[int]:
-    p = lat.edge_piece[edges]
-    if (p >= 0).all():
-        return p.tolist()
-    ids: list[int] = []
-    for x in p.tolist():
-        ids.extend([x] if x >= 0 else (lat.vocab["bytes"][b] for b in chr(-x - 1).encode("utf-8", "surrogatepass")))
-    return ids
+def expand(lat: Lattices, paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of paths, one after the other, and where each begins (and the last ends). Characters without a piece give their UTF-8 bytes' pieces."""
+    p = lat.edge_piece[np.concatenate(paths)] if paths else np.zeros(0, np.int64)
+    at = np.cumsum([0, *map(len, paths)])
+    lone = np.flatnonzero(p < 0)
+    if not len(lone):
+        return at, p.astype(np.int32)
+    code = -p[lone] - 1
+    width = 2 + (code >= 1 << 11) + (code >= 1 << 16)
+    count = np.ones(len(p), np.int64)
+    count[lone] = width
+    begin = np.concatenate([[0], np.cumsum(count)])
+    ids = np.repeat(p, count)
+    byte_piece = np.array(lat.vocab["bytes"])
+    for k in range(4):
+        on = width > k
+        part = code[on] >> 6 * (width[on] - 1 - k)
+        ids[begin[lone[on]] + k] = byte_piece[part & 63 | 128 if k else part | (0xF00 >> width[on]) & 255]
+    return begin[at], ids.astype(np.int32)
+
+
+def decode_all(vocab: dict, at: np.ndarray, ids: np.ndarray) -> pa.Array:
+    """decode() of many at once, as binary, with the blank put before every text."""
+    if "raw" not in vocab:
+        raw = [t.replace(SPACE, " ").encode() for t in vocab["text"]]
+        for b, i in enumerate(vocab["bytes"]):
+            raw[i] = bytes([b])
+        vocab["raw"] = pa.array(raw, pa.large_binary())
+    parts = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), vocab["raw"].take(pa.array(ids)))
+    return pc.binary_join(parts, pa.scalar(b"", pa.large_binary()))
 
 
 def decode(vocab: dict, ids: list[int]) -> str:
@@ -311,14 +370,16 @@ def sample(docs: DataFrame, model_path: str, samples: int = SAMPLES, seed: int =
     def run(batches):
         lat = Lattices(shared.value)
         for batch in batches:
-            for b in slices(batch, 1, 1 << 18):
-                rows, docs_in = [], b.column(0).to_pylist()
+            for b in slices(batch, 1, 1 << 20):
                 texts = [t or "" for t in b.column(1).to_pylist()]
-                for doc, t, found in zip(docs_in, texts, segmentations(lat, texts, [-1 if d is None else int(d) for d in docs_in], samples, seed)):
-                    for rank, (ids, lp, g, inc) in enumerate(found, 1):
-                        rows.append((doc, rank, ids, lp, g, inc, decode(lat.vocab, ids) == t))
-                kinds = [b.column(0).type, pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion", "round_trip"])
+                found = search(lat, texts, [-1 if d is None else int(d) for d in b.column(0).to_pylist()], samples, seed)
+                row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                at, ids = expand(lat, [x[0] for f in found for x in f])
+                want = pa.array([b" " + t.encode() for t in texts], pa.large_binary()).take(pa.array(row))
+                same = pc.equal(decode_all(lat.vocab, at, ids), want)
+                rank = pa.array([k for f in found for k in range(1, len(f) + 1)], pa.int32())
+                scores = [pa.array([x[k] for f in found for x in f], pa.float64()) for k in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), rank, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)), *scores, same], ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion", "round_trip"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, round_trip boolean")
 

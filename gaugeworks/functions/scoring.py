@@ -64,7 +64,9 @@ def pass_at_k(n: Column, right: Column, k: int) -> Column:
 
 
 def valid_json(c: Column) -> Column:
-    return F.try_parse_json(c).isNotNull().cast("double")
+    """1 if the text is one JSON value. Spark's parser stops after the first value; what follows it shows inside brackets and braces."""
+    listed, named = F.concat(F.lit("["), c, F.lit("]")), F.concat(F.lit('{"v":'), c, F.lit("}"))
+    return (F.try_parse_json(listed).isNotNull() & F.try_parse_json(named).isNotNull()).cast("double")
 
 
 def best_threshold(df: DataFrame, keys: list[str], score: str = "score", no_answer: str = "p", has_answer: str = "has_answer", answered: str = "answered") -> DataFrame:

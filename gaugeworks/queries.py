@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import filters, metrics, text, translation
+from .functions import filters, metrics, scoring, text, translation
 from .functions.stats import bootstrap_stderr, compare, pooled_stderr, weighted_mean
 from .operators import corpus
 from .operators import requests as R
@@ -412,6 +412,75 @@ def evaluate_end_to_end(t):
     return r.withColumns({"value": r6("value"), "stderr": r6("stderr")})
 
 
+# ---- scores of single task families
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: x::DOUBLE) AS l, label % 5 AS g FROM embeddings),
+ r AS (SELECT vec_id, l, 1 + len(list_filter(l, lambda x: x > l[g + 1])) AS k FROM v)
+ SELECT vec_id, (k <= 1)::INT::DOUBLE AS r1, (k <= 2)::INT::DOUBLE AS r2, round(1.0 / k, 6) AS mrr, round(ln(list_sum(list_transform(l, lambda x: exp(x)))), 5) AS total FROM r""")
+def choice_ranks(t):
+    l = F.slice("embedding", 1, 5).cast("array<double>")
+    v = t("embeddings").select("vec_id", l.alias("l"), (F.col("label") % 5).alias("g"))
+    r = v.select("vec_id", scoring.ranks(F.col("l"), F.col("g")).alias("r"), F.round(scoring.log_sum_exp(F.col("l")), 5).alias("total"))
+    return r.select("vec_id", "r.r1", "r.r2", r6("r.mrr").alias("mrr"), "total")
+
+
+@query("SELECT p_brand, round(avg(abs(p_retailprice - 45.0 * p_size)), 5) AS difference, round(avg((p_retailprice > 45.0 * p_size)::INT), 6) AS prefers_more FROM part GROUP BY p_brand")
+def sentence_pair_preference(t):
+    p = t("part").select("p_brand", scoring.pair_preference(F.col("p_retailprice"), 45.0 * F.col("p_size")).alias("x"))
+    return p.groupBy("p_brand").agg(F.round(F.avg("x.difference"), 5).alias("difference"), r6(F.avg("x.prefers_more")).alias("prefers_more"))
+
+
+@query("""WITH c AS (SELECT source, count(*) AS n, count(*) FILTER (quality = 1) AS r FROM labels JOIN documents USING (doc_id) GROUP BY source)
+ SELECT source, round(CASE WHEN r = 0 THEN 0 WHEN n - r < 3 THEN 1 ELSE 1 - list_product(list_transform(range(n - r + 1, n + 1), lambda i: 1 - 3.0 / i)) END, 6) AS pass_at_3 FROM c""")
+def pass_at_3(t):
+    c = t("labels").join(t("documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("r"))
+    return c.select("source", r6(scoring.pass_at_k(F.col("n"), F.col("r"), 3)).alias("pass_at_3"))
+
+
+@query("""WITH g AS (SELECT event_type, (event_id % 97)::DOUBLE AS p, sum(CASE WHEN event_id % 3 > 0 THEN (event_id % 5) / 4.0 WHEN event_id % 2 = 0 THEN -1 ELSE 0 END)::DOUBLE AS gain, count(*) FILTER (event_id % 3 = 0) AS none, count(*) AS n FROM events GROUP BY ALL),
+ u AS (SELECT *, sum(gain) OVER (PARTITION BY event_type ORDER BY p) AS upto FROM g),
+ b AS (SELECT event_type, max(upto) AS v, arg_max(p, (upto, -p)) AS p, sum(none) AS none, sum(n) AS n FROM u GROUP BY event_type)
+ SELECT event_type, round((none + greatest(v, 0)) / n, 6) AS best, CASE WHEN v > 0 THEN p ELSE 0 END AS threshold FROM b""")
+def no_answer_threshold(t):
+    e = t("events").select("event_type", (F.col("event_id") % 97).cast("double").alias("p"), ((F.col("event_id") % 5) / 4).alias("score"), (F.col("event_id") % 3 > 0).alias("has_answer"), (F.col("event_id") % 2 == 0).alias("answered"))
+    return scoring.best_threshold(e, ["event_type"]).withColumn("best", r6("best"))
+
+
+@query("""WITH x AS (SELECT lang, doc_id % 2 = 0 AS amb, CASE WHEN toxic = 1 THEN 'stereo' WHEN doc_id % 3 = 0 THEN 'unknown' ELSE 'anti' END AS a, quality AS c FROM labels JOIN documents USING (doc_id)),
+ s AS (SELECT lang, avg(c) FILTER (amb) AS aa, avg(c) FILTER (NOT amb) AS ac, 2.0 * count(*) FILTER (amb AND a = 'stereo') / nullif(count(*) FILTER (amb AND a <> 'unknown'), 0) - 1 AS ba,
+ 2.0 * count(*) FILTER (NOT amb AND a = 'stereo') / nullif(count(*) FILTER (NOT amb AND a <> 'unknown'), 0) - 1 AS bc FROM x GROUP BY lang)
+ SELECT lang, round(aa, 6) AS acc_ambiguous, round(ac, 6) AS acc_clear, round((1 - aa) * ba, 6) + 0.0 AS bias_ambiguous, round(bc, 6) AS bias_clear FROM s""")
+def bias_scores(t):
+    answer = F.when(F.col("toxic") == 1, "stereo").when(F.col("doc_id") % 3 == 0, "unknown").otherwise("anti")
+    x = t("labels").join(t("documents").select("doc_id", "lang"), "doc_id").select("lang", (F.col("doc_id") % 2 == 0).alias("ambiguous"), answer.alias("answer"), (F.col("quality") == 1).alias("correct"))
+    return scoring.bias(x, ["lang"]).select("lang", *[r6(c).alias(c) for c in ("acc_ambiguous", "acc_clear", "bias_ambiguous", "bias_clear")])
+
+
+@query("""WITH n AS (SELECT doc_id, text, regexp_extract_all(text, '([0-9]+)', 1) AS i FROM documents)
+ SELECT doc_id, round(coalesce(len(list_filter(i, lambda x: x = '1')) / nullif(len(i), 0), 0), 6) AS integer_share, (contains(lower(text), 'data') OR contains(lower(text), 'le '))::INT::DOUBLE AS found FROM n""")
+def answers_in_text(t):
+    return t("documents").select("doc_id", r6(scoring.integer_share(F.col("text"), F.lit("1"))).alias("integer_share"), scoring.contains_any(F.col("text"), F.array(F.lit("DATA"), F.lit("Le "))).alias("found"))
+
+
+@query("""SELECT event_type, count(*) AS n, avg(json_valid(CASE WHEN event_id % 3 = 0 THEN substr(props, 2) ELSE props END)::INT) AS valid,
+ round(avg(CASE WHEN user_id <> 0 THEN (abs(value - user_id) <= 0.05 * user_id)::INT ELSE (value::VARCHAR = '0')::INT END), 6) AS relaxed FROM events WHERE value IS NOT NULL GROUP BY event_type""")
+def json_and_relaxed_numbers(t):
+    e = t("events").where("value IS NOT NULL")
+    props = F.when(F.col("event_id") % 3 == 0, F.expr("substr(props, 2)")).otherwise(F.col("props"))
+    relaxed = scoring.relaxed_accuracy(F.col("value").cast("string"), F.col("user_id").cast("string"))
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg(scoring.valid_json(props)).alias("valid"), r6(F.avg(relaxed)).alias("relaxed"))
+
+
+@query("""WITH f AS (SELECT role, trim(text, chr(9) || chr(10) || chr(13) || ' ') <> '' AS filled, NOT contains(text, ',') AS a, len(lower(text)) - len(replace(lower(text), 'e', '')) >= 10 AS b, ends_with(lower(trim(text, chr(9) || chr(10) || chr(13) || ' ')), '.') AS c FROM conversations),
+ n AS (SELECT role, (filled AND a)::INT + (filled AND b)::INT + (filled AND c)::INT AS k FROM f)
+ SELECT role, round(avg((k = 3)::INT), 6) AS prompt_level, round(sum(k) / (3.0 * count(*)), 6) AS instruction_level FROM n GROUP BY role""")
+def instruction_following(t):
+    names = ["punctuation:no_comma", "keywords:letter_frequency", "startend:end_checker"]
+    given = ["{}", '{"letter": "e", "let_frequency": 10, "let_relation": "at least"}', '{"end_phrase": "."}']
+    followed = scoring.instructions_followed(F.col("text"), F.array(*map(F.lit, names)), F.array(*map(F.lit, given)))
+    r = scoring.instruction_accuracy(t("conversations").withColumn("followed", followed), ["role"])
+    return r.select("role", r6("prompt_level").alias("prompt_level"), r6("instruction_level").alias("instruction_level"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -52,7 +52,8 @@ def test_expressions(spark):
     for n, c, k in [(10, 0, 3), (10, 2, 3), (10, 9, 3), (5, 5, 5)]:
         assert math.isclose(one(spark, scoring.pass_at_k(F.col("n"), F.col("c"), k), "n int, c int", n, c), 1 - math.comb(n - c, k) / math.comb(n, k), abs_tol=1e-12)
     assert one(spark, scoring.f1_or_equal(F.col("a"), F.col("b")), "a array<string>, b array<string>", [], []) == 1.0
-    assert one(spark, scoring.valid_json(F.col("s")), "s string", "{") == 0.0
+    for j, ok in [("{", 0.0), ("", 0.0), ("1 2", 0.0), ("1, 2", 0.0), ("1] [2", 0.0), ('"k": 1}', 0.0), ("[1, 2]", 1.0), ('{"k": {}}', 1.0)]:
+        assert one(spark, scoring.valid_json(F.col("s")), "s string", j) == ok
     assert math.isclose(one(spark, scoring.log_sum_exp(F.col("v")), "v array<double>", [-1000.0, -1000.0]), -1000 + math.log(2))
     r = one(spark, scoring.ranks(F.col("v"), F.col("g")), "v array<double>, g int", [-1.0, -3.0, -2.0], 2)
     assert (r.r1, r.r2, r.mrr) == (0.0, 1.0, 0.5)

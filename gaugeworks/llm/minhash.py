@@ -106,9 +106,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ids = materialize(d.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.expr("length(text) div 4").cast("long")).alias("q")), "minhash-ids")
-    nxt = materialize(following(ids.select("doc_id")).join(ids, "doc_id").crossJoin(F.broadcast(ids.agg(F.min("doc_id").alias("first")))).select("doc_id", F.coalesce("next_id", "first").alias("next_id"), "q"), "minhash-next")
+    first = ids.agg(F.min("doc_id")).first()[0]
+    nxt = materialize(following(ids.select("doc_id")).join(ids, "doc_id").select("doc_id", F.coalesce("next_id", F.lit(first)).alias("next_id"), "q"), "minhash-next")
     need = nxt.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "q")
-    # Both joins need the same columns of all of d by doc_id, so Spark moves the texts once and reads that exchange twice.
+    # Where need is small its join is broadcast and the texts move once; else they move for either join.
     starts = d.join(need, "doc_id", "left").select("for_id", F.substr("text", F.lit(1), F.col("q").cast("int")).alias("start")).groupBy("for_id").agg(F.min("start").alias("start"))
     q = F.expr("n_chars div 4").cast("int")
     both = d.join(starts, F.col("doc_id") == F.col("for_id"), "left").withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - q), F.coalesce(F.substr("start", F.lit(1), q), F.lit(""))))

@@ -4,9 +4,12 @@ A bidirectional window network in numpy predicts every word from the two before
 a tanh layer and a softmax over word classes; a word's share of its class comes from counts over the whole
 corpus. The summed conditional log-probabilities score a document.
 
-Words are lower-cased (A-Z) and hashed to BUCKETS counters, so all tables have a fixed size. Classes cut
-the counters, by falling count, into parts of equal square-root mass. Training reads every document once: each task fits the
-network to its own rows from the same start, and the results are averaged by words (one round of local SGD).
+Words are lower-cased (A-Z) and counted exactly, by 64-bit hash, in a table that grows with the distinct words. Texts are
+cut into words once: a chunk of documents keeps its words as numbers into its own list of hashes, and the counts
+are joined to these lists, so that no task holds the whole table. Classes cut the words, by falling count, into parts of
+equal square-root mass; their number and that of the words with a context of their own grow with the vocabulary. Training
+reads every document once: each task fits the network to its own chunks from the same start, and the results are averaged
+by words (one round of local SGD).
 """
 
 from __future__ import annotations
@@ -14,67 +17,100 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, text_bytes
+from .common import discard, materialize, pieces, text_bytes
 
+#: CLASSES and OWN hold up to BUCKETS distinct words; beyond, they grow with the powers of grown().
 BUCKETS, CLASSES, OWN, DIM, HIDDEN, SIDE = 1 << 17, 64, 2048, 8, 24, 2
 BATCH, RATE, SEED, TRAINERS = 2048, 0.15, 5, 8192
+CHUNK, SEGMENT = 1 << 24, 1 << 17  # bytes of text; words
 SMOOTH = 0.1
 _known: dict[bytes, int] = {}
 
 
+def grown(words: int) -> tuple[int, int]:
+    """(classes, words with a context of their own) for a number of distinct words."""
+    by = max(1.0, words / BUCKETS)
+    return round(CLASSES * by ** (1 / 3)), round(OWN * by**0.5)
+
+
 def buckets(data: bytes) -> list[int]:
-    words = data.lower().split()
-    if len(_known) > 600_000:
-        _known.clear()
-    try:
-        return [_known[w] for w in words]
-    except KeyError:
-        for w in set(words):
-            if w not in _known:
-                _known[w] = xxhash.xxh64_intdigest(w) & (BUCKETS - 1)
-        return [_known[w] for w in words]
-
-
-def _count(batches):
-    n = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for b in pieces(batch, 0):
-            n += np.bincount(np.array([i for data in b.column(0).to_pylist() for i in buckets(data)], np.int64), minlength=BUCKETS)
-    (k,) = np.nonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[k])], ["bucket", "n"])
+    """Numbers of a text's words, each word its own, in this process."""
+    return [_known.setdefault(w, len(_known)) for w in data.lower().split()]
 
 
 def vocabulary(n: np.ndarray) -> dict:
-    """From counts by bucket: class, share of the class (log) and context id of each bucket."""
+    """From counts by word, in one process: class, share of the class (log) and context id of each."""
+    classes, own = grown(np.count_nonzero(n))
     order = np.argsort(-n, kind="stable")
-    mass = np.cumsum(np.sqrt(n[order]))  # counters of no word all fall in the last class
-    cls = np.empty(BUCKETS, np.int64)
-    cls[order] = np.clip((mass - 1e-9) / max(mass[-1], 1e-9) * CLASSES, 0, CLASSES - 1).astype(np.int64)
-    total = np.bincount(cls, weights=n + SMOOTH, minlength=CLASSES)
-    context = cls + OWN + 1
-    context[order[:OWN]] = np.arange(1, OWN + 1)  # 0: beyond the document's ends
-    return {"cls": cls.astype(np.int16), "share": np.log((n + SMOOTH) / total[cls]).astype(np.float32), "context": context.astype(np.int16)}
-
-
-def start(seed: int = SEED) -> list[np.ndarray]:
+    mass = np.cumsum(np.sqrt(n[order]))  # words not seen all fall in the last class
+    cls = np.empty(len(n), np.int64)
+    cls[order] = np.clip((mass - 1e-9) / max(mass[-1], 1e-9) * classes, 0, classes - 1).astype(np.int64)
+    total = np.bincount(cls, weights=n + SMOOTH, minlength=classes)
+    context = cls + own + 1
+    context[order[:own]] = np.arange(1, min(own, len(n)) + 1)  # 0: beyond the document's ends
+    return {"cls": cls.astype(np.int32), "share": np.log((n + SMOOTH) / total[cls]).astype(np.float32), "context": context.astype(np.int32)}
+
+
+def looked_up(shape: dict, h: np.ndarray, n: np.ndarray) -> dict:
+    """As vocabulary(), for some words' hashes and corpus counts (0: not seen). Words of one count are ordered by hash."""
+    classes, own = shape["sizes"]
+    cls = np.full(len(h), classes - 1)
+    seen = n > 0
+    at = np.searchsorted(shape["n"], n[seen])
+    mass = shape["before"][at] + np.sqrt(n[seen]) * shape["words"][at] * ((h[seen].view(np.uint64) >> np.uint64(11)) / 2.0**53)
+    cls[seen] = np.minimum(mass / shape["mass"] * classes, classes - 1).astype(np.int64)
+    context = cls + own + 1
+    if len(shape["own"]):
+        at = np.minimum(np.searchsorted(shape["own"], h), len(shape["own"]) - 1)
+        context = np.where(seen & (shape["own"][at] == h), at + 1, context)
+    share = np.log((n + SMOOTH) / shape["total"][cls]) if "total" in shape else np.zeros(len(h))
+    return {"cls": cls.astype(np.int32), "share": share.astype(np.float32), "context": context.astype(np.int32)}
+
+
+class Collected:
+    """The arrays of looked_up() over all words and one not seen, gathered only when asked for."""
+
+    def __init__(self, words: DataFrame, shape: dict):
+        self.words, self.shape = words, shape
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        t = self.words.toPandas()
+        return looked_up(self.shape, np.append(t["h"].to_numpy(np.int64), 0), np.append(t["n"].to_numpy(np.int64), 0))[name]
+
+
+def start(seed: int = SEED, classes: int = CLASSES, own: int = OWN) -> list[np.ndarray]:
     r = np.random.default_rng(seed)
     draw = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-    return [(r.standard_normal((OWN + CLASSES + 1, DIM)) * 0.3).astype(np.float32), draw(2 * SIDE * DIM, HIDDEN), np.zeros(HIDDEN, np.float32), draw(HIDDEN, CLASSES), np.zeros(CLASSES, np.float32)]
+    return [(r.standard_normal((own + classes + 1, DIM)) * 0.3).astype(np.float32), draw(2 * SIDE * DIM, HIDDEN), np.zeros(HIDDEN, np.float32), draw(HIDDEN, classes), np.zeros(classes, np.float32)]
+
+
+def _numbered(texts: list[bytes]):
+    ids = [buckets(t) for t in texts]
+    return np.array([i for x in ids for i in x], np.int64), np.array([len(x) for x in ids], np.int64)
+
 
+def _segments(ids: np.ndarray, size: np.ndarray):
+    """Whole texts, about SEGMENT words at a time."""
+    ends = np.cumsum(size)
+    a = 0
+    while a < len(size):
+        before = ends[a] - size[a]
+        b = max(a + 1, int(np.searchsorted(ends, before + SEGMENT, side="right")))
+        yield ids[before : ends[b - 1]], size[a:b]
+        a = b
 
-def _laid_out(texts: list[bytes], vocab: dict):
-    """Contexts (words, 2 * SIDE), classes, shares, and words of each text."""
-    ids = [np.array(buckets(t), np.int64) for t in texts]
-    size = np.array([len(i) for i in ids])
-    pad = np.full(SIDE, -1)
-    flat = np.concatenate([pad] + [x for i in ids for x in (i, pad)])
-    ctx = np.where(flat < 0, 0, vocab["context"][flat])
-    at = np.flatnonzero(flat >= 0)
+
+def _laid_out(ids: np.ndarray, size: np.ndarray, vocab: dict):
+    """Contexts (words, 2 * SIDE), classes and shares."""
+    at = np.arange(len(ids)) + SIDE * (1 + np.repeat(np.arange(len(size)), size))
+    ctx = np.zeros(len(ids) + SIDE * (len(size) + 1), np.int32)
+    ctx[at] = vocab["context"][ids]
     around = np.stack([ctx[at + k] for k in range(-SIDE, SIDE + 1) if k], 1)
-    return around, vocab["cls"][flat[at]].astype(np.int64), vocab["share"][flat[at]], size
+    return around, vocab["cls"][ids], vocab["share"][ids]
 
 
 def _forward(p: list[np.ndarray], around: np.ndarray):
@@ -88,8 +124,8 @@ def _forward(p: list[np.ndarray], around: np.ndarray):
     return x, h, z
 
 
-def train_on(chunks, vocab: dict, params: list[np.ndarray]) -> int:
-    """One pass of Adagrad over chunks of texts; returns the number of words."""
+def _train(parts, params: list[np.ndarray]) -> int:
+    """One pass of Adagrad over (ids, size, vocab) parts; returns the number of words."""
     grads = [np.full_like(x, 1e-2) for x in params]
     words = 0
 
@@ -97,78 +133,178 @@ def train_on(chunks, vocab: dict, params: list[np.ndarray]) -> int:
         grads[k] += g * g
         params[k] -= RATE * g / np.sqrt(grads[k])
 
-    for texts in chunks:
-        around, cls, _, _ = _laid_out(texts, vocab)
-        words += len(cls)
-        for i in range(0, len(cls), BATCH):
-            a, y = around[i : i + BATCH], cls[i : i + BATCH]
-            x, h, d = _forward(params, a)
-            d[np.arange(len(y)), y] -= 1
-            d /= len(y)
-            dh = (d @ params[3].T) * (1 - h * h)
-            dx = (dh @ params[1].T).reshape(-1, DIM)
-            flat = a.ravel()
-            order = np.argsort(flat, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
-            rows, g = flat[order][first], np.add.reduceat(dx[order], first, axis=0)
-            step(3, h.T @ d)
-            step(4, d.sum(0))
-            step(1, x.T @ dh)
-            step(2, dh.sum(0))
-            grads[0][rows] += g * g
-            params[0][rows] -= RATE * g / np.sqrt(grads[0][rows])
+    for part, sizes, vocab in parts:
+        words += len(part)
+        for ids, size in _segments(part, sizes):
+            around, cls, _ = _laid_out(ids, size, vocab)
+            for i in range(0, len(cls), BATCH):
+                a, y = around[i : i + BATCH], cls[i : i + BATCH]
+                x, h, d = _forward(params, a)
+                d[np.arange(len(y)), y] -= 1
+                d /= len(y)
+                dh = (d @ params[3].T) * (1 - h * h)
+                dx = (dh @ params[1].T).reshape(-1, DIM)
+                flat = a.ravel()
+                order = np.argsort(flat, kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
+                rows, g = flat[order][first], np.add.reduceat(dx[order], first, axis=0)
+                step(3, h.T @ d)
+                step(4, d.sum(0))
+                step(1, x.T @ dh)
+                step(2, dh.sum(0))
+                grads[0][rows] += g * g
+                params[0][rows] -= RATE * g / np.sqrt(grads[0][rows])
     return words
 
 
+def train_on(chunks, vocab: dict, params: list[np.ndarray]) -> int:
+    """_train() over chunks of texts, in one process."""
+    return _train(((*_numbered(texts), vocab) for texts in chunks), params)
+
+
+def _scores(part: np.ndarray, sizes: np.ndarray, vocab: dict, params: list[np.ndarray]) -> np.ndarray:
+    """Summed log-probability of each text."""
+    out = [np.zeros(0)]
+    for ids, size in _segments(part, sizes):
+        around, cls, share = _laid_out(ids, size, vocab)
+        lp = np.empty(len(cls))
+        for i in range(0, len(cls), BATCH):
+            z = _forward(params, around[i : i + BATCH])[2]
+            lp[i : i + BATCH] = np.log(z[np.arange(len(z)), cls[i : i + BATCH]] + 1e-30)
+        lp += share
+        out.append(np.bincount(np.repeat(np.arange(len(size)), size), weights=lp, minlength=len(size)))
+    return np.concatenate(out)
+
+
+def score_texts(texts: list[bytes], model: dict) -> list[tuple[int, float]]:
+    """(words, summed log-probability) of each text, in one process."""
+    ids, size = _numbered(texts)
+    return list(zip(size.tolist(), _scores(ids, size, model["vocab"], model["params"]).tolist()))
+
+
+def _planes(ids: np.ndarray) -> bytes:
+    """int32 by bytes of equal weight, which compress well."""
+    return ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _cut(batches):
+    """A row a chunk: doc_ids, words of each text, their numbers in the chunk's list, and that list (hash, count)."""
+    chunk = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for b in pieces(batch, 1, CHUNK):
+            known: dict[bytes, int] = {}
+            ids, size = [], []
+            for data in b.column(1).to_pylist():
+                words = data.lower().split()
+                size.append(len(words))
+                ids.append(np.array([known.setdefault(w, len(known)) for w in words], np.int32))
+            ids = np.concatenate(ids)
+            h = np.array([xxhash.xxh64_intdigest(w) for w in known], np.uint64).view(np.int64)
+            words = pa.StructArray.from_arrays([pa.array(h), pa.array(np.bincount(ids, minlength=len(h)))], ["h", "k"])
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), one(b.column(0)), pa.array([np.array(size, "<i4").tobytes()]), pa.array([_planes(ids)]), one(words)], ["chunk", "doc_ids", "size", "ids", "words"])
+            chunk += 1
+
+
+def _coded(docs: DataFrame, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Chunks of docs (chunk, doc_ids, size, ids, h, n), n being counts' (h, n) or, without counts, docs' own; and the latter."""
+    of = docs.schema["doc_id"].dataType.simpleString()
+    cut = materialize(docs.select("doc_id", text_bytes()).mapInArrow(_cut, f"chunk long, doc_ids array<{of}>, size binary, ids binary, words array<struct<h: bigint, k: bigint>>"), "lm-cut")
+    listed = cut.select("chunk", F.posexplode("words").alias("i", "w")).select("chunk", "i", "w.h", "w.k")
+    if counts is None:
+        same = Window.partitionBy("h")
+        listed = listed.select("chunk", "i", "h", F.sum("k").over(same).alias("n"), (F.max("chunk").over(same) == F.col("chunk")).alias("first"))
+    else:
+        listed = listed.join(counts, "h", "left").select("chunk", "i", "h", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    listed = materialize(listed, "lm-listed")
+
+    def together(chunk, words):
+        i = words["i"].to_numpy()
+        both = []
+        for c in ("h", "n"):
+            x = np.zeros(len(i), np.int64)
+            x[i] = words[c].to_numpy()
+            both.append(pa.array([x.tobytes()]))
+        return pa.table([*(chunk[c] for c in ("chunk", "doc_ids", "size", "ids")), *both], ["chunk", "doc_ids", "size", "ids", "h", "n"])
+
+    pair = cut.select("chunk", "doc_ids", "size", "ids").groupBy("chunk").cogroup(listed.select("chunk", "i", "h", "n").groupBy("chunk"))
+    coded = materialize(pair.applyInArrow(together, f"chunk long, doc_ids array<{of}>, size binary, ids binary, h binary, n binary"), "lm-coded")
+    own = materialize(listed.where("first").select("h", "n"), "lm-words") if counts is None else None
+    discard(cut)
+    discard(listed)
+    return coded, own
+
+
+def _parts(batch, shape: dict):
+    """(doc_ids, ids, size, vocab) of each chunk of a record batch."""
+    for k in range(batch.num_rows):
+        size, ids, h, n = (batch.column(batch.schema.get_field_index(c))[k].as_buffer() for c in ("size", "ids", "h", "n"))
+        doc_ids = batch.column(batch.schema.get_field_index("doc_ids"))[k].values
+        yield doc_ids, _unplaned(ids), np.frombuffer(size, "<i4"), looked_up(shape, np.frombuffer(h, np.int64), np.frombuffer(n, np.int64))
+
+
+def _shape(words: DataFrame) -> dict:
+    """What places words by hash and count: a row a count, the words with a context of their own, a total a class."""
+    levels = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toPandas().sort_values("n")
+    n, k = levels["n"].to_numpy(np.int64), levels["words"].to_numpy(np.int64)
+    mass = np.sqrt(n) * k
+    sizes = grown(int(k.sum()))
+    own = words.orderBy(F.desc("n"), "h").limit(sizes[1]).select("h").toPandas()["h"].to_numpy(np.int64)
+    shape = {"sizes": sizes, "n": n, "words": k, "before": mass.sum() - np.cumsum(mass), "mass": max(mass.sum(), 1e-9), "own": np.sort(own)}
+    shared = words.sparkSession.sparkContext.broadcast(shape)
+
+    def totals(batches):
+        t = np.zeros(sizes[0])
+        for b in batches:
+            n = b.column(1).to_numpy()
+            t += np.bincount(looked_up(shared.value, b.column(0).to_numpy(), n)["cls"], weights=n + SMOOTH, minlength=sizes[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sizes[0])), pa.array(t)], ["c", "t"])
+
+    rows = words.mapInArrow(totals, "c long, t double").groupBy("c").agg(F.sum("t").alias("t")).toPandas()
+    total = np.zeros(sizes[0])
+    total[rows["c"].to_numpy(int)] = rows["t"]
+    total[-1] += SMOOTH  # of a word not seen
+    return shape | {"total": np.maximum(total, SMOOTH)}
+
+
 def fit(docs: DataFrame) -> dict:
-    """Vocabulary and averaged network from all rows of docs; the driver gets BUCKETS counts and the parameters."""
-    spark = docs.sparkSession
-    texts = docs.select(text_bytes())
-    rows = texts.mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(BUCKETS)
-    n[rows["bucket"].to_numpy(int)] = rows["n"]
-    vocab = vocabulary(n)
-    shared = spark.sparkContext.broadcast(vocab)
+    """Exact counts and averaged network from all rows of docs. The counts stay a table; the driver gets a row a different count, the own contexts' words and the parameters."""
+    coded, words = _coded(docs)
+    shape = _shape(words)
+    shared = docs.sparkSession.sparkContext.broadcast(shape)
 
     def run(batches):
-        params = start()
-        words = train_on((b.column(0).to_pylist() for batch in batches for b in pieces(batch, 0, 1 << 20)), shared.value, params)
-        if words:
-            x = np.concatenate([p.ravel() for p in params]).astype(np.float64) * words
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x) + 1)), pa.array(np.append(x, words))], ["i", "x"])
-
-    sums = texts.coalesce(TRAINERS).mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
-    params = start()
+        params = start(SEED, *shared.value["sizes"])
+        n = _train((part[1:] for batch in batches for part in _parts(batch, shared.value)), params)
+        if n:
+            x = np.concatenate([p.ravel() for p in params]).astype(np.float64) * n
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x) + 1)), pa.array(np.append(x, n))], ["i", "x"])
+
+    sums = coded.coalesce(TRAINERS).mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+    params = start(SEED, *shape["sizes"])
     if len(sums):
         v = sums.sort_values("i")["x"].to_numpy()
         mean, at = (v[:-1] / v[-1]).astype(np.float32), 0
         for p in params:
             p[...] = mean[at : at + p.size].reshape(p.shape)
             at += p.size
-    return {"vocab": vocab, "params": params}
-
-
-def score_texts(texts: list[bytes], model: dict) -> list[tuple[int, float]]:
-    """(words, summed log-probability) of each text."""
-    around, cls, share, size = _laid_out(texts, model["vocab"])
-    lp = np.empty(len(cls))
-    for i in range(0, len(cls), 4096):
-        z = _forward(model["params"], around[i : i + (4096)])[2]
-        lp[i : i + (4096)] = np.log(z[np.arange(len(z)), cls[i : i + (4096)]] + 1e-30)
-    lp += share
-    total = np.bincount(np.repeat(np.arange(len(size)), size), weights=lp, minlength=len(size))
-    return list(zip(size.tolist(), total.tolist()))
+    return {"vocab": Collected(words, shape), "params": params, "words": words, "shape": shape, "docs": docs, "coded": coded}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, n_words, log_prob, per_word) for every row; a text without words (or null) has log_prob 0 and a null per_word. Repeated rows each get a row, an empty table none."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
+    coded = model["coded"] if docs is model["docs"] else _coded(docs, model["words"])[0]
+    shared = docs.sparkSession.sparkContext.broadcast((model["shape"], model["params"]))
 
     def run(batches):
+        shape, params = shared.value
         for batch in batches:
-            for b in pieces(batch, 1, 1 << 20):
-                n, lp = zip(*score_texts(b.column(1).to_pylist(), shared.value))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(lp, pa.float64())], ["doc_id", "n_words", "log_prob"])
+            for doc_ids, ids, size, vocab in _parts(batch, shape):
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(size, pa.int64()), pa.array(_scores(ids, size, vocab, params))], ["doc_id", "n_words", "log_prob"])
 
-    out = docs.select("doc_id", text_bytes()).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, log_prob double")
+    out = coded.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, log_prob double")
     return out.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))

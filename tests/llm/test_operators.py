@@ -235,6 +235,27 @@ def test_lm_score(docs, rows, empty):
     assert lm_score.score(empty, lm_score.fit(empty)).count() == 0
 
 
+def test_lm_score_counts_words_exactly(spark):
+    seen: dict[int, str] = {}
+    for i in range(10**6):
+        w = f"w{i}"
+        other = seen.setdefault(xxhash.xxh64_intdigest(w.encode()) & 0x1FFFF, w)
+        if other != w:
+            break
+    texts = [" ".join(f"x{k}" for k in range(i * 5000, i * 5000 + 5000)) for i in range(40)] + [w] * 6 + [other]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = lm_score.fit(docs)
+    got = {r.doc_id: r for r in lm_score.score(docs, model).collect()}
+    assert got[40].per_word == got[45].per_word > got[46].per_word + 1
+    assert model["words"].count() == 200_002 and sorted(r.n for r in model["words"].where("n > 1").collect()) == [6]
+    assert model["shape"]["sizes"][0] > lm_score.CLASSES and model["shape"]["sizes"][1] > lm_score.OWN
+    again = {r.doc_id: r for r in lm_score.score(docs.select("*"), model).collect()}
+    assert all(math.isclose(got[k].log_prob, again[k].log_prob, rel_tol=1e-6) for k in got)
+    fresh = spark.createDataFrame([(1, "never-seen"), (2, other), (3, None)], "doc_id long, text string")
+    new = {r.doc_id: r for r in lm_score.score(fresh, model).collect()}
+    assert new[1].per_word < new[2].per_word and new[3].per_word is None
+
+
 def test_pieces(docs, rows, empty):
     vocab = pieces.vocabulary(open(TOKENIZER, "rb").read())
     lat = pieces.Lattices(vocab)

@@ -67,25 +67,59 @@ def _edits(hyp: list[str], ref: list[str]) -> int:
 
 
 def ter_edits(hyp: list[str], ref: list[str], longest: int = 10) -> int:
-    """Edits with block shifts: as long as one helps, the shift that saves most is made at the cost of one edit."""
-    shifts, now = 0, _edits(hyp, ref)
-    while True:
-        best = None
-        for k in range(1, min(longest, len(hyp)) + 1):
-            blocks = {tuple(ref[j : j + k]) for j in range(len(ref) - k + 1)}
-            for i in range(len(hyp) - k + 1):
-                if tuple(hyp[i : i + k]) in blocks:
-                    rest = hyp[:i] + hyp[i + k :]
-                    for j in range(len(rest) + 1):
-                        if j != i:
-                            moved = rest[:j] + hyp[i : i + k] + rest[j:]
-                            e = _edits(moved, ref)
-                            if e + 1 < now and (best is None or e < best[0]):
-                                best = (e, moved)
+    """Edits with block shifts: as long as one helps, the shift that saves most is made at the cost of one edit.
+
+    Of the table of edits, rows before and after a block are kept. Joined over its gap they give the edits without the block, which
+    putting k words back lowers by k at most; only blocks that can still win are tried, at all places at once.
+    """
+    import numpy as np
+
+    number: dict[str, int] = {}
+    h, r = (np.array([number.setdefault(w, len(number)) for w in x], np.int64) for x in (hyp, ref))
+    at = np.arange(len(r) + 1, dtype=np.int32)
+    differs = (np.arange(len(number))[:, None] != r).astype(np.int32)
+
+    def then(rows, cost):
+        """The next row of each table of edits; the running minimum stands for insertions."""
+        new = rows + 1
+        np.minimum(new[..., 1:], rows[..., :-1] + cost, out=new[..., 1:])
+        return np.minimum.accumulate(new - at, axis=-1) + at
+
+    def onward(row, words, back=False):
+        out = np.empty((len(words) + 1, len(at)), np.int32)
+        out[0] = row
+        for n, w in enumerate(words):
+            out[n + 1] = then(out[n], differs[w, ::-1] if back else differs[w])
+        return out
+
+    floor = abs(len(h) - len(r))
+    shifts = 0
+    fore, rear = onward(at, h), onward(at, h[::-1], True)  # rear: by words and reference words from the end
+    now = int(fore[-1, -1])
+    while now - floor >= 2:
+        best = None  # (edits, moved): the first of the least
+        for k in range(1, min(longest, len(h)) + 1):
+            blocks = {r[j : j + k].tobytes() for j in range(len(r) - k + 1)}
+            without = (fore[: len(h) - k + 1] + rear[: len(h) - k + 1][::-1, ::-1]).min(1)
+            for i in np.flatnonzero(without - k < (now - 1 if best is None else best[0])).tolist():
+                block = h[i : i + k]
+                if without[i] - k < (now - 1 if best is None else best[0]) and block.tobytes() in blocks:
+                    before = np.concatenate([fore[:i], onward(fore[i], h[i + k :])])
+                    after = np.concatenate([rear[: len(h) - i - k], onward(rear[len(h) - i - k], h[:i][::-1], True)])[::-1, ::-1]
+                    for w in block:
+                        before = then(before, differs[w])
+                    e = (before + after).min(1)
+                    e[i] = now  # where it stood
+                    j = int(e.argmin())
+                    if e[j] + 1 < now and (best is None or e[j] < best[0]):
+                        rest = np.concatenate([h[:i], h[i + k :]])
+                        best = (int(e[j]), np.concatenate([rest[:j], block, rest[j:]]))
         if best is None:
-            return shifts + now
-        now, hyp = best
+            break
+        now, h = best
         shifts += 1
+        fore, rear = onward(at, h), onward(at, h[::-1], True)
+    return shifts + now
 
 
 def ter(df: DataFrame, keys: list[str], pred: str = "pred", ref: str = "ref") -> DataFrame:

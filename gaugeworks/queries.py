@@ -290,7 +290,7 @@ def translation_scores(t):
 
 @query()
 def translation_edit_rate(t):
-    p = _pairs(t).select((F.col("conv_id") % 4).alias("k"), F.array_join(F.slice(text.words(F.col("pred")), 1, 12), " ").alias("pred"), F.array_join(F.slice(text.words(F.col("gold")), 1, 12), " ").alias("ref"))
+    p = _pairs(t).select((F.col("conv_id") % 4).alias("k"), F.array_join(text.words(F.col("pred")), " ").alias("pred"), F.array_join(text.words(F.col("gold")), " ").alias("ref"))
     return translation.ter(p.where("pred <> '' AND ref <> ''"), ["k"])
 
 

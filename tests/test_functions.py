@@ -1,7 +1,9 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
+from gaugeworks import queries
 from gaugeworks.functions import filters, metrics, text, translation
 from gaugeworks.functions.stats import bootstrap_stderr, pooled_stderr
 from gaugeworks.operators import corpus, requests
@@ -87,6 +89,37 @@ def test_translation_bounds(spark):
     assert {r.k: r.ter for r in translation.ter(df, ["k"]).collect()} == {1: 0.0, 2: 100.0, 3: 25.0}
 
 
+def test_ter_takes_whole_texts(spark):
+    def plain(hyp, ref):
+        shifts, now = 0, translation._edits(hyp, ref)
+        while True:
+            best = None
+            for k in range(1, min(10, len(hyp)) + 1):
+                blocks = {tuple(ref[j : j + k]) for j in range(len(ref) - k + 1)}
+                for i in range(len(hyp) - k + 1):
+                    rest = hyp[:i] + hyp[i + k :]
+                    for j in range(len(rest) + 1):
+                        if tuple(hyp[i : i + k]) in blocks and j != i:
+                            moved = rest[:j] + hyp[i : i + k] + rest[j:]
+                            e = translation._edits(moved, ref)
+                            if e + 1 < now and (best is None or e < best[0]):
+                                best = (e, moved)
+            if best is None:
+                return shifts + now
+            now, hyp = best
+            shifts += 1
+
+    r = random.Random(4)
+    for _ in range(60):
+        a, b = ([r.choice("abcdefgh") for _ in range(r.randint(0, 11))] for _ in range(2))
+        assert translation.ter_edits(a, b) == plain(a, b)
+    same = " ".join(f"w{i}" for i in range(30))
+    turns = spark.createDataFrame([(1, 0, same + " x y"), (1, 1, same + " v z")], "conv_id long, turn int, text string")
+    got = queries.QUERIES["translation_edit_rate"].__closure__
+    f = next(c.cell_contents for c in got if callable(c.cell_contents))
+    assert [round(x.ter, 6) for x in f(lambda name: turns).collect()] == [6.25]
+
+
 def test_template(spark):
     c = template("Q: {{q.strip()}}\nA: {{a|upper}}", ["q", "a"])
     assert one(spark, c, q="  why ", a="so") == "Q: why\nA: SO"

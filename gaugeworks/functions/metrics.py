@@ -80,7 +80,7 @@ def bits_per_byte(v: str = "v", w: str = "w") -> Column:
 AGGREGATIONS = {"mean": lambda: F.avg("v"), "nanmean": nanmean, "median": median_positional, "perplexity": perplexity, "weighted_perplexity": weighted_perplexity, "bits_per_byte": bits_per_byte, "bypass": lambda: F.lit(999.0)}
 LOWER_IS_BETTER = {"perplexity", "word_perplexity", "byte_perplexity", "bits_per_byte", "brier_score", "ter"}
 CLOSED_FORM_ERROR = {"mean", "acc_all"}
-BOOTSTRAPPED = {"median", "mcc", "f1", "perplexity", "bleu", "chrf", "ter", "nanmean"}
+BOOTSTRAPPED = {"median", "perplexity", "nanmean"}  # mcc, f1, bleu, chrf and ter are not aggregations of v
 
 
 def stderr(v: str = "v") -> Column:

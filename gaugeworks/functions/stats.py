@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,10 +30,11 @@ def compare(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return x.select(*on, "value_a", "value_b", (F.col("value_a") - F.col("value_b")).alias("delta"), z.alias("z"), tail(z).alias("p"))
 
 
-def bootstrap_stderr(df: DataFrame, keys: list[str], replicates: int = 1000, seed: int = 1234, v: str = "v", doc: str = "doc_id") -> DataFrame:
-    """(keys, stderr): spread of the mean over replicates with Poisson(1) weights drawn by hash, in one aggregation.
+def bootstrap_stderr(df: DataFrame, keys: list[str], replicates: int = 1000, seed: int = 1234, v: str = "v", doc: str = "doc_id", of: str = "mean") -> DataFrame:
+    """(keys, stderr): spread of a statistic over replicates with Poisson(1) weights drawn by hash. of: mean, nanmean, perplexity or median.
 
-    A row carries its weights of all replicates; map-side sums of the arrays' elements keep the shuffle at a row a key, replicate and task.
+    A row carries its weights of all replicates. Map-side sums of the arrays' elements keep the shuffle at a row a key, replicate and task,
+    but for the median (positional, as in metrics), which orders each replicate's rows by doc.
     """
     u = lambda b: (F.pmod(F.xxhash64(F.lit(seed), F.col(doc), b), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     cdf, total, p = [], 0.0, math.exp(-1)
@@ -42,6 +43,15 @@ def bootstrap_stderr(df: DataFrame, keys: list[str], replicates: int = 1000, see
         cdf.append(total)
         p /= k + 1
     weight = lambda b: F.size(F.filter(F.array(*[F.lit(c) for c in cdf]), lambda c: c < u(b)))
-    each = df.select(*keys, F.col(v).alias("v"), F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(replicates)), weight)).alias("b", "k")).where("k > 0")
-    means = each.groupBy(*keys, "b").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("m"))
-    return means.groupBy(*keys).agg(F.stddev_samp("m").alias("stderr"))
+    rows = df.where(F.col(v).isNotNull())
+    if of == "nanmean":
+        rows = rows.where(~F.isnan(v))
+    each = rows.select(*keys, F.col(doc).alias("d"), F.col(v).alias("v"), F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(replicates)), weight)).alias("b", "k")).where("k > 0")
+    if of == "median":
+        one = Window.partitionBy(*keys, "b")
+        upto = each.withColumns({"upto": F.sum("k").over(one.orderBy("d", "v").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("k").over(one)})
+        values = upto.where("upto > all div 2").groupBy(*keys, "b").agg(F.min_by("v", "upto").alias("m"))
+    else:
+        mean = F.sum(F.col("v") * F.col("k")) / F.sum("k")
+        values = each.groupBy(*keys, "b").agg({"mean": mean, "nanmean": mean, "perplexity": F.exp(-mean)}[of].alias("m"))
+    return values.groupBy(*keys).agg(F.stddev_samp("m").alias("stderr"))

@@ -99,7 +99,7 @@ def task_results(samples: DataFrame, aggregation: dict[str, str] | None = None,
         error = M.stderr() if k in M.CLOSED_FORM_ERROR else F.lit(None).cast("double")
         r = part.groupBy(*keys).agg(M.AGGREGATIONS[k]().alias("value"), error.alias("stderr"), F.count(F.lit(1)).alias("n"))
         if bootstrap and k in M.BOOTSTRAPPED:
-            r = r.drop("stderr").join(bootstrap_stderr(part, keys, bootstrap), keys, "left").select(*keys, "value", "stderr", "n")
+            r = r.drop("stderr").join(bootstrap_stderr(part, keys, bootstrap, of=k), keys, "left").select(*keys, "value", "stderr", "n")
         out = r if out is None else out.unionByName(r)
     return out.withColumn("higher_is_better", ~F.col("metric").isin(sorted(M.LOWER_IS_BETTER)))
 

@@ -8,6 +8,7 @@ from gaugeworks.functions import filters, metrics, text, translation
 from gaugeworks.functions.stats import bootstrap_stderr, pooled_stderr
 from gaugeworks.operators import corpus, requests
 from gaugeworks.plans.catalog import template
+from gaugeworks.plans.evaluate import task_results
 
 
 def one(spark, column, **values):
@@ -81,6 +82,24 @@ def test_errors(spark):
     assert abs(boot["a"] - parts.where("task = 'a'").first().stderr) < 0.015 and boot["b"] == 0
 
 
+def test_bootstrap_is_of_the_metric(spark):
+    r = random.Random(2)
+    values = [(m, i, r.gauss(-3, 0.5)) for m in ("ppl", "med") for i in range(300)] + [("nan", i, 1.0 * (i % 2) if i % 3 else float("nan")) for i in range(300)]
+    rows = spark.createDataFrame(values, "metric string, doc_id long, v double").selectExpr("'t' AS task", "'none' AS filter", "*")
+    how = {"ppl": "perplexity", "med": "median", "nan": "nanmean"}
+    got = {x.metric: x for x in task_results(rows, how, 200).collect()}
+    ppl = [v for m, _, v in values if m == "ppl"]
+    mean = sum(ppl) / len(ppl)
+    want = math.exp(-mean) * math.sqrt(sum((v - mean) ** 2 for v in ppl) / len(ppl) ** 2)  # delta method
+    assert abs(got["ppl"].stderr / want - 1) < 0.25
+    assert abs(got["nan"].stderr - 0.5 / math.sqrt(200)) < 0.01
+    med, spread = [v for m, _, v in values if m == "med"], []
+    for _ in range(400):  # the value at the middle place of a resample in order of doc_id
+        spread.append(med[sorted(r.choices(range(300), k=300))[150]])
+    middle = sum(spread) / 400
+    assert abs(got["med"].stderr / math.sqrt(sum((x - middle) ** 2 for x in spread) / 399) - 1) < 0.35
+
+
 def test_translation_bounds(spark):
     df = spark.createDataFrame([(1, "the cat sat on the mat", "the cat sat on the mat"), (2, "a b c d", "e f g h"), (3, "b c d a", "a b c d")], "k int, pred string, ref string")
     assert {r.k: round(r.bleu) for r in translation.bleu(df, ["k"]).collect()} == {1: 100, 2: 0, 3: 0}

@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,10 +123,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs less all but the first document of each component; of rows that share a doc_id the one least by text stays. Rows without doc_id stay."""
-    from pyspark.sql import Window
+def _with_fingerprint(docs: DataFrame) -> DataFrame:
+    """docs and __fp, written once."""
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text")).cast(pa.binary())
+            fp = pa.array([_signed(fingerprint(x or b"")) for x in texts.to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, fp], [*b.schema.names, "__fp"])
+
+    return materialize(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])), "simhash-rows")
 
-    extra = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return docs.join(extra, "doc_id", "left_anti").withColumn("__n", F.row_number().over(order)).where("__n = 1 OR doc_id IS NULL").select(*docs.columns)
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One row of each component, whatever the ids: of the least doc_id; of rows with that id, of the least fingerprint, then the least by text. Rows without doc_id are reduced to one a component by themselves, beside the one with an id."""
+    rows = _with_fingerprint(docs)
+    seen = materialize(rows.groupBy(F.col("__fp").alias("fp"), F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")), "simhash-ids")
+    fps = materialize(seen.select("fp").distinct(), "simhash-distinct")
+    root = materialize(components(links(fps)).withColumnRenamed("node", "fp"), "simhash-roots")
+    rooted = seen.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = rooted.groupBy("root", F.col("id").isNull()).agg(F.min(F.struct("id", "fp", "n")).alias("k")).select("k.fp", "k.id", "k.n")
+    kept = materialize(kept, "simhash-kept")
+    same = lambda t: (F.col("__fp") == t["fp"]) & F.col("doc_id").eqNullSafe(t["id"])
+    lost = seen.join(kept.where("n = 1").select(F.col("fp").alias("f"), F.col("id").alias("i")), (F.col("fp") == F.col("f")) & F.col("id").eqNullSafe(F.col("i")), "left_anti")
+    alike = kept.where("n > 1")  # only these texts are sorted
+    order = Window.partitionBy("__fp", "doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    first = rows.join(alike, same(alike), "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    return rows.join(lost, same(lost), "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gaugeworks.llm import fmindex, langid, line_dedup, lm_score, minhash, mixing, pieces, quality, quality_rules, simhash, substring_dedup
 from gaugeworks.llm.queries import TOKENIZER
@@ -68,6 +69,15 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_deduplicate_keeps_a_row_a_component(spark):
+    r = random.Random(9)
+    a, b, c = (sentence(r, 80) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, c), (None, c), (None, "only " * 30), (None, "only " * 30), (4, b), (5, "x y z q"), (5, "other words in this one")]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, a), (2, b), (3, c), (None, c), (None, "only " * 30), (5, "x y z q"), (5, "other words in this one")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_ball_covers_the_radius():
     ball, r = set(simhash._ball()), random.Random(1)
     for _ in range(200):

@@ -21,7 +21,7 @@ from .common import WORD, materialize, small_side
 
 WEIGHTS, MAX_REPEATS, SHARDS, SEED = (1, 2, 3), 3, 8, 7
 BLOCKS, DOCS_A_BLOCK, REGION_DOCS, PASSES = 256, 4, 512, 4
-SOURCES_BROADCAST, PLAN_BROADCAST = 50_000, 50_000
+SOURCES_BROADCAST, PLAN_BROADCAST, ROWS_A_PART = 50_000, 50_000, 20_000
 
 
 def n_words(text: Column) -> Column:
@@ -158,7 +158,14 @@ def _apply(columns: list[str], rows: DataFrame, sources: DataFrame, blocks: Data
 
 
 def drawn(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents, a row a copy, with the columns of docs, shuffled by hash inside each task's shards. Documents of which no copy is drawn go."""
-    seed = options.get("seed", SEED)
+    """The mixed documents, a row a copy, with the columns of docs, shuffled by hash inside each shard. Documents of which no copy is drawn go.
+
+    Part p of the result is shard p; of more than ROWS_A_PART documents a shard, each shard is a run of equally many parts, by rising hash.
+    """
+    seed, n_shards = options.get("seed", SEED), options.get("n_shards", SHARDS)
+    m = -(-max(docs.count(), 1) // (n_shards * ROWS_A_PART))
     rows = mix(docs, **options).select("*", F.posexplode("mix_shards").alias("__copy", "__shard"))
-    return rows.sortWithinPartitions("__shard", F.xxhash64(F.lit(seed), "__shard", "doc_id", "__copy")).select(*docs.columns)
+    rows = rows.withColumn("__at", F.xxhash64(F.lit(seed), "__shard", "doc_id", "__copy"))
+    slot = F.least(F.floor((F.col("__at") / float(1 << 64) + 0.5) * m), F.lit(m - 1))
+    parts = rows.withColumn("__part", (F.col("__shard") * m + slot).cast("int")).repartitionById(n_shards * m, "__part")
+    return parts.sortWithinPartitions("__part", "__at").select(*docs.columns)

@@ -217,6 +217,15 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.sizes_mixed(empty).count() == 0
 
 
+def test_drawn_parts_are_shards(spark, monkeypatch):
+    d = spark.createDataFrame([(i, "w " * (1 + i % 60), f"s{i // 500}") for i in range(3000)], "doc_id long, text string, source string").repartitionByRange(6, "source")
+    shards = Counter((r.doc_id, k) for r in mixing.mix(d).collect() for k in r.mix_shards)
+    part = lambda x: x.withColumn("p", F.spark_partition_id()).collect()
+    assert Counter((r.doc_id, r.p) for r in part(mixing.drawn(d))) == shards
+    monkeypatch.setattr(mixing, "ROWS_A_PART", 100)  # a shard is a run of four parts
+    assert Counter((r.doc_id, r.p // 4) for r in part(mixing.drawn(d))) == shards
+
+
 def test_splitting_tree_is_exact(spark):
     q = spark.createDataFrame([(1, 50), (2, 3), (3, 0), (4, 27)], "s long, q long")
     cuts = {r.s: r.cuts for r in mixing.split_quotas(q, 8).collect()}

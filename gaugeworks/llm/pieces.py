@@ -4,14 +4,13 @@ A vocabulary's pieces span a lattice over each unit (blanks with the word after
 crosses into the next unit). Backward sums of piece weights give each edge its probability, so the segmentations of a text have a
 product law. A* search over the tree of partial segmentations, each with the largest perturbed
 log-probability below it as its exact bound, pops complete segmentations in falling order: a child that
-carries its parent's bound is followed at once, its siblings get Gumbels truncated at that bound and
-wait. The first k + 1 pops are a sample without replacement and its threshold, from which inclusion scores follow.
-Every draw is a hash of the row's key and its place in the search.
+carries its parent's bound is followed at once, its siblings wait as one group, a subtree with a Gumbel truncated at
+that bound, of which one is drawn when the group is popped. The first k + 1 pops are a sample without replacement and its threshold, from which inclusion scores follow.
+Every draw is a hash of the row's key, the sample and the place in the document.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from itertools import repeat
 
@@ -25,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import pieces as slices
 
 SPACE = "▁"
-SAMPLES, ZIPF, SEED, MAX_NODES = 2, 10.0, 17, 2_000_000
-_UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
+SAMPLES, ZIPF, SEED = 2, 10.0, 17
+MAX_BYTES, BUILD, SLICE = 48 << 20, 1 << 16, 1 << 19  # of lattices kept; symbols built, bytes of text sampled at a time
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,12 +86,32 @@ def _uniform(key: np.ndarray, *parts) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
+def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the texts laid end to end, each with a blank before it and SPACE for blanks; where texts begin; where units begin.
+
+    A unit is a run of blanks with what follows up to a blank or line feed, a line feed, or what stands between line feeds.
+    """
+    code = np.frombuffer("".join([" " + t for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    blank = code == 32
+    code[blank] = ord(SPACE)
+    blank |= code == ord(SPACE)
+    feed = code == 10
+    begin = feed.copy()
+    begin[1:] |= feed[:-1] | (blank[1:] & ~blank[:-1])
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    text = np.cumsum(size) - size
+    begin[text] = True
+    return code, text, np.flatnonzero(begin)
+
+
 class Lattices:
-    """Edges of units, kept as they come: node i's edges are first[i]:first[i + 1], upto their running probability plus i."""
+    """Edges of units, kept as they come: node i's edges are first[i]:first[i + 1], cum their running probability (beyond 1 at a node's last)."""
 
     def __init__(self, vocab: dict):
         self.vocab = vocab
         self.longest, self.prefix, self.piece, self.shift, self.slot = vocab["trie"]
+        self.end, self.edge_piece, self.lp, self.cum, self.first, self.code = (np.zeros(1 << 16, t) for t in (np.int32, np.int32, np.float64, np.float32, np.int32, np.uint32))
+        self.base = _B
         self.clear()
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -109,33 +128,57 @@ class Lattices:
         return at
 
     def clear(self):
-        self.unit: dict[str, int] = {}
+        self.unit: dict[int, int] = {}
         self.n = self.m = 0  # nodes and edges so far
-        self._end, self._piece, self._lp, self._upto, self._first = (np.zeros(1 << 16, t) for t in (np.int64, np.int64, np.float64, np.float64, np.int64))
+
+    def bytes(self) -> int:
+        """Of the arrays in use and, roughly, the units' dictionary."""
+        return 8 * self.n + 20 * self.m + 150 * len(self.unit)
 
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
         old = getattr(self, name)
         if at + len(values) > len(old):
-            new = np.zeros(2 * (at + len(values)), old.dtype)
+            new = np.zeros(2 * (at + len(values)), old.dtype)  # pages not written yet take no memory
             new[:at] = old[:at]
             setattr(self, name, old := new)
         old[at : at + len(values)] = values
 
-    def nodes(self, units: list[str]) -> np.ndarray:
-        """First nodes of units; lattices not yet known are built."""
-        at = np.fromiter(map(self.unit.get, units, repeat(-1)), np.int64, len(units))
-        new = np.flatnonzero(at < 0).tolist()
-        if new:
-            self.add(list(dict.fromkeys([units[i] for i in new])))
-            at[new] = [self.unit[units[i]] for i in new]
-        return at
+    def nodes(self, code: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """First nodes of the units that begin there; lattices not yet known are built, about BUILD symbols at a time.
+
+        Units are known by hash, then compared symbol by symbol; should two differ, all are forgotten and hashed anew.
+        """
+        import pandas as pd
 
-    def add(self, new: list[str]) -> None:
-        size = np.array([len(u) for u in new])
+        size = np.diff(begin, append=len(code))
+        place = np.arange(len(code)) - np.repeat(begin, size)
+        while True:
+            power = np.cumprod(np.append(np.uint64(1), np.full(int(size.max()) - 1, self.base, np.uint64)), dtype=np.uint64)
+            h = _mix(np.add.reduceat((code + np.uint64(1)) * power[place], begin))
+            which, known = pd.factorize(h)
+            first = np.flatnonzero(which > np.maximum.accumulate(np.append(-1, which[:-1])))
+            known = known.tolist()
+            at = np.fromiter(map(self.unit.get, known, repeat(-1)), np.int64, len(known))
+            new = np.flatnonzero(at < 0)
+            total = np.cumsum(size[first[new]] + 1)
+            a = 0
+            while a < len(new):
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + BUILD, side="right")))
+                at[new[a:b]] = self.add(code, begin[first[new[a:b]]], size[first[new[a:b]]])
+                a = b
+            self.unit.update(zip(map(known.__getitem__, new.tolist()), at[new].tolist()))
+            at = at[which]
+            if (self.code[np.repeat(at, size) + place] == code).all():
+                return at
+            self.clear()
+            self.base += np.uint64(2)
+
+    def add(self, text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Build the lattices of the units of text that begin there, of size symbols each; returns their first nodes."""
         base = np.concatenate([[0], np.cumsum(size + 1)])
-        for u, b in zip(new, base.tolist()):
-            self.unit[u] = self.n + b
-        code = np.frombuffer(("\0".join(new) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        code = text[np.minimum(np.repeat(begin - base[:-1], size + 1) + np.arange(base[-1]), len(text) - 1)].astype(np.uint64)
+        code[base[1:] - 1] = 0
+        self._put("code", self.n, code)
         total = len(code)
         room = np.repeat(base[1:] - 1, size + 1) - np.arange(total)  # symbols to the unit's end
         node = np.flatnonzero(room > 0)
@@ -175,61 +218,72 @@ class Lattices:
         first = np.searchsorted(a, np.arange(total + 1))
         run = np.cumsum(np.exp(lp))
         before = np.concatenate([[0.0], run])[first[:-1]]
-        upto = a + np.minimum(run - before[a], 1.0)
-        for name, x in (("_end", e + self.n), ("_piece", p), ("_lp", lp), ("_upto", upto + self.n)):
+        cum = run - before[a]
+        cum[first[1:][first[1:] > first[:-1]] - 1] = 2.0
+        for name, x in (("end", e + self.n), ("edge_piece", p), ("lp", lp), ("cum", cum)):
             self._put(name, self.m, x)
-        self._put("_first", self.n, first + self.m)  # one more than nodes: where the last one's edges stop
+        self._put("first", self.n, first + self.m)  # one more than nodes: where the last one's edges stop
         self.n, self.m = self.n + total, self.m + len(e)
-        self.end, self.edge_piece, self.lp, self.upto, self.first = self._end[: self.m], self._piece[: self.m], self._lp[: self.m], self._upto[: self.m], self._first[: self.n + 1]
+        return base[:-1] + self.n - total
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        e, last, x = self.first[node], self.first[node + 1] - 1, node + u
-        on = np.flatnonzero((self.upto[e] <= x) & (e < last))
+        e = self.first[node].astype(np.int64)
+        on = np.flatnonzero(self.cum[e] <= u)
         while len(on):
             e[on] += 1
-            on = on[(self.upto[e[on]] <= x[on]) & (e[on] < last[on])]
+            on = on[self.cum[e[on]] <= u[on]]
         return e
 
 
-def _descend(lat: Lattices, node, key, sample, occ):
-    """Follow one drawn child at a time from each node to its unit's end: (index, node, edge) in order of index and step."""
-    out, idx, step = [], np.arange(len(node)), 0
+def _descend(lat: Lattices, node, shift, key):
+    """Follow one drawn child at a time from each node to its unit's end: (index, node, edge) in order of index and step.
+
+    A node's place in its document is node + shift; each draw is a hash of the key and that place, so no two of a path are alike.
+    """
+    out, idx = [], np.arange(len(node))
     while len(idx):
         going = lat.first[node + 1] > lat.first[node]
-        idx, node = idx[going], node[going]
-        e = lat.draw(node, _uniform(key[idx], sample, occ[idx] * 64 + step))
+        if not going.all():
+            idx, node = idx[going], node[going]
+        e = lat.draw(node, _uniform(key[idx], node + shift[idx]))
         out.append((idx, node, e))
-        node, step = lat.end[e], step + 1
+        node = lat.end[e].astype(np.int64)
     i, n, e = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64) for _ in range(3))
     order = np.argsort(i, kind="stable")
     return i[order], n[order], e[order]
 
 
-def _best_siblings(lat: Lattices, node, edge, phi, doc, place, bound, key, sample, keep: int):
-    """The keep best children not taken of each document's path tokens: (document, token, edge, perturbed log-probability).
+def _side_groups(lat: Lattices, node, edge, phi, doc, place, bound, key, keep: int):
+    """The keep best groups of children not taken of each document's path: (document, token, perturbed log-probability).
 
-    Per token: node and edge taken, log-probability before it, document (rising) and place in its path; per document: bound and key.
+    The children of a token's node but the one taken are one subtree, with the log of their summed probability as its
+    location. Per token: node and edge taken, log-probability before it, document (rising) and place; per document: bound and
+    key. A uniform of 53 bits gives a Gumbel between -3.7 and 37.5, so tokens whose location is too far below
+    that of the document's first keep groups cannot be among the best, and are left out without loss.
     """
-    k = lat.first[node + 1] - lat.first[node]
-    pos = np.repeat(np.arange(len(node)), k)
-    other = np.arange(len(pos)) + np.repeat(lat.first[node] - (np.cumsum(k) - k), k)
-    free = other != edge[pos]
-    pos, other = pos[free], other[free]
-    d = doc[pos]
-    f = phi[pos] + lat.lp[other]
-    u = _uniform(key[d], sample, (1 << 40) + place[pos] * 4096 + (other - lat.first[node[pos]]))
-    g = f - np.log(-np.log(u))  # rises with the truncated Gumbel's value, which only the best need
+    many = np.flatnonzero(lat.first[node + 1] - lat.first[node] > 1)
+    if not len(many):
+        return []
+    d, f = doc[many], phi[many]
+    with np.errstate(divide="ignore"):
+        loc = f + np.log(-np.expm1(np.minimum(lat.lp[edge[many]], 0.0)))
+    first = np.flatnonzero(np.concatenate([[True], np.diff(d) != 0]))
+    size = np.diff(np.append(first, len(d)))
+    low = np.full(len(first), np.inf)
+    for k in range(keep):
+        low = np.where(size > k, np.minimum(low, loc[np.minimum(first + k, len(loc) - 1)]), -np.inf)
+    on = np.flatnonzero(f >= np.repeat(low, size) - 41.5)
+    many, d, loc = many[on], d[on], loc[on]
+    g = loc - np.log(-np.log(_uniform(key[d], place[many])))  # rises with the truncated Gumbel's value, which only the best need
     out = []
     for _ in range(keep):
-        if not len(g):
-            break
         first = np.flatnonzero(np.concatenate([[True], np.diff(d) != 0]))
         top = np.maximum.reduceat(g, first)
         hit = np.flatnonzero(g == np.repeat(top, np.diff(np.append(first, len(g)))))
         hit = hit[np.concatenate([[True], np.diff(d[hit]) != 0])]
         live = hit[g[hit] > -np.inf]
         b = bound[d[live]]
-        out.append((d[live], pos[live], other[live], b - np.logaddexp(0.0, b - g[live])))
+        out.append((d[live], many[live], b - np.logaddexp(0.0, b - g[live])))
         g[hit] = -np.inf
         if not len(live):
             break
@@ -244,48 +298,61 @@ def segmentations(lat: Lattices, texts: list[str], keys: list[int], samples: int
     return [[(next(each).tolist(), *x[1:]) for x in rows] for rows in found]
 
 
+def _taken(lat: Lattices, node: int, out: list[int], u: float) -> int:
+    """One of a node's edges but those out, by probability."""
+    edges = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in out]
+    p = np.exp(lat.lp[edges])
+    return edges[min(int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")), len(edges) - 1)]
+
+
 def search(lat: Lattices, texts: list[str], keys: list[int], samples: int = SAMPLES, seed: int = SEED) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to samples distinct segmentations: (edges, log-probability, perturbed log-probability, inclusion score).
 
     Fewer come back if the text has fewer. Inclusion is the chance of a perturbed value above the threshold, the perturbed value of the next segmentation; 1 if there is none.
+    A queue holds the groups of children passed by; the best is popped, one of its children is drawn and followed, and the rest of the group goes back with Gumbels truncated at the value popped.
     """
-    units = [_UNIT.findall(SPACE + t.replace(" ", SPACE)) for t in texts]
-    if lat.n > MAX_NODES:
+    if not texts:
+        return []
+    if lat.bytes() > MAX_BYTES:
         lat.clear()
-    starts = np.split(lat.nodes([u for us in units for u in us]), np.cumsum([len(us) for us in units])[:-1]) if texts else []
+    code, text, at = units(texts)
+    start = lat.nodes(code, at)
+    cut = np.append(np.searchsorted(at, text), len(at))  # units of each text
+    shift = at - np.repeat(text, np.diff(cut)) - start  # of a unit: place in the document less node
+    del code
     key = np.array([xxhash.xxh64_intdigest(k.to_bytes(8, "little", signed=True), seed) for k in keys], np.uint64)
-    value = -np.log(-np.log(_uniform(key, 0, 0)))
+    stream = lambda kind, sample: _mix(key + _B * np.array([64 * sample + kind], np.uint64))
+    value = -np.log(-np.log(_uniform(stream(1, 0), 0)))
     todo = np.arange(len(texts))  # documents whose next path is to be drawn
+    unit0 = cut[:-1].copy()  # the unit in which the path's drawn part begins
+    head = start[unit0]
     prefix = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(texts)
-    heads = starts
-    skipped = np.zeros(len(texts), np.int64)  # units before heads
     out: list[list] = [[] for _ in texts]
-    queue: list[list] = [[] for _ in texts]
+    queue: list[list] = [[] for _ in texts]  # (value, path, token, edges out)
     for sample in range(1, samples + 1):
-        count = np.array([len(heads[i]) for i in todo])
-        doc = np.repeat(todo, count)
-        occ = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + skipped[doc]
-        i, n, e = _descend(lat, np.concatenate([heads[i] for i in todo]), key[doc], sample, occ)
-        cut = np.searchsorted(doc[i], todo)
-        cut = np.append(cut, len(i))
-        paths, news = [], []
-        for j, t in enumerate(todo.tolist()):
-            a, b = cut[j], cut[j + 1]
-            nodes, edges = np.concatenate([prefix[t][0], n[a:b]]), np.concatenate([prefix[t][1], e[a:b]])
-            paths.append((nodes, edges))
-            news.append(len(prefix[t][1]))
-            out[t].append((edges, float(lat.lp[edges].sum()), float(value[t])))
-        before = np.array([lat.lp[p[1][:m]].sum() for p, m in zip(paths, news)])
-        size = np.diff(cut)
+        size = cut[todo + 1] - unit0[todo]
+        doc = np.repeat(todo, size)
+        of = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size) + unit0[doc]
+        node = start[of]
+        node[np.cumsum(size) - size] = head[todo]
+        i, n, e = _descend(lat, node, shift[of], stream(2, sample)[doc])
+        ends = np.append(np.searchsorted(doc[i], todo), len(i))
+        before = np.array([lat.lp[prefix[t][1]].sum() for t in todo.tolist()])
         lp = lat.lp[e]
         run = np.cumsum(lp) - lp
-        base = np.concatenate([run, [0.0]])[cut[:-1]]
-        which = np.repeat(np.arange(len(todo)), size)
-        place = np.arange(len(e)) - cut[:-1][which] + np.array(news)[which]
-        for d, pos, other, g in _best_siblings(lat, n, e, run - base[which] + before[which], which, place, value[todo], key[todo], sample, samples + 1 - sample):
-            for x, p, o, v in zip(d.tolist(), pos.tolist(), other.tolist(), g.tolist()):
-                queue[todo[x]].append((v, paths[x], int(place[p]), o))
-        following, heads, prefix = [], list(starts), list(prefix)
+        base = np.concatenate([run, [0.0]])[ends[:-1]]
+        total = np.concatenate([run, [lp.sum()]])[ends[1:]] - base + before if len(lp) else before
+        which = np.repeat(np.arange(len(todo)), np.diff(ends))
+        paths = []
+        for j, t in enumerate(todo.tolist()):
+            a, b = ends[j], ends[j + 1]
+            paths.append((np.concatenate([prefix[t][0], n[a:b]]), np.concatenate([prefix[t][1], e[a:b]])) if len(prefix[t][1]) else (n[a:b], e[a:b]))
+            out[t].append((paths[j][1], float(total[j]), float(value[t])))
+        for d, token, g in _side_groups(lat, n, e, run - base[which] + before[which], which, n + shift[of[i]], value[todo], stream(3, sample)[todo], samples + 1 - sample):
+            for x, p, v in zip(d.tolist(), token.tolist(), g.tolist()):
+                queue[todo[x]].append((v, paths[x], p - int(ends[x]) + len(prefix[todo[x]][1]), [int(e[p])]))
+        following = []
+        choose, again = _uniform(stream(4, sample), 0), _uniform(stream(5, sample), 0)
         for t in todo.tolist():
             if not queue[t]:
                 continue
@@ -294,12 +361,17 @@ def search(lat: Lattices, texts: list[str], keys: list[int], samples: int = SAMP
                 value[t] = queue[t][-1][0]
                 out[t].append(None)
                 continue
-            value[t], (nodes, edges), at, o = queue[t].pop()
-            closed = lat.end[edges[:at]]
-            unit = int(np.count_nonzero(lat.first[closed + 1] == lat.first[closed]))  # units ended before the branch
-            prefix[t] = (nodes[: at + 1], np.append(edges[:at], o))
-            heads[t] = np.concatenate([[lat.end[o]], starts[t][unit + 1 :]])
-            skipped[t] = unit
+            v, (nodes, edges), token, gone = queue[t].pop()
+            o = _taken(lat, int(nodes[token]), gone, float(choose[t]))
+            left = [x for x in range(int(lat.first[nodes[token]]), int(lat.first[nodes[token] + 1])) if x != o and x not in gone]
+            if left:
+                g = lat.lp[edges[:token]].sum() + np.log(np.exp(lat.lp[left]).sum()) - np.log(-np.log(again[t]))
+                queue[t].append((float(v - np.logaddexp(0.0, v - g)), (nodes, edges), token, [*gone, o]))
+            value[t] = v
+            closed = lat.end[edges[:token]].astype(np.int64)
+            unit0[t] = cut[t] + int(np.count_nonzero(lat.first[closed + 1] == lat.first[closed]))  # units ended before the branch
+            prefix[t] = (nodes[: token + 1], np.append(edges[:token], o))
+            head[t] = lat.end[o]
             following.append(t)
         todo = np.array(following, np.int64)
         if not len(todo):
@@ -361,7 +433,7 @@ def sample(docs: DataFrame, model_path: str, samples: int = SAMPLES, seed: int =
     """(doc_id, sample, ids, log_prob, perturbed, inclusion, round_trip): up to samples rows for every row of docs.
 
     round_trip says that the ids decode to the text (a text that holds U+2581 itself comes back with blanks). A null or empty text has the one segmentation
-    of the blank put before every text. Equal doc_ids draw alike; a null doc_id draws as -1. Very long words without blanks cost time in proportion. An empty table gives no rows.
+    of the blank put before every text. Equal doc_ids draw alike; a null doc_id draws as -1. Very long words without blanks cost time and memory in proportion. An empty table gives no rows.
     """
     with open(model_path, "rb") as f:
         vocab = vocabulary(f.read())
@@ -370,7 +442,7 @@ def sample(docs: DataFrame, model_path: str, samples: int = SAMPLES, seed: int =
     def run(batches):
         lat = Lattices(shared.value)
         for batch in batches:
-            for b in slices(batch, 1, 1 << 20):
+            for b in slices(batch, 1, SLICE):
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 found = search(lat, texts, [-1 if d is None else int(d) for d in b.column(0).to_pylist()], samples, seed)
                 row = np.repeat(np.arange(len(found)), [len(f) for f in found])
@@ -413,7 +485,3 @@ def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
         return pd.Series([None if x is None else decode(shared.value, list(x)) for x in ids])
 
     return encoded.withColumn("text", text("ids"))
-
-
-def digest(ids: list[int]) -> str:
-    return hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()

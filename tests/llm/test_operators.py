@@ -313,3 +313,35 @@ def test_pieces(docs, rows, empty):
     back = pieces.decode_ids(pieces.encode(docs, TOKENIZER), TOKENIZER)
     text_of = {d: t or "" for d, t, *_ in rows}
     assert all(r.text == text_of[r.doc_id] for r in back.collect())
+
+
+def test_pieces_draws_in_long_units_follow_the_law():
+    """A unit of 150 pieces and more: each place's choice has its own probability, whatever was chosen 64 pieces before; later samples follow the law without replacement."""
+    vocab = pieces.vocabulary(open(TOKENIZER, "rb").read())
+    lat = pieces.Lattices(vocab)
+    text, n = "the" * 100, 2000
+    found = pieces.search(lat, [text] * n, list(range(n)), samples=1)
+    (start,) = lat.nodes(*pieces.units([text])[::2])
+    paths = [dict(zip((lat.end[f[0][0]] - start).tolist(), range(999))) for f in found]
+    reach = np.zeros(len(text) + 2)
+    reach[0] = 1
+    for i in range(len(text) + 1):
+        for e in range(lat.first[start + i], lat.first[start + i + 1]):
+            reach[lat.end[e] - start] += reach[i] * math.exp(lat.lp[e])
+    for place in (20, 65, 66, 130, 200, 260, 261):
+        assert abs(sum(place in p for p in paths) / n - reach[place]) < 4.5 * math.sqrt(max(reach[place] * (1 - reach[place]), 1e-4) / n)
+    a, b = 65, 257  # places a multiple of 64 apart are independent up to what lies between
+    both = sum(a in p and b in p for p in paths) / n
+    assert abs(both - reach[a] * reach[b]) < 0.05
+    assert len({tuple(f[0][0].tolist()) for f in found}) > 0.99 * n
+    four = pieces.search(lat, ["the cat"] * 4000, list(range(4000)), samples=4)
+    p = {tuple(x[0].tolist()): math.exp(x[1]) for f in four for x in f}
+    seconds, expected = Counter(), Counter()
+    for f in four:
+        assert len({tuple(x[0].tolist()) for x in f}) == 4 and [x[2] for x in f] == sorted((x[2] for x in f), reverse=True)
+        seconds[tuple(f[1][0].tolist())] += 1
+        for k, v in p.items():
+            if k != (one := tuple(f[0][0].tolist())):
+                expected[k] += v / (1 - p[one])
+    for k in sorted(p, key=p.get)[-4:]:
+        assert abs(seconds[k] - expected[k]) < 5 * math.sqrt(expected[k])

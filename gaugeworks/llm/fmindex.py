@@ -12,22 +12,24 @@ DEPTH = 64
 
 
 def suffix_order(text: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """Positions sorted by the depth symbols from each, by prefix doubling."""
+    """Positions sorted by the depth symbols (small non-negative integers) from each, by prefix doubling from as many as fit in 62 bits."""
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    order = np.argsort(rank, kind="stable")
-    k = 1
-    while k < depth:
-        key = rank * (n + 2)
-        key[: n - k] += rank[k:]
-        order = np.argsort(key, kind="stable")
+    bits = max(1, int(text.max() + 1).bit_length()) if n else 1
+    k = max(1, min(62 // bits, depth))
+    key = np.zeros(n, np.int64)
+    for i in range(k):
+        key <<= bits
+        key[: n - i] += text[i:] + 1
+    while True:
+        order = np.argsort(key)  # equal keys keep no order: they are told apart below or not at all
         new = np.cumsum(np.concatenate([[1], np.diff(key[order]) != 0]))
+        if k >= depth or new[-1] == n:
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = new
-        if new[-1] == n:
-            break
+        key = rank * (n + 2)
+        key[: n - k] += rank[k:]
         k *= 2
-    return order
 
 
 class Bits:

@@ -1,24 +1,30 @@
 """Substring dedup: compressed FM-indexes per shard, matching statistics of streamed runs by backward search.
 
-Two equal windows of WINDOW words have the same anchor, the least hash of their GRAM-word grams. Runs of a
-document's windows with one anchor go to that anchor's shard, so a shard holds every window that can equal one of
-its own and no document is streamed past another's shard. Anchors of a single run repeat nothing and
-stay behind. Equal runs are counted before they meet; each shard indexes its distinct runs and streams them through
-the index. An anchor with very many distinct runs would overfill a shard: its windows are counted by 128-bit hash instead.
+Two equal windows of WINDOW words have the same anchor, the least hash of their GRAM-word grams (of equal ones, the
+last). A run is the windows of a document around one anchor, at most WINDOW - GRAM + 1 of them. Runs go to their
+anchor's shard, so a shard holds every window that can equal one of its own and no document is streamed past
+another's shard. Anchors of a single run repeat nothing and stay behind. Each shard indexes its runs, of equal
+ones two, and streams the distinct ones through the index. An anchor with over HOT_RUNS distinct runs would overfill a
+shard: its runs are cut into single windows, which are dealt to shards by their own hash instead (of windows, too, those
+whose hash is alone stay behind), indexed and streamed in the same way.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces, text_bytes
+from .common import discard, materialize, pieces, small_side, text_bytes
 from .fmindex import FMIndex, repeats
 
-WINDOW, GRAM, HOT_RUNS, SHARD_WORDS = 35, 18, 256, 500_000
+WINDOW, GRAM, HOT_RUNS, SHARD_WORDS = 35, 12, 4096, 800_000
+SEEN, HOT_BROADCAST = 100_000, 100_000
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 _B = 0x9E3779B97F4A7C15
 
 
@@ -53,84 +59,156 @@ def _sliding_min(v: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (k - at)], v[k - at :]) if k > at else v
 
 
-def anchored_runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window, number of windows, and whether the anchor's gram comes twice in the document, of each run."""
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of the texts, and the number of words of each text. Equal words have equal hashes; nothing more is asked of them."""
+    data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+    blank = _BLANK[data]
+    begin = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    after = np.cumsum(size + 1) + 1
+    words = np.diff(np.searchsorted(begin, after), prepend=0)
+    if not len(begin):
+        return np.zeros(0, np.uint64), words
+    length = np.flatnonzero(~blank[:-1] & blank[1:]) + 1 - begin
+    at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    power = np.cumprod(np.append(np.uint64(1), np.full(int(length.max()) - 1, _B | 1, np.uint64)), dtype=np.uint64)
+    h = np.add.reduceat((data[~blank].astype(np.uint64) + np.uint64(1)) * power[at], np.cumsum(length) - length)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32)), words
+
+
+def anchored_runs(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts laid end to end: anchor, text, first window and number of windows of each run."""
+    if len(hashes) < WINDOW:
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     grams = _grams(hashes, GRAM)
-    low = _sliding_min(grams, WINDOW - GRAM + 1)
-    start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    count = np.diff([*start, len(low)])
-    value, times = np.unique(grams, return_counts=True)
-    return low[start], start, count, np.isin(low[start], value[times > 1])
+    span = WINDOW - GRAM + 1
+    low = _sliding_min(grams, span)
+    turn = np.ones(len(low), bool)
+    turn[1:] = (low[1:] != low[:-1]) | (grams[span:] == low[1:])
+    ends = np.cumsum(words)
+    per = np.maximum(words - WINDOW + 1, 0)
+    text = np.repeat(np.arange(len(words)), per)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+    window = place + np.repeat(ends - words, per)
+    first = np.flatnonzero(turn[window] | (place == 0))
+    return low[window[first]], text[first], place[first], np.diff(first, append=len(window))
 
 
 def _anchors(batches):
-    known: dict[bytes, int] = {}
-    digest = xxhash.xxh64_intdigest
     for batch in batches:
-        for b in pieces(batch, 2):
-            cols = [[], [], [], [], [], []]
-            for k1, k2, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                words = data.split()
-                if len(words) < WINDOW:
-                    continue
-                if len(known) > 300_000:
-                    known.clear()
-                for w in set(words):
-                    if w not in known:
-                        known[w] = digest(w)
-                a, start, count, again = anchored_runs(np.fromiter((known[w] for w in words), np.uint64, len(words)))
-                for c, x in zip(cols, (_signed(a), np.full(len(a), k1), np.full(len(a), k2), start, count, again)):
-                    c.append(x)
-            kinds = [pa.int64()] * 5 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], k) for c, k in zip(cols, kinds)], ["a", "k1", "k2", "start", "count", "again"])
+        for b in pieces(batch, 2, 1 << 20):
+            a, text, start, count = anchored_runs(*word_hashes(b.column(2).to_pylist()))
+            row = pa.array(text)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(a)), b.column(0).take(row), b.column(1).take(row), pa.array(start, pa.int32()), pa.array(count, pa.int8())], ["a", "k1", "k2", "start", "count"])
+
+
+def _halves(digests: list[bytes]) -> list[pa.Array]:
+    """128-bit digests as two columns of long."""
+    x = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(x[:, k])) for k in (0, 1)]
+
+
+class _Twice:
+    """Says which of equal texts are the first two since the last reset: no more are needed where a task meets many."""
+
+    def __init__(self):
+        self.seen: dict[bytes, int] = {}
+
+    def __call__(self, digest: bytes) -> bool:
+        if len(self.seen) > SEEN:
+            self.seen.clear()
+        n = self.seen[digest] = self.seen.get(digest, 0) + 1
+        return n <= 2
+
+
+def _joined(data: bytes) -> tuple[bytes, np.ndarray]:
+    """The words joined by one space, and where each begins (and one past the end)."""
+    words = data.split()
+    return b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, dtype=np.int64) if words else np.zeros(0, np.int64)
 
 
 def _cut(batches):
+    """Runs by 128-bit hash, with their words where a task has not met them twice."""
+    wanted, digest = _Twice(), xxhash.xxh3_128_digest
     for batch in batches:
         for b in pieces(batch, 2, 1 << 20):
-            rows = []
-            for k1, k2, data, runs in zip(*(c.to_pylist() for c in b.columns)):
-                words = data.split()
-                for r in runs:
-                    rows.append((r["a"], k1, k2, r["start"], b" ".join(words[r["start"] : r["start"] + r["count"] + WINDOW - 1])))
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["a", "k1", "k2", "start", "run"])
+            runs = b.column(3).flatten()
+            start, count = (runs.field(x) for x in ("start", "count"))
+            of = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().to_numpy())
+            found, texts, last = [], [], -1
+            for k, s, n in zip(of.tolist(), start.to_pylist(), count.to_pylist()):
+                if k != last:
+                    text, end = _joined(b.column(2)[k].as_py())
+                    end, last = [0, *end.tolist()], k
+                run = text[end[s] : end[s + n + WINDOW - 1] - 1]
+                d = digest(run)
+                found.append(d)
+                texts.append(run if wanted(d) else None)
+            row = pa.array(of)
+            yield pa.RecordBatch.from_arrays([runs.field("a"), *_halves(found), b.column(0).take(row), b.column(1).take(row), start, pa.array(texts, pa.binary())], ["a", "r1", "r2", "k1", "k2", "start", "run"])
+
+
+def _laid_out(runs: list[bytes], times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs' words as numbers from 1, each run so many times, a 0 after each; where each run first begins; its length."""
+    words = pc.split_pattern(pa.array(runs, pa.large_binary()).cast(pa.large_string()), " ")
+    ids = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    length = words.value_lengths().to_numpy().astype(np.int64)
+    again = np.repeat(np.arange(len(runs)), times)
+    size = length[again] + 1
+    base = np.cumsum(size) - size
+    at = np.repeat((np.cumsum(length) - length)[again] - base, size) + np.arange(size.sum())
+    text = ids[np.minimum(at, len(ids) - 1)]
+    text[base + size - 1] = 0
+    return text, base[np.cumsum(times) - times], length
 
 
 def _search(batches):
-    """One shard: index all its runs, then stream them."""
-    keys, spans, ids, index = [], [], [], {}
+    """One shard: index its runs, of equal ones two, then stream each distinct one."""
+    known: dict[tuple, int] = {}
+    runs, times = [], []
     for b in batches:
-        for r1, r2, many, run in zip(*(c.to_pylist() for c in b.columns)):
-            words = run.split()
-            keys.append((r1, r2, many, len(words)))
-            spans.append((len(ids), len(ids) + len(words)))
-            ids.extend(index.setdefault(w, len(index) + 1) for w in words)
-            ids.append(0)  # between runs
-    names = ["r1", "r2", "s", "t"]
-    if not keys:
+        for r1, r2, run in zip(*(c.to_pylist() for c in b.columns)):
+            k = known.setdefault((r1, r2), len(runs))
+            if k == len(runs):
+                runs.append(run)
+                times.append(1)
+            else:
+                times[k] = 2
+    if not runs:
         return
-    text = np.array(ids, np.int64)
-    begin, end = (np.array(x) for x in zip(*spans))
-    rows = [(r1, r2, 0, n) for r1, r2, many, n in keys if many]
-    single = np.flatnonzero([not k[2] for k in keys])
-    if len(single):
-        fm = FMIndex(text)
-        rows += [(*keys[single[i]][:2], s, t) for i, s, t in repeats(fm, text, begin[single], end[single], WINDOW)]
-    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 4)], names)
+    text, begin, length = _laid_out(runs, np.array(times))
+    del runs
+    found = repeats(FMIndex(text), text, begin, begin + length, WINDOW)
+    keys = np.array(list(known), np.int64)[[i for i, _, _ in found]].reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), pa.array([s for _, s, _ in found], pa.int64()), pa.array([t for _, _, t in found], pa.int64())], ["r1", "r2", "s", "t"])
 
 
 def _windows(batches):
+    """Every window of runs by 128-bit hash, with its words where a task has not met them twice."""
+    wanted, digest = _Twice(), xxhash.xxh3_128_digest
     for batch in batches:
-        for b in pieces(batch, 3, 1 << 20):
-            rows = []
-            for r1, r2, n, run in zip(*(c.to_pylist() for c in b.columns)):
-                words = run.split()
-                for s in range(len(words) - WINDOW + 1):
-                    w = b" ".join(words[s : s + WINDOW])
-                    d = xxhash.xxh3_128_digest(w)
-                    rows.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), r1, r2, n, s))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)], ["w1", "w2", "r1", "r2", "n", "s"])
+        for b in pieces(batch, 2, 1 << 18):
+            found, texts, of, at = [], [], [], []
+            for k, run in enumerate(b.column(2).to_pylist()):
+                text, end = _joined(run)
+                end = [0, *end.tolist()]
+                for s in range(len(end) - WINDOW):
+                    w = text[end[s] : end[s + WINDOW] - 1]
+                    d = digest(w)
+                    found.append(d)
+                    texts.append(w if wanted(d) else None)
+                    of.append(k)
+                    at.append(s)
+            row = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([*_halves(found), b.column(0).take(row), b.column(1).take(row), pa.array(at, pa.int32()), pa.array(texts, pa.binary())], ["w1", "w2", "r1", "r2", "s", "run"])
+
+
+def _searched(runs: DataFrame, by: str) -> DataFrame:
+    """(r1, r2, s, t): what the shards of runs (by, r1, r2, run), dealt by a column, find repeated."""
+    words = runs.agg(F.sum(F.length("run"))).first()[0] or 0
+    shards = max(runs.sparkSession.sparkContext.defaultParallelism, words // 7 // SHARD_WORDS + 1)
+    return runs.repartition(shards, by).select("r1", "r2", "run").mapInArrow(_search, "r1 long, r2 long, s long, t long")
 
 
 def _keep(batches):
@@ -139,34 +217,50 @@ def _keep(batches):
             total, gone, kept = [], [], []
             for data, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words = data.split()
-                out = np.zeros(len(words), bool)
-                for x in spans or ():
-                    out[x["s"] : x["t"]] = True
+                left, at = [], 0
+                for s, t in sorted((x["s"], x["t"]) for x in spans or ()):
+                    if s > at:
+                        left += words[at:s]
+                    at = max(at, t)
+                left += words[at:]
                 total.append(len(words))
-                gone.append(int(out.sum()))
-                kept.append(b" ".join(w for w, o in zip(words, out.tolist()) if not o).decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                gone.append(len(words) - len(left))
+                kept.append(b" ".join(left))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """(k1, k2, spans): word intervals covered by repeated windows; keyed has (k1, k2, data), equal keys for equal rows only."""
-    anchors = materialize(keyed.select("k1", "k2", "data").mapInArrow(_anchors, "a long, k1 long, k2 long, start long, count long, again boolean"), "substring-anchors")
-    shared = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 OR again").select("a")
-    hits = anchors.join(shared, "a", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "start", "count")).alias("runs"))
-    runs = keyed.join(hits, ["k1", "k2"]).select("k1", "k2", "data", "runs").mapInArrow(_cut, "a long, k1 long, k2 long, start long, run binary")
-    runs = materialize(runs.select("*", F.xxhash64("run").alias("r1"), F.xxhash64(F.lit(1), "run").alias("r2")), "substring-runs")
-    distinct = materialize(runs.groupBy("a", "r1", "r2").agg(F.first("run").alias("run"), F.count(F.lit(1)).alias("n")), "substring-distinct")
-    hot = distinct.groupBy("a").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") > HOT_RUNS).select("a")
-    words = distinct.agg(F.sum(F.length("run"))).first()[0] or 0
-    shards = max(keyed.sparkSession.sparkContext.defaultParallelism, int(words / 6 / SHARD_WORDS) + 1)
-    cool = distinct.join(hot, "a", "left_anti").repartition(shards, "a").select("r1", "r2", (F.col("n") > 1).alias("many"), "run")
-    found = cool.mapInArrow(_search, "r1 long, r2 long, s long, t long")
-    windows = materialize(distinct.join(hot, "a", "left_semi").select("r1", "r2", "n", "run").mapInArrow(_windows, "w1 long, w2 long, r1 long, r2 long, n long, s long"), "substring-windows")
-    again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
-    found = materialize(found.unionByName(windows.join(again, ["w1", "w2"], "left_semi").select("r1", "r2", "s", (F.col("s") + WINDOW).alias("t"))), "substring-found")
-    per_run = found.groupBy("r1", "r2").agg(F.collect_list(F.struct("s", "t")).alias("parts"))
+    anchors = materialize(keyed.select("k1", "k2", "data").mapInArrow(_anchors, "a long, k1 long, k2 long, start int, count byte"), "substring-anchors")
+    # Written, so that the joins are free to split what an anchor or a run of very many rows puts in one partition.
+    shared = materialize(anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "substring-shared")
+    hits = materialize(anchors.join(shared, "a", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "start", "count")).alias("runs")), "substring-hits")
+    discard(anchors, shared)
+    cut = keyed.join(hits, ["k1", "k2"]).select("k1", "k2", "data", "runs").mapInArrow(_cut, "a long, r1 long, r2 long, k1 long, k2 long, start int, run binary")
+    runs = materialize(cut, "substring-runs")
+    discard(hits)
+    texts = runs.where("run IS NOT NULL").select("a", "r1", "r2", "run")
+    crowded = texts.select("a", "r1", "r2").distinct().groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_RUNS).select("a")
+    hot = materialize(crowded, "substring-hot")
+    if hot.isEmpty():
+        found = materialize(_searched(texts, "a"), "substring-found")
+    else:
+        some = small_side(hot, HOT_BROADCAST)
+        found = _searched(texts.join(some, "a", "left_anti"), "a")
+        windows = materialize(texts.join(some, "a", "left_semi").select("r1", "r2", "run").mapInArrow(_windows, "w1 long, w2 long, r1 long, r2 long, s int, run binary"), "substring-windows")
+        single = windows.where("run IS NOT NULL").select("w1", "w2", "run")
+        again = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
+        again = materialize(single.join(again, ["w1", "w2"], "left_semi").withColumnsRenamed({"w1": "r1", "w2": "r2"}), "substring-again")
+        seen = _searched(again, "r1").select(F.col("r1").alias("w1"), F.col("r2").alias("w2")).distinct()
+        placed = windows.select("w1", "w2", "r1", "r2", "s").distinct().join(seen, ["w1", "w2"], "left_semi").select("r1", "r2", F.col("s").cast("long"), (F.col("s") + WINDOW).cast("long").alias("t"))
+        found = materialize(found.unionByName(placed), "substring-found")
+        discard(windows, again)
+    per_run = materialize(found.groupBy("r1", "r2").agg(F.collect_set(F.struct("s", "t")).alias("parts")), "substring-parts")
+    discard(hot, found)
     spans = runs.select("k1", "k2", "start", "r1", "r2").join(per_run, ["r1", "r2"]).select("k1", "k2", F.transform("parts", lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["t"] + F.col("start")).alias("t"))).alias("parts"))
-    return spans.groupBy("k1", "k2").agg(F.flatten(F.collect_set("parts")).alias("spans"))
+    spans = materialize(spans.groupBy("k1", "k2").agg(F.flatten(F.collect_set("parts")).alias("spans")), "substring-spans")
+    discard(runs, per_run)
+    return spans
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:

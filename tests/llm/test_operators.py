@@ -157,13 +157,27 @@ def test_substring_dedup(docs, rows, empty, monkeypatch):
     for d, w in words:
         gone = {i + k for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for k in range(35)}
         want[d] = (len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode())
-    for hot in (256, 1):  # both ways of counting
+    for hot in (4096, 1):  # shards of runs, and of the single windows of crowded anchors
         monkeypatch.setattr(substring_dedup, "HOT_RUNS", hot)
         got = substring_dedup.drop_repeats(docs).collect()
         assert len(got) == len(rows) and all((r.n_words, r.n_removed, r.kept) == want[r.doc_id] for r in got)
     assert substring_dedup.drop_repeats(empty).count() == 0
 
 
+def test_substring_anchors_route_equal_windows_together():
+    r = random.Random(1)
+    texts = [b" ".join(b"%d" % r.randrange(3 if i % 2 else 50) for _ in range(r.choice([0, 1, 34, 35, 36, 200]))) for i in range(60)] + [b"", b" \n", b"a"]
+    hashes, words = substring_dedup.word_hashes(texts)
+    assert words.tolist() == [len(t.split()) for t in texts]
+    a, text, start, count = (x.tolist() for x in substring_dedup.anchored_runs(hashes, words))
+    assert sum(count) == sum(max(0, len(t.split()) - 34) for t in texts) and max(count) <= 35 - substring_dedup.GRAM + 1
+    by = defaultdict(list)
+    for x, t, s, c in zip(a, text, start, count):
+        for k in range(s, s + c):
+            by[tuple(texts[t].split()[k : k + 35])].append((x, t, s))
+    assert all(len({x for x, _, _ in v}) == 1 and len(set(v)) == len(v) for v in by.values())
+
+
 def test_fm_index_counts():
     r = random.Random(4)
     t = np.array([r.randrange(4) for _ in range(400)])

@@ -65,6 +65,33 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+
+
+def word_hashes(texts: list[bytes], endings: bool = False) -> tuple[np.ndarray, ...]:
+    """A 64-bit hash of every word of the texts, and the number of words of each text; with endings, a 16-bit code of each word's last two bytes and length too."""
+    data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+    blank = _BLANK[data]
+    begin = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    words = np.diff(np.searchsorted(begin, np.cumsum(size + 1) + 1), prepend=0)
+    if not len(begin):
+        return (np.zeros(0, np.uint64), words, np.zeros(0, np.uint16))[: 2 + endings]
+    end = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    length = end - begin
+    at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    power = np.cumprod(np.append(np.uint64(1), np.full(int(length.max()) - 1, _BASE, np.uint64)), dtype=np.uint64)
+    h = np.add.reduceat((data[~blank].astype(np.uint64) + np.uint64(1)) * power[at], np.cumsum(length) - length)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = h ^ (h >> np.uint64(32))
+    if not endings:
+        return h, words
+    code = (data[end - 1].astype(np.uint32) * 256 + data[end - 2] * (length > 1)) * 31 + np.minimum(length, 24)
+    return h, words, (code * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
+
+
 def pieces(batch, column: int, budget: int = 3 << 20):
     """Split an Arrow record batch into slices of about budget bytes of the given column (one row at least)."""
     sizes = np.asarray(batch.column(column).value_lengths().fill_null(0) if hasattr(batch.column(column), "value_lengths") else _lengths(batch.column(column)))

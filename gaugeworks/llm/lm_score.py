@@ -1,310 +1,290 @@
 """LM scoring by masked pseudo-likelihood.
 
-A bidirectional window network in numpy predicts every word from the two before and the two after it: embeddings,
-a tanh layer and a softmax over word classes; a word's share of its class comes from counts over the whole
-corpus. The summed conditional log-probabilities score a document.
-
-Words are lower-cased (A-Z) and counted exactly, by 64-bit hash, in a table that grows with the distinct words. Texts are
-cut into words once: a chunk of documents keeps its words as numbers into its own list of hashes, and the counts
-are joined to these lists, so that no task holds the whole table. Classes cut the words, by falling count, into parts of
-equal square-root mass; their number and that of the words with a context of their own grow with the vocabulary. Training
-reads every document once: each task fits the network to its own chunks from the same start, and the results are averaged
-by words (one round of local SGD).
+A bidirectional window network in numpy predicts every word from the two before and the two after it: embeddings, a tanh
+layer and a softmax in two steps, over classes and over the leaves of a class. The most frequent words are leaves
+themselves; the others share a leaf with the words of like ending and length, of which each has its share of the leaf's
+occurrences. The summed conditional log-probabilities score a document.
+
+Words are lower-cased (A-Z) and counted exactly, by 64-bit hash, in a table that grows with the distinct words. Only its
+head (a number that grows with the root of the vocabulary, up to MAX_TOP) and a total per leaf go to the tasks; the counts of
+all other words stay a table, joined to the words of each document. Classes and leaves grow with the vocabulary too. Documents
+are dealt by hash of their id and text to trainers, whose number hangs on the size of the corpus alone; in each of ROUNDS rounds
+every trainer fits the network to its part from the same start, and the results are averaged by words (local SGD), so scores
+do not hang on how the table is laid out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, pieces, text_bytes
+from .common import materialize, pieces, text_bytes, word_hashes
 
-#: CLASSES and OWN hold up to BUCKETS distinct words; beyond, they grow with the powers of grown().
-BUCKETS, CLASSES, OWN, DIM, HIDDEN, SIDE = 1 << 17, 64, 2048, 8, 24, 2
-BATCH, RATE, SEED, TRAINERS = 2048, 0.15, 5, 8192
-CHUNK, SEGMENT = 1 << 24, 1 << 17  # bytes of text; words
-SMOOTH = 0.1
-_known: dict[bytes, int] = {}
+#: CLASSES and TOP hold up to VOCABULARY distinct words; beyond, they grow as grown() says.
+VOCABULARY, CLASSES, TOP, MAX_TOP = 1 << 17, 48, 1 << 16, 1 << 20
+DIM, HIDDEN, SIDE = 8, 24, 2
+BATCH, RATE, SEED, ROUNDS, TRAINER_BYTES, MAX_TRAINERS = 8192, 0.2, 5, 2, 12 << 20, 4096
+SLICE, SEGMENT, BLOCK, SMOOTH = 1 << 20, 1 << 16, 1 << 10, 0.1
 
 
 def grown(words: int) -> tuple[int, int]:
-    """(classes, words with a context of their own) for a number of distinct words."""
-    by = max(1.0, words / BUCKETS)
-    return round(CLASSES * by ** (1 / 3)), round(OWN * by**0.5)
+    """(classes, words whose counts go to the tasks) for a number of distinct words."""
+    by = max(1.0, words / VOCABULARY)
+    return round(CLASSES * by**0.125), min(round(TOP * by**0.5), MAX_TOP)
 
 
-def buckets(data: bytes) -> list[int]:
-    """Numbers of a text's words, each word its own, in this process."""
-    return [_known.setdefault(w, len(_known)) for w in data.lower().split()]
-
-
-def vocabulary(n: np.ndarray) -> dict:
-    """From counts by word, in one process: class, share of the class (log) and context id of each."""
-    classes, own = grown(np.count_nonzero(n))
-    order = np.argsort(-n, kind="stable")
-    mass = np.cumsum(np.sqrt(n[order]))  # words not seen all fall in the last class
-    cls = np.empty(len(n), np.int64)
-    cls[order] = np.clip((mass - 1e-9) / max(mass[-1], 1e-9) * classes, 0, classes - 1).astype(np.int64)
-    total = np.bincount(cls, weights=n + SMOOTH, minlength=classes)
-    context = cls + own + 1
-    context[order[:own]] = np.arange(1, min(own, len(n)) + 1)  # 0: beyond the document's ends
-    return {"cls": cls.astype(np.int32), "share": np.log((n + SMOOTH) / total[cls]).astype(np.float32), "context": context.astype(np.int32)}
-
-
-def looked_up(shape: dict, h: np.ndarray, n: np.ndarray) -> dict:
-    """As vocabulary(), for some words' hashes and corpus counts (0: not seen). Words of one count are ordered by hash."""
-    classes, own = shape["sizes"]
-    cls = np.full(len(h), classes - 1)
-    seen = n > 0
-    at = np.searchsorted(shape["n"], n[seen])
-    mass = shape["before"][at] + np.sqrt(n[seen]) * shape["words"][at] * ((h[seen].view(np.uint64) >> np.uint64(11)) / 2.0**53)
-    cls[seen] = np.minimum(mass / shape["mass"] * classes, classes - 1).astype(np.int64)
-    context = cls + own + 1
-    if len(shape["own"]):
-        at = np.minimum(np.searchsorted(shape["own"], h), len(shape["own"]) - 1)
-        context = np.where(seen & (shape["own"][at] == h), at + 1, context)
-    share = np.log((n + SMOOTH) / shape["total"][cls]) if "total" in shape else np.zeros(len(h))
-    return {"cls": cls.astype(np.int32), "share": share.astype(np.float32), "context": context.astype(np.int32)}
+def start(classes: int = CLASSES, seed: int = SEED) -> list[np.ndarray]:
+    """Embeddings of leaves (the first is beyond a text's ends), tanh layer and its bias, classes, leaves of each class (biases in the last rows)."""
+    r = np.random.default_rng(seed)
+    draw = lambda *s: (r.standard_normal(s) / np.sqrt(s[-2])).astype(np.float32)
+    out = [(r.standard_normal((classes * classes + 1, DIM)) * 0.3).astype(np.float32), draw(2 * SIDE * DIM, HIDDEN), np.zeros(HIDDEN, np.float32), draw(HIDDEN + 1, classes), draw(classes, HIDDEN + 1, classes) * np.float32(0.3)]
+    out[3][-1], out[4][:, -1] = 0, 0
+    return out
+
+
+def coded(texts: list[bytes], shape: dict) -> tuple[np.ndarray, ...]:
+    """Of the words of texts: leaf, log of the share of the leaf (but for the count of words beyond the head), hash, whether it is beyond the head; and the number of words of each text."""
+    h, size, ending = word_hashes([t.lower() for t in texts], endings=True)
+    leaf = shape["own"] + ending.astype(np.int64) % shape["classes"]
+    share = -np.log(shape["total"])[leaf - shape["own"]]
+    if len(shape["head"]) and len(h):
+        import pandas as pd
+
+        which, known = pd.factorize(h)
+        at = np.minimum(np.searchsorted(shape["head"], known), len(shape["head"]) - 1)
+        hit = shape["head"][at] == known
+        of = at[which]
+        inside = hit[which]
+        own = inside & (shape["leaf"][of] >= 0)
+        leaf = np.where(own, shape["leaf"][of], leaf)
+        share = np.where(own, 0.0, share + np.where(inside, np.log(shape["n"][of] + SMOOTH), 0.0))
+    else:
+        inside = np.zeros(len(h), bool)
+    return leaf, share, h, ~inside, size
 
 
-class Collected:
-    """The arrays of looked_up() over all words and one not seen, gathered only when asked for."""
+def _segments(size: np.ndarray):
+    """(first text, last, first word, last) of whole texts, about SEGMENT words at a time."""
+    ends, a = np.cumsum(size), 0
+    while a < len(size):
+        before = ends[a] - size[a]
+        b = max(a + 1, int(np.searchsorted(ends, before + SEGMENT, side="right")))
+        yield a, b, int(before), int(ends[b - 1])
+        a = b
 
-    def __init__(self, words: DataFrame, shape: dict):
-        self.words, self.shape = words, shape
 
-    def __getitem__(self, name: str) -> np.ndarray:
-        t = self.words.toPandas()
-        return looked_up(self.shape, np.append(t["h"].to_numpy(np.int64), 0), np.append(t["n"].to_numpy(np.int64), 0))[name]
+def around(leaf: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Embedding rows of the words beside each, SIDE to either side of it in its text."""
+    at = np.arange(len(leaf)) + SIDE * (1 + np.repeat(np.arange(len(size)), size))
+    ctx = np.zeros(len(leaf) + SIDE * (len(size) + 1), np.uint16 if len(leaf) and leaf.max() < 65534 else np.int32)
+    ctx[at] = leaf + 1
+    return np.stack([ctx[at + k] for k in range(-SIDE, SIDE + 1) if k], 1)
 
 
-def start(seed: int = SEED, classes: int = CLASSES, own: int = OWN) -> list[np.ndarray]:
-    r = np.random.default_rng(seed)
-    draw = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-    return [(r.standard_normal((own + classes + 1, DIM)) * 0.3).astype(np.float32), draw(2 * SIDE * DIM, HIDDEN), np.zeros(HIDDEN, np.float32), draw(HIDDEN, classes), np.zeros(classes, np.float32)]
+def _softmax(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of h @ w, no number of h beyond 1: the greatest logit is only looked for where one could overflow."""
+    z = h @ w
+    if np.abs(w).sum(0).max() > 80:
+        z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
+    return z
 
 
-def _numbered(texts: list[bytes]):
-    ids = [buckets(t) for t in texts]
-    return np.array([i for x in ids for i in x], np.int64), np.array([len(x) for x in ids], np.int64)
+def _hidden(p: list[np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The layer's inputs and outputs, with a 1 after these."""
+    x = p[0][ctx].reshape(len(ctx), -1)
+    h = np.ones((len(x), HIDDEN + 1), np.float32)
+    np.tanh(x @ p[1] + p[2], out=h[:, :-1])
+    return x, h
 
 
-def _segments(ids: np.ndarray, size: np.ndarray):
-    """Whole texts, about SEGMENT words at a time."""
-    ends = np.cumsum(size)
+def _by_class(cls: np.ndarray):
+    """(class, rows) in turn."""
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
+    ordered = cls[order]
+    cut = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
     a = 0
-    while a < len(size):
-        before = ends[a] - size[a]
-        b = max(a + 1, int(np.searchsorted(ends, before + SEGMENT, side="right")))
-        yield ids[before : ends[b - 1]], size[a:b]
+    for b in [*cut.tolist(), len(order)]:
+        yield int(ordered[a]), order[a:b]
         a = b
 
 
-def _laid_out(ids: np.ndarray, size: np.ndarray, vocab: dict):
-    """Contexts (words, 2 * SIDE), classes and shares."""
-    at = np.arange(len(ids)) + SIDE * (1 + np.repeat(np.arange(len(size)), size))
-    ctx = np.zeros(len(ids) + SIDE * (len(size) + 1), np.int32)
-    ctx[at] = vocab["context"][ids]
-    around = np.stack([ctx[at + k] for k in range(-SIDE, SIDE + 1) if k], 1)
-    return around, vocab["cls"][ids], vocab["share"][ids]
-
+def log_probs(p: list[np.ndarray], ctx: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """Of each word's leaf given the words around it."""
+    cls, place = np.divmod(leaf, p[3].shape[1])
+    h = _hidden(p, ctx)[1]
+    z = _softmax(h, p[3])
+    out = z[np.arange(len(z)), cls].astype(np.float64)
+    for c, rows in _by_class(cls) if len(cls) else ():
+        out[rows] *= _softmax(h[rows], p[4][c])[np.arange(len(rows)), place[rows]]
+    return np.log(out + 1e-30)
+
+
+class Trainer:
+    """Adagrad on batches of words, over parameters that it changes."""
+
+    def __init__(self, params: list[np.ndarray]):
+        self.params, self.seen, self.words = params, [np.full_like(x, 1e-2) for x in params], 0
+
+    def _step(self, k: int, g: np.ndarray, at=...) -> None:
+        s = self.seen[k][at]
+        s += g * g
+        if at is not ... and not isinstance(at, int):
+            self.seen[k][at] = s
+        self.params[k][at] -= RATE * g / np.sqrt(s)
+
+    def gradients(self, ctx: np.ndarray, leaf: np.ndarray) -> list[tuple]:
+        """Of the mean negative log-probability: (parameter, gradient, rows it is of)."""
+        p, n, out = self.params, len(leaf), []
+        cls, place = np.divmod(leaf, p[3].shape[1])
+        x, h = _hidden(p, ctx)
+        d = _softmax(h, p[3])
+        d[np.arange(n), cls] -= 1
+        out.append((3, h.T @ d / n, ...))
+        dh = d @ p[3][:-1].T
+        for c, rows in _by_class(cls):
+            hc = h[rows]
+            dc = _softmax(hc, p[4][c])
+            dc[np.arange(len(rows)), place[rows]] -= 1
+            dh[rows] += dc @ p[4][c, :-1].T
+            out.append((4, hc.T @ dc / n, c))
+        dh *= (1 - h[:, :-1] ** 2) / n
+        out += [(1, x.T @ dh, ...), (2, dh.sum(0), ...)]
+        dx = (dh @ p[1].T).reshape(-1, DIM)
+        flat = ctx.ravel()
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
+        return [*out, (0, np.add.reduceat(dx[order], first, axis=0), flat[order][first])]
+
+    def fit(self, leaf: np.ndarray, size: np.ndarray) -> None:
+        for a, b, lo, hi in _segments(size):
+            part = leaf[lo:hi]
+            ctx = around(part, size[a:b])
+            for i in range(0, len(part), BATCH):
+                for k, g, at in self.gradients(ctx[i : i + BATCH], part[i : i + BATCH]):
+                    self._step(k, g, at)
+        self.words += len(leaf)
+
+
+def score_texts(texts: list[bytes], model: dict) -> tuple[np.ndarray, ...]:
+    """(number of words, summed log-probability but for the counts of words beyond the head, hashes of these words, their number) of each text, in one process."""
+    leaf, share, h, rare, size = coded(texts, model["shape"])
+    out = np.zeros(len(size))
+    for a, b, lo, hi in _segments(size):
+        if hi > lo:
+            lp = log_probs(model["params"], around(leaf[lo:hi], size[a:b]), leaf[lo:hi]) + share[lo:hi]
+            out[a:b] = np.bincount(np.repeat(np.arange(b - a), size[a:b]), weights=lp, minlength=b - a)
+    count = np.bincount(np.repeat(np.arange(len(size)), size)[rare], minlength=len(size)) if len(h) else np.zeros(len(size), int)
+    return size, out, h[rare], count
+
+
+def _count(batches):
+    """(h, ending, n) of each slice's words."""
+    import pandas as pd
 
-def _forward(p: list[np.ndarray], around: np.ndarray):
-    e, w1, b1, w2, b2 = p
-    x = e[around].reshape(len(around), -1)
-    h = np.tanh(x @ w1 + b1)
-    z = h @ w2 + b2
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return x, h, z
-
-
-def _train(parts, params: list[np.ndarray]) -> int:
-    """One pass of Adagrad over (ids, size, vocab) parts; returns the number of words."""
-    grads = [np.full_like(x, 1e-2) for x in params]
-    words = 0
-
-    def step(k, g):
-        grads[k] += g * g
-        params[k] -= RATE * g / np.sqrt(grads[k])
-
-    for part, sizes, vocab in parts:
-        words += len(part)
-        for ids, size in _segments(part, sizes):
-            around, cls, _ = _laid_out(ids, size, vocab)
-            for i in range(0, len(cls), BATCH):
-                a, y = around[i : i + BATCH], cls[i : i + BATCH]
-                x, h, d = _forward(params, a)
-                d[np.arange(len(y)), y] -= 1
-                d /= len(y)
-                dh = (d @ params[3].T) * (1 - h * h)
-                dx = (dh @ params[1].T).reshape(-1, DIM)
-                flat = a.ravel()
-                order = np.argsort(flat, kind="stable")
-                first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
-                rows, g = flat[order][first], np.add.reduceat(dx[order], first, axis=0)
-                step(3, h.T @ d)
-                step(4, d.sum(0))
-                step(1, x.T @ dh)
-                step(2, dh.sum(0))
-                grads[0][rows] += g * g
-                params[0][rows] -= RATE * g / np.sqrt(grads[0][rows])
-    return words
-
-
-def train_on(chunks, vocab: dict, params: list[np.ndarray]) -> int:
-    """_train() over chunks of texts, in one process."""
-    return _train(((*_numbered(texts), vocab) for texts in chunks), params)
-
-
-def _scores(part: np.ndarray, sizes: np.ndarray, vocab: dict, params: list[np.ndarray]) -> np.ndarray:
-    """Summed log-probability of each text."""
-    out = [np.zeros(0)]
-    for ids, size in _segments(part, sizes):
-        around, cls, share = _laid_out(ids, size, vocab)
-        lp = np.empty(len(cls))
-        for i in range(0, len(cls), BATCH):
-            z = _forward(params, around[i : i + BATCH])[2]
-            lp[i : i + BATCH] = np.log(z[np.arange(len(z)), cls[i : i + BATCH]] + 1e-30)
-        lp += share
-        out.append(np.bincount(np.repeat(np.arange(len(size)), size), weights=lp, minlength=len(size)))
-    return np.concatenate(out)
-
-
-def score_texts(texts: list[bytes], model: dict) -> list[tuple[int, float]]:
-    """(words, summed log-probability) of each text, in one process."""
-    ids, size = _numbered(texts)
-    return list(zip(size.tolist(), _scores(ids, size, model["vocab"], model["params"]).tolist()))
-
-
-def _planes(ids: np.ndarray) -> bytes:
-    """int32 by bytes of equal weight, which compress well."""
-    return ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
-
-
-def _cut(batches):
-    """A row a chunk: doc_ids, words of each text, their numbers in the chunk's list, and that list (hash, count)."""
-    chunk = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for b in pieces(batch, 1, CHUNK):
-            known: dict[bytes, int] = {}
-            ids, size = [], []
-            for data in b.column(1).to_pylist():
-                words = data.lower().split()
-                size.append(len(words))
-                ids.append(np.array([known.setdefault(w, len(known)) for w in words], np.int32))
-            ids = np.concatenate(ids)
-            h = np.array([xxhash.xxh64_intdigest(w) for w in known], np.uint64).view(np.int64)
-            words = pa.StructArray.from_arrays([pa.array(h), pa.array(np.bincount(ids, minlength=len(h)))], ["h", "k"])
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), one(b.column(0)), pa.array([np.array(size, "<i4").tobytes()]), pa.array([_planes(ids)]), one(words)], ["chunk", "doc_ids", "size", "ids", "words"])
-            chunk += 1
-
-
-def _coded(docs: DataFrame, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Chunks of docs (chunk, doc_ids, size, ids, h, n), n being counts' (h, n) or, without counts, docs' own; and the latter."""
-    of = docs.schema["doc_id"].dataType.simpleString()
-    cut = materialize(docs.select("doc_id", text_bytes()).mapInArrow(_cut, f"chunk long, doc_ids array<{of}>, size binary, ids binary, words array<struct<h: bigint, k: bigint>>"), "lm-cut")
-    listed = cut.select("chunk", F.posexplode("words").alias("i", "w")).select("chunk", "i", "w.h", "w.k")
-    if counts is None:
-        same = Window.partitionBy("h")
-        listed = listed.select("chunk", "i", "h", F.sum("k").over(same).alias("n"), (F.max("chunk").over(same) == F.col("chunk")).alias("first"))
-    else:
-        listed = listed.join(counts, "h", "left").select("chunk", "i", "h", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    listed = materialize(listed, "lm-listed")
-
-    def together(chunk, words):
-        i = words["i"].to_numpy()
-        both = []
-        for c in ("h", "n"):
-            x = np.zeros(len(i), np.int64)
-            x[i] = words[c].to_numpy()
-            both.append(pa.array([x.tobytes()]))
-        return pa.table([*(chunk[c] for c in ("chunk", "doc_ids", "size", "ids")), *both], ["chunk", "doc_ids", "size", "ids", "h", "n"])
-
-    pair = cut.select("chunk", "doc_ids", "size", "ids").groupBy("chunk").cogroup(listed.select("chunk", "i", "h", "n").groupBy("chunk"))
-    coded = materialize(pair.applyInArrow(together, f"chunk long, doc_ids array<{of}>, size binary, ids binary, h binary, n binary"), "lm-coded")
-    own = materialize(listed.where("first").select("h", "n"), "lm-words") if counts is None else None
-    discard(cut)
-    discard(listed)
-    return coded, own
-
-
-def _parts(batch, shape: dict):
-    """(doc_ids, ids, size, vocab) of each chunk of a record batch."""
-    for k in range(batch.num_rows):
-        size, ids, h, n = (batch.column(batch.schema.get_field_index(c))[k].as_buffer() for c in ("size", "ids", "h", "n"))
-        doc_ids = batch.column(batch.schema.get_field_index("doc_ids"))[k].values
-        yield doc_ids, _unplaned(ids), np.frombuffer(size, "<i4"), looked_up(shape, np.frombuffer(h, np.int64), np.frombuffer(n, np.int64))
-
-
-def _shape(words: DataFrame) -> dict:
-    """What places words by hash and count: a row a count, the words with a context of their own, a total a class."""
-    levels = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toPandas().sort_values("n")
-    n, k = levels["n"].to_numpy(np.int64), levels["words"].to_numpy(np.int64)
-    mass = np.sqrt(n) * k
-    sizes = grown(int(k.sum()))
-    own = words.orderBy(F.desc("n"), "h").limit(sizes[1]).select("h").toPandas()["h"].to_numpy(np.int64)
-    shape = {"sizes": sizes, "n": n, "words": k, "before": mass.sum() - np.cumsum(mass), "mass": max(mass.sum(), 1e-9), "own": np.sort(own)}
-    shared = words.sparkSession.sparkContext.broadcast(shape)
-
-    def totals(batches):
-        t = np.zeros(sizes[0])
-        for b in batches:
-            n = b.column(1).to_numpy()
-            t += np.bincount(looked_up(shared.value, b.column(0).to_numpy(), n)["cls"], weights=n + SMOOTH, minlength=sizes[0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sizes[0])), pa.array(t)], ["c", "t"])
-
-    rows = words.mapInArrow(totals, "c long, t double").groupBy("c").agg(F.sum("t").alias("t")).toPandas()
-    total = np.zeros(sizes[0])
-    total[rows["c"].to_numpy(int)] = rows["t"]
-    total[-1] += SMOOTH  # of a word not seen
-    return shape | {"total": np.maximum(total, SMOOTH)}
+        for b in pieces(batch, 0, 8 * SLICE):
+            h, _, ending = word_hashes([x.lower() for x in b.column(0).to_pylist()], endings=True)
+            if len(h):
+                which, known = pd.factorize(h)
+                first = np.flatnonzero(which > np.maximum.accumulate(np.append(-1, which[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(ending[first].astype(np.int32)), pa.array(np.bincount(which))], ["h", "ending", "n"])
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(h, ending, n): every distinct word of docs with its exact number of occurrences, as a written table."""
+    counts = docs.select(text_bytes()).mapInArrow(_count, "h long, ending int, n long")
+    return materialize(counts.groupBy("h").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")), "lm-words")
+
+
+def shaped(words: DataFrame) -> dict:
+    """What the tasks need of the counts: the head's hashes, counts and leaves, and a total for each shared leaf.
+
+    The head are the words with more occurrences than a threshold, the least that leaves at most grown() of them; of these, the first
+    (by count, then hash) have leaves of their own. The driver gets a row for each different count, the head and a row a leaf.
+    """
+    levels = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toPandas().sort_values("n", ascending=False)
+    classes, top = grown(int(levels["words"].sum()))
+    fits = levels["n"].to_numpy()[levels["words"].cumsum().to_numpy() <= top]
+    least = int(fits[-1]) if len(fits) else 1 << 62
+    head = words.where(F.col("n") >= least).toPandas().astype({"h": np.int64, "n": np.int64})
+    own = classes * (classes - 1)
+    head = head.assign(u=head["h"].to_numpy(np.int64).view(np.uint64)).sort_values(["n", "u"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    head["leaf"] = np.where(np.arange(len(head)) < own, np.arange(len(head)), -1)
+    groups = words.groupBy(F.pmod("ending", F.lit(classes)).alias("g")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).toPandas()
+    total = np.full(classes, SMOOTH)
+    total[groups["g"].to_numpy(int)] += groups["n"].to_numpy(float) + SMOOTH * groups["k"].to_numpy(float)
+    mine = head["leaf"].to_numpy() >= 0
+    np.subtract.at(total, head["ending"].to_numpy(int)[mine] % classes, head["n"].to_numpy(float)[mine] + SMOOTH)
+    head = head.sort_values("u")
+    return {"classes": classes, "sizes": (classes, top), "own": own, "head": head["u"].to_numpy(np.uint64), "n": head["n"].to_numpy(np.int64), "leaf": head["leaf"].to_numpy(np.int32), "total": np.maximum(total, SMOOTH)}
+
+
+def _train(batches, params: list[np.ndarray], shape: dict):
+    """(block, words, values): the trained parameters times the words seen, BLOCK numbers a row."""
+    t = Trainer([x.copy() for x in params])
+    for batch in batches:
+        for b in pieces(batch, 0):
+            leaf, *_, size = coded(b.column(0).to_pylist(), shape)
+            t.fit(leaf, size)
+    if t.words:
+        x = np.concatenate([p.ravel() for p in t.params]).astype(np.float64) * t.words
+        blocks = np.split(x, range(BLOCK, len(x), BLOCK))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([t.words] * len(blocks), pa.int64()), pa.array([v.tobytes() for v in blocks], pa.binary())], ["block", "words", "x"])
 
 
-def fit(docs: DataFrame) -> dict:
-    """Exact counts and averaged network from all rows of docs. The counts stay a table; the driver gets a row a different count, the own contexts' words and the parameters."""
-    coded, words = _coded(docs)
-    shape = _shape(words)
-    shared = docs.sparkSession.sparkContext.broadcast(shape)
+def _mean(table: pa.Table) -> pa.Table:
+    order = np.argsort(table["words"].to_numpy(), kind="stable")
+    total = sum(np.frombuffer(table["x"][int(i)].as_buffer(), np.float64) for i in order)
+    return pa.table([table["block"][:1], pa.array([(total / table["words"].to_numpy().sum()).astype(np.float32).tobytes()], pa.binary())], ["block", "x"])
 
-    def run(batches):
-        params = start(SEED, *shared.value["sizes"])
-        n = _train((part[1:] for batch in batches for part in _parts(batch, shared.value)), params)
-        if n:
-            x = np.concatenate([p.ravel() for p in params]).astype(np.float64) * n
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x) + 1)), pa.array(np.append(x, n))], ["i", "x"])
-
-    sums = coded.coalesce(TRAINERS).mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
-    params = start(SEED, *shape["sizes"])
-    if len(sums):
-        v = sums.sort_values("i")["x"].to_numpy()
-        mean, at = (v[:-1] / v[-1]).astype(np.float32), 0
-        for p in params:
-            p[...] = mean[at : at + p.size].reshape(p.shape)
-            at += p.size
-    return {"vocab": Collected(words, shape), "params": params, "words": words, "shape": shape, "docs": docs, "coded": coded}
+
+def fit(docs: DataFrame) -> dict:
+    """Exact counts and the averaged network from all rows of docs. The counts stay a table; the driver gets what shaped() says and the parameters."""
+    spark = docs.sparkSession
+    words = word_counts(docs)
+    shape = shaped(words)
+    # Dealt by content: the same rows reach the same trainer in the same order, however the input lies.
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), text_bytes().alias("data"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    trainers = min(MAX_TRAINERS, 1 + size // (ROUNDS * TRAINER_BYTES))
+    params = start(shape["classes"])
+    for turn in range(ROUNDS):
+        begun = spark.sparkContext.broadcast((params, shape))
+        part = keyed.where(F.pmod("key", F.lit(ROUNDS)) == turn).withColumn("trainer", F.pmod(F.shiftright("key", 8), F.lit(trainers)).cast("int"))
+        part = part.repartitionById(trainers, "trainer").sortWithinPartitions("key").select("data")
+        sums = part.mapInArrow(lambda batches, given=begun: _train(batches, *given.value), "block int, words long, x binary")
+        got = sums.groupBy("block").applyInArrow(_mean, "block int, x binary").toPandas().sort_values("block")
+        if len(got):
+            mean, at = np.frombuffer(b"".join(map(bytes, got["x"])), np.float32), 0
+            for k, p in enumerate(params):
+                params[k] = mean[at : at + p.size].reshape(p.shape)
+                at += p.size
+    return {"params": params, "words": words, "shape": shape}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, n_words, log_prob, per_word) for every row; a text without words (or null) has log_prob 0 and a null per_word. Repeated rows each get a row, an empty table none."""
-    coded = model["coded"] if docs is model["docs"] else _coded(docs, model["words"])[0]
-    shared = docs.sparkSession.sparkContext.broadcast((model["shape"], model["params"]))
+    shared = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("params", "shape")})
 
     def run(batches):
-        shape, params = shared.value
+        key = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for doc_ids, ids, size, vocab in _parts(batch, shape):
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(size, pa.int64()), pa.array(_scores(ids, size, vocab, params))], ["doc_id", "n_words", "log_prob"])
+            for b in pieces(batch, 1, SLICE):
+                n, lp, h, count = score_texts(b.column(1).to_pylist(), shared.value)
+                rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + len(n))), b.column(0), pa.array(n, pa.int64()), pa.array(lp), rare], ["key", "doc_id", "n_words", "lp", "rare"])
+                key += len(n)
 
-    out = coded.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, log_prob double")
+    of = docs.schema["doc_id"].dataType.simpleString()
+    scored = materialize(docs.select("doc_id", text_bytes()).mapInArrow(run, f"key long, doc_id {of}, n_words long, lp double, rare array<long>"), "lm-scored")
+    rare = scored.select("key", F.explode("rare").alias("h"))
+    least = int(model["shape"]["n"].min()) if len(model["shape"]["n"]) else 1 << 62
+    counts = model["words"].where(F.col("n") < least).select("h", F.log(F.col("n") + SMOOTH).alias("share"))
+    shares = rare.join(counts, "h", "left").groupBy("key").agg(F.sum(F.coalesce("share", F.lit(float(np.log(SMOOTH))))).alias("shares"))
+    out = scored.drop("rare").join(shares, "key", "left").select("doc_id", "n_words", (F.col("lp") + F.coalesce("shares", F.lit(0.0))).alias("log_prob"))
     return out.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))

@@ -18,13 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, pieces, small_side, text_bytes
+from .common import discard, materialize, pieces, small_side, text_bytes, word_hashes
 from .fmindex import FMIndex, repeats
 
 WINDOW, GRAM, HOT_RUNS, SHARD_WORDS = 35, 12, 4096, 800_000
 SEEN, HOT_BROADCAST = 100_000, 100_000
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
 _B = 0x9E3779B97F4A7C15
 
 
@@ -59,24 +57,6 @@ def _sliding_min(v: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (k - at)], v[k - at :]) if k > at else v
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word of the texts, and the number of words of each text. Equal words have equal hashes; nothing more is asked of them."""
-    data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
-    blank = _BLANK[data]
-    begin = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    after = np.cumsum(size + 1) + 1
-    words = np.diff(np.searchsorted(begin, after), prepend=0)
-    if not len(begin):
-        return np.zeros(0, np.uint64), words
-    length = np.flatnonzero(~blank[:-1] & blank[1:]) + 1 - begin
-    at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    power = np.cumprod(np.append(np.uint64(1), np.full(int(length.max()) - 1, _B | 1, np.uint64)), dtype=np.uint64)
-    h = np.add.reduceat((data[~blank].astype(np.uint64) + np.uint64(1)) * power[at], np.cumsum(length) - length)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32)), words
-
-
 def anchored_runs(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts laid end to end: anchor, text, first window and number of windows of each run."""
     if len(hashes) < WINDOW:

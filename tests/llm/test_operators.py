@@ -252,41 +252,74 @@ def test_lm_score(docs, rows, empty):
     model = lm_score.fit(docs)
     got = lm_score.score(docs, model).collect()
     assert len(got) == len(rows)
+    counts = Counter(w for _, t, *_ in rows for w in (t or "").lower().encode().split())
+    assert sorted(r.n for r in model["words"].collect()) == sorted(counts.values())
+    text = {d: (t or "").lower().encode() for d, t, *_ in rows}
+    shape, params = model["shape"], model["params"]
+    classes = shape["classes"]
     for r in got:
-        assert (r.n_words == 0) == (r.per_word is None) and r.log_prob <= 0
-    share = np.bincount(model["vocab"]["cls"], weights=np.exp(model["vocab"]["share"].astype(float)), minlength=lm_score.CLASSES)
-    assert np.allclose(share[share > 0], 1, atol=1e-3)
-    r = random.Random(8)
-    ordered = [" ".join(["a b c d e f g h"] * 20).encode() for _ in range(200)]
-    vocab = lm_score.vocabulary(np.bincount([i for t in ordered for i in lm_score.buckets(t)], minlength=lm_score.BUCKETS).astype(float))
-    params = lm_score.start()
-    lm_score.train_on([ordered] * 5, vocab, params)
-    mixed = ordered[0].split()
-    r.shuffle(mixed)
-    (_, good), (_, bad) = lm_score.score_texts([ordered[0], b" ".join(mixed)], {"vocab": vocab, "params": params})
-    assert good > bad + 50
+        words = text[r.doc_id].split()
+        assert r.n_words == len(words) and (r.n_words == 0) == (r.per_word is None)
+        if not 0 < len(words) < 200:
+            continue
+        # brute force: every word from the two on either side, through a plain softmax over all leaves
+        leaf = lm_score.coded([text[r.doc_id]], shape)[0].tolist()
+        want = 0.0
+        for i, w in enumerate(words):
+            ctx = [leaf[j] + 1 if 0 <= j < len(words) else 0 for j in (i - 2, i - 1, i + 1, i + 2)]
+            h = np.append(np.tanh(np.concatenate([params[0][c] for c in ctx]).astype(float) @ params[1] + params[2]), 1)
+            first = np.exp(h @ params[3])
+            p = np.concatenate([first[c] / first.sum() * (e := np.exp(h @ params[4][c])) / e.sum() for c in range(classes)])
+            assert math.isclose(p.sum(), 1, rel_tol=1e-5)
+            share = 1.0 if leaf[i] < shape["own"] else (counts[w] + lm_score.SMOOTH) / shape["total"][leaf[i] - shape["own"]]
+            want += math.log(p[leaf[i]]) + math.log(share)
+        assert math.isclose(r.log_prob, want, rel_tol=1e-4)
+    # the same scores however the rows lie
+    other = docs.repartition(7)
+    again = Counter((r.doc_id, round(r.log_prob, 4)) for r in lm_score.score(other, lm_score.fit(other)).collect())
+    assert again == Counter((r.doc_id, round(r.log_prob, 4)) for r in got)
     assert lm_score.score(empty, lm_score.fit(empty)).count() == 0
 
 
-def test_lm_score_counts_words_exactly(spark):
-    seen: dict[int, str] = {}
-    for i in range(10**6):
-        w = f"w{i}"
-        other = seen.setdefault(xxhash.xxh64_intdigest(w.encode()) & 0x1FFFF, w)
-        if other != w:
-            break
-    texts = [" ".join(f"x{k}" for k in range(i * 5000, i * 5000 + 5000)) for i in range(40)] + [w] * 6 + [other]
+def test_lm_score_gradients():
+    r = np.random.default_rng(2)
+    t = lm_score.Trainer([x.astype(np.float64) for x in lm_score.start(5)])
+    ctx, leaf = r.integers(0, 26, (40, 4)), r.integers(0, 25, 40)
+    full = [np.zeros_like(p) for p in t.params]
+    for k, g, at in t.gradients(ctx, leaf):
+        full[k][at] += g
+    for k, p in enumerate(t.params):
+        for _ in range(6):
+            at = tuple(int(r.integers(0, n)) for n in p.shape)
+            old, e = p[at], 1e-3
+            p[at] = old + e
+            up = lm_score.log_probs(t.params, ctx, leaf).mean()
+            p[at] = old - e
+            down = lm_score.log_probs(t.params, ctx, leaf).mean()
+            p[at] = old
+            assert abs((down - up) / (2 * e) - full[k][at]) < 1e-4
+
+
+def test_lm_score_learns_order_and_counts_exactly(spark):
+    r = random.Random(8)
+    text = lambda: " ".join(f"{a}{k} {b}{k} {c}{k}" for k in (r.randrange(8) for _ in range(60)) for a, b, c in [r.choice([("the", "cat", "sat"), ("a", "dog", "ran"), ("my", "cow", "hid")])])
+    rare = " ".join(f"x{k}" for k in range(160_000))
+    texts = [text() for _ in range(1500)] + [rare, "twice1 twice2", "twice1 twice2", "once1 once2"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     model = lm_score.fit(docs)
-    got = {r.doc_id: r for r in lm_score.score(docs, model).collect()}
-    assert got[40].per_word == got[45].per_word > got[46].per_word + 1
-    assert model["words"].count() == 200_002 and sorted(r.n for r in model["words"].where("n > 1").collect()) == [6]
-    assert model["shape"]["sizes"][0] > lm_score.CLASSES and model["shape"]["sizes"][1] > lm_score.OWN
-    again = {r.doc_id: r for r in lm_score.score(docs.select("*"), model).collect()}
-    assert all(math.isclose(got[k].log_prob, again[k].log_prob, rel_tol=1e-6) for k in got)
-    fresh = spark.createDataFrame([(1, "never-seen"), (2, other), (3, None)], "doc_id long, text string")
-    new = {r.doc_id: r for r in lm_score.score(fresh, model).collect()}
-    assert new[1].per_word < new[2].per_word and new[3].per_word is None
+    assert model["words"].count() == 160_000 + 72 + 4 and model["shape"]["sizes"] == lm_score.grown(160_076)
+    assert model["shape"]["classes"] > lm_score.CLASSES and model["shape"]["sizes"][1] > lm_score.TOP and len(model["shape"]["head"]) < 100
+    held = [text() for _ in range(40)]
+    mixed = [" ".join(r.sample(t.split(), len(t.split()))) for t in held]
+    fresh = spark.createDataFrame(list(enumerate([*held, *mixed, "never seen", "twice1 twice2", None])), "doc_id long, text string")
+    got = {x.doc_id: x.per_word for x in lm_score.score(fresh, model).collect()}
+    n = Counter(w for t in texts for w in t.split())
+    unigram = np.mean([math.log(n[w] / n.total()) for t in held for w in t.split()])
+    ordered = np.mean([got[i] for i in range(40)])
+    assert ordered > unigram + 0.5 and ordered > np.mean([got[40 + i] for i in range(40)]) + 0.5
+    assert got[80] < got[81] - 0.5 and got[82] is None
+    own = {x.doc_id: x.per_word for x in lm_score.score(docs, model).collect()}
+    assert own[1501] == own[1502] > own[1503]
 
 
 def test_pieces(docs, rows, empty):

@@ -111,8 +111,22 @@ def _lengths(array):
     return pc.binary_length(array).fill_null(0)
 
 
+HOT_ROWS, HOT_KEYS = 1_000, 100_000
+
+
+def join_counted(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """rows joined to side on key; both are written tables, and side has one row a key with n, the number of rows of that key.
+
+    Keys of very many rows would each fill a task; there are at most HOT_KEYS of more than a HOT_KEYS-th of all rows, and these are broadcast.
+    """
+    cut = max(HOT_ROWS, (side.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    hot, cold = side.where(F.col("n") > cut).drop("n"), side.where(F.col("n") <= cut).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components by randomised contraction: (node, root) for every node with an edge.
+    """Connected components by randomised contraction: a written table (node, root) of every node with an edge.
 
     edges has long columns u and v. Each round every node points to the neighbour, or itself,
     with the least hash; edges are relabelled and loops dropped, which leaves at most three
@@ -133,7 +147,10 @@ def components(edges: DataFrame) -> DataFrame:
         steps.append(step)
     if not steps:
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    discard(e)
     out = steps[0].select(F.col("u").alias("node"), F.col("r").alias("root"))
     for step in steps[1:]:
         out = out.join(step.select(F.col("u").alias("root"), "r"), "root", "left").select("node", F.coalesce("r", "root").alias("root"))
+    out = materialize(out, "components")
+    discard(*steps)
     return out

@@ -53,6 +53,6 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN
         joined = docs.alias("d").join(side.alias("h"), F.expr("d.source <=> h.host"), "left")
     lines = _lines(F.col("d.text"))
     kept = F.when(F.col("h.bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("h.bad"), F.xxhash64(_bare(x))) | (_bare(x) == "")))
-    out = joined.select(*[F.col(f"d.`{c}`") for c in docs.columns if c != "text"], F.array_join(kept, "\n").alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("__all"), F.coalesce(F.size(kept), F.lit(0)).alias("__kept"))
-    out = out.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.col("__all")).cast("long"), "n_dropped": F.when(F.col("text").isNull(), 0).otherwise(F.col("__all") - F.col("__kept")).cast("long")})
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    count = lambda x: F.when(F.col("d.text").isNull(), 0).otherwise(x).cast("long")
+    out = [F.array_join(kept, "\n").alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
+    return joined.select(*out, count(F.size(lines)).alias("n_lines"), count(F.size(lines) - F.size(kept)).alias("n_dropped"))

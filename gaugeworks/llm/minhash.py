@@ -14,10 +14,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialize
+from .common import BLANKS, discard, materialize
 
 BINS, BITS, SHINGLE, SEED = 128, 8, 5, 42
-GROUP = 2048  # ids that one window group of following() holds
+GROUP, MAX_PARTS = 2048, 10_000  # ids of one window of following(), and the most windows
 
 
 def _let(value: Column, body) -> Column:
@@ -80,20 +80,19 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def following(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id): the next greater of distinct non-null ids, null after the last.
+    """(doc_id, next_id): the next greater of distinct non-null ids of a written table, null after the last.
 
-    Ids are cut by value into groups of about GROUP, each a window; the last of a group takes the
-    first of the next one, found the same way among the groups' first ids.
+    Ids are dealt by range (cut at quantiles that Spark samples) into parts of about GROUP, or more where that would make over MAX_PARTS,
+    each a window; the last of a part takes the first of the next one, of which there is one row a part.
     """
-    n, lo, hi = ids.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    n = ids.count()
     if n <= GROUP:
         return ids.select("doc_id", F.lead("doc_id").over(Window.orderBy("doc_id")).alias("next_id"))
-    width = -(-(hi - lo + 1) // -(-n // GROUP))
-    cut = ids.select("doc_id", F.expr(f"(doc_id - {lo}) div {width}").alias("g"))
+    cut = materialize(ids.select("doc_id").repartitionByRange(min(MAX_PARTS, n // GROUP + 1), "doc_id").withColumn("g", F.spark_partition_id()), "minhash-parts")
     inner = cut.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("g").orderBy("doc_id")))
-    heads = materialize(cut.groupBy("g").agg(F.min("doc_id").alias("doc_id")), "minhash-heads")
-    turn = heads.join(following(heads.select("doc_id")), "doc_id").select("g", F.col("next_id").alias("head"))
-    return inner.join(turn, "g").select("doc_id", F.coalesce("next_id", "head").alias("next_id"))
+    heads = cut.groupBy("g").agg(F.min("doc_id").alias("doc_id"))  # at most MAX_PARTS rows
+    turn = heads.select("g", F.lead("doc_id").over(Window.orderBy("doc_id")).alias("head"))
+    return inner.join(F.broadcast(turn), "g").select("doc_id", F.coalesce("next_id", "head").alias("next_id"))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -109,6 +108,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     first = ids.agg(F.min("doc_id")).first()[0]
     nxt = materialize(following(ids.select("doc_id")).join(ids, "doc_id").select("doc_id", F.coalesce("next_id", F.lit(first)).alias("next_id"), "q"), "minhash-next")
     need = nxt.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "q")
+    discard(ids)
     # Where need is small its join is broadcast and the texts move once; else they move for either join.
     starts = d.join(need, "doc_id", "left").select("for_id", F.substr("text", F.lit(1), F.col("q").cast("int")).alias("start")).groupBy("for_id").agg(F.min("start").alias("start"))
     q = F.expr("n_chars div 4").cast("int")

@@ -6,7 +6,7 @@ target; in the last few blocks single documents are chosen by hash thresholds, s
 choice can be made row by row. The block draws of all sources are then dealt to output
 shards: at each node of a binary tree over the shards the sources' exact quotas are split by
 sequential draws without replacement (which is the multivariate hypergeometric law), every
-shard takes the next run of each source's permuted blocks, and rows are shuffled inside a shard.
+shard takes the next run of each source's permuted blocks, a document is taken once by each draw of its block, and rows are shuffled inside a shard.
 All randomness is hashes of the seed and the keys, so reruns agree.
 """
 
@@ -24,6 +24,9 @@ BLOCKS, DOCS_A_BLOCK, REGION_DOCS, PASSES = 256, 4, 512, 4
 SOURCES_BROADCAST, PLAN_BROADCAST, ROWS_A_PART = 50_000, 50_000, 20_000
 
 
+ADDED = ["mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_shards"]
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -88,15 +91,17 @@ def _block(blocks: Column, seed: int) -> Column:
 
 def plan(narrow: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, n_shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(sources, blocks): what the mix takes of every block. narrow is a written table (doc_id, source, size)."""
-    per_source = targets(narrow, weights, max_repeats).withColumns({"s": F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long"), "n_blocks": F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.expr(f"n_docs div {DOCS_A_BLOCK}"))), "rounds": F.when(F.col("source_size") == 0, 0).otherwise(F.least(F.lit(max_repeats), F.floor(F.col("target") / F.col("source_size"))))})
+    per_source = targets(narrow, weights, max_repeats).withColumns({"s": F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long"), "n_blocks": F.greatest(F.lit(1), F.least(F.greatest(F.lit(BLOCKS), F.floor(F.sqrt("n_docs"))), F.expr(f"n_docs div {DOCS_A_BLOCK}"))), "rounds": F.when(F.col("source_size") == 0, 0).otherwise(F.least(F.lit(max_repeats), F.floor(F.col("target") / F.col("source_size"))))})
     sources = materialize(per_source.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("rounds") * F.col("source_size"))), "mix-sources")
     keyed = _keyed(narrow, sources, seed)
     permuted = Window.partitionBy("s").orderBy("key", "block")
     blocks = keyed.groupBy("s", "block", "rounds", "rest").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")).withColumn("key", F.xxhash64(F.lit(seed), F.lit("permute"), "s", "block"))
     blocks = blocks.withColumns({"upto": F.sum("words").over(permuted), "docs_upto": F.sum("docs").over(permuted)})
-    blocks = blocks.withColumns({"full": F.col("upto") <= F.col("rest"), "docs_full": F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("docs_upto"))).over(Window.partitionBy("s")), F.lit(0)), "words_full": F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).over(Window.partitionBy("s")), F.lit(0))})
-    blocks = materialize(blocks.withColumn("region", ~F.col("full") & (F.col("docs_upto") - F.col("docs") < F.col("docs_full") + REGION_DOCS)), "mix-blocks")
-    # single documents of each source's region: by rising hash as long as they fit, then again among the smaller ones left
+    full = (F.col("upto") <= F.col("rest")) & (F.col("rest") > 0)  # where whole rounds meet the target, nothing is drawn beyond them, no empty text either
+    blocks = blocks.withColumns({"full": full, "docs_full": F.coalesce(F.max(F.when(full, F.col("docs_upto"))).over(Window.partitionBy("s")), F.lit(0)), "words_full": F.coalesce(F.max(F.when(full, F.col("upto"))).over(Window.partitionBy("s")), F.lit(0))})
+    blocks = materialize(blocks.withColumn("region", ~F.col("full") & (F.col("rest") > F.col("words_full")) & (F.col("docs_upto") - F.col("docs") < F.col("docs_full") + REGION_DOCS)), "mix-blocks")
+    # single documents of each source's region: by rising hash as long as they fit, then again among the smaller ones left;
+    # at last the one that comes nearest to what is missing, if the source is nearer to its target with it than without
     side = small_side(blocks.where("region").select("s", "block", (F.col("rest") - F.col("words_full")).alias("e0")), PLAN_BROADCAST)
     left = materialize(keyed.select("s", "block", "size", "hash").join(side, ["s", "block"]).select("s", "hash", "size", "e0"), "mix-region")
     chosen = None
@@ -109,12 +114,14 @@ def plan(narrow: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, n_s
         got = got.drop("got")
         chosen = got if chosen is None else chosen.join(got, "s", "full")
     rooms = left.groupBy("s").agg(*[F.first(f"e{k}").alias(f"e{k}") for k in range(1, PASSES)])
-    marks = chosen.join(rooms, "s", "left")
+    last = left.groupBy("s", "hash", f"e{PASSES}").agg(F.sum("size").alias("size")).withColumn("off", F.abs(F.col(f"e{PASSES}") - F.col("size"))).where(F.col("off") < F.col(f"e{PASSES}"))
+    last = last.groupBy("s").agg(F.min(F.struct("off", "hash"))["hash"].alias("last"))
+    marks = chosen.join(rooms, "s", "left").join(last, "s", "full")
     draws = blocks.select("s", "block", "key", F.explode(F.expr("if(rounds + cast(full OR region AS int) > 0, sequence(1, cast(rounds + cast(full OR region AS int) AS int)), cast(array() AS array<int>))")).alias("copy"))
     cuts = split_quotas(draws.groupBy("s").agg(F.count(F.lit(1)).alias("q")), n_shards, seed)
     order = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed), F.lit("draw"), "key", "copy"), "block", "copy")
     dealt = draws.withColumn("at", F.row_number().over(order)).join(cuts, "s").withColumn("shard", F.size(F.filter("cuts", lambda c: c < F.col("at"))))
-    shards = dealt.groupBy("s", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("shards"))
+    shards = dealt.groupBy("s", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("draws"))
     out = blocks.select("s", "block", "full", "region", (F.col("rest") - F.col("words_full")).alias("e0")).join(shards, ["s", "block"], "left").join(marks, "s", "left")
     return sources, materialize(out, "mix-plan")
 
@@ -129,9 +136,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, n_shar
     """docs plus mix_size, mix_source_size, mix_target, mix_copies and mix_shards (the shard of each copy).
 
     Sizes are words; a null text has none. Null sources are one source, the last. Rows with the
-    same doc_id (or none) are chosen together; repeated rows each count. An empty table gives no
-    rows; if all texts are empty, targets are 0.
+    same doc_id (or none) are chosen together; repeated rows each count. Columns of docs that bear the added names are
+    replaced. An empty table gives no rows; if all texts are empty, targets are 0 and nothing is drawn.
     """
+    docs = docs.drop(*ADDED)
     sized = docs.withColumn("mix_size", n_words(F.col("text")))
     narrow = materialize(sized.select("doc_id", "source", F.col("mix_size").alias("size")), "mix-sizes")
     sources, blocks = plan(narrow, weights, max_repeats, n_shards, seed)
@@ -152,9 +160,12 @@ def _apply(columns: list[str], rows: DataFrame, sources: DataFrame, blocks: Data
     b = small_side(blocks, PLAN_BROADCAST).select(*[F.col(c).alias(f"__b_{c}") for c in blocks.columns])
     d = d.join(b, (F.col("__s") == F.col("__b_s")) & (F.col("__block") == F.col("__b_block")))
     fits = [F.coalesce((F.col("__hash") <= F.col(f"__b_t{k}")) & (F.col("mix_size") <= F.col(f"__b_e{k}")), F.lit(False)) for k in range(PASSES)]
+    fits.append(F.coalesce(F.col("__hash") == F.col("__b_last"), F.lit(False)))
     extra = F.col("__b_full") | (F.col("__b_region") & reduce(lambda a, b: a | b, fits))
-    copies = (F.col("__rounds") + extra.cast("int")).cast("int")
-    return d.withColumn("mix_copies", copies).select(*columns, "mix_size", F.col("__source_size").alias("mix_source_size"), F.col("__target").alias("mix_target"), "mix_copies", F.slice(F.coalesce("__b_shards", F.expr("cast(array() AS array<int>)")), F.lit(1), F.col("mix_copies")).alias("mix_shards"))
+    # a document is taken by every shard that drew its block, in a block's last draw only if it is among those that fit
+    mine = F.filter(F.coalesce("__b_draws", F.expr("cast(array() AS array<struct<copy:int,shard:int>>)")), lambda x: (x["copy"] <= F.col("__rounds")) | extra)
+    out = d.withColumn("mix_shards", F.transform(mine, lambda x: x["shard"])).withColumn("mix_copies", F.size("mix_shards"))
+    return out.select(*[F.col(f"`{c}`") for c in columns], "mix_size", F.col("__source_size").alias("mix_source_size"), F.col("__target").alias("mix_target"), "mix_copies", "mix_shards")
 
 
 def drawn(docs: DataFrame, **options) -> DataFrame:
@@ -164,8 +175,9 @@ def drawn(docs: DataFrame, **options) -> DataFrame:
     """
     seed, n_shards = options.get("seed", SEED), options.get("n_shards", SHARDS)
     m = -(-max(docs.count(), 1) // (n_shards * ROWS_A_PART))
-    rows = mix(docs, **options).select("*", F.posexplode("mix_shards").alias("__copy", "__shard"))
+    own = {c: f"__own_{c}" for c in docs.columns if c in ADDED}
+    rows = mix(docs.withColumnsRenamed(own), **options).select("*", F.posexplode("mix_shards").alias("__copy", "__shard"))
     rows = rows.withColumn("__at", F.xxhash64(F.lit(seed), "__shard", "doc_id", "__copy"))
     slot = F.least(F.floor((F.col("__at") / float(1 << 64) + 0.5) * m), F.lit(m - 1))
     parts = rows.withColumn("__part", (F.col("__shard") * m + slot).cast("int")).repartitionById(n_shards * m, "__part")
-    return parts.sortWithinPartitions("__part", "__at").select(*docs.columns)
+    return parts.sortWithinPartitions("__part", "__at").select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])

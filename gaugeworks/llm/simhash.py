@@ -8,7 +8,7 @@ member keeps every link's connectivity without writing out pairs.
 A lossless screen goes first. Cut the 64 bits in three blocks; of two fingerprints at most
 four bits apart, one block holds two of the differences (or all, if fewer), so the rest agrees up to two
 bits and again meets half-way, at one flip. Fingerprints alone in all their 131 screen keys have
-no partner and emit no ball. Its selectivity is about 3e-10 a pair.
+no partner and emit no ball. Its selectivity is about 3e-10 a pair. Colliding pairs are verified by their number of differing bits.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, materialize, text_bytes
+from .common import components, discard, join_counted, materialize, text_bytes
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 ROWS_A_TASK = 1_000_000
@@ -87,11 +87,14 @@ def _ball() -> list[int]:
 
 
 def _clique_stars(keyed: DataFrame) -> DataFrame:
-    """(u, v): every fp of a shared key with the key's least fp. A key of two fps gives its edge at once; only keys of more are joined back."""
+    """A written table (u, v): every fp of a shared key with the key's least fp. A key of two fps gives its edge at once; only keys of more are joined back."""
     shared = materialize(keyed.groupBy("k").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-shared")
     pairs = shared.where("n = 2").select(F.col("b").alias("u"), F.col("a").alias("v"))
     more = keyed.join(shared.where("n > 2").select("k", "a").hint("shuffle_hash"), "k").where("fp <> a")
-    return pairs.unionByName(more.select(F.col("fp").alias("u"), F.col("a").alias("v"))).distinct()
+    colliding = pairs.unionByName(more.select(F.col("fp").alias("u"), F.col("a").alias("v"))).distinct()
+    out = materialize(colliding.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS), "simhash-links")
+    discard(shared)
+    return out
 
 
 def _dealt(fps: DataFrame, fan_out: int) -> DataFrame:
@@ -104,7 +107,17 @@ def links(fps: DataFrame) -> DataFrame:
     keyed = _dealt(fps, 131).select("fp", F.explode(_screen_keys(F.col("fp"))).alias("k"))
     shared = keyed.groupBy("k").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("k")
     near = materialize(keyed.join(shared.hint("shuffle_hash"), "k", "left_semi").select("fp").distinct(), "simhash-screen")
-    return _clique_stars(_dealt(near, 2081).select("fp", F.explode(_xor(F.col("fp"), _ball())).alias("k")))
+    out = _clique_stars(_dealt(near, 2081).select("fp", F.explode(_xor(F.col("fp"), _ball())).alias("k")))
+    discard(near)
+    return out
+
+
+def rooted(fps: DataFrame) -> DataFrame:
+    """A written table (fp, root) of the fingerprints with a link."""
+    edges = links(fps)
+    out = components(edges).withColumnRenamed("node", "fp")
+    discard(edges)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -115,12 +128,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member, when component_id is null. An empty table gives no rows.
     """
     rows = materialize(fingerprints(docs), "simhash")
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    root = materialize(components(links(fps.select("fp"))).withColumnRenamed("node", "fp"), "simhash-roots")
-    linked = root.join(fps, "fp")
-    named = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = fps.join(root.join(named, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    root = materialize(rooted(fps.select("fp")), "simhash-roots")
+    named = materialize(root.join(fps, "fp").groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash-named")
+    of = join_counted(root, named, "root").select("fp", "component_id")
+    names = materialize(fps.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"), "simhash-names")
+    discard(fps, root, named)
+    return join_counted(rows, names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _with_fingerprint(docs: DataFrame) -> DataFrame:
@@ -136,17 +150,18 @@ def _with_fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each component, whatever the ids: of the least doc_id; of rows with that id, of the least fingerprint, then the least by text. Rows without doc_id are reduced to one a component by themselves, beside the one with an id."""
+    """One row of each component, whatever the ids: of the least doc_id; of rows with that id, of the least fingerprint, then the least by text, then by the other columns as JSON. Rows without doc_id are reduced to one a component by themselves, beside the one with an id."""
     rows = _with_fingerprint(docs)
     seen = materialize(rows.groupBy(F.col("__fp").alias("fp"), F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")), "simhash-ids")
     fps = materialize(seen.select("fp").distinct(), "simhash-distinct")
-    root = materialize(components(links(fps)).withColumnRenamed("node", "fp"), "simhash-roots")
-    rooted = seen.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = rooted.groupBy("root", F.col("id").isNull()).agg(F.min(F.struct("id", "fp", "n")).alias("k")).select("k.fp", "k.id", "k.n")
+    both = seen.join(rooted(fps), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    discard(fps)
+    kept = both.groupBy("root", F.col("id").isNull()).agg(F.min(F.struct("id", "fp", "n")).alias("k")).select("k.fp", "k.id", "k.n")
     kept = materialize(kept, "simhash-kept")
     same = lambda t: (F.col("__fp") == t["fp"]) & F.col("doc_id").eqNullSafe(t["id"])
     lost = seen.join(kept.where("n = 1").select(F.col("fp").alias("f"), F.col("id").alias("i")), (F.col("fp") == F.col("f")) & F.col("id").eqNullSafe(F.col("i")), "left_anti")
     alike = kept.where("n > 1")  # only these texts are sorted
-    order = Window.partitionBy("__fp", "doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = Window.partitionBy("__fp", "doc_id").orderBy("text", *([F.to_json(F.struct(*others))] if others else []))  # as JSON, maps can be ordered too
     first = rows.join(alike, same(alike), "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
     return rows.join(lost, same(lost), "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))

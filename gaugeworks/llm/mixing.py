@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize, small_side
 
 WEIGHTS, MAX_REPEATS, SHARDS, SEED = (1, 2, 3), 3, 8, 7
-BLOCKS, DOCS_A_BLOCK, REGION_DOCS, PASSES = 256, 4, 512, 4
+BLOCKS, DOCS_A_BLOCK, REGION_DOCS, BACK, PASSES, VARIANTS = 256, 4, 512, 64, 4, 16
 SOURCES_BROADCAST, PLAN_BROADCAST, ROWS_A_PART = 50_000, 50_000, 20_000
 
 
@@ -97,26 +97,33 @@ def plan(narrow: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, n_s
     permuted = Window.partitionBy("s").orderBy("key", "block")
     blocks = keyed.groupBy("s", "block", "rounds", "rest").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")).withColumn("key", F.xxhash64(F.lit(seed), F.lit("permute"), "s", "block"))
     blocks = blocks.withColumns({"upto": F.sum("words").over(permuted), "docs_upto": F.sum("docs").over(permuted)})
-    full = (F.col("upto") <= F.col("rest")) & (F.col("rest") > 0)  # where whole rounds meet the target, nothing is drawn beyond them, no empty text either
+    # Where whole rounds meet the target, nothing is drawn beyond them, no empty text either. The last BACK documents that fit join the region.
+    fits = (F.col("upto") <= F.col("rest")) & (F.col("rest") > 0)
+    blocks = blocks.withColumn("fit", F.max(F.when(fits, F.col("docs_upto"))).over(Window.partitionBy("s")))
+    full = fits & (F.col("docs_upto") <= F.col("fit") - BACK)
     blocks = blocks.withColumns({"full": full, "docs_full": F.coalesce(F.max(F.when(full, F.col("docs_upto"))).over(Window.partitionBy("s")), F.lit(0)), "words_full": F.coalesce(F.max(F.when(full, F.col("upto"))).over(Window.partitionBy("s")), F.lit(0))})
     blocks = materialize(blocks.withColumn("region", ~F.col("full") & (F.col("rest") > F.col("words_full")) & (F.col("docs_upto") - F.col("docs") < F.col("docs_full") + REGION_DOCS)), "mix-blocks")
-    # single documents of each source's region: by rising hash as long as they fit, then again among the smaller ones left;
-    # at last the one that comes nearest to what is missing, if the source is nearer to its target with it than without
+    # Single documents of each source's region: by rising hash as long as they fit, then again among the smaller ones left; at last the
+    # one that comes nearest to what is missing, if that helps. Of VARIANTS hash orders the one that ends nearest to the target is kept.
     side = small_side(blocks.where("region").select("s", "block", (F.col("rest") - F.col("words_full")).alias("e0")), PLAN_BROADCAST)
-    left = materialize(keyed.select("s", "block", "size", "hash").join(side, ["s", "block"]).select("s", "hash", "size", "e0"), "mix-region")
+    region = keyed.select("s", "block", "size", "hash").join(side, ["s", "block"])
+    variants = F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("v")
+    left = materialize(region.select("s", variants, "hash", "size", "e0").withColumn("hash", F.xxhash64("hash", "v")), "mix-region")
     chosen = None
     for k in range(PASSES):
-        room = left.where(F.col("size") <= F.col(f"e{k}")).groupBy("s", "hash", f"e{k}").agg(F.sum("size").alias("size"))
-        room = room.withColumn("upto", F.sum("size").over(Window.partitionBy("s").orderBy("hash"))).where(F.col("upto") <= F.col(f"e{k}"))
-        got = room.groupBy("s").agg(F.max("hash").alias(f"t{k}"), F.sum("size").alias("got"))
-        left = left.join(got, "s", "left").withColumn(f"e{k + 1}", F.col(f"e{k}") - F.coalesce("got", F.lit(0))).drop("got")
+        room = left.where(F.col("size") <= F.col(f"e{k}")).groupBy("s", "v", "hash", f"e{k}").agg(F.sum("size").alias("size"))
+        room = room.withColumn("upto", F.sum("size").over(Window.partitionBy("s", "v").orderBy("hash"))).where(F.col("upto") <= F.col(f"e{k}"))
+        got = room.groupBy("s", "v").agg(F.max("hash").alias(f"t{k}"), F.sum("size").alias("got"))
+        left = left.join(got, ["s", "v"], "left").withColumn(f"e{k + 1}", F.col(f"e{k}") - F.coalesce("got", F.lit(0))).drop("got")
         left = materialize(left.where(F.col(f"t{k}").isNull() | (F.col("hash") > F.col(f"t{k}")) | (F.col("size") > F.col(f"e{k}"))).drop(f"t{k}"), "mix-left")
         got = got.drop("got")
-        chosen = got if chosen is None else chosen.join(got, "s", "full")
-    rooms = left.groupBy("s").agg(*[F.first(f"e{k}").alias(f"e{k}") for k in range(1, PASSES)])
-    last = left.groupBy("s", "hash", f"e{PASSES}").agg(F.sum("size").alias("size")).withColumn("off", F.abs(F.col(f"e{PASSES}") - F.col("size"))).where(F.col("off") < F.col(f"e{PASSES}"))
-    last = last.groupBy("s").agg(F.min(F.struct("off", "hash"))["hash"].alias("last"))
-    marks = chosen.join(rooms, "s", "left").join(last, "s", "full")
+        chosen = got if chosen is None else chosen.join(got, ["s", "v"], "full")
+    rooms = left.groupBy("s", "v").agg(*[F.first(f"e{k}").alias(f"e{k}") for k in range(1, PASSES + 1)])
+    last = left.groupBy("s", "v", "hash", f"e{PASSES}").agg(F.sum("size").alias("size")).withColumn("off", F.abs(F.col(f"e{PASSES}") - F.col("size"))).where(F.col("off") < F.col(f"e{PASSES}"))
+    last = last.groupBy("s", "v").agg(F.min(F.struct("off", "hash")).alias("near"))
+    ways = rooms.join(last, ["s", "v"], "left").join(chosen, ["s", "v"], "left")
+    ways = ways.select("s", "v", *[f"e{k}" for k in range(1, PASSES)], *[f"t{k}" for k in range(PASSES)], F.col("near.hash").alias("last"), F.coalesce("near.off", f"e{PASSES}").alias("miss"))
+    marks = ways.groupBy("s").agg(F.min_by(F.struct(*[c for c in ways.columns if c not in ("s", "miss")]), F.struct("miss", "v")).alias("w")).select("s", "w.*")
     draws = blocks.select("s", "block", "key", F.explode(F.expr("if(rounds + cast(full OR region AS int) > 0, sequence(1, cast(rounds + cast(full OR region AS int) AS int)), cast(array() AS array<int>))")).alias("copy"))
     cuts = split_quotas(draws.groupBy("s").agg(F.count(F.lit(1)).alias("q")), n_shards, seed)
     order = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed), F.lit("draw"), "key", "copy"), "block", "copy")
@@ -159,8 +166,9 @@ def _apply(columns: list[str], rows: DataFrame, sources: DataFrame, blocks: Data
     d = slim.join(side, F.col("source").eqNullSafe(F.col("__source"))).withColumns({"__block": _block(F.col("__n_blocks"), seed), "__hash": _hash(seed)})
     b = small_side(blocks, PLAN_BROADCAST).select(*[F.col(c).alias(f"__b_{c}") for c in blocks.columns])
     d = d.join(b, (F.col("__s") == F.col("__b_s")) & (F.col("__block") == F.col("__b_block")))
-    fits = [F.coalesce((F.col("__hash") <= F.col(f"__b_t{k}")) & (F.col("mix_size") <= F.col(f"__b_e{k}")), F.lit(False)) for k in range(PASSES)]
-    fits.append(F.coalesce(F.col("__hash") == F.col("__b_last"), F.lit(False)))
+    own = F.xxhash64("__hash", "__b_v")
+    fits = [F.coalesce((own <= F.col(f"__b_t{k}")) & (F.col("mix_size") <= F.col(f"__b_e{k}")), F.lit(False)) for k in range(PASSES)]
+    fits.append(F.coalesce(own == F.col("__b_last"), F.lit(False)))
     extra = F.col("__b_full") | (F.col("__b_region") & reduce(lambda a, b: a | b, fits))
     # a document is taken by every shard that drew its block, in a block's last draw only if it is among those that fit
     mine = F.filter(F.coalesce("__b_draws", F.expr("cast(array() AS array<struct<copy:int,shard:int>>)")), lambda x: (x["copy"] <= F.col("__rounds")) | extra)

@@ -463,3 +463,56 @@ def test_mixing_meets_targets_of_small_sources(spark):
         target[s] = x.mix_target
     for s in target:
         assert abs(taken[s] - target[s]) <= 20, (s, taken[s], target[s])
+
+
+def test_line_field_gradient():
+    r = np.random.default_rng(5)
+    x = [r.normal(size=(n, 3)) for n in (1, 4, 6, 2)]
+    y = [r.integers(0, 2, len(v)) for v in x]
+    w, t = r.normal(size=(3, 2)), r.normal(size=(2, 2))
+    score = lambda v, p: sum((v @ w)[i, k] for i, k in enumerate(p)) + sum(t[a, b] for a, b in zip(p, p[1:]))
+    every = lambda v: [[n >> i & 1 for i in range(len(v))] for n in range(2 ** len(v))]
+    want = sum(score(v, p) - math.log(sum(math.exp(score(v, q)) for q in every(v))) for v, p in zip(x, y))
+    chains = quality_rules.Chains(x)
+    gw, gt, ll = chains.gradient(w, t, y)
+    assert math.isclose(ll, want, rel_tol=1e-9)
+    for param, grad in ((w, gw), (t, gt)):
+        for at in np.ndindex(param.shape):
+            old = param[at]
+            param[at] = old + 1e-5
+            up = chains.gradient(w, t, y)[2]
+            param[at] = old - 1e-5
+            down = chains.gradient(w, t, y)[2]
+            param[at] = old
+            assert abs((up - down) / 2e-5 - grad[at]) < 1e-4
+
+
+def test_quality_rules_find_planted_lines(spark, monkeypatch):
+    r = random.Random(12)
+    line = lambda: sentence(r, r.randint(8, 14)).capitalize() + "."
+    footers = ["Licensed under the same licence.", "Back to the first page.", "All rights are kept."]
+    shout = lambda: " ".join(w.upper() + "!!" for w in sentence(r, 9).split())
+    rows, truth, labels = [], {}, []
+    for i in range(300):
+        lines = [(line(), 1) for _ in range(r.randint(6, 12))]
+        if i % 5 == 0:  # bad: mostly shouting, some plain lines between
+            lines = [(line(), 1)] + [(shout(), 0) for _ in range(10)] + [(line(), 1)]
+        for f in r.sample(footers, r.randint(0, 2)):
+            lines.insert(r.choice([0, len(lines)]), (f, 0))
+        rows.append((i, "\n".join(t for t, _ in lines)))
+        truth[i] = [y for _, y in lines]
+        labels.append((i, int(i % 5 > 0), 0))
+    rows += [(1000 + k, rows[1][1]) for k in range(40)]  # copies of a document are not boilerplate
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    of = spark.createDataFrame([x for x in labels if x[0] < 200], "doc_id long, quality int, toxic int")
+    before = None
+    for few in (quality_rules.COMMON_BROADCAST, 0):  # common lines broadcast, and joined
+        monkeypatch.setattr(quality_rules, "COMMON_BROADCAST", few)
+        got = {x.doc_id: x for x in quality_rules.apply_rules(docs, quality_rules.train(docs, of)).collect()}
+        hit = Counter((y, p) for i in range(200, 300) for y, p in zip(truth[i], got[i].lines))
+        assert hit[0, 0] >= 0.95 * (hit[0, 0] + hit[0, 1]) and hit[0, 0] >= 0.95 * (hit[0, 0] + hit[1, 0]), hit
+        assert all(got[1000 + k].kept for k in range(40)) and not any(got[i].kept for i in range(0, 300, 5))
+        assert all(got[i].kept for i in range(300) if i % 5 and not got[i].base_failed)
+        now = {k: (x.lines, x.kept) for k, x in got.items()}
+        assert before is None or before == now
+        before = now

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
@@ -69,19 +70,20 @@ def majority_vote() -> Filter:
     return lambda texts: let(texts, vote)
 
 
-# Entity words and their labels, replaced in this order.
+# Entity words and their labels, replaced in this order, and the pattern of a labelled entity.
 SPAN_LABELS = {"person": "PER", "location": "LOC", "organization": "ORG", "counties": "LOC", "places": "LOC", "people": "PER", "persons": "PER", "company": "ORG", "country": "LOC", "continent": "LOC", "time": "DATE", "date": "DATE", "per": "PER", "loc": "LOC", "org": "ORG"}
 
 
+SPAN = r"(?U)\b(PER|LOC|ORG|DATE):\s*([^$]+)"
+
+
 def format_span() -> Filter:
     """Named entities as 'label: value' joined by ' $ ', with 'none' left out."""
-    pattern = r"(?U)\b(PER|LOC|ORG|DATE):\s*([^$]+)"
-
     def one(t: Column) -> Column:
         t = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), SPAN_LABELS.items(), F.lower(t))
         t = F.regexp_replace(F.replace(t, F.lit("$$"), F.lit("$")), r"\$+\z", "")
         t = strip(F.replace(t, F.lit("\n"), F.lit("$")))
-        pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)).alias("l"), F.regexp_extract_all(t, F.lit(pattern), F.lit(2)).alias("v"))
+        pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(SPAN), F.lit(1)).alias("l"), F.regexp_extract_all(t, F.lit(SPAN), F.lit(2)).alias("v"))
         named = F.flatten(F.transform(pairs, lambda p: F.transform(F.filter(F.transform(F.split(p["v"], ","), strip), lambda v: F.lower(v) != "none"), lambda v: F.concat(F.lower(p["l"]), F.lit(": "), v))))
         return F.array_join(named, " $ ")
 
@@ -100,19 +102,18 @@ def custom(fn: Callable[[list[str]], list[str]]) -> Filter:
     return run
 
 
-def multi_choice_regex(choices: Column, pattern: str, group_select: int = 0, ignore_case: bool = False, ignore_punctuation: bool = False, fallback: str = "[invalid]") -> Filter:
-    """The option letter as '(A)': by the pattern, else by the option's own text, else by a letter after a colon."""
-    from .text import PUNCTUATION
+def multi_choice_regex(choices: Column, pattern: str, group_select: int = 0, ignore_case: bool = False, ignore_punctuation: bool = False, fallback: str = "[invalid]", ignore: tuple[str, ...] = ()) -> Filter:
+    """The option letter as '(A)': by the pattern, else by the option's own text (without case, punctuation and what patterns match, if so asked), else by a letter after a colon."""
 
     @F.pandas_udf("array<string>")
     def run(texts, options):
         import pandas as pd
 
-        drop = str.maketrans("", "", PUNCTUATION)
-
         def form(s):
             s = s.lower() if ignore_case else s
-            return s.translate(drop) if ignore_punctuation else s
+            for p in ignore:
+                s = re.sub(p, "", s)
+            return "".join(c for c in s if not unicodedata.category(c).startswith("P")) if ignore_punctuation else s
 
         def pick(found):
             m = found[group_select]
@@ -121,8 +122,8 @@ def multi_choice_regex(choices: Column, pattern: str, group_select: int = 0, ign
         def one(text, opts):
             letters = [chr(65 + i) for i in range(len(opts))]
             named = {form(o.strip()): f"({a})" for o, a in zip(opts, letters)}
-            if found := re.findall(pattern, text or ""):
-                return pick(found).strip()
+            if (found := re.findall(pattern, text or "")) and (first := pick(found).strip()):
+                return first
             if named and (found := re.findall("|".join(re.escape(k) for k in named), form(text or ""))):
                 return named[found[group_select]]
             if letters and (found := re.findall(rf":[\s]*({'|'.join(letters)})", text or "")):

@@ -88,7 +88,7 @@ def stderr(v: str = "v") -> Column:
     return F.stddev_samp(v) / F.sqrt(F.count(v))
 
 
-def f1_binary(gold: str = "gold", pred: str = "pred", positive: int = 1) -> Column:
+def f1_binary(gold: str = "gold", pred: str = "pred", positive: int | str = 1) -> Column:
     g, p = F.col(gold) == positive, F.col(pred) == positive
     tp, wrong = F.count_if(g & p), F.count_if(g != p)
     return F.coalesce(F.try_divide(2.0 * tp, 2.0 * tp + wrong), F.lit(0.0))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -127,13 +126,17 @@ def _number(word: str) -> float | None:
         return None
 
 
-def _bag(span: str) -> frozenset:
+def _normal(span: str) -> list[str]:
     words = []
     for w in re.split(r"[ \-]", span.lower()):
         value = _number(w)
         w = _ARTICLE.sub(" ", w.translate(_PUNCTUATION)) if value is None else str(value)
         words += [str(_number(x)) if _number(x) is not None else x for x in w.split()]
-    return frozenset(words)
+    return words
+
+
+def _bag(span: str) -> frozenset:
+    return frozenset(_normal(span))
 
 
 def _bag_f1(a: frozenset, b: frozenset) -> float:
@@ -151,7 +154,8 @@ def span_scores(predicted: list[str], gold: list[str]) -> tuple[float, float]:
     The matching is exact: the best value for every set of used spans of the shorter list.
     """
     p, g = [_bag(s) for s in predicted], [_bag(s) for s in gold]
-    exact = float(Counter(p) == Counter(g))
+    spans = lambda side: {" ".join(_normal(s)) for s in side}
+    exact = float(spans(predicted) == spans(gold) and len(predicted) == len(gold))
     rows, columns = (p, g) if len(p) >= len(g) else (g, p)
     best = {0: 0.0}
     for r in rows:
@@ -166,13 +170,13 @@ def span_scores(predicted: list[str], gold: list[str]) -> tuple[float, float]:
 
 
 def spans_exact_f1(predicted: Column, golds: Column) -> Column:
-    """struct(exact, f1): the best over golds, an array of lists of spans."""
+    """struct(exact, f1): the best over golds, an array of lists of spans; lists whose first span is blank do not count."""
 
     @F.pandas_udf("struct<exact:double,f1:double>")
     def run(p, golds):
         import pandas as pd
 
-        rows = [[span_scores(list(a), list(b)) for b in bs] or [(0.0, 0.0)] for a, bs in zip(p, golds)]
+        rows = [[span_scores(list(a), list(b)) for b in bs if len(b) and b[0].strip()] or [(0.0, 0.0)] for a, bs in zip(p, golds)]
         return pd.DataFrame({"exact": [max(x[0] for x in r) for r in rows], "f1": [max(x[1] for x in r) for r in rows]})
 
     return run(predicted, golds)

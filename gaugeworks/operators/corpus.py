@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams, normalize, words
+from ..functions.text import let, ngrams, normalize, words
+
+
+#: Distinct 64-bit n-gram hashes that may be broadcast (8 bytes each); beyond, both sides are shuffled by hash.
+BROADCAST_GRAMS = 2_000_000
 
 
 def ngram_table(docs: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:
@@ -15,20 +19,55 @@ def ngram_table(docs: DataFrame, key: str, n: int, text: str = "text") -> DataFr
     return docs.select(key, F.explode(F.array_distinct(ngrams(words(normalize(F.col(text))), n))).alias("ngram"))
 
 
+def gram_hashes(tokens: Column, n: int) -> Column:
+    """A 64-bit hash of each run of n tokens."""
+
+    def of(h):
+        many = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
+        return F.when(F.size(h) >= n, many).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(tokens, lambda w: F.xxhash64(w)), of)
+
+
+def _placed(docs: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:
+    """(key, w, i, h): the words of a document and the place and hash of each of its n-grams."""
+    return docs.select(key, words(normalize(F.col(text))).alias("w")).select(key, "w", F.posexplode(gram_hashes(F.col("w"), n)).alias("i", "h"))
+
+
+def _grams_with_hash(docs: DataFrame, hashes: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, ngram), distinct: the n-grams of docs whose hash is among hashes (h, distinct).
+
+    The documents' n-grams are streamed once as hashes, and only those that hit are written out as text.
+    Where there are too many hashes to broadcast, hits come back to their documents by key.
+    """
+    if hashes.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
+        hit = _placed(docs, key, n).join(F.broadcast(hashes), "h", "left_semi")
+        return hit.select(key, F.concat_ws(" ", F.slice("w", F.col("i") + 1, F.lit(n))).alias("ngram")).distinct()
+    hit = docs.select(key, F.explode(F.array_distinct(gram_hashes(words(normalize(F.col("text"))), n))).alias("h")).join(hashes, "h", "left_semi")
+    return _placed(docs.join(hit.select(key).distinct(), key, "left_semi"), key, n).join(hit, [key, "h"], "left_semi").select(key, F.concat_ws(" ", F.slice("w", F.col("i") + 1, F.lit(n))).alias("ngram")).distinct()
+
+
+def _hashes(docs: DataFrame, n: int) -> DataFrame:
+    return docs.select(F.explode(F.array_distinct(gram_hashes(words(normalize(F.col("text"))), n))).alias("h")).distinct()
+
+
 def document_frequency(docs: DataFrame, n: int, more_than: int = 10, key: str = "doc_id") -> DataFrame:
-    """(ngram, docs): n-grams of more than more_than documents. A document gives each n-gram once, so a plain count suffices."""
-    return ngram_table(docs, key, n).groupBy("ngram").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > more_than)
+    """(ngram, docs): n-grams of more than more_than documents. Hashes are counted first; only the frequent ones are written out, and counted again by their text."""
+    each = docs.select(F.explode(F.array_distinct(gram_hashes(words(normalize(F.col("text"))), n))).alias("h"))
+    frequent = each.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > more_than).select("h").persist()
+    return _grams_with_hash(docs, frequent, key, n).groupBy("ngram").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > more_than)
 
 
 def contaminated(evaluation: DataFrame, training: DataFrame, n: int, eval_key: str, train_key: str) -> DataFrame:
     """Keys of evaluation rows that share an n-gram with training.
 
-    Only the evaluation side's n-grams pass on from the training side: the join is a semi join, and the training n-grams are
-    made unique after it, when few are left.
+    The side of fewer rows gives the hashes that the other is streamed against once; what hits is verified as text.
     """
-    left = ngram_table(evaluation, eval_key, n)
-    seen = ngram_table(training, train_key, n).select("ngram").join(left.select("ngram").distinct(), "ngram", "left_semi").distinct()
-    return left.join(seen, "ngram", "left_semi").select(eval_key).distinct()
+    if evaluation.count() >= training.count():
+        hit = _grams_with_hash(evaluation, _hashes(training, n).persist(), eval_key, n)
+        return hit.join(ngram_table(training, train_key, n), "ngram", "left_semi").select(eval_key).distinct()
+    hit = _grams_with_hash(training, _hashes(evaluation, n).persist(), train_key, n)
+    return ngram_table(evaluation, eval_key, n).join(hit.select("ngram").distinct(), "ngram", "left_semi").select(eval_key).distinct()
 
 
 def match_statistics(evaluation: DataFrame, training: DataFrame, n: int, eval_key: str, train_key: str) -> DataFrame:
@@ -75,9 +114,12 @@ def cut_out(text: str, hits: list[tuple[int, int]], window: int = 200, cutoff: i
 
 
 def clean(docs: DataFrame, contaminants: DataFrame, n: int, key: str = "doc_id", window: int = 200, cutoff: int = 10, least: int = 200) -> DataFrame:
-    """(key, chunks): the clean slices of each document. Hits meet their document by key; texts are moved once."""
+    """(key, chunks): the clean slices of each document. Only documents that share an n-gram with the contaminants go through Python; the others are one slice, or none if they are short."""
+    other = contaminants.columns[0]
+    dirty = contaminated(docs, contaminants, n, key, other).persist()
     dirt = contaminants.select(F.explode(ngrams(words(normalize(F.col("text"))), n)).alias("ngram")).distinct()
-    hits = spans(docs, key, n).join(dirt, "ngram", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("hits"))
+    suspects = docs.select(key, "text").join(dirty, key, "left_semi")
+    hits = spans(suspects, key, n).join(dirt, "ngram", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("hits"))
 
     @F.pandas_udf("array<string>")
     def slices(text, hits):
@@ -85,7 +127,21 @@ def clean(docs: DataFrame, contaminants: DataFrame, n: int, key: str = "doc_id",
 
         return pd.Series([cut_out(t or "", [(h["start"], h["stop"]) for h in (x if x is not None else [])], window, cutoff, least) for t, x in zip(text, hits)])
 
-    return docs.select(key, "text").join(hits, key, "left").select(key, slices("text", "hits").alias("chunks"))
+    cut = suspects.join(hits, key, "left").select(key, slices("text", "hits").alias("chunks"))
+    whole = F.when(F.length("text") >= least, F.array("text")).otherwise(F.array().cast("array<string>"))
+    return cut.unionByName(docs.join(dirty, key, "left_anti").select(key, whole.alias("chunks")))
+
+
+def clean_dirty_split(scores: DataFrame, dirty: DataFrame, key: str, v: str = "v") -> DataFrame:
+    """(dirty, n, value): the mean score of the rows whose key is among dirty, and of the others."""
+    marked = scores.join(dirty.select(key).distinct().withColumn("dirty", F.lit(True)), key, "left").withColumn("dirty", F.coalesce("dirty", F.lit(False)))
+    return marked.groupBy("dirty").agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("value"))
+
+
+def gram_buckets(docs: DataFrame, key: str, n: int, path: str, buckets: int = 500) -> None:
+    """Write (key, ngram) sorted within hash buckets, zstd-compressed: one folder a bucket."""
+    rows = ngram_table(docs, key, n).withColumn("bucket", F.pmod(F.xxhash64("ngram"), F.lit(buckets)).cast("int"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "ngram", key).write.option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def statistics(docs: DataFrame, by: str) -> DataFrame:

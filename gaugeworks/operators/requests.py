@@ -62,8 +62,8 @@ def few_shot(docs: DataFrame, pool: DataFrame, n: int, sampler: str = "first_n",
     """(doc_id, context): n examples of the pool (doc_id, text, target) before each document, never the document itself.
 
     first_n takes the first by doc_id: only n + 1 rows of the pool can serve, whatever its size. default draws by hash: every
-    document starts at a place of its own on a ring of the pool in hash order and takes the next n others, so a
-    document meets n + 1 rows, not the pool. An empty target adds neither its delimiter nor itself.
+    document draws places of the pool in hash order of its own (and should too few differ, the next ones from one place on), so a
+    document meets n + 1 rows, not the pool; an empty pool gives none. An empty target adds neither its delimiter nor itself.
     """
     shown = F.when(F.col("target") == "", F.col("text")).otherwise(F.concat("text", F.lit(target_delimiter), "target"))
     ranked = pool.select(F.col("doc_id").alias("pool_id"), shown.alias("shown"))
@@ -71,10 +71,15 @@ def few_shot(docs: DataFrame, pool: DataFrame, n: int, sampler: str = "first_n",
         top = ranked.orderBy("pool_id").limit(n + 1).select(F.collect_list(F.struct(F.col("pool_id").alias("place"), "pool_id", "shown")).alias("some"))
         j = docs.select("doc_id", "text").join(F.broadcast(top))
     else:
+        size = pool.count()
+        if not size:
+            return docs.select("doc_id", F.col("text").alias("context"))
         rank = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "pool_id"), "pool_id")) - 1  # over a few-shot split, small by nature
         ring = ranked.withColumn("rank", rank)
-        size = pool.count()
-        want = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(min(n, size - 1)))).alias("place")).withColumn("rank", F.pmod(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(size)) + F.col("place"), F.lit(size)))
+        drawn = F.transform(F.sequence(F.lit(0), F.lit(4 * n + 8)), lambda k: F.pmod(F.xxhash64(F.lit(seed), "doc_id", k), F.lit(size)))
+        rest = F.transform(F.sequence(F.lit(0), F.lit(min(n, size - 1))), lambda k: F.pmod(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(size)) + k, F.lit(size)))
+        places = F.slice(F.array_distinct(F.concat(drawn, rest)), 1, n + 1)
+        want = docs.select("doc_id", "text", F.posexplode(places).alias("place", "rank"))
         j = want.join(ring, "rank").groupBy("doc_id", "text").agg(F.collect_list(F.struct("place", "pool_id", "shown")).alias("some"))
     picked = F.slice(F.filter(F.array_sort("some"), lambda x: x["pool_id"] != F.col("doc_id")), 1, n)
     return j.select("doc_id", F.concat(F.array_join(F.transform(picked, lambda x: F.concat(x["shown"], F.lit(delimiter))), ""), "text").alias("context"))
@@ -105,10 +110,94 @@ def expand_options(docs: DataFrame, options: str = "choices", gold: str = "gold"
     return docs.select(*rest, F.inline(rows))
 
 
-def limited(docs: DataFrame, limit: float) -> DataFrame:
-    """First limit documents by doc_id; below 1 a share of them, rounded up."""
+def limited(docs: DataFrame, limit: float, key: str = "doc_id") -> DataFrame:
+    """First limit documents by key; below 1 a share of them, rounded up. Only keys are sorted."""
     n = int(-(-docs.count() * limit // 1)) if limit < 1 else int(limit)
-    return docs.orderBy("doc_id").limit(n)
+    if n < 1:
+        return docs.limit(0)
+    last = docs.select(key).orderBy(key).limit(n).agg(F.max(key)).first()[0]
+    return docs.where(F.col(key) <= F.lit(last))
+
+
+def chosen(docs: DataFrame, ids: list[int], key: str = "doc_id") -> DataFrame:
+    """Documents of the given ids; an id that no document has is passed over."""
+    return docs.where(F.col(key).isin([int(i) for i in ids]))
+
+
+def shorter_than(docs: DataFrame, tokens: Column, most: int) -> DataFrame:
+    """Documents of at most most tokens."""
+    return docs.where(F.size(tokens) <= most)
+
+
+def shuffled(options: Column, *keys, seed: int = 42) -> Column:
+    """The options in an order of their own for each key, drawn by hash; with equal options kept apart by their place."""
+    ranked = F.transform(options, lambda x, i: F.struct(F.xxhash64(F.lit(seed), *keys, i).alias("r"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(ranked), lambda r: r["x"])
+
+
+def without_prefixed(aliases: Column) -> Column:
+    """Sorted distinct aliases but those that begin with one kept before."""
+    keep = lambda kept, a: F.when((F.size(kept) > 0) & F.startswith(a, F.element_at(kept, -1)), kept).otherwise(F.concat(kept, F.array(a)))
+    return F.aggregate(F.array_sort(F.array_distinct(aliases)), F.array().cast("array<string>"), keep)
+
+
+def pair_encoded(context: Column, continuation: Column) -> Column:
+    """struct(context, continuation): blanks at the end of the context move to the continuation."""
+    blanks = F.regexp_extract(context, r"(?U)([\s\x1c-\x1f]*)\z", 1)
+    return F.struct(F.substr(context, F.lit(1), F.length(context) - F.length(blanks)).alias("context"), F.concat(blanks, continuation).alias("continuation"))
+
+
+def spans_of(tokens: Column, size: int) -> Column:
+    """Runs of size tokens, the last one shorter."""
+    return let(tokens, lambda t: F.when(F.size(t) > 0, F.transform(F.sequence(F.lit(0), F.size(t) - 1, F.lit(size)), lambda a: F.slice(t, a + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>")))
+
+
+def consolidated(results: DataFrame) -> DataFrame:
+    """(task, results): a task's values by "metric,filter" and errors by "metric_stderr,filter", as a map."""
+    pair = F.array(F.struct(F.concat_ws(",", "metric", "filter").alias("k"), F.col("value").alias("v")), F.struct(F.concat(F.col("metric"), F.lit("_stderr,"), F.col("filter")).alias("k"), F.col("stderr").alias("v")))
+    return results.select("task", F.inline(pair)).groupBy("task").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("results"))
+
+
+def direction(results: DataFrame, edges: DataFrame) -> DataFrame:
+    """(group, metric, higher_is_better): null where the members of a group (edges: group, task) disagree."""
+    j = results.join(edges, "task").groupBy("group", "metric").agg(F.min("higher_is_better").alias("a"), F.max("higher_is_better").alias("b"))
+    return j.select("group", "metric", F.when(F.col("a") == F.col("b"), F.col("a")).alias("higher_is_better"))
+
+
+def sample_sizes(docs: DataFrame, task: str, limit: int | None = None) -> DataFrame:
+    """(task, original, effective): documents of each task, and how many of them a limit leaves."""
+    n = docs.groupBy(task).agg(F.count(F.lit(1)).alias("original"))
+    return n.withColumn("effective", F.col("original") if limit is None else F.least("original", F.lit(limit).cast("long")))
+
+
+def indented(edges: dict[str, list[str]], root: str) -> list[tuple[str, int]]:
+    """Names under a root with their depth, alphabetical within a level."""
+    out, todo = [], [(root, 0)]
+    while todo:
+        name, depth = todo.pop()
+        out.append((name, depth))
+        todo += [(m, depth + 1) for m in sorted(edges.get(name, ()), reverse=True)]
+    return out
+
+
+def regression(before: DataFrame, after: DataFrame, on: list[str]) -> DataFrame:
+    """(on, before, after, delta, change): values of two runs side by side, rows of either kept; change is the sign of the difference."""
+    j = before.select(*on, F.col("value").alias("before")).join(after.select(*on, F.col("value").alias("after")), on, "full")
+    delta = F.col("after") - F.col("before")
+    return j.select(*on, "before", "after", delta.alias("delta"), F.when(delta > 0, "+").when(delta < 0, "-").when(delta == 0, "=").alias("change"))
+
+
+def seeds_joined(runs: list[DataFrame], on: list[str], v: str = "v") -> DataFrame:
+    """Rows that all runs have, with each run's value as seed_0, seed_1, ... and whether they agree."""
+    out = None
+    for k, run in enumerate(runs):
+        part = run.select(*on, F.col(v).alias(f"seed_{k}"))
+        out = part if out is None else out.join(part, on)
+    first = F.col("seed_0")
+    agree = F.lit(True)
+    for k in range(1, len(runs)):
+        agree = agree & (F.col(f"seed_{k}") == first)
+    return out.withColumn("agree", agree.cast("int"))
 
 
 def shard(docs: DataFrame, rank: int, world: int) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from ..functions import translation
 from ..functions.filters import apply_chains
 from ..functions.stats import bootstrap_stderr, pooled_stderr, weighted_mean
-from ..operators.requests import multiple_choice, regroup, repeated
+from ..functions.text import words
+from ..operators.requests import disjoint, multiple_choice, regroup, repeated, rolling_windows
 
 
 class Scorer(Protocol):
@@ -27,6 +29,9 @@ class Metric:
     score: Callable[[], Column]  # over a document's columns
     aggregation: str = "mean"
     higher_is_better: bool = True
+    weight: Callable[[], Column] | None = None  # what weighted_perplexity and bits_per_byte divide by: words or bytes
+    gold: Callable[[], Column] | None = None  # of metrics over all pairs of a task: f1, mcc, bleu, chrf, ter, ...
+    pred: Callable[[], Column] | None = None
 
 
 @dataclass(frozen=True)
@@ -40,6 +45,11 @@ class Task:
     choices: Column | None = None
     filters: dict[str, list] = field(default_factory=lambda: {"none": [("take_first", {})]})
     repeats: int = 1
+    tokens: Callable[[Column], Column] = words  # of rolling windows, with their length and context
+    max_len: int = 2048
+    context_len: int = 1
+    prefix: str = "<|endoftext|>"
+    unconditional: bool = False  # ask each choice without its context too, for acc_mutual_info
     process: Callable[[DataFrame], DataFrame] | None = None
 
 
@@ -53,9 +63,16 @@ class Group:
 
 
 def requests(task: Task) -> DataFrame:
+    """(doc_id, idx, context, continuation, rep, req_hash). Choices asked without context follow the others: idx then begins at the number of choices. Rolling texts are asked by disjoint windows."""
     docs = task.process(task.docs) if task.process else task.docs
     if task.output_type == "multiple_choice":
         out = multiple_choice(docs, task.context, task.choices)
+        if task.unconditional:
+            bare = multiple_choice(docs, F.lit(""), F.transform(task.choices, lambda c: c)).join(docs.select("doc_id", F.size(task.choices).alias("k")), "doc_id")
+            out = out.unionByName(bare.withColumn("idx", F.col("idx") + F.col("k")).drop("k"))
+    elif task.output_type == "loglikelihood_rolling":
+        windows = F.transform(rolling_windows(task.tokens(task.target), F.lit(task.prefix), task.max_len, task.context_len), disjoint)
+        out = docs.select("doc_id", F.posexplode(windows).alias("idx", "x")).select("doc_id", "idx", F.array_join("x.input", " ").alias("context"), F.array_join("x.predicted", " ").alias("continuation"))
     else:
         continuation = task.target if task.output_type == "loglikelihood" else F.lit("")
         out = docs.select("doc_id", F.lit(0).alias("idx"), task.context.alias("context"), continuation.alias("continuation"))
@@ -64,29 +81,54 @@ def requests(task: Task) -> DataFrame:
 
 
 def cached_or_scored(asked: DataFrame, scorer, cache: DataFrame | None = None) -> DataFrame:
-    """Responses from the cache where req_hash is known, else from the scorer; only the rest reaches the model."""
+    """Responses from the cache where it has the request and repeat, else from the scorer; only the rest reaches the model. A cache without rep holds repeat 0; of several rows of one request and repeat one counts."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema) + ", ll double, is_greedy boolean, text string"
     if cache is None:
         return asked.mapInPandas(scorer, schema)
-    hit = asked.join(cache.select("req_hash", "ll", "is_greedy", "text"), "req_hash").select(*asked.columns, "ll", "is_greedy", "text")
-    return hit.unionByName(asked.join(cache, "req_hash", "left_anti").select(*asked.columns).mapInPandas(scorer, schema))
+    known = cache if "rep" in cache.columns else cache.withColumn("rep", F.lit(0))
+    known = known.groupBy("req_hash", "rep").agg(F.min(F.struct("ll", "is_greedy", "text")).alias("known")).select("req_hash", "rep", "known.*")
+    hit = asked.join(known, ["req_hash", "rep"]).select(*asked.columns, "ll", "is_greedy", "text")
+    return hit.unionByName(asked.join(known, ["req_hash", "rep"], "left_anti").select(*asked.columns).mapInPandas(scorer, schema))
 
 
 def sample_metrics(task: Task, responses: DataFrame) -> DataFrame:
-    """(task, filter, metric, doc_id, v): a long table, one row a score."""
+    """(task, filter, doc_id, metric, v, w, gold, pred): a long table, one row a score; w, gold and pred where the metric names them.
+
+    Scores see target, choices and, by output type: lls and (if asked) unconditional; prediction and filtered; ll, is_greedy, words and bytes of the target.
+    """
     docs = task.process(task.docs) if task.process else task.docs
     gold = docs.select("doc_id", task.target.alias("target"), *([task.choices.alias("choices")] if task.choices is not None else []))
     if task.output_type == "multiple_choice":
         lls = regroup(responses.where("rep = 0"), ["doc_id"], "ll", ["idx"]).withColumnRenamed("texts", "lls").withColumn("filter", F.lit("none"))
+        if task.unconditional:
+            half = F.expr("size(lls) div 2")
+            lls = lls.withColumn("unconditional", F.slice("lls", half + 1, half)).withColumn("lls", F.slice("lls", F.lit(1), half))
     elif task.output_type == "generate_until":
         texts = regroup(responses, ["doc_id"], "text", ["idx", "rep"])
         lls = apply_chains(texts, task.filters).withColumn("prediction", F.element_at("filtered", 1))
     else:
-        lls = responses.groupBy("doc_id").agg(F.sum("ll").alias("ll"), F.bool_and("is_greedy").alias("is_greedy")).withColumn("filter", F.lit("none"))
-    rows = F.inline(F.array(*[F.struct(F.lit(m.name).alias("metric"), m.score().cast("double").alias("v")) for m in task.metrics]))
+        lls = responses.where("rep = 0").groupBy("doc_id").agg(F.sum("ll").alias("ll"), F.bool_and("is_greedy").alias("is_greedy")).withColumn("filter", F.lit("none"))
+        gold = gold.withColumns({"words": F.size(words(F.col("target"))), "bytes": F.octet_length("target")})
+    part = lambda f, kind: (f() if f else F.lit(None)).cast(kind)
+    rows = F.inline(F.array(*[F.struct(F.lit(m.name).alias("metric"), m.score().cast("double").alias("v"), part(m.weight, "double").alias("w"), part(m.gold, "string").alias("gold"), part(m.pred, "string").alias("pred")) for m in task.metrics]))
     return lls.join(gold, "doc_id").select(F.lit(task.name).alias("task"), "filter", "doc_id", rows)
 
 
+def _corpus_value(part: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """(keys, value, n) of a metric over all (gold, pred) pairs of a task."""
+    n = part.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if kind == "f1":
+        r = part.groupBy(*keys).agg(M.f1_binary(positive="1").alias("value"))
+    elif kind in ("mcc", "macro_f1", "weighted_f1", "micro_f1"):
+        r = M.classification(part, keys).select(*keys, F.col(kind).alias("value"))
+    else:
+        r = {"bleu": translation.bleu, "chrf": translation.chrf, "ter": translation.ter}[kind](part.select(*keys, "pred", F.col("gold").alias("ref")), keys).select(*keys, F.col(kind).alias("value"))
+    return r.join(n, keys)
+
+
+CORPUS_LEVEL = ("f1", "mcc", "macro_f1", "weighted_f1", "micro_f1", "bleu", "chrf", "ter")
+
+
 def task_results(samples: DataFrame, aggregation: dict[str, str] | None = None, bootstrap: int = 0) -> DataFrame:
     """(task, filter, metric, value, stderr, n, higher_is_better); one grouped aggregation for each kind of aggregate."""
     how = aggregation or {}
@@ -96,6 +138,10 @@ def task_results(samples: DataFrame, aggregation: dict[str, str] | None = None,
     out = None
     for k in kinds:
         part = samples.where(kind == k)
+        if k in CORPUS_LEVEL:
+            r = _corpus_value(part, keys, k).select(*keys, "value", F.lit(None).cast("double").alias("stderr"), "n")
+            out = r if out is None else out.unionByName(r)
+            continue
         error = M.stderr() if k in M.CLOSED_FORM_ERROR else F.lit(None).cast("double")
         r = part.groupBy(*keys).agg(M.AGGREGATIONS[k]().alias("value"), error.alias("stderr"), F.count(F.lit(1)).alias("n"))
         if bootstrap and k in M.BOOTSTRAPPED:

@@ -71,9 +71,8 @@ def ngram_doc_frequency_8(t):
  hit AS (SELECT DISTINCT doc_id FROM d WHERE ngram IN (SELECT ngram FROM b))
  SELECT l.doc_id IN (SELECT doc_id FROM hit) AS dirty, count(*) AS n, round(avg(quality), 6) AS acc FROM labels l GROUP BY 1""")
 def contamination_clean_split(t):
-    hit = corpus.contaminated(t("documents"), t("benchmark"), 13, "doc_id", "item_id").withColumn("dirty", F.lit(True))
-    j = t("labels").join(hit, "doc_id", "left").withColumn("dirty", F.coalesce("dirty", F.lit(False)))
-    return j.groupBy("dirty").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("quality")).alias("acc"))
+    hit = corpus.contaminated(t("documents"), t("benchmark"), 13, "doc_id", "item_id")
+    return corpus.clean_dirty_split(t("labels"), hit, "doc_id", "quality").select("dirty", "n", r6("value").alias("acc"))
 
 
 _T = tokens_sql(norm_sql("text"))
@@ -180,9 +179,9 @@ def stop_sequences(t):
     return t("conversations").select("conv_id", "turn", text.truncate_at(F.col("text"), [".", ","]).alias("cut"))
 
 
-@query("SELECT conv_id, turn, rep, text FROM conversations, range(3) AS x(rep) WHERE turn = 0")
+@query("SELECT conv_id, turn, rep, text FROM conversations, range(3) AS x(rep)")
 def repeats_regroup(t):
-    r = R.repeated(t("conversations").where("turn = 0"), 3).withColumn("rep", F.col("rep").cast("long"))
+    r = R.repeated(t("conversations"), 3).withColumn("rep", F.col("rep").cast("long"))
     g = R.regroup(r, ["conv_id", "turn"], "text", ["rep"])
     return g.select("conv_id", "turn", F.posexplode("texts").alias("rep", "text")).withColumn("rep", F.col("rep").cast("long"))
 
@@ -332,8 +331,8 @@ def macro_micro_pooled(t):
 @query("""WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
  SELECT event_type, round(max(value) FILTER (i = n // 2 + 1), 6) AS median, round(avg(value), 6) AS nanmean, round(exp(-avg(value / 1000)), 6) AS perplexity FROM e GROUP BY event_type""")
 def special_aggregates(t):
-    e = t("events").where("value IS NOT NULL").select("event_type", F.col("event_id").alias("doc_id"), F.col("value").alias("v"))
-    return e.groupBy("event_type").agg(r6(metrics.median_positional()).alias("median"), r6(metrics.nanmean()).alias("nanmean"), r6(F.exp(-F.avg(F.col("v") / 1000))).alias("perplexity"))
+    e = t("events").where("value IS NOT NULL").select("event_type", F.col("event_id").alias("doc_id"), F.col("value").alias("v"), (F.col("value") / 1000).alias("x"))
+    return e.groupBy("event_type").agg(r6(metrics.median_positional()).alias("median"), r6(metrics.nanmean()).alias("nanmean"), r6(metrics.perplexity("x")).alias("perplexity"))
 
 
 @query("""WITH g AS (SELECT lang, source, bool_and(quality = 1) AS ok FROM labels JOIN documents USING (doc_id) GROUP BY ALL)
@@ -351,8 +350,7 @@ def consistency_rate(t):
 
 @query("SELECT doc_id, quality AS seed_0, toxic AS seed_1, (quality = toxic)::INT AS agree FROM labels")
 def multi_seed_join(t):
-    a, b = t("labels").select("doc_id", F.col("quality").alias("seed_0")), t("labels").select("doc_id", F.col("toxic").alias("seed_1"))
-    return a.join(b, "doc_id").withColumn("agree", (F.col("seed_0") == F.col("seed_1")).cast("int"))
+    return R.seeds_joined([t("labels").select("doc_id", F.col(c).alias("v")) for c in ("quality", "toxic")], ["doc_id"])
 
 
 @query("""SELECT least(n_chars // 1000, 10) AS bucket, round(avg(length(text)) FILTER (lang = 'de'), 4) AS de, round(avg(length(text)) FILTER (lang = 'en'), 4) AS en, round(avg(length(text)) FILTER (lang = 'es'), 4) AS es, round(avg(length(text)) FILTER (lang = 'fr'), 4) AS fr
@@ -375,7 +373,7 @@ def model_compare_z(t):
 
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def latest_per_key(t):
-    return t("events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return R.latest(t("events").withColumn("at", F.struct("ts", "event_id")), ["user_id"], "at", "event_id")
 
 
 @query("SELECT event_type, round(avg(value), 5) AS value, round(stddev_samp(value) / sqrt(count(value)), 5) AS stderr, count(value) AS n FROM events GROUP BY event_type")
@@ -413,12 +411,11 @@ def evaluate_end_to_end(t):
 
 
 # ---- scores of single task families
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: x::DOUBLE) AS l, label % 5 AS g FROM embeddings),
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS l, label % len(embedding) AS g FROM embeddings),
  r AS (SELECT vec_id, l, 1 + len(list_filter(l, lambda x: x > l[g + 1])) AS k FROM v)
  SELECT vec_id, (k <= 1)::INT::DOUBLE AS r1, (k <= 2)::INT::DOUBLE AS r2, round(1.0 / k, 6) AS mrr, round(ln(list_sum(list_transform(l, lambda x: exp(x)))), 5) AS total FROM r""")
 def choice_ranks(t):
-    l = F.slice("embedding", 1, 5).cast("array<double>")
-    v = t("embeddings").select("vec_id", l.alias("l"), (F.col("label") % 5).alias("g"))
+    v = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("l"), (F.col("label") % F.size("embedding")).alias("g"))
     r = v.select("vec_id", scoring.ranks(F.col("l"), F.col("g")).alias("r"), F.round(scoring.log_sum_exp(F.col("l")), 5).alias("total"))
     return r.select("vec_id", "r.r1", "r.r2", r6("r.mrr").alias("mrr"), "total")
 
@@ -481,6 +478,9 @@ def instruction_following(t):
     return r.select("role", r6("prompt_level").alias("prompt_level"), r6("instruction_level").alias("instruction_level"))
 
 
+from . import queries_families  # noqa: E402, F401  (registers its queries here)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -142,3 +142,67 @@ def test_ter_takes_whole_texts(spark):
 def test_template(spark):
     c = template("Q: {{q.strip()}}\nA: {{a|upper}}", ["q", "a"])
     assert one(spark, c, q="  why ", a="so") == "Q: why\nA: SO"
+
+
+def test_latex_normal():
+    from gaugeworks.functions.families import latex_normal as f
+
+    assert f("k = \\dfrac12") == "\\frac{1}{2}" and f("\\frac1{72}") == "\\frac{1}{72}" and f("\\frac{3}{4}") == "\\frac{3}{4}"
+    assert f("0.5") == f("1/2") == f(".5") == "\\frac{1}{2}" and f("07/3") == "07/3" and f("\\sqrt3 \\text{ cm}") == "\\sqrt{3}"
+    assert f("\\left(x\\right)^{\\circ}") == "(x)" and f("10\\%") == "10" and f("x=y=2") == "x=y=2" and f("") == "" and f("1\\text{ a}\\text{ b}") is None
+    assert f("\\frac") == "\\frac"
+
+
+def test_needles_and_paragraphs(spark):
+    from pyspark.sql import functions as F
+
+    from gaugeworks.functions import families
+
+    u = "01234567-89ab-cdef-0123-456789abcdef"
+    rows = [("it is 1 234 567.", ["7654321"], "1234567"), (f"see {u}!", [u], u), ("1-23-4567", ["7654321"], "1234567"), ("none", ["7654321"], "none"), ("1234567", ["x"], "1234567"), (" a\x01b ", [], "a\nb")]
+    df = spark.createDataFrame([(a, b) for a, b, _ in rows], "r string, o array<string>")
+    assert [x[0] for x in df.select(families.needles(F.col("r"), F.col("o"))).collect()] == [c for _, _, c in rows]
+    p = spark.createDataFrame([("Paragraph 3 and paragraph12", [3, 12]), ("the 7th of 9", [7]), ("none", [])], "t string, n array<long>")
+    assert all(x.n == x.got for x in p.select("n", families.paragraph_numbers(F.col("t")).alias("got")).collect())
+
+
+def test_classes_found_passes_over_the_one_after_a_removed_class():
+    from gaugeworks.functions.families import classes_found
+
+    assert classes_found("sport and sports news", "sports", ["sport", "port", "sports"]) == 0.5
+    assert classes_found("a b", "c", ["a", "b"]) == 0.0
+
+
+def test_cache_keys_repeats_and_contaminated_beyond_broadcast(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from gaugeworks.operators import corpus
+    from gaugeworks.plans.evaluate import Metric, Task, cached_or_scored, requests
+
+    d = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, text string")
+    task = Task("t", d, "generate_until", F.col("text"), F.col("text"), [Metric("m", lambda: F.lit(1.0))], repeats=2)
+    asked = requests(task)
+
+    def scorer(batches):
+        for b in batches:
+            b["ll"], b["is_greedy"], b["text"] = 0.0, True, "fresh"
+            yield b
+
+    cache = asked.where("doc_id = 1").select("req_hash", "rep", F.lit(-1.0).alias("ll"), F.lit(True).alias("is_greedy"), F.lit("kept").alias("text"))
+    got = cached_or_scored(asked, scorer, cache.union(cache)).collect()
+    assert sorted((r.doc_id, r.rep, r.text) for r in got) == [(1, 0, "kept"), (1, 1, "kept"), (2, 0, "fresh"), (2, 1, "fresh")]
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(30))) for i in range(60)], "doc_id long, text string")
+    items = spark.createDataFrame([(0, " ".join(f"w{k}" for k in range(20))), (1, "nothing here")], "item_id long, text string")
+    out = []
+    for most in (2_000_000, 0):
+        monkeypatch.setattr(corpus, "BROADCAST_GRAMS", most)
+        out.append((sorted(r.doc_id for r in corpus.contaminated(docs, items, 5, "doc_id", "item_id").collect()), [r.item_id for r in corpus.contaminated(items, docs, 5, "item_id", "doc_id").collect()], sorted(map(tuple, corpus.document_frequency(docs, 4, 3).collect()))))
+    assert out[0] == out[1] and 0 < len(out[0][0]) < 60 and out[0][1] == [0] and out[0][2]
+
+
+def test_few_shot_from_an_empty_pool_keeps_every_document(spark):
+    from gaugeworks.operators.requests import few_shot
+
+    d = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "doc_id long, text string, target string")
+    assert sorted(map(tuple, few_shot(d, d.limit(0), 2, "default").collect())) == [(1, "a"), (2, "c")]
+    assert few_shot(d, d, 3, "default").count() == 2

@@ -29,6 +29,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Keep the batches that Python gets small in bytes, whatever the texts' length, unless the session has a bound of its own."""
+    if spark.conf.get(_BATCH) == "67108864b":  # Spark's default
+        spark.conf.set(_BATCH, most)
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

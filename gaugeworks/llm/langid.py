@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import bounded_batches, pieces
 
 BUCKETS, SWITCH, SMOOTH, SCRIPT_SHARE, CHUNK = 1 << 15, 8.0, 0.1, 1e-3, 4096
 # First code point of each script range, and the script it begins (Unicode blocks).
@@ -72,6 +72,7 @@ def _count(batches):
 
 def train(docs: DataFrame) -> dict:
     """Counts over all rows with a text and a lang, summed by Spark; the driver gets at most BUCKETS + scripts numbers a language."""
+    bounded_batches(docs.sparkSession)
     counts = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInArrow(_count, "lang string, bucket long, n long")
     rows = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())

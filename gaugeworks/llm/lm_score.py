@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces, text_bytes, word_hashes
+from .common import bounded_batches, materialize, pieces, text_bytes, word_hashes
 
 #: CLASSES and TOP hold up to VOCABULARY distinct words; beyond, they grow as grown() says.
 VOCABULARY, CLASSES, TOP, MAX_TOP = 1 << 17, 48, 1 << 16, 1 << 20
@@ -197,6 +197,7 @@ def _count(batches):
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(h, ending, n): every distinct word of docs with its exact number of occurrences, as a written table."""
+    bounded_batches(docs.sparkSession)
     counts = docs.select(text_bytes()).mapInArrow(_count, "h long, ending int, n long")
     return materialize(counts.groupBy("h").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")), "lm-words")
 

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .common import pieces as slices
 
 SPACE = "▁"
@@ -435,6 +436,7 @@ def sample(docs: DataFrame, model_path: str, samples: int = SAMPLES, seed: int =
     round_trip says that the ids decode to the text (a text that holds U+2581 itself comes back with blanks). A null or empty text has the one segmentation
     of the blank put before every text. Equal doc_ids draw alike; a null doc_id draws as -1. Very long words without blanks cost time and memory in proportion. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         vocab = vocabulary(f.read())
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # a fixed vocabulary

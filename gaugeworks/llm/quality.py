@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, pieces, small_side
+from .common import bounded_batches, discard, materialize, pieces, small_side, text_bytes
 
 MAX_LABELLED, SEED, KEEP_FROM, SITES_BROADCAST, SALTS = 20_000, 11, 0.35, 50_000, 32
 FEATURES = ["bias", "log_words", "word_length", "letters", "upper", "digits", "symbols", "bangs", "repeated_lines", "distinct_words", "log_line"]
@@ -23,9 +23,9 @@ MICRO = 1_000_000
 _SYMBOLS = b"#*$%&|<>"
 
 
-def features(text: str | None) -> list[float]:
+def features(text: str | bytes | None) -> list[float]:
     """Of one text; all but the bias are 0 if it has no words."""
-    data = (text or "").encode("utf-8", "surrogatepass")
+    data = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
     if not words:
         return [1.0] + [0.0] * (len(FEATURES) - 1)
@@ -70,6 +70,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
 
 def evidence(docs: DataFrame, model: dict) -> DataFrame:
     """docs plus evidence: the classifier's probability in millionths (long, so that sums don't hang on their order)."""
+    bounded_batches(docs.sparkSession)
     w, b = model["w"] / model["scale"], -float((model["w"] * model["mean"] / model["scale"]).sum())
 
     @F.pandas_udf(T.LongType())
@@ -79,7 +80,7 @@ def evidence(docs: DataFrame, model: dict) -> DataFrame:
         z = np.array([np.dot(w, features(t)) for t in texts]) + b
         return pd.Series(np.rint(MICRO / (1 + np.exp(-np.clip(z, -12, 12)))).astype(np.int64))
 
-    return docs.withColumn("evidence", micro("text"))
+    return docs.withColumn("evidence", micro(text_bytes()))
 
 
 def sites(narrow: DataFrame) -> DataFrame:
@@ -88,15 +89,14 @@ def sites(narrow: DataFrame) -> DataFrame:
     path = materialize(path, "quality-paths")
     host = path.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.sum("s_path").alias("s_host"))
     both = materialize(path.alias("p").join(host.alias("h"), F.expr("p.host <=> h.host")).select("p.*", "n_host", "s_host"), "quality-sites")
-    # Between-site variance by moments: the spread of site means less the spread that chance gives them.
-    total = both.agg(F.sum("n_path").alias("n"), F.sum("s_path").alias("s")).withColumn("rate", F.expr("coalesce((s + 0.5) / (n + 1), 0.5)"))
-    r = F.broadcast(total.select("rate"))
-    spread = lambda n, gap: F.greatest(F.lit(1e-6), (F.sum(n * gap * gap) - F.sum(F.col("rate") * (1 - F.col("rate")))) / F.sum(n))
-    strength = lambda v: F.least(F.lit(1e4), F.greatest(F.lit(1.0), F.first("rate") * (1 - F.first("rate")) / v - 1))
-    kh = host.join(r).agg(strength(spread(F.col("n_host"), F.col("s_host") / F.col("n_host") - F.col("rate"))).alias("k_host"))
-    kp = both.join(r).agg(strength(spread(F.col("n_path"), F.col("s_path") / F.col("n_path") - F.col("s_host") / F.col("n_host"))).alias("k_path"))
-    one = materialize(total.select("rate").join(kh).join(kp), "quality-rates")  # joins of single rows
-    return materialize(both.join(F.broadcast(one)), "quality-posteriors")
+    # Between-site variance by moments: the spread of site means less the spread that chance gives them. Three numbers for all sites.
+    rate = both.agg(F.expr("coalesce((sum(s_path) + 0.5) / (sum(n_path) + 1), 0.5)")).first()[0]
+    spread = lambda n, gap: F.greatest(F.lit(1e-6), (F.sum(n * gap * gap) - F.count(F.lit(1)) * rate * (1 - rate)) / F.sum(n))
+    strength = lambda v: F.least(F.lit(1e4), F.greatest(F.lit(1.0), rate * (1 - rate) / v - 1))
+    kh = host.agg(strength(spread(F.col("n_host"), F.col("s_host") / F.col("n_host") - rate))).first()[0]
+    kp = both.agg(strength(spread(F.col("n_path"), F.col("s_path") / F.col("n_path") - F.col("s_host") / F.col("n_host")))).first()[0]
+    discard(path)
+    return both.withColumns({"rate": F.lit(rate), "k_host": F.lit(kh).cast("double"), "k_path": F.lit(kp).cast("double")})
 
 
 def judge(rows: DataFrame, posteriors: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:

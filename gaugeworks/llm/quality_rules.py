@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces, text_bytes
+from .common import bounded_batches, materialize, pieces, text_bytes
 
 MAX_LABELLED, MAX_CHAINS, CHAIN_LINES, SEED, STEPS, RIDGE, CONTENT_SHARE, BLAME = 2_000, 4_000, 256, 13, 60, 1e-3, 0.5, 0.6
 MIN_CONTEXTS, CONTEXT_SHARE, COMMON_BROADCAST, PADDED = 5, 0.25, 200_000, 200_000
@@ -249,6 +249,7 @@ def apply_rules(docs: DataFrame, model: dict, content_share: float = CONTENT_SHA
     words, fails the base rules and has content share 0. Repeated rows each get a row, an empty table none.
     """
 
+    bounded_batches(docs.sparkSession)
     rows, few = _with_common(docs.select("doc_id", "text"), model["common"])
     shared = docs.sparkSession.sparkContext.broadcast((model["w"], model["t"], few))
 

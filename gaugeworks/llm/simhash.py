@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, discard, join_counted, materialize, text_bytes
+from .common import bounded_batches, components, discard, join_counted, materialize, text_bytes
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 ROWS_A_TASK = 1_000_000
@@ -59,6 +59,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): one row per input row; a null text counts as empty."""
+    bounded_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
     return docs.select("doc_id", text_bytes()).mapInArrow(_fingerprints, schema)
 
@@ -139,6 +140,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _with_fingerprint(docs: DataFrame) -> DataFrame:
     """docs and __fp, written once."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, pieces, small_side, text_bytes, word_hashes
+from .common import bounded_batches, discard, materialize, pieces, small_side, text_bytes, word_hashes
 from .fmindex import FMIndex, repeats
 
 WINDOW, GRAM, HOT_RUNS, SHARD_WORDS = 35, 12, 4096, 800_000
@@ -249,6 +249,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     A word goes if any window of WINDOW words over it is a word sequence that starts anywhere else too, in
     the input as it stands. A null text has no words. Repeated rows repeat all their windows, so all of those go. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     keyed = docs.select("doc_id", text_bytes().alias("data")).withColumns({"k1": F.xxhash64("doc_id", "data"), "k2": F.xxhash64("data", F.lit(1), "doc_id")})
     spans = repeated_spans(keyed)
     kind = docs.schema["doc_id"].dataType.simpleString()

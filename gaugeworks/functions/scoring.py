@@ -226,7 +226,7 @@ def _highlights(t: str) -> int:
     return sum(bool(x.strip("*").strip()) for p in (r"\*[^\n*]*\*", r"\*\*[^\n*]*\*\*") for x in re.findall(p, t))
 
 
-# Instruction names, their arguments, and the three answers of the constrained response.
+# Instruction names, their arguments and patterns, and the three answers of the constrained response.
 ANSWERS = ("My answer is yes.", "My answer is no.", "My answer is maybe.")
 CHECKS: dict[str, Callable[[str, dict], bool]] = {
     "keywords:existence": lambda t, k: all(re.search(w, t, re.I) for w in k["keywords"]),

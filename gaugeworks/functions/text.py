@@ -114,21 +114,26 @@ def set_f1(a: Column, b: Column) -> Column:
 
 
 def rouge_l(prediction: Column, reference: Column) -> Column:
-    """F1 of the longest common subsequence of two word arrays, one row of the table at a time."""
-    return let(prediction, lambda a: let(reference, lambda b: _lcs_f1(a, b)))
+    """F1 of the longest common subsequence of two word arrays."""
 
+    @F.pandas_udf("double")
+    def run(ps, rs):
+        import pandas as pd
 
-def _lcs_f1(a: Column, b: Column) -> Column:
-    zero = F.transform(F.concat(F.array(F.lit("")), b), lambda _: F.lit(0))
+        return pd.Series([_lcs_f1(list(p), list(r)) for p, r in zip(ps, rs)])
 
-    def row(previous, word):
-        first = F.struct(F.array(F.lit(0)).alias("row"), F.lit(0).alias("left"))
+    return run(prediction, reference)
 
-        def cell(state, j):
-            v = F.when(F.get(b, j) == word, F.get(previous, j) + 1).otherwise(F.greatest(F.get(previous, j + 1), state["left"]))
-            return F.struct(F.concat(state["row"], F.array(v)).alias("row"), v.alias("left"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), first, cell, lambda s: s["row"])
-
-    lcs = F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.element_at(F.aggregate(a, zero, row), -1))
-    return let(lcs, lambda n: F.when(n == 0, 0.0).otherwise(2.0 * n / (F.size(a) + F.size(b))))
+def _lcs_f1(a: list[str], b: list[str]) -> float:
+    """The longest common subsequence by bits: a word's places in b are a number, and one addition moves a whole row of the table on."""
+    at: dict[str, int] = {}
+    for i, w in enumerate(b):
+        at[w] = at.get(w, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for w in a:
+        hit = row & at.get(w, 0)
+        row = (row + hit | row - hit) & full
+    same = len(b) - row.bit_count()
+    return 2.0 * same / (len(a) + len(b)) if same else 0.0

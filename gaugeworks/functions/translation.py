@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from .text import let, ngrams, words
 
 
+# The token patterns of the published mteval-v13a script, and what replaces them, in order.
+TOKEN_STEPS = [(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "), (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 ")]
+
+
 def tokenize(c: Column) -> Column:
-    """International mteval-style tokens: punctuation and symbols stand alone, but not between digits."""
-    c = F.regexp_replace(c, r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 ")
-    c = F.regexp_replace(c, r"([^0-9])([\.,])", "$1 $2 ")
-    c = F.regexp_replace(c, r"([\.,])([^0-9])", " $1 $2")
-    return words(F.regexp_replace(c, r"([0-9])(-)", "$1 $2 "))
+    """mteval-style tokens: punctuation and symbols stand alone, but not between digits."""
+    return words(reduce(lambda x, s: F.regexp_replace(x, *s), TOKEN_STEPS, c))
 
 
 def clipped_matches(pred: Column, ref: Column) -> Column:

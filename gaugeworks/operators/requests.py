@@ -68,8 +68,10 @@ def few_shot(docs: DataFrame, pool: DataFrame, n: int, sampler: str = "first_n",
     shown = F.when(F.col("target") == "", F.col("text")).otherwise(F.concat("text", F.lit(target_delimiter), "target"))
     ranked = pool.select(F.col("doc_id").alias("pool_id"), shown.alias("shown"))
     if sampler == "first_n":
-        top = ranked.orderBy("pool_id").limit(n + 1).select(F.collect_list(F.struct(F.col("pool_id").alias("place"), "pool_id", "shown")).alias("some"))
-        j = docs.select("doc_id", "text").join(F.broadcast(top))
+        top = [F.struct(F.lit(r.pool_id).alias("place"), F.lit(r.pool_id).alias("pool_id"), F.lit(r.shown).alias("shown")) for r in ranked.orderBy("pool_id").limit(n + 1).collect()]
+        if not top:
+            return docs.select("doc_id", F.col("text").alias("context"))
+        j = docs.select("doc_id", "text", F.array(*top).alias("some"))
     else:
         size = pool.count()
         if not size:

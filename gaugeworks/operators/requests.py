@@ -58,33 +58,48 @@ def truncate(tokens: Column, most: int, side: str = "left") -> Column:
     return F.slice(tokens, start, most)
 
 
-def few_shot(docs: DataFrame, pool: DataFrame, n: int, sampler: str = "first_n", seed: int = 1234, target_delimiter: str = " ", delimiter: str = "\n\n") -> DataFrame:
-    """(doc_id, context): n examples of the pool (doc_id, text, target) before each document, never the document itself.
-
-    first_n takes the first by doc_id: only n + 1 rows of the pool can serve, whatever its size. default draws by hash: every
-    document draws places of the pool in hash order of its own (and should too few differ, the next ones from one place on), so a
-    document meets n + 1 rows, not the pool; an empty pool gives none. An empty target adds neither its delimiter nor itself.
-    """
-    shown = F.when(F.col("target") == "", F.col("text")).otherwise(F.concat("text", F.lit(target_delimiter), "target"))
-    ranked = pool.select(F.col("doc_id").alias("pool_id"), shown.alias("shown"))
+def _examples(docs: DataFrame, pool: DataFrame, n: int, sampler: str, seed: int) -> DataFrame:
+    """(doc_id, text, picked): n examples of the pool for each document, as struct(place, pool_id, text, target) in order, never the document itself."""
+    ranked = pool.select(F.col("doc_id").alias("pool_id"), F.col("text").alias("shown"), "target")
+    none = F.slice(F.array(F.struct(F.lit(0).alias("place"), F.lit(0).alias("pool_id"), F.lit("").alias("text"), F.lit("").alias("target"))), 1, 0)
     if sampler == "first_n":
-        top = [F.struct(F.lit(r.pool_id).alias("place"), F.lit(r.pool_id).alias("pool_id"), F.lit(r.shown).alias("shown")) for r in ranked.orderBy("pool_id").limit(n + 1).collect()]
+        top = [F.struct(F.lit(r.pool_id).alias("place"), F.lit(r.pool_id).alias("pool_id"), F.lit(r.shown).alias("text"), F.lit(r.target).alias("target")) for r in ranked.orderBy("pool_id").limit(n + 1).collect()]
         if not top:
-            return docs.select("doc_id", F.col("text").alias("context"))
+            return docs.select("doc_id", "text", none.alias("picked"))
         j = docs.select("doc_id", "text", F.array(*top).alias("some"))
     else:
         size = pool.count()
         if not size:
-            return docs.select("doc_id", F.col("text").alias("context"))
+            return docs.select("doc_id", "text", none.alias("picked"))
         rank = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "pool_id"), "pool_id")) - 1  # over a few-shot split, small by nature
         ring = ranked.withColumn("rank", rank)
         drawn = F.transform(F.sequence(F.lit(0), F.lit(4 * n + 8)), lambda k: F.pmod(F.xxhash64(F.lit(seed), "doc_id", k), F.lit(size)))
         rest = F.transform(F.sequence(F.lit(0), F.lit(min(n, size - 1))), lambda k: F.pmod(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(size)) + k, F.lit(size)))
         places = F.slice(F.array_distinct(F.concat(drawn, rest)), 1, n + 1)
         want = docs.select("doc_id", "text", F.posexplode(places).alias("place", "rank"))
-        j = want.join(ring, "rank").groupBy("doc_id", "text").agg(F.collect_list(F.struct("place", "pool_id", "shown")).alias("some"))
-    picked = F.slice(F.filter(F.array_sort("some"), lambda x: x["pool_id"] != F.col("doc_id")), 1, n)
-    return j.select("doc_id", F.concat(F.array_join(F.transform(picked, lambda x: F.concat(x["shown"], F.lit(delimiter))), ""), "text").alias("context"))
+        j = want.join(ring, "rank").groupBy("doc_id", "text").agg(F.collect_list(F.struct("place", "pool_id", F.col("shown").alias("text"), "target")).alias("some"))
+    return j.select("doc_id", "text", F.slice(F.filter(F.array_sort("some"), lambda x: x["pool_id"] != F.col("doc_id")), 1, n).alias("picked"))
+
+
+def few_shot(docs: DataFrame, pool: DataFrame, n: int, sampler: str = "first_n", seed: int = 1234, target_delimiter: str = " ", delimiter: str = "\n\n") -> DataFrame:
+    """(doc_id, context): n examples of the pool (doc_id, text, target) before each document, never the document itself.
+
+    first_n takes the first by doc_id: only n + 1 rows of the pool can serve, whatever its size. default draws by hash: every
+    document draws places of the pool in hash order of its own (and should too few differ, the next ones from one place on), so a
+    document meets n + 1 rows, not the pool; an empty pool gives none. An empty target adds neither its delimiter nor itself.
+    """
+    shown = lambda x: F.when(x["target"] == "", x["text"]).otherwise(F.concat(x["text"], F.lit(target_delimiter), x["target"]))
+    j = _examples(docs, pool, n, sampler, seed)
+    return j.select("doc_id", F.concat(F.array_join(F.transform("picked", lambda x: F.concat(shown(x), F.lit(delimiter))), ""), "text").alias("context"))
+
+
+def few_shot_chat(docs: DataFrame, pool: DataFrame, n: int, sampler: str = "first_n", seed: int = 1234, system: str = "", prefix: str = "") -> DataFrame:
+    """(doc_id, messages): an optional system message, each example as a turn of the user and one of the assistant, and the document as the user's last; prefix opens every answer."""
+    say = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    answer = lambda x: F.concat(F.lit(prefix + " " if prefix else ""), x["target"])
+    turns = F.flatten(F.transform("picked", lambda x: F.array(say("user", x["text"]), say("assistant", answer(x)))))
+    opening = [F.array(say("system", F.lit(system)))] if system else []
+    return _examples(docs, pool, n, sampler, seed).select("doc_id", F.concat(*opening, turns, F.array(say("user", F.col("text")))).alias("messages"))
 
 
 def chat(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:

@@ -51,6 +51,38 @@ def expand(name: str, configs: dict[str, dict]) -> list[str]:
     return tagged if tagged and not c else [name]
 
 
+#: Keys that describe a group; all others of a group go to its members.
+GROUP_KEYS = ("group", "group_alias", "task", "aggregate_metric_list", "metadata", "include", "tag")
+
+
+def expand_configs(name: str | dict, configs: dict[str, dict], changes: dict | None = None, taken: list[str] | None = None) -> dict[str, dict]:
+    """Configurations of the tasks under a group, tag or task, with what the way to them changes.
+
+    A member may be a name, a mapping of a name and its own changes, or a whole configuration; a member's changes win over its
+    group's, and both over the task's. A changed member is named apart, name-1, name-2, ..., where members of that name (or one
+    that begins with it) came before in its group.
+    """
+    own = {} if isinstance(name, str) else {k: v for k, v in name.items() if k != "task"}
+    label = name if isinstance(name, str) else name.get("group") or name.get("task")
+    changes = {**(changes or {}), **own}
+    c = configs.get(label, {}) if isinstance(name, str) or isinstance(name.get("task"), str) else name
+    if isinstance(c.get("task"), list):
+        below = {**{k: v for k, v in c.items() if k not in GROUP_KEYS}, **{k: v for k, v in changes.items() if k not in GROUP_KEYS}}
+        seen: list[str] = []
+        out: dict[str, dict] = {}
+        for m in c["task"]:
+            out |= expand_configs(m, configs, below, seen)
+        return out
+    tagged = [] if label in configs else [n for n, x in configs.items() if label in ([x["tag"]] if isinstance(x.get("tag"), str) else x.get("tag") or [])]
+    if tagged:
+        return {k: v for t in tagged for k, v in expand_configs(t, configs, changes, taken).items()}
+    before = sum(t.startswith(label) for t in taken or ())
+    if taken is not None:
+        taken.append(label)
+    alias = f"{label}-{before}" if changes and before else label
+    return {alias: {**c, **changes, "task": alias}}
+
+
 _SLOT = re.compile(r"\{\{(.*?)\}\}", re.S)
 _FORM = re.compile(r"([A-Za-z_][\w.]*)((?:\.(?:strip|lower|upper)\(\)|\[-?\d+\])*)(?:\s*\|\s*(int|lower|upper|trim))?\Z")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +62,13 @@ class Group:
     weight_by_size: bool = True
 
 
+def with_options(tasks: list[Task], predict_only: bool = False, **changes) -> list[Task]:
+    """The tasks with some of their fields changed, such as repeats, filters or max_len; predict_only asks the model and scores nothing."""
+    if predict_only:
+        changes["metrics"] = [Metric("bypass", lambda: F.lit(None), "bypass")]
+    return [replace(t, **changes) for t in tasks]
+
+
 def requests(task: Task) -> DataFrame:
     """(doc_id, idx, context, continuation, rep, req_hash). Choices asked without context follow the others: idx then begins at the number of choices. Rolling texts are asked by disjoint windows."""
     docs = task.process(task.docs) if task.process else task.docs

@@ -478,7 +478,7 @@ def instruction_following(t):
     return r.select("role", r6("prompt_level").alias("prompt_level"), r6("instruction_level").alias("instruction_level"))
 
 
-from . import queries_families  # noqa: E402, F401  (registers its queries here)
+from . import queries_answers, queries_families  # noqa: E402, F401  (they register their queries here)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -88,10 +88,16 @@ def detokenised(t):
     return t("conversations").select("conv_id", "turn", families.rewritten(spaced, families.DIALOGUE_STEPS).alias("dialogue"), families.rewritten(spaced, families.GENERAL_STEPS).alias("general"))
 
 
-@query(f"SELECT item_id, regexp_replace(replace(replace({_SPACED}, ' . ', '. '), ' , ', ', '), '\\(\\s*([^\\)]*?)\\s*\\)', '(\\1)', 'g') AS page FROM benchmark WHERE NOT regexp_matches(text, '[\\[{{\"'':;!?@=]| N ')")
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_PAGE = "text"
+for _a, _b in families.WIKI_STEPS:
+    _PAGE = f"regexp_replace({_PAGE}, {_quoted(_a[3:])}, {_quoted(_b.replace('$1', chr(92) + '1'))}, 'g')" if _a.startswith("re:") else f"replace({_PAGE}, {_quoted(_a)}, {_quoted(_b)})"
+
+
+@query(f"WITH b AS (SELECT item_id, {_SPACED} AS text FROM benchmark) SELECT item_id, {_PAGE} AS page FROM b")
 def detokenised_pages(t):
     spaced = F.replace(F.replace(F.col("text"), F.lit("."), F.lit(" .")), F.lit(","), F.lit(" ,"))
-    return t("benchmark").where(~F.rlike("text", F.lit("[\\[{\"':;!?@=]| N "))).select("item_id", families.rewritten(spaced, families.WIKI_STEPS).alias("page"))
+    return t("benchmark").select("item_id", families.rewritten(spaced, families.WIKI_STEPS).alias("page"))
 
 
 # ---- filters
@@ -241,13 +247,16 @@ def scored_unless_short(t):
 _F1 = "CASE WHEN len({a}) + len({b}) = 0 THEN 0 ELSE 2.0 * list_sum(list_transform(list_concat(['']  , list_distinct({a})), lambda w: least(len(list_filter({a}, lambda x: x = w)), len(list_filter({b}, lambda x: x = w))))) / (len({a}) + len({b})) END"
 
 
-@query(f"""WITH c AS (SELECT conv_id, list({_W} ORDER BY turn) AS t FROM conversations WHERE turn < 4 GROUP BY conv_id HAVING count(*) = 4),
- s AS (SELECT conv_id, {_F1.format(a='t[1]', b='t[2]')} AS a, {_F1.format(a='t[1]', b='t[3]')} AS b, {_F1.format(a='t[1]', b='t[4]')} AS c FROM c)
- SELECT conv_id, round(greatest(a, b, c), 6) AS best, round((a + b + c) / 3, 6) AS mean, round((greatest(b, c) + greatest(a, c) + greatest(a, b)) / 3, 6) AS left_out FROM s""")
+_OTHERS = "CASE WHEN len({0}) = 1 THEN {0}[1] ELSE list_sum(list_transform(range(1, len({0}) + 1), lambda i: list_max(list_filter({0}, lambda x, j: j <> i)))) / len({0}) END"
+
+
+@query(f"""WITH c AS (SELECT conv_id, list({_W} ORDER BY turn) AS t FROM conversations GROUP BY conv_id HAVING count(*) > 2), x AS (SELECT conv_id, t[1] AS a, unnest(t[2:]) AS b, generate_subscripts(t[2:], 1) AS i FROM c),
+ s AS (SELECT conv_id, list({_F1.format(a='a', b='b')} ORDER BY i) AS f FROM x GROUP BY conv_id)
+ SELECT conv_id, round(list_max(f), 6) AS best, round(list_avg(f), 6) AS mean, round({_OTHERS.format('f')}, 6) AS left_out FROM s""")
 def scores_over_references(t):
-    c = t("conversations").where("turn < 4").select("conv_id", "turn", text.words(F.col("text")).alias("w"))
-    c = R.regroup(c, ["conv_id"], "w", ["turn"]).where("size(texts) = 4")
-    refs, f1 = F.slice("texts", 2, 3), lambda g: text.token_f1(F.get("texts", 0), g)
+    c = t("conversations").select("conv_id", "turn", text.words(F.col("text")).alias("w"))
+    c = R.regroup(c, ["conv_id"], "w", ["turn"]).where("size(texts) > 2")
+    refs, f1 = F.slice("texts", F.lit(2), F.size("texts") - 1), lambda g: text.token_f1(F.get("texts", 0), g)
     x = c.select("conv_id", families.over_references(refs, f1).alias("x"), text.best_of(refs, f1).alias("best"), text.leave_one_out_best(refs, f1).alias("o"))
     return x.select("conv_id", r6("best").alias("best"), r6("x.mean").alias("mean"), r6("o").alias("left_out"))
 
@@ -332,7 +341,7 @@ def sample_sizes(t):
     return R.sample_sizes(t("documents").withColumnRenamed("lang", "task"), "task", 150)
 
 
-@query("""WITH r AS (SELECT user_id % 10 AS grp, event_type, event_id % 2 = 0 AS up FROM events WHERE event_id < 40) SELECT grp::VARCHAR AS "group", event_type AS metric, CASE WHEN min(up) <> max(up) THEN 'mixed' ELSE min(up)::VARCHAR END AS higher_is_better FROM r GROUP BY ALL""")
+@query("""WITH r AS (SELECT user_id % 10 AS grp, event_type, event_id % 2 = 0 AS up FROM events) SELECT grp::VARCHAR AS "group", event_type AS metric, CASE WHEN min(up) <> max(up) THEN 'mixed' ELSE min(up)::VARCHAR END AS higher_is_better FROM r GROUP BY ALL""")
 def merged_direction(t):
-    e = t("events").where("event_id < 40").select(F.col("event_id").cast("string").alias("task"), F.col("event_type").alias("metric"), (F.col("event_id") % 2 == 0).alias("higher_is_better"), (F.col("user_id") % 10).cast("string").alias("group"))
+    e = t("events").select(F.col("event_id").cast("string").alias("task"), F.col("event_type").alias("metric"), (F.col("event_id") % 2 == 0).alias("higher_is_better"), (F.col("user_id") % 10).cast("string").alias("group"))
     return R.direction(e.drop("group"), e.select("group", "task")).withColumn("higher_is_better", F.coalesce(F.col("higher_is_better").cast("string"), F.lit("mixed")))

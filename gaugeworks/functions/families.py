@@ -142,7 +142,7 @@ def word_sort(listed: Column):
     """The listed words in each response, in the order of their last occurrence, joined by blanks."""
 
     def one(t: Column) -> Column:
-        seen = F.filter(F.regexp_extract_all(t, F.lit(r"(\w+)"), F.lit(1)), lambda w: F.array_contains(listed, w))
+        seen = F.filter(F.regexp_extract_all(t, F.lit(r"(?U)(\w+)"), F.lit(1)), lambda w: F.array_contains(listed, w))
         last = lambda s: F.array_join(F.filter(s, lambda w, i: ~F.array_contains(F.slice(s, i + 2, F.greatest(F.size(s) - i - 1, F.lit(0))), w)), " ")
         return text.let(seen, last)
 

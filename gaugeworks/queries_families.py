@@ -264,7 +264,7 @@ def scores_over_references(t):
 @query(f"""WITH {_PAIRS}, w AS (SELECT conv_id, turn, list_distinct({tokens_sql(norm_sql('pred'))}) AS a, list_distinct({tokens_sql(norm_sql('gold'))}) AS b FROM p)
  SELECT conv_id, turn, round(CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) END, 6) AS set_f1 FROM w""")
 def set_scores(t):
-    w = lambda c: text.words(text.normalize(F.col(c)))
+    w = lambda c: text.words(families.cleaned(F.col(c)))
     return _pairs(t).select("conv_id", "turn", r6(text.set_f1(w("pred"), w("gold"))).alias("set_f1"))
 
 

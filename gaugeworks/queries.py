@@ -91,7 +91,18 @@ def corpus_stats_by_source(t):
     return corpus.statistics(t("documents"), "source")
 
 
-@query()
+_DIRT = f"b AS (SELECT DISTINCT unnest({GRAMS.format(t='t', n=13)}) AS gram FROM (SELECT {_T} AS t FROM benchmark))"
+
+
+@query(f"""WITH {_DIRT}, s AS (SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\\s*\\S+') AS x FROM documents)),
+ p AS (SELECT doc_id, i, regexp_extract(s, '\\S+') AS w, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM s),
+ g AS (SELECT doc_id, stop - length(w) AS start, lead(stop, 12) OVER o - 1 AS last, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS gram FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ h AS (SELECT doc_id, start, last FROM g WHERE last IS NOT NULL AND {norm_sql('gram')} IN (SELECT gram FROM b)), n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+ c AS (SELECT h.doc_id, text, start, greatest(0, start - 200) AS begin, least(length(text), last + 200) AS stop, row_number() OVER o AS j, n FROM h JOIN n USING (doc_id) JOIN documents USING (doc_id) WHERE n <= 10 WINDOW o AS (PARTITION BY h.doc_id ORDER BY start, last)),
+ k AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY j), 0) AS cut FROM c),
+ r AS (SELECT doc_id, j, substring(text, (cut + 1)::BIGINT, (begin - cut)::BIGINT) AS text FROM k WHERE begin - cut > 200 UNION ALL SELECT doc_id, j + 1, substring(text, (stop + 2)::BIGINT) FROM k WHERE j = n AND stop < length(text) - 200
+ UNION ALL SELECT doc_id, 0, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n) AND length(text) >= 200)
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1)::INT AS chunk, text FROM r""")
 def janitor_clean(t):
     return corpus.clean(t("documents"), t("benchmark"), 13).select("doc_id", F.posexplode("chunks").alias("chunk", "text"))
 
@@ -169,7 +180,12 @@ def filter_chains_vote(t):
     return filters.apply_chains(texts, chains).select("user_id", "filter", F.element_at("filtered", 1).alias("answer"))
 
 
-@query()
+_LABELLED = "lower(split_part(text, ' ', 1))"
+for _a, _b in filters.SPAN_LABELS.items():
+    _LABELLED = f"replace({_LABELLED}, '{_a}', '{_b}')"
+
+
+@query(f"SELECT item_id, array_to_string(list_transform(list_filter(list_transform(string_split(split_part({_LABELLED} || ', none', chr(10), 1), ','), lambda v: trim(v)), lambda v: lower(v) <> 'none'), lambda v: 'per: ' || v), ' $ ') AS spans FROM benchmark")
 def filter_format_span(t):
     return t("benchmark").select("item_id", filters.format_span()(F.array(F.concat(F.lit("person: "), F.substring_index("text", " ", 1), F.lit(", none$$place: "), F.substring_index("text", " ", 2))))[0].alias("spans"))
 
@@ -281,7 +297,27 @@ def answer_scores(t):
     return p.select("conv_id", "turn", text.exact_match(F.col("pred"), F.col("gold"), ignore_case=True).cast("int").alias("exact"), r6(text.token_f1(F.col("a"), F.col("b"))).alias("f1"))
 
 
-@query()
+_TOKENS = "{0}"
+for _a, _b in translation.TOKEN_STEPS:
+    _TOKENS = "regexp_replace(" + _TOKENS + ", '" + _a.replace("{", "{{").replace("}", "}}") + "', '" + _b.replace("$", "\\") + "', 'g')"
+_LETTERS = r"regexp_replace({0}, '\s+', '', 'g')"
+_OF_TOKENS = "unnest(list_transform(range(0, greatest(len(x) - n + 1, 0)), lambda i: array_to_string(x[i + 1 : i + n], ' ')))"
+_OF_LETTERS = "unnest(list_transform(range(1, greatest(length(x) - n + 2, 1)), lambda i: substring(x, i, n)))"
+
+
+def _matches_sql(name: str, form: str, grams: str, order: int) -> str:
+    """Of each conversation class k and order n: clipped matches m and the n-grams of either side, p and r."""
+    side = lambda c: f"SELECT conv_id, turn, n, '{c}' AS side, {grams} AS gram FROM (SELECT conv_id, turn, {form.format(c)} AS x FROM p), (SELECT unnest(range(1, {order + 1})) AS n)"
+    return f"""{name}_g AS (SELECT conv_id, turn, n, side, gram, count(*) AS c FROM ({side('pred')} UNION ALL {side('gold')}) GROUP BY ALL),
+ {name}_m AS (SELECT a.conv_id % 4 AS k, n, sum(least(a.c, b.c)) AS m FROM {name}_g a JOIN {name}_g b USING (conv_id, turn, n, gram) WHERE a.side = 'pred' AND b.side = 'gold' GROUP BY ALL),
+ {name}_t AS (SELECT conv_id % 4 AS k, n, sum(c) FILTER (side = 'pred') AS p, sum(c) FILTER (side = 'gold') AS r FROM {name}_g GROUP BY ALL),
+ {name} AS (SELECT k, n, coalesce(m, 0) AS m, coalesce(p, 0) AS p, coalesce(r, 0) AS r FROM {name}_t LEFT JOIN {name}_m USING (k, n))"""
+
+
+@query(f"""WITH {_PAIRS}, {_matches_sql('w', "list_filter(regexp_split_to_array(" + _TOKENS + ", '\\s+'), lambda t: t <> '')", _OF_TOKENS, 4)}, {_matches_sql('l', _LETTERS, _OF_LETTERS, 6)},
+ x AS (SELECT k, CASE WHEN count(*) FILTER (m > 0) = 4 THEN 100 * exp(avg(ln(m / p)) FILTER (m > 0) + least(0, 1 - max(r) FILTER (n = 1) / max(p) FILTER (n = 1))) ELSE 0 END AS bleu FROM w GROUP BY k),
+ y AS (SELECT k, avg(m / p) AS a, avg(m / r) AS b FROM l WHERE p > 0 AND r > 0 GROUP BY k)
+ SELECT k, round(bleu, 6) AS bleu, round(coalesce(500 * a * b / nullif(4 * a + b, 0), 0), 6) AS chrf FROM x JOIN y USING (k)""")
 def translation_scores(t):
     p = _pairs(t).withColumn("k", F.pmod("conv_id", F.lit(4))).withColumnRenamed("gold", "ref")
     return translation.bleu(p, ["k"]).join(translation.chrf(p, ["k"]), "k").select("k", r6("bleu").alias("bleu"), r6("chrf").alias("chrf"))

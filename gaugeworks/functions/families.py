@@ -161,6 +161,52 @@ def map_regex(values: dict[str, str], group_select: int = 0, fallback: str = "[i
     return lambda texts: F.transform(texts, one)
 
 
+# English number words.
+UNITS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
+TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
+SCALES = {"thousand": 10**3, "million": 10**6, "billion": 10**9, "trillion": 10**12}
+_VALUES = {w: i for i, w in enumerate(UNITS)} | {w: 20 + 10 * i for i, w in enumerate(TENS)}
+_NUMBER_WORD = "|".join(sorted([*_VALUES, "hundred", *SCALES], key=len, reverse=True))
+_NUMBER_RUN = re.compile(rf"(?:{_NUMBER_WORD})(?:(?:[^\S\r\n]|,|and|&)*(?:{_NUMBER_WORD}))*")
+
+
+def number_of_words(run: str) -> int:
+    """Value of number words, such as two hundred and five; a scale alone counts as one of it."""
+    total = part = 0
+    for w in re.findall(_NUMBER_WORD, run):
+        if w in SCALES:
+            total, part = total + (part or 1) * SCALES[w], 0
+        elif w == "hundred":
+            part = (part or 1) * 100
+        else:
+            part += _VALUES[w]
+    return total + part
+
+
+def number_parse(pattern: str, group_select: int = 0, fallback: str = "[invalid]"):
+    """The group_select-th match of the pattern in each response, else the value of the group_select-th run of English number words, in digits. The longest word counts (sixteen, not six), also inside of others."""
+
+    def one(t: str | None) -> str:
+        found = re.findall(pattern, t or "")
+        at = group_select if group_select >= 0 else len(found) + group_select
+        if 0 <= at < len(found):
+            m = found[at]
+            m = next((x for x in m if x), "") if isinstance(m, tuple) else m
+            if m.strip():
+                return m.strip()
+        runs = _NUMBER_RUN.findall((t or "").lower())
+        at = group_select if group_select >= 0 else len(runs) + group_select
+        return str(number_of_words(runs[at])) if 0 <= at < len(runs) else fallback
+
+    @F.pandas_udf("array<string>")
+    def run(texts):
+        import pandas as pd
+
+        return pd.Series([None if ts is None else [one(t) for t in ts] for ts in texts])
+
+    return run
+
+
 # --- scores
 def classes_found(prediction: str, gold: str, classes: list[str]) -> float:
     """One over the number of classes found in the prediction if gold is among them. A found class that is part of gold goes, and the one after it is then passed over."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import answers, scoring, text
+from .functions import answers, families, scoring, text
 from .operators import requests as R
 from .operators import results
 from .plans.evaluate import task_results
@@ -137,6 +137,38 @@ def span_sets(t):
     return t("part").select("p_partkey", scoring.spans_exact_f1(F.array("p_brand", "p_name"), F.array(gold)).alias("x")).select("p_partkey", "x.*")
 
 
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN '1,' || (event_id % 900 + 100) WHEN 1 THEN '205' WHEN 2 THEN '3021000' WHEN 3 THEN '16' ELSE '[invalid]' END AS number FROM events")
+def filter_number_parse(t):
+    k = F.col("event_id") % 5
+    said = F.when(k == 0, F.concat(F.lit("I count 1,"), (F.col("event_id") % 900 + 100).cast("string"), F.lit(" of two"))).when(k == 1, "Two hundred and five").when(k == 2, "it is three million, twenty one thousand").when(k == 3, "sixteen, then\nfour").otherwise("a few")
+    return t("events").select("event_id", families.number_parse(r"(\d[\d,]*)")(F.array(said))[0].alias("number"))
+
+
+_SAID = "CASE conv_id % 4 WHEN 0 THEN text WHEN 1 THEN chr(34) || text || chr(34) WHEN 2 THEN '<<Title>>' || chr(10) || text || ' [name] *bold*' ELSE lower(text) || chr(10) || '- item' || chr(10) || '* item two' END"
+_CHECKS = [
+    ("keywords:existence", '{"keywords": ["th", "on"]}', "contains(l, 'th') AND contains(l, 'on')"),
+    ("keywords:frequency", '{"keyword": "th", "frequency": 5, "relation": "at least"}', "len(regexp_extract_all(l, 'th')) >= 5"),
+    ("keywords:forbidden_words", '{"forbidden_words": ["and", "la"]}', r"NOT regexp_matches(l, '(^|[^\p{L}\p{N}_])(and|la)($|[^\p{L}\p{N}_])')"),
+    ("length_constraints:number_words", '{"num_words": 40, "relation": "less than"}', r"len(regexp_extract_all(s, '[\p{L}\p{N}_]+')) < 40"),
+    ("detectable_content:number_placeholders", '{"num_placeholders": 1}', r"len(regexp_extract_all(s, '\[.*?\]')) >= 1"),
+    ("detectable_format:number_bullet_lists", '{"num_bullets": 2}', r"len(list_filter(string_split(s, chr(10)), lambda x: regexp_matches(x, '^\s*(\*[^*]|-)'))) = 2"),
+    ("detectable_format:number_highlighted_sections", '{"num_highlights": 1}', "contains(s, '*bold*')"),
+    ("detectable_format:title", "{}", "contains(s, '<<Title>>')"),
+    ("startend:quotation", "{}", "length(f) > 1 AND starts_with(f, chr(34)) AND ends_with(f, chr(34))"),
+    ("change_case:english_lowercase", "{}", "s = l AND s <> upper(s)"),
+    ("combination:repeat_prompt", '{"prompt_to_repeat": "<<title>>"}', "starts_with(lower(f), '<<title>>')"),
+]
+_STATED = ", ".join(f"(f <> '' AND {c})::INT" for *_, c in _CHECKS)
+
+
+@query(f"WITH d AS (SELECT conv_id, turn, {_SAID} AS s FROM conversations), x AS (SELECT *, lower(s) AS l, trim(s, ' ' || chr(9) || chr(10) || chr(13)) AS f FROM d) SELECT conv_id, turn, array_to_string([{_STATED}], '') AS followed FROM x")
+def instruction_checks(t):
+    k, s = F.col("conv_id") % 4, F.col("text")
+    said = F.when(k == 0, s).when(k == 1, F.concat(F.lit('"'), s, F.lit('"'))).when(k == 2, F.concat(F.lit("<<Title>>\n"), s, F.lit(" [name] *bold*"))).otherwise(F.concat(F.lower(s), F.lit("\n- item\n* item two")))
+    followed = scoring.instructions_followed(said, F.array(*[F.lit(n) for n, *_ in _CHECKS]), F.array(*[F.lit(a) for _, a, _ in _CHECKS]))
+    return t("conversations").select("conv_id", "turn", F.array_join(F.transform(followed, lambda x: x.cast("int").cast("string")), "").alias("followed"))
+
+
 # ---- results and logs
 @query(f"WITH {_RES} SELECT task, 'acc' AS metric, printf('%.2f', 100 * value) AS value, coalesce(printf('%.2f', 100 * stderr), '') AS stderr FROM r")
 def percent_results(t):

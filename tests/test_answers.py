@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks import __main__ as cli
-from gaugeworks.functions import answers
+from gaugeworks.functions import answers, families
 from gaugeworks.operators import requests as R
 from gaugeworks.operators import results
 from gaugeworks.plans import catalog
@@ -102,3 +102,8 @@ def test_command_line(tmp_path, capsys):
     assert capsys.readouterr().out.split() == ["contamination_13gram"]
     with pytest.raises(SystemExit):
         cli.main(["list", "no_such_query"])
+
+
+def test_number_words():
+    cases = {"two hundred and five": 205, "three million, twenty one thousand": 3021000, "sixteen": 16, "ninety nine": 99, "hundred": 100, "one trillion & two": 10**12 + 2, "zero": 0}
+    assert {k: families.number_of_words(k) for k in cases} == cases

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column
@@ -137,3 +139,48 @@ def _lcs_f1(a: list[str], b: list[str]) -> float:
         row = (row + hit | row - hit) & full
     same = len(b) - row.bit_count()
     return 2.0 * same / (len(a) + len(b)) if same else 0.0
+
+
+def _lcs_places(a: list[str], b: list[str]) -> set[int]:
+    """Places in a of one longest common subsequence; among equally long ones that which steps back in a first."""
+    table = [[0] * (len(b) + 1)]
+    for x in a:
+        above, row = table[-1], [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+        table.append(row)
+    i, j, found = len(a), len(b), set()
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            found.add(i)
+        elif table[i][j - 1] > table[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    return found
+
+
+def _lsum_f1(prediction: list[list[str]], reference: list[list[str]]) -> float:
+    left, wanted = (Counter(w for line in side for w in line) for side in (prediction, reference))
+    total = left.total() + wanted.total()
+    hits = 0
+    for line in reference:
+        for i in sorted(set().union(*(_lcs_places(line, p) for p in prediction))):
+            w = line[i]
+            if left[w] > 0 and wanted[w] > 0:
+                hits, left[w], wanted[w] = hits + 1, left[w] - 1, wanted[w] - 1
+    return 2.0 * hits / total if hits else 0.0
+
+
+def rouge_lsum(prediction: Column, reference: Column) -> Column:
+    """Summary-level ROUGE-L F1 of two texts: for each line of the reference the union of its longest common subsequences with all lines of the prediction, each word counted as often as both texts hold it. Words are runs of ASCII letters and digits in lower case."""
+
+    @F.pandas_udf("double")
+    def run(ps, rs):
+        import pandas as pd
+
+        lines = lambda t: [re.findall(r"[a-z0-9]+", x) for x in (t or "").lower().split("\n")]
+        return pd.Series([_lsum_f1(lines(p), lines(r)) for p, r in zip(ps, rs)])
+
+    return run(prediction, reference)

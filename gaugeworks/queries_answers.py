@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import answers, families, scoring, text
+from .functions import answers, families, scoring, text, translation
 from .operators import requests as R
 from .operators import results
 from .plans.evaluate import task_results
@@ -169,6 +169,24 @@ def instruction_checks(t):
     return t("conversations").select("conv_id", "turn", F.array_join(F.transform(followed, lambda x: x.cast("int").cast("string")), "").alias("followed"))
 
 
+@query(f"""WITH {_PAIRS}, w AS (SELECT conv_id % 4 AS k, {tokens_sql('lower(pred)')} AS a, {tokens_sql('lower(gold)')} AS b FROM p), g AS (SELECT *, list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]) AS a2, list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1]) AS b2 FROM w)
+ SELECT k, round(avg({_F1.format(a='a', b='b')}), 6) AS rouge1, round(avg({_F1.format(a='a2', b='b2')}), 6) AS rouge2 FROM g GROUP BY k""")
+def rouge_of_corpus(t):
+    w = lambda c: text.words(F.lower(c))
+    p = _pairs(t).select((F.col("conv_id") % 4).alias("k"), *[translation.rouge_n(w("pred"), w("gold"), n).alias(f"rouge{n}") for n in (1, 2)])
+    return p.groupBy("k").agg(*[r6(F.avg(c)).alias(c) for c in ("rouge1", "rouge2")])
+
+
+@query()
+def rouge_lsum_scores(t):
+    return _pairs(t).select("conv_id", "turn", r6(text.rouge_lsum(F.col("pred"), F.col("gold"))).alias("rougeLsum"))
+
+
+@query(f"SELECT role, round(avg(len({tokens_sql(_PLAIN.format('text'))})), 6) AS words FROM conversations GROUP BY role")
+def mean_cleaned_words(t):
+    return t("conversations").groupBy("role").agg(r6(F.avg(F.size(text.words(families.cleaned(F.col("text")))))).alias("words"))
+
+
 # ---- results and logs
 @query(f"WITH {_RES} SELECT task, 'acc' AS metric, printf('%.2f', 100 * value) AS value, coalesce(printf('%.2f', 100 * stderr), '') AS stderr FROM r")
 def percent_results(t):

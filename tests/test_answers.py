@@ -4,12 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks import __main__ as cli
-from gaugeworks.functions import answers, families
+from gaugeworks.functions import answers, families, text
 from gaugeworks.operators import requests as R
 from gaugeworks.operators import results
 from gaugeworks.plans import catalog
 from gaugeworks.plans.evaluate import Metric, Task, evaluate, with_options
 from gaugeworks.queries import length_scorer
+from gaugeworks.sources import cache
 
 
 def one(spark, *columns):
@@ -107,3 +108,27 @@ def test_command_line(tmp_path, capsys):
 def test_number_words():
     cases = {"two hundred and five": 205, "three million, twenty one thousand": 3021000, "sixteen": 16, "ninety nine": 99, "hundred": 100, "one trillion & two": 10**12 + 2, "zero": 0}
     assert {k: families.number_of_words(k) for k in cases} == cases
+
+
+def test_rouge_lsum():
+    one = [["the", "cat", "sat", "on", "the", "mat"]], [["the", "mat", "the", "cat", "sat"]]
+    assert text._lsum_f1(*one) == pytest.approx(text._lcs_f1(one[0][0], one[1][0])) == pytest.approx(6 / 11)
+    # the two lines of the prediction together cover the reference's line; w1 counts once
+    assert text._lsum_f1([["w1", "w2", "w6"], ["w1", "w3", "w5"]], [["w1", "w2", "w3", "w4", "w5"]]) == pytest.approx(2 * 4 / 11)
+    assert text._lsum_f1([[]], [["a"]]) == text._lsum_f1([["b"]], [["a"]]) == 0.0
+
+
+def test_cached_tables(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    at = str(tmp_path)
+    for config in ({"task": "a", "n": 13}, {"n": 13, "task": "a"}, {"task": "b", "n": 13}):
+        assert cache.cached(spark, at, "overlap", config, make).count() == 3
+    assert len(made) == 2
+    cache.cached(spark, at, "overlap-set", {}, make, rewrite=True)
+    assert len(cache.forget(spark, at, "overlap")) == 2 and len(cache.forget(spark, at)) == 1
+    assert cache.forget(spark, at + "/none") == []

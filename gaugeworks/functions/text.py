@@ -86,10 +86,13 @@ def best_of(golds: Column, score) -> Column:
 
 def leave_one_out_best(golds: Column, score) -> Column:
     """Mean over golds of the best score among the others; the plain score if there is one gold."""
-    others = lambda i: F.filter(golds, lambda g, j: j != i)
-    each = F.transform(F.sequence(F.lit(0), F.size(golds) - 1), lambda i: F.array_max(F.transform(others(i), score)))
-    mean = F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.size(golds)
-    return F.when(F.size(golds) > 1, mean).otherwise(F.array_max(F.transform(golds, score)))
+
+    def of(s):  # every gold is scored once
+        each = F.transform(s, lambda _, i: F.array_max(F.filter(s, lambda x, j: j != i)))
+        mean = F.aggregate(each, F.lit(0.0), lambda t, x: t + x) / F.size(s)
+        return F.when(F.size(s) > 1, mean).otherwise(F.array_max(s))
+
+    return let(F.transform(golds, score), of)
 
 
 def truncate_at(c: Column, stops: list[str]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,16 +37,31 @@ def bleu(df: DataFrame, keys: list[str], pred: str = "pred", ref: str = "ref", o
     return g.select(*keys, F.coalesce(F.when(F.least(*[F.col(f"m{n}") for n in range(1, order + 1)]) > 0, 100 * F.exp(logs + brevity)), F.lit(0.0)).alias("bleu"))
 
 
-def _characters(c: Column, n: int) -> Column:
-    starts = lambda b: F.sequence(F.lit(1), F.length(b) - n + 1)
-    grams = lambda b: F.when(F.length(b) >= n, F.transform(starts(b), lambda i: F.substr(b, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return let(F.regexp_replace(c, r"(?U)\s+", ""), grams)
+def _character_counts(pred: Column, ref: Column, order: int) -> Column:
+    """For n from 1 to order: clipped matches of character n-grams, and the n-grams of either text; blanks don't count. By hash tables on Arrow batches: array functions would compare every n-gram with every other."""
+
+    @F.pandas_udf("array<long>")
+    def run(ps, rs):
+        import pandas as pd
+
+        grams = lambda t, n: Counter(t[i : i + n] for i in range(len(t) - n + 1))
+        rows = []
+        for p, r in zip(ps, rs):
+            row = []
+            for n in range(1, order + 1):
+                a, b = grams(p or "", n), grams(r or "", n)
+                row += [(a & b).total(), a.total(), b.total()]
+            rows.append(row)
+        return pd.Series(rows)
+
+    bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    return run(bare(pred), bare(ref))
 
 
 def chrf(df: DataFrame, keys: list[str], pred: str = "pred", ref: str = "ref", order: int = 6, beta: float = 2.0) -> DataFrame:
     """(keys, chrf) in 0 to 100: mean over the orders seen of precision and recall, then F-beta."""
-    t = df.select(*keys, *[_characters(F.col(c), n).alias(f"{x}{n}") for c, x in ((pred, "p"), (ref, "r")) for n in range(1, order + 1)])
-    g = t.groupBy(*keys).agg(*[F.sum(e).alias(f"{x}{n}") for n in range(1, order + 1) for x, e in (("m", clipped_matches(F.col(f"p{n}"), F.col(f"r{n}"))), ("p", F.size(f"p{n}")), ("r", F.size(f"r{n}")))])
+    t = df.select(*keys, _character_counts(F.col(pred), F.col(ref), order).alias("c"))
+    g = t.groupBy(*keys).agg(*[F.sum(F.get("c", F.lit(3 * (n - 1) + i))).alias(f"{x}{n}") for n in range(1, order + 1) for i, x in enumerate("mpr")])
     used = [((F.col(f"p{n}") > 0) & (F.col(f"r{n}") > 0)).cast("int") for n in range(1, order + 1)]
     mean = lambda x: F.try_divide(reduce(lambda a, b: a + b, [u * F.coalesce(F.try_divide(F.col(f"m{n}") * 1.0, F.col(f"{x}{n}")), F.lit(0.0)) for n, u in enumerate(used, 1)]), reduce(lambda a, b: a + b, used))
     p, r = mean("p"), mean("r")

@@ -88,15 +88,18 @@ def _paths(rounds: list[DataFrame], tops: DataFrame) -> DataFrame:
         above = tops.where(F.col("round") == r).select("g", F.lit(0).cast("long").alias("block"), "up", *shared)
         if below is not None:
             above = above.unionByName(below)
-        one = rounds[r].join(above, ["g", "block"]).select("g", "levels", "up", *shared, F.posexplode("items").alias("i", "item"))
-
-        def siblings(level, j):
-            at = F.call_function("shiftright", F.col("i"), j * 4)  # FAN is 16, four bits
+        # First runs of FAN leave their block, each with the path of the node above it, then leaves their run: no row carries a whole block.
+        def beside(level, at):
             first = at - at % FAN
             return F.struct(F.array_join(F.slice(level, first + 1, at - first), "").alias("left"), F.array_join(F.slice(level, at + 2, first + FAN - 1 - at), "").alias("right"))
 
-        own = F.transform(F.slice("levels", F.lit(1), F.size("levels") - 1), siblings)
-        one = one.select("g", "item.*", F.concat(own, "up").alias("path"), *shared)
+        higher = F.slice("levels", F.lit(2), F.greatest(F.size("levels") - 2, F.lit(0)))
+        above_run = lambda i: F.transform(higher, lambda level, j: beside(level, F.call_function("shiftright", i, j * 4)))  # noqa: E731  FAN is 16, four bits
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / FAN).cast("int")), lambda i: F.struct(F.slice("items", i * FAN + 1, FAN).alias("items"), above_run(i).alias("path")))
+        one = rounds[r].join(above, ["g", "block"]).select("g", (F.size("levels") > 1).alias("run"), "up", *shared, F.explode(runs).alias("x"))
+        one = one.select("g", "run", F.concat("x.path", "up").alias("up"), *shared, F.col("x.items.node").alias("nodes"), F.posexplode("x.items").alias("i", "item"))
+        path = F.when(F.col("run"), F.concat(F.array(beside(F.col("nodes"), F.col("i"))), "up")).otherwise(F.col("up"))
+        one = one.select("g", "item.*", path.alias("path"), *shared)
         if r == 0:
             return one
         below = materialize(one.select("g", F.col("pos").alias("block"), F.col("path").alias("up"), *shared), "merkle-paths")

@@ -19,8 +19,8 @@ from .common import bounded_batches, discard, materialize, pieces
 CHUNK, OVERLAP = 32_768, 1_024
 #: A pre-token that ends this near a chunk's end might be another one, had the chunk gone on: contractions take three characters.
 MARGIN = 2
-#: Distinct pre-tokens that a task remembers.
-MEMORY = 400_000
+#: Distinct pre-tokens that a task remembers, and bytes of text that it works on at once.
+MEMORY, SLICE = 100_000, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -134,7 +134,7 @@ def _long(rows: DataFrame, shared, chunk: int, overlap: int) -> DataFrame:
     def encode(batches):
         encoder = _Encoder(shared.value)
         for batch in batches:
-            for b in pieces(batch, 2):
+            for b in pieces(batch, 2, SLICE):
                 split = []
                 for start, body, sizes, begin, end in zip(*(b.column(i).to_pylist() for i in range(1, 6))):
                     ends = np.cumsum([0, *sizes])
@@ -182,7 +182,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
     def whole(batches):
         encoder = _Encoder(shared.value)
         for batch in batches:
-            for b in pieces(batch, 1):
+            for b in pieces(batch, 1, SLICE):
                 yield pa.RecordBatch.from_arrays([b.column(0), encoder.encode([encoder.split(t or "") for t in b.column(1).to_pylist()])], ["doc_id", "ids"])
 
     is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
@@ -201,11 +201,13 @@ def decode(encoded: DataFrame, ranks_path: str, to: str = "data") -> DataFrame:
     bounded_batches(encoded.sparkSession)
     ranks = read_ranks(ranks_path)
     tokens = dict(zip(ranks.values(), ranks))
-    shared = encoded.sparkSession.sparkContext.broadcast([tokens.get(i) for i in range(max(tokens, default=-1) + 1)])
+    shared = encoded.sparkSession.sparkContext.broadcast({"tokens": [tokens.get(i) for i in range(max(tokens, default=-1) + 1)]})
 
     @F.arrow_udf("binary")
     def joined(ids: pa.Array) -> pa.Array:
-        raw = pa.array(shared.value, pa.large_binary())
+        if "raw" not in shared.value:
+            shared.value["raw"] = pa.array(shared.value.pop("tokens"), pa.large_binary())
+        raw = shared.value["raw"]
         flat = ids.flatten()
         known = not len(flat) or 0 <= pc.min(flat).as_py() <= pc.max(flat).as_py() < len(raw)
         taken = raw.take(flat) if known else None

@@ -105,13 +105,13 @@ def smoothed_bleu(prediction: Column, reference: Column) -> Column:
     tiny = sys.float_info.min
     tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+|[^\s\p{L}\p{N}])"), F.lit(1))
 
-    def of(p, r):
-        guess = lambda n: F.greatest(F.size(p) - (n - 1), F.lit(0))
-        part = lambda n: F.log(translation.clipped_matches(text.ngrams(p, n), text.ngrams(r, n)) + int(n > 1) + F.lit(tiny)) - F.log(guess(n) + int(n > 1) + F.lit(tiny))
+    def of(c):
+        at = lambda n, i: F.get(c, F.lit(3 * (n - 1) + i))
+        part = lambda n: F.log(at(n, 0) + int(n > 1) + F.lit(tiny)) - F.log(at(n, 1) + int(n > 1) + F.lit(tiny))
         mean = reduce(lambda a, b: a + b, [part(n) for n in range(1, 5)]) / 4
-        return 100 * F.exp(mean + F.least(F.lit(0.0), 1 - (F.size(r) + 1) / (F.size(p) + 1)))
+        return 100 * F.exp(mean + F.least(F.lit(0.0), 1 - (at(1, 2) + 1) / (at(1, 1) + 1)))
 
-    return text.let(tokens(prediction), lambda p: text.let(tokens(reference), lambda r: of(p, r)))
+    return text.let(translation.gram_counts(tokens(prediction), tokens(reference), 4), of)
 
 
 def first_positive(scores: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .ordering import kth
+
 
 def argmax(values: Column) -> Column:
     """Position of the largest, the first of equals; NaN counts as largest, as in numpy."""
@@ -59,10 +62,42 @@ def nanmean(v: Column = None) -> Column:
     return F.coalesce(F.avg(F.when(~F.isnan(v), v)), F.lit(float("nan")))
 
 
-def median_positional(v: str = "v", order: str = "doc_id") -> Column:
-    """The value at place n // 2 in order of arrival; values aren't sorted."""
-    rows = F.array_sort(F.collect_list(F.struct(order, v)))
-    return F.element_at(rows, F.expr(f"count({v}) div 2 + 1").cast("int"))[v]
+def median(df: DataFrame, keys: list[str], v: str = "v", order: str = "doc_id") -> DataFrame:
+    """(keys, value, n): the value at place n // 2 in order of arrival; values aren't sorted. No group is gathered."""
+    return kth(df, keys, order, F.expr("n div 2"), [v]).select(*keys, F.col(v).alias("value"), "n")
+
+
+def replicate_medians(df: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
+    """(keys, b, m): the positional median of each replicate, of rows (doc_id, v) with Poisson weights, found by ranges of doc_id.
+
+    A pass sums the weights of all replicates by range; only ranges that hold a replicate's middle are looked into again, until a range is one doc_id.
+    """
+    from .bootstrap import replicate_sums
+
+    doc = F.col("doc_id")
+    rows = df if dict(df.dtypes)["doc_id"] in ("bigint", "int", "double") else df.withColumn("doc_id", F.xxhash64("doc_id"))
+    whole = rows.groupBy(*keys).agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"))
+    todo = rows.join(whole, keys)
+    spot, found = None, None
+    while True:
+        at = F.coalesce(F.width_bucket(doc.cast("double"), F.col("lo").cast("double"), F.col("hi").cast("double"), F.lit(MEDIAN_RANGES)), F.lit(0))
+        todo = todo.withColumn("range", at)
+        sums = replicate_sums(todo.select(*keys, "lo", "range", "doc_id", F.lit(1.0).alias("k")), [*keys, "lo", "range"], ["k"], replicates, seed).where("k > 0")
+        one = Window.partitionBy(*keys, "lo", "b")
+        if spot is None:
+            upto = sums.withColumn("upto", F.sum("k").over(one.orderBy("range"))).withColumn("rest", F.floor(F.sum("k").over(one) / 2))
+        else:
+            upto = sums.join(spot, [*keys, "lo", "b"]).withColumn("upto", F.sum("k").over(one.orderBy("range")))
+        spot = upto.where("rest < upto AND rest >= upto - k").select(*keys, "lo", "range", "b", (F.col("rest") - F.col("upto") + F.col("k")).alias("rest"))
+        bounds = todo.groupBy(*keys, "lo", "range").agg(F.min(doc).alias("low"), F.max(doc).alias("high"), F.min("v").alias("v"))
+        spot = written(spot.join(bounds, [*keys, "lo", "range"]), "median-spot")
+        done = spot.where("low = high").select(*keys, "b", F.col("v").alias("m"))
+        found = done if found is None else found.unionByName(done)
+        if spot.where("low < high").isEmpty():
+            return found
+        narrower = spot.where("low < high").select(*keys, "lo", "range", "low", "high").distinct()
+        todo = written(todo.drop("hi").join(narrower, [*keys, "lo", "range"]).select(*keys, "doc_id", "v", F.col("low").alias("lo"), F.col("high").alias("hi")), "median-rows")
+        spot = spot.where("low < high").select(*keys, F.col("low").alias("lo"), "b", "rest")
 
 
 def perplexity(v: str = "v") -> Column:
@@ -77,10 +112,13 @@ def bits_per_byte(v: str = "v", w: str = "w") -> Column:
     return -F.sum(v) / F.sum(w) / F.log(F.lit(2.0))
 
 
-AGGREGATIONS = {"mean": lambda: F.avg("v"), "nanmean": nanmean, "median": median_positional, "perplexity": perplexity, "weighted_perplexity": weighted_perplexity, "bits_per_byte": bits_per_byte, "bypass": lambda: F.lit(999.0)}
+AGGREGATIONS = {"mean": lambda: F.avg("v"), "nanmean": nanmean, "perplexity": perplexity, "weighted_perplexity": weighted_perplexity, "bits_per_byte": bits_per_byte, "bypass": lambda: F.lit(999.0)}
 LOWER_IS_BETTER = {"perplexity", "word_perplexity", "byte_perplexity", "bits_per_byte", "brier_score", "ter"}
 CLOSED_FORM_ERROR = {"mean", "acc_all"}
-BOOTSTRAPPED = {"median", "perplexity", "nanmean"}  # mcc, f1, bleu, chrf and ter are not aggregations of v
+BOOTSTRAPPED = {"median", "perplexity", "nanmean"}
+BOOTSTRAPPED_PAIRS = {"mcc", "f1", "bleu", "chrf", "ter"}
+#: Ranges of a pass over replicates' medians.
+MEDIAN_RANGES = 64
 
 
 def stderr(v: str = "v") -> Column:
@@ -94,19 +132,20 @@ def f1_binary(gold: str = "gold", pred: str = "pred", positive: int | str = 1) -
     return F.coalesce(F.try_divide(2.0 * tp, 2.0 * tp + wrong), F.lit(0.0))
 
 
-def per_class(df: DataFrame, keys: list[str], gold: str = "gold", pred: str = "pred") -> DataFrame:
-    """(keys, label, tp, n_gold, n_pred, f1): a confusion row for each label seen as gold or prediction."""
-    both = df.select(*keys, F.inline(F.array(F.struct(F.col(gold).alias("label"), F.lit(1).alias("g"), F.lit(0).alias("p")), F.struct(F.col(pred).alias("label"), F.lit(0).alias("g"), F.lit(1).alias("p")))), (F.col(gold) == F.col(pred)).alias("hit"))
-    n = both.groupBy(*keys, "label").agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred"), F.count_if(F.col("hit") & (F.col("g") == 1)).alias("tp"))
+def per_class(df: DataFrame, keys: list[str], gold: str = "gold", pred: str = "pred", weight: str | None = None) -> DataFrame:
+    """(keys, label, tp, n_gold, n_pred, f1): a confusion row for each label seen as gold or prediction; a row counts as often as its weight says."""
+    w = F.lit(1) if weight is None else F.col(weight)
+    both = df.select(*keys, F.inline(F.array(F.struct(F.col(gold).alias("label"), w.alias("g"), (w * 0).alias("p")), F.struct(F.col(pred).alias("label"), (w * 0).alias("g"), w.alias("p")))), (F.col(gold) == F.col(pred)).alias("hit"))
+    n = both.groupBy(*keys, "label").agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("g"))), F.lit(0)).alias("tp"))
     return n.withColumn("f1", F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("n_gold") + F.col("n_pred")), F.lit(0.0)))
 
 
-def classification(df: DataFrame, keys: list[str], gold: str = "gold", pred: str = "pred") -> DataFrame:
+def classification(df: DataFrame, keys: list[str], gold: str = "gold", pred: str = "pred", weight: str | None = None) -> DataFrame:
     """(keys, macro_f1, weighted_f1, micro_f1, mcc) from confusion counts."""
     tk, pk, c, s = F.col("n_gold"), F.col("n_pred"), F.sum("tp"), F.sum("n_gold")
     cov = c * s - F.sum(tk * pk)
     spread = F.sqrt((s * s - F.sum(pk * pk)) * 1.0) * F.sqrt((s * s - F.sum(tk * tk)) * 1.0)
-    return per_class(df, keys, gold, pred).groupBy(*keys).agg(F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * tk) / s).alias("weighted_f1"), (c / s).alias("micro_f1"), F.coalesce(F.try_divide(cov * 1.0, spread), F.lit(0.0)).alias("mcc"))
+    return per_class(df, keys, gold, pred, weight).groupBy(*keys).agg(F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * tk) / s).alias("weighted_f1"), (c / s).alias("micro_f1"), F.coalesce(F.try_divide(cov * 1.0, spread), F.lit(0.0)).alias("mcc"))
 
 
 def acc_all(df: DataFrame, keys: list[str], group: list[str], correct: str = "correct") -> DataFrame:

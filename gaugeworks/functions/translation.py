@@ -20,58 +20,79 @@ def tokenize(c: Column) -> Column:
     return words(reduce(lambda x, s: F.regexp_replace(x, *s), TOKEN_STEPS, c))
 
 
-def clipped_matches(pred: Column, ref: Column) -> Column:
-    """Size of the intersection of two arrays as multisets."""
-    n = lambda x, g: F.size(F.filter(x, lambda y: y == g))
-    return let(pred, lambda a: let(ref, lambda b: F.aggregate(F.array_intersect(a, b), F.lit(0).cast("long"), lambda s, g: s + F.least(n(a, g), n(b, g)))))
+def gram_counts(pred: Column, ref: Column, order: int, bare: str = "") -> Column:
+    """For n from 1 to order: clipped matches of n-grams, and the n-grams of either side, of two texts or two arrays of words.
 
-
-def bleu(df: DataFrame, keys: list[str], pred: str = "pred", ref: str = "ref", order: int = 4) -> DataFrame:
-    """(keys, bleu) in 0 to 100; 0 if an order has no match."""
-    t = df.select(*keys, tokenize(F.col(pred)).alias("p"), tokenize(F.col(ref)).alias("r"))
-    for n in range(1, order + 1):
-        t = t.withColumn(f"m{n}", clipped_matches(ngrams(F.col("p"), n), ngrams(F.col("r"), n))).withColumn(f"t{n}", F.greatest(F.size("p") - n + 1, F.lit(0)))
-    g = t.groupBy(*keys).agg(*[F.sum(f"{x}{n}").alias(f"{x}{n}") for x in "mt" for n in range(1, order + 1)], F.sum(F.size("p")).alias("lp"), F.sum(F.size("r")).alias("lr"))
-    logs = reduce(lambda a, b: a + b, [F.log(F.try_divide(F.col(f"m{n}") * 1.0, F.col(f"t{n}"))) for n in range(1, order + 1)]) / order
-    brevity = F.when(F.col("lp") >= F.col("lr"), 0.0).otherwise(1 - F.try_divide(F.col("lr") * 1.0, F.col("lp")))
-    return g.select(*keys, F.coalesce(F.when(F.least(*[F.col(f"m{n}") for n in range(1, order + 1)]) > 0, 100 * F.exp(logs + brevity)), F.lit(0.0)).alias("bleu"))
-
-
-def _character_counts(pred: Column, ref: Column, order: int) -> Column:
-    """For n from 1 to order: clipped matches of character n-grams, and the n-grams of either text; blanks don't count. By hash tables on Arrow batches: array functions would compare every n-gram with every other."""
+    By hash tables on Arrow batches, in time that grows with the length: array functions would compare every n-gram with every other.
+    """
 
     @F.pandas_udf("array<long>")
     def run(ps, rs):
         import pandas as pd
 
-        grams = lambda t, n: Counter(t[i : i + n] for i in range(len(t) - n + 1))
+        def grams(t, n):
+            return Counter(zip(*(t[i:] for i in range(n)))) if n > 1 else Counter(t)
+
         rows = []
         for p, r in zip(ps, rs):
+            p, r = ([] if x is None else x if isinstance(x, str) else list(x) for x in (p, r))
             row = []
             for n in range(1, order + 1):
-                a, b = grams(p or "", n), grams(r or "", n)
+                a, b = grams(p, n), grams(r, n)
                 row += [(a & b).total(), a.total(), b.total()]
             rows.append(row)
         return pd.Series(rows)
 
+    return run(pred, ref)
+
+
+def _sums(df: DataFrame, keys: list[str]) -> DataFrame:
+    stats = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in stats])
+
+
+def bleu_counts(df: DataFrame, keep: list[str], pred: str = "pred", ref: str = "ref", order: int = 4) -> DataFrame:
+    """(keep, m1, t1, ..., lp, lr) of each row: clipped matches and n-grams by order, and the lengths."""
+    t = df.select(*keep, gram_counts(tokenize(F.col(pred)), tokenize(F.col(ref)), order).alias("c"))
+    return t.select(*keep, *[F.get("c", F.lit(3 * (n - 1) + i)).alias(f"{x}{n}") for n in range(1, order + 1) for i, x in enumerate("mt")], F.get("c", F.lit(1)).alias("lp"), F.get("c", F.lit(2)).alias("lr"))
+
+
+def bleu_score(order: int = 4) -> Column:
+    """In 0 to 100, of summed counts; 0 if an order has no match."""
+    logs = reduce(lambda a, b: a + b, [F.log(F.try_divide(F.col(f"m{n}") * 1.0, F.col(f"t{n}"))) for n in range(1, order + 1)]) / order
+    brevity = F.when(F.col("lp") >= F.col("lr"), 0.0).otherwise(1 - F.try_divide(F.col("lr") * 1.0, F.col("lp")))
+    return F.coalesce(F.when(F.least(*[F.col(f"m{n}") for n in range(1, order + 1)]) > 0, 100 * F.exp(logs + brevity)), F.lit(0.0))
+
+
+def bleu(df: DataFrame, keys: list[str], pred: str = "pred", ref: str = "ref", order: int = 4) -> DataFrame:
+    """(keys, bleu) in 0 to 100; 0 if an order has no match."""
+    return _sums(bleu_counts(df, keys, pred, ref, order), keys).select(*keys, bleu_score(order).alias("bleu"))
+
+
+def chrf_counts(df: DataFrame, keep: list[str], pred: str = "pred", ref: str = "ref", order: int = 6) -> DataFrame:
+    """(keep, m1, p1, r1, ...) of each row: clipped matches of character n-grams, and those of either text; blanks don't count."""
     bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
-    return run(bare(pred), bare(ref))
+    t = df.select(*keep, gram_counts(bare(pred), bare(ref), order).alias("c"))
+    return t.select(*keep, *[F.get("c", F.lit(3 * (n - 1) + i)).alias(f"{x}{n}") for n in range(1, order + 1) for i, x in enumerate("mpr")])
 
 
-def chrf(df: DataFrame, keys: list[str], pred: str = "pred", ref: str = "ref", order: int = 6, beta: float = 2.0) -> DataFrame:
-    """(keys, chrf) in 0 to 100: mean over the orders seen of precision and recall, then F-beta."""
-    t = df.select(*keys, _character_counts(F.col(pred), F.col(ref), order).alias("c"))
-    g = t.groupBy(*keys).agg(*[F.sum(F.get("c", F.lit(3 * (n - 1) + i))).alias(f"{x}{n}") for n in range(1, order + 1) for i, x in enumerate("mpr")])
+def chrf_score(order: int = 6, beta: float = 2.0) -> Column:
+    """In 0 to 100, of summed counts: mean over the orders seen of precision and recall, then F-beta."""
     used = [((F.col(f"p{n}") > 0) & (F.col(f"r{n}") > 0)).cast("int") for n in range(1, order + 1)]
     mean = lambda x: F.try_divide(reduce(lambda a, b: a + b, [u * F.coalesce(F.try_divide(F.col(f"m{n}") * 1.0, F.col(f"{x}{n}")), F.lit(0.0)) for n, u in enumerate(used, 1)]), reduce(lambda a, b: a + b, used))
     p, r = mean("p"), mean("r")
-    return g.select(*keys, F.coalesce(F.try_divide(100 * (1 + beta**2) * p * r, beta**2 * p + r), F.lit(0.0)).alias("chrf"))
+    return F.coalesce(F.try_divide(100 * (1 + beta**2) * p * r, beta**2 * p + r), F.lit(0.0))
+
+
+def chrf(df: DataFrame, keys: list[str], pred: str = "pred", ref: str = "ref", order: int = 6, beta: float = 2.0) -> DataFrame:
+    """(keys, chrf) in 0 to 100."""
+    return _sums(chrf_counts(df, keys, pred, ref, order), keys).select(*keys, chrf_score(order, beta).alias("chrf"))
 
 
 def rouge_n(pred: Column, ref: Column, n: int) -> Column:
     """F1 of n-gram overlap of two word arrays."""
-    score = lambda a, b: F.coalesce(F.try_divide(2.0 * clipped_matches(a, b), F.size(a) + F.size(b)), F.lit(0.0))
-    return let(ngrams(pred, n), lambda a: let(ngrams(ref, n), lambda b: score(a, b)))
+    at = lambda c, i: F.get(c, F.lit(3 * (n - 1) + i))
+    return let(gram_counts(pred, ref, n), lambda c: F.coalesce(F.try_divide(2.0 * at(c, 0), at(c, 1) + at(c, 2)), F.lit(0.0)))
 
 
 def _edits(hyp: list[str], ref: list[str]) -> int:
@@ -139,8 +160,8 @@ def ter_edits(hyp: list[str], ref: list[str], longest: int = 10) -> int:
     return shifts + now
 
 
-def ter(df: DataFrame, keys: list[str], pred: str = "pred", ref: str = "ref") -> DataFrame:
-    """(keys, ter) in percent of reference words."""
+def ter_counts(df: DataFrame, keep: list[str], pred: str = "pred", ref: str = "ref") -> DataFrame:
+    """(keep, e, n) of each row: edits and reference words."""
 
     @F.pandas_udf("long")
     def edits(p, r):
@@ -148,5 +169,13 @@ def ter(df: DataFrame, keys: list[str], pred: str = "pred", ref: str = "ref") ->
 
         return pd.Series([ter_edits(a.split(), b.split()) for a, b in zip(p, r)])
 
-    t = df.select(*keys, edits(pred, ref).alias("e"), F.size(words(F.col(ref))).alias("n"))
-    return t.groupBy(*keys).agg((100.0 * F.sum("e") / F.sum("n")).alias("ter"))
+    return df.select(*keep, edits(pred, ref).alias("e"), F.size(words(F.col(ref))).alias("n"))
+
+
+def ter_score() -> Column:
+    return 100.0 * F.col("e") / F.col("n")
+
+
+def ter(df: DataFrame, keys: list[str], pred: str = "pred", ref: str = "ref") -> DataFrame:
+    """(keys, ter) in percent of reference words."""
+    return _sums(ter_counts(df, keys, pred, ref), keys).select(*keys, ter_score().alias("ter"))

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, ngrams, normalize, words
+from ..sources.scratch import removed, written
 
 
-#: Distinct 64-bit n-gram hashes that may be broadcast (8 bytes each); beyond, both sides are shuffled by hash.
+#: Distinct 64-bit n-gram hashes that may be broadcast as they are (some 40 bytes each in a hash table); beyond, a filter of their bits is.
 BROADCAST_GRAMS = 2_000_000
+#: A filter has blocks of 32 words of 64 bits; BITS for each hash, of which PROBES are set, give about 0.5 % false positives. It may grow to MAX_FILTER bytes (180 million hashes); then the share of false positives grows instead.
+BLOCK_WORDS, BITS, PROBES, MAX_FILTER = 32, 12, 5, 256 << 20
 
 
 def ngram_table(docs: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:
@@ -34,48 +37,109 @@ def _placed(docs: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:
     return docs.select(key, words(normalize(F.col(text))).alias("w")).select(key, "w", F.posexplode(gram_hashes(F.col("w"), n)).alias("i", "h"))
 
 
-def _grams_with_hash(docs: DataFrame, hashes: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, ngram), distinct: the n-grams of docs whose hash is among hashes (h, distinct).
+def _hashes(docs: DataFrame, n: int) -> DataFrame:
+    return docs.select(F.explode(gram_hashes(words(normalize(F.col("text"))), n)).alias("h"))
+
+
+def _probes(h: Column) -> list[tuple[Column, Column]]:
+    """The (word, mask) pairs that a hash sets in its block: eleven bits of a second hash each."""
+    other = F.xxhash64(h)
+    bits = [F.shiftright(other, 11 * k).bitwiseAND(F.lit(BLOCK_WORDS * 64 - 1).cast("long")).cast("int") for k in range(PROBES)]
+    return [(F.shiftright(b, 6), F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(F.lit(63)))) for b in bits]
+
+
+def _block(blocks: int) -> Column:
+    return F.pmod("h", F.lit(blocks).cast("long"))
+
 
-    The documents' n-grams are streamed once as hashes, and only those that hit are written out as text.
-    Where there are too many hashes to broadcast, hits come back to their documents by key.
+def gram_filter(hashes: DataFrame, about: int) -> tuple[DataFrame, int]:
+    """A Bloom filter of the hashes (h), of which about many are distinct: (block, bits) rows, written, and the number of blocks.
+
+    Bits are joined by or, within tasks first, so what is shuffled is bounded by tasks times the filter, whatever the number of hashes.
     """
-    if hashes.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
-        hit = _placed(docs, key, n).join(F.broadcast(hashes), "h", "left_semi")
-        return hit.select(key, F.concat_ws(" ", F.slice("w", F.col("i") + 1, F.lit(n))).alias("ngram")).distinct()
-    hit = docs.select(key, F.explode(F.array_distinct(gram_hashes(words(normalize(F.col("text"))), n))).alias("h")).join(hashes, "h", "left_semi")
-    return _placed(docs.join(hit.select(key).distinct(), key, "left_semi"), key, n).join(hit, [key, "h"], "left_semi").select(key, F.concat_ws(" ", F.slice("w", F.col("i") + 1, F.lit(n))).alias("ngram")).distinct()
+    size = BLOCK_WORDS * 64
+    blocks = max(1, min(-(-about * BITS // size), MAX_FILTER // (size // 8)))
+    each = hashes.select(_block(blocks).alias("block"), F.inline(F.array(*[F.struct(w.alias("word"), m.alias("mask")) for w, m in _probes(F.col("h"))])))
+    joined = each.groupBy("block", "word").agg(F.bit_or("mask").alias("mask")).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("m"))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+    return written(joined.select("block", bits.alias("bits")), "gram-filter"), blocks
 
 
-def _hashes(docs: DataFrame, n: int) -> DataFrame:
-    return docs.select(F.explode(F.array_distinct(gram_hashes(words(normalize(F.col("text"))), n))).alias("h")).distinct()
+def may_hold(rows: DataFrame, bits: DataFrame, blocks: int) -> DataFrame:
+    """The rows (h, ...) whose hash may be in the filter: all that are, and few others. The filter is broadcast; rows stream by, unshuffled."""
+    tests = [F.get("bits", w).bitwiseAND(m) != 0 for w, m in _probes(F.col("h"))]
+    met = rows.withColumn("block", _block(blocks)).join(F.broadcast(bits), "block")
+    for t in tests:
+        met = met.where(t)
+    return met.drop("block", "bits")
+
+
+def _surviving(docs: DataFrame, key: str, n: int, hashes: DataFrame, about: int, broadcast_grams: int | None = None) -> DataFrame:
+    """(key, ngram), distinct and written: the n-grams of docs whose hash is, or for more than broadcast_grams may be, among hashes (h), of which about many are distinct. docs stream by; only what is left is shuffled."""
+    rows = _placed(docs, key, n)
+    if about <= (BROADCAST_GRAMS if broadcast_grams is None else broadcast_grams):
+        side = written(hashes.distinct(), "gram-hashes")
+        left = rows.join(F.broadcast(side), "h", "left_semi")
+    else:
+        side, blocks = gram_filter(hashes, about)
+        left = may_hold(rows, side, blocks)
+    out = written(left.select(key, F.concat_ws(" ", F.slice("w", F.col("i") + 1, F.lit(n))).alias("ngram")).distinct(), "gram-survivors")
+    removed(side)
+    return out
+
+
+def _about(hashes: DataFrame) -> int:
+    """Distinct hashes, within some two hundredths."""
+    return hashes.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+
+
+def _text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def shared_grams(a: DataFrame, b: DataFrame, n: int, a_key: str, b_key: str, broadcast_grams: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((a_key, ngram), (b_key, ngram)), distinct and written: the n-grams of either side that the other may hold too.
+
+    The hashes of the side of fewer bytes meet the other side as it streams by, and what is left of it meets the first. So either table has every n-gram that both
+    sides have; what else is in it is a share of false positives, which the join of the two by n-gram takes out. Neither side is shuffled whole.
+    """
+    if _text_bytes(a) > _text_bytes(b):
+        large, small = shared_grams(b, a, n, b_key, a_key, broadcast_grams)
+        return small, large
+    hashes = _hashes(a, n)
+    of_b = _surviving(b, b_key, n, hashes, _about(hashes), broadcast_grams)
+    back = of_b.select(_text_hash(n).alias("h"))
+    return _surviving(a, a_key, n, back, _about(back), broadcast_grams), of_b
+
+
+def _text_hash(n: int) -> Column:
+    """The hash of an n-gram from its text; none of its words holds a blank."""
+    return F.get(gram_hashes(F.split("ngram", " "), n), F.lit(0))
 
 
 def document_frequency(docs: DataFrame, n: int, more_than: int = 10, key: str = "doc_id") -> DataFrame:
     """(ngram, docs): n-grams of more than more_than documents. Hashes are counted first; only the frequent ones are written out, and counted again by their text."""
     each = docs.select(F.explode(F.array_distinct(gram_hashes(words(normalize(F.col("text"))), n))).alias("h"))
-    frequent = each.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > more_than).select("h").persist()
-    return _grams_with_hash(docs, frequent, key, n).groupBy("ngram").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > more_than)
+    frequent = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > more_than).select("h"), "gram-frequent")
+    left = _surviving(docs, key, n, frequent, frequent.count())
+    removed(frequent)
+    return left.groupBy("ngram").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > more_than)
 
 
 def contaminated(evaluation: DataFrame, training: DataFrame, n: int, eval_key: str, train_key: str) -> DataFrame:
-    """Keys of evaluation rows that share an n-gram with training.
-
-    The side of fewer rows gives the hashes that the other is streamed against once; what hits is verified as text.
-    """
-    if evaluation.count() >= training.count():
-        hit = _grams_with_hash(evaluation, _hashes(training, n).persist(), eval_key, n)
-        return hit.join(ngram_table(training, train_key, n), "ngram", "left_semi").select(eval_key).distinct()
-    hit = _grams_with_hash(training, _hashes(evaluation, n).persist(), train_key, n)
-    return ngram_table(evaluation, eval_key, n).join(hit.select("ngram").distinct(), "ngram", "left_semi").select(eval_key).distinct()
+    """Keys of evaluation rows that share an n-gram with training."""
+    own, other = shared_grams(evaluation, training, n, eval_key, train_key)
+    return own.join(other.select("ngram").distinct(), "ngram", "left_semi").select(eval_key).distinct()
 
 
 def match_statistics(evaluation: DataFrame, training: DataFrame, n: int, eval_key: str, train_key: str) -> DataFrame:
-    """One row: total, unique, matching and non-matching evaluation n-grams."""
+    """One row: total, unique, matching and non-matching evaluation n-grams. Training n-grams stream by as hashes."""
     grams = evaluation.select(F.explode(ngrams(words(normalize(F.col("text"))), n)).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
-    seen = ngram_table(training, train_key, n).select("ngram").join(grams.select("ngram"), "ngram", "left_semi").distinct().withColumn("hit", F.lit(True))
-    j = grams.join(seen, "ngram", "left")
-    return j.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("unique"), F.count_if("hit").alias("matching"), F.count_if(F.col("hit").isNull()).alias("non_matching"))
+    own, other = shared_grams(evaluation, training, n, eval_key, train_key)
+    both = own.select("ngram").join(other.select("ngram"), "ngram", "left_semi").distinct()
+    rows = grams.select("n", F.lit(1).alias("one"), F.lit(0).alias("hit")).unionByName(both.select(F.lit(0).cast("long").alias("n"), F.lit(0).alias("one"), F.lit(1).alias("hit")))
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return rows.agg(whole("n").alias("total"), whole("one").alias("unique"), whole("hit").alias("matching"), (whole("one") - whole("hit")).alias("non_matching"))
 
 
 def spans(docs: DataFrame, key: str, n: int) -> DataFrame:
@@ -116,7 +180,7 @@ def cut_out(text: str, hits: list[tuple[int, int]], window: int = 200, cutoff: i
 def clean(docs: DataFrame, contaminants: DataFrame, n: int, key: str = "doc_id", window: int = 200, cutoff: int = 10, least: int = 200) -> DataFrame:
     """(key, chunks): the clean slices of each document. Only documents that share an n-gram with the contaminants go through Python; the others are one slice, or none if they are short."""
     other = contaminants.columns[0]
-    dirty = contaminated(docs, contaminants, n, key, other).persist()
+    dirty = written(contaminated(docs, contaminants, n, key, other), "gram-dirty")
     dirt = contaminants.select(F.explode(ngrams(words(normalize(F.col("text"))), n)).alias("ngram")).distinct()
     suspects = docs.select(key, "text").join(dirty, key, "left_semi")
     hits = spans(suspects, key, n).join(dirt, "ngram", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("hits"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import kth
 from ..functions.text import let
 
 
@@ -128,12 +129,10 @@ def expand_options(docs: DataFrame, options: str = "choices", gold: str = "gold"
 
 
 def limited(docs: DataFrame, limit: float, key: str = "doc_id") -> DataFrame:
-    """First limit documents by key; below 1 a share of them, rounded up. Only keys are sorted."""
-    n = int(-(-docs.count() * limit // 1)) if limit < 1 else int(limit)
-    if n < 1:
-        return docs.limit(0)
-    last = docs.select(key).orderBy(key).limit(n).agg(F.max(key)).first()[0]
-    return docs.where(F.col(key) <= F.lit(last))
+    """First limit documents by key, a number; below 1 a share of them, rounded up. The last one's key is found by counts of ranges of keys, so nothing is sorted or gathered, and it bounds the scan."""
+    n = F.expr(f"ceil(n * {limit}D)") if limit < 1 else F.lit(int(limit))
+    last = kth(docs, [], key, F.least(n, F.col("n")) - 1, [key]).first()
+    return docs.where(F.col(key) <= F.lit(last[0])) if last else docs.limit(0)
 
 
 def chosen(docs: DataFrame, ids: list[int], key: str = "doc_id") -> DataFrame:

@@ -1,15 +1,14 @@
-"""Task configurations: YAML with includes, templates of a small safe subset, and lookup by glob."""
+"""Task configurations: YAML with includes, templates, and lookup by glob."""
 
 from __future__ import annotations
 
 import fnmatch
 import os
-import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from .templates import Value, block, pieces
 
 
 def load(path: str) -> dict:
@@ -83,25 +82,6 @@ def expand_configs(name: str | dict, configs: dict[str, dict], changes: dict | N
     return {alias: {**c, **changes, "task": alias}}
 
 
-_SLOT = re.compile(r"\{\{(.*?)\}\}", re.S)
-_FORM = re.compile(r"([A-Za-z_][\w.]*)((?:\.(?:strip|lower|upper)\(\)|\[-?\d+\])*)(?:\s*\|\s*(int|lower|upper|trim))?\Z")
-
-
 def template(text: str, columns: list[str]) -> Column:
-    """A column for a template: a column's name alone is that column; slots may hold a path, .strip(), .lower(), .upper(), [n] and a filter."""
-    if text in columns:
-        return F.col(text)
-
-    def slot(code: str) -> Column:
-        m = _FORM.match(code.strip())
-        if not m:
-            raise ValueError(f"unsupported template {code!r}")
-        if m[1].split(".")[0] not in columns:
-            raise ValueError(f"unknown column in {code!r}")
-        c = F.col(m[1])
-        for op in re.findall(r"strip|lower|upper|-?\d+", m[2] or ""):
-            c = {"strip": strip, "lower": F.lower, "upper": F.upper}[op](c) if op.isalpha() else F.try_element_at(c, F.lit(int(op) + (int(op) >= 0)))
-        return {"int": lambda x: x.cast("int"), "lower": F.lower, "upper": F.upper, "trim": strip, None: lambda x: x}[m[3]](c)
-
-    parts = [F.lit(x) if i % 2 == 0 else slot(x).cast("string") for i, x in enumerate(_SLOT.split(text))]
-    return F.concat(*parts)
+    """A column for a template over columns whose types aren't known: a column's name alone is that column. Where they are known, templates.compiled takes more."""
+    return F.col(text) if text in columns else block(pieces(text), {c: Value(F.col(c)) for c in columns})

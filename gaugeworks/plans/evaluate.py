@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import translation
+from ..functions.bootstrap import bootstrap_pairs, bootstrap_stderr
 from ..functions.filters import apply_chains
-from ..functions.stats import bootstrap_stderr, pooled_stderr, weighted_mean
+from ..functions.stats import pooled_stderr, weighted_mean
 from ..functions.text import words
 from ..operators.requests import disjoint, multiple_choice, regroup, repeated, rolling_windows
 
@@ -145,8 +146,13 @@ def task_results(samples: DataFrame, aggregation: dict[str, str] | None = None,
     out = None
     for k in kinds:
         part = samples.where(kind == k)
-        if k in CORPUS_LEVEL:
-            r = _corpus_value(part, keys, k).select(*keys, "value", F.lit(None).cast("double").alias("stderr"), "n")
+        if k in CORPUS_LEVEL or k == "median":
+            r = _corpus_value(part, keys, k) if k in CORPUS_LEVEL else M.median(part, keys)
+            if bootstrap and k in M.BOOTSTRAPPED_PAIRS | M.BOOTSTRAPPED:
+                error = bootstrap_pairs(part, keys, k, bootstrap) if k in CORPUS_LEVEL else bootstrap_stderr(part, keys, bootstrap, of=k)
+                r = r.join(error, keys, "left").select(*keys, "value", "stderr", "n")
+            else:
+                r = r.select(*keys, "value", F.lit(None).cast("double").alias("stderr"), "n")
             out = r if out is None else out.unionByName(r)
             continue
         error = M.stderr() if k in M.CLOSED_FORM_ERROR else F.lit(None).cast("double")

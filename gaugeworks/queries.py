@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import filters, metrics, scoring, text, translation
-from .functions.stats import bootstrap_stderr, compare, pooled_stderr, weighted_mean
+from .functions import bootstrap, filters, metrics, scoring, text, translation
+from .functions.stats import compare, pooled_stderr, weighted_mean
 from .operators import corpus
 from .operators import requests as R
 from .plans.evaluate import Group, Metric, Task, evaluate, group_results, task_results
@@ -368,7 +368,8 @@ def macro_micro_pooled(t):
  SELECT event_type, round(max(value) FILTER (i = n // 2 + 1), 6) AS median, round(avg(value), 6) AS nanmean, round(exp(-avg(value / 1000)), 6) AS perplexity FROM e GROUP BY event_type""")
 def special_aggregates(t):
     e = t("events").where("value IS NOT NULL").select("event_type", F.col("event_id").alias("doc_id"), F.col("value").alias("v"), (F.col("value") / 1000).alias("x"))
-    return e.groupBy("event_type").agg(r6(metrics.median_positional()).alias("median"), r6(metrics.nanmean()).alias("nanmean"), r6(metrics.perplexity("x")).alias("perplexity"))
+    means = e.groupBy("event_type").agg(r6(metrics.nanmean()).alias("nanmean"), r6(metrics.perplexity("x")).alias("perplexity"))
+    return metrics.median(e, ["event_type"]).select("event_type", r6("value").alias("median")).join(means, "event_type")
 
 
 @query("""WITH g AS (SELECT lang, source, bool_and(quality = 1) AS ok FROM labels JOIN documents USING (doc_id) GROUP BY ALL)
@@ -418,9 +419,19 @@ def running_event_scores(t):
     return r.withColumns({"value": F.round("value", 5), "stderr": F.round("stderr", 5)})
 
 
-@query()
+def weights_sql(rows: str, key: str, replicates: int, seed: int = 1234) -> str:
+    """CTEs from rows to wt: its rows, each with a replicate b and its Poisson weight w, by two rounds of a 32-bit mixer."""
+    u, low = "::UBIGINT", "4294967295::UBIGINT"
+    mix = lambda name, of, x: f"{name}_1 AS (SELECT *, (xor({x}, {x} >> 16) * {bootstrap.MIX_1}{u}) & {low} AS {x}1 FROM {of}), {name}_2 AS (SELECT *, (xor({x}1, {x}1 >> 15) * {bootstrap.MIX_2}{u}) & {low} AS {x}2 FROM {name}_1), {name}_3 AS (SELECT *, xor({x}2, {x}2 >> 16) AS {x}3 FROM {name}_2)"
+    weight = " + ".join(f"(y3 >= {s})::INT" for s in bootstrap.poisson_steps())
+    return f"""w_0 AS (SELECT *, xor(xor(({key}){u}, ({key}){u} >> 32) & {low}, {seed}{u}) AS x FROM {rows}), {mix('w', 'w_0', 'x')},
+ v_0 AS (SELECT *, (x3 + b{u} * {bootstrap.APART}{u}) & {low} AS y FROM w_3, range({replicates}) AS r(b)), {mix('v', 'v_0', 'y')}, wt AS (SELECT *, {weight} AS w FROM v_3)"""
+
+
+@query(f"""WITH s AS (SELECT source, doc_id, quality FROM labels JOIN documents USING (doc_id)), {weights_sql('s', 'doc_id', 1000)},
+ m AS (SELECT source, b, sum(w * quality) / nullif(sum(w), 0) AS m FROM wt GROUP BY source, b) SELECT source AS task, 'acc' AS metric, round(stddev_samp(m), 6) AS stderr FROM m GROUP BY source""")
 def bootstrap_error(t):
-    return bootstrap_stderr(_label_samples(t), ["task", "metric"], 200)
+    return bootstrap.bootstrap_stderr(_label_samples(t), ["task", "metric"], 1000).withColumn("stderr", r6("stderr"))
 
 
 def length_scorer(batches):
@@ -514,7 +525,7 @@ def instruction_following(t):
     return r.select("role", r6("prompt_level").alias("prompt_level"), r6("instruction_level").alias("instruction_level"))
 
 
-from . import queries_answers, queries_families  # noqa: E402, F401  (they register their queries here)
+from . import queries_answers, queries_families, queries_scale  # noqa: E402, F401  (they register their queries here)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,4 +1,4 @@
-"""Queries of answers in several languages, entities, options and code comments, of results and logs in other shapes, and of synthetic tasks; registered with those of queries.py."""
+"""Queries of answers in several languages, entities, options and code comments, and of results and logs in other shapes; registered with those of queries.py."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from .operators import results
 from .plans.evaluate import task_results
 from .queries import _PAIRS, _RES, GRAMS, PUNCT_SQL, _label_samples, _pairs, _squad_sql, query, r6, tokens_sql
 from .queries_families import _F1, _OTHERS
-from .sources import synthetic
 
 # ---- answers
 _ARTICLES = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in answers.ARTICLES.items()) + " ELSE ['']::VARCHAR[] END"
@@ -245,22 +244,3 @@ def batched_requests(t):
 
     nxt = F.lead("most").over(Window.partitionBy("part", "role").orderBy("at"))
     return one.withColumn("falls", F.coalesce(F.col("least") >= nxt, F.lit(True))).groupBy("role").agg(F.sum("k").alias("requests"), F.bool_and((F.col("k") <= 8) & (F.col("roles") == 1)).alias("bounded"), F.bool_and("falls").alias("longest_first"))
-
-
-# ---- synthetic tasks
-@query("""SELECT 'haystack' AS task, l * 1000 + d AS cell, 25 AS rows, 25 AS right FROM (VALUES (10), (40)) AS a(l), (VALUES (0), (50), (100)) AS b(d)
- UNION ALL SELECT 'chains', 0, 30, 30 UNION ALL SELECT 'words', 0, 20, 20""")
-def synthetic_tasks(t):
-    spark = t("region").sparkSession
-    noise = ["The grass is green.", "The sky is blue.", "The sun is yellow."]
-    h = synthetic.haystack(spark, [10, 40], [0, 50, 100], 25, noise)
-    before = F.regexp_count(F.substring_index("input", "The magic", 1), F.lit(r"\."))
-    ok = F.contains("input", F.col("outputs")[0]) & F.contains("input", F.col("query")) & (before == F.floor(F.col("length") * F.col("depth") / 100)) & (F.regexp_count("input", F.lit(r"\.")) == F.col("length") + 1)
-    h = h.select(F.lit("haystack").alias("task"), (F.col("length") * 1000 + F.col("depth")).alias("cell"), ok.alias("ok"))
-    v = synthetic.variable_chains(spark, 30, 3, 4, "The grass is green.")
-    follows = F.forall(F.sequence(F.lit(1), F.lit(4)), lambda i: F.contains("input", F.concat(F.lit("VAR "), F.get("outputs", i), F.lit(" = VAR "), F.get("outputs", i - 1))))
-    v = v.select(F.lit("chains").alias("task"), F.lit(0).alias("cell"), (follows & F.contains("input", F.concat(F.col("outputs")[0], F.lit(" = "), "query"))).alias("ok"))
-    w = synthetic.common_words(spark, 20, 5, 10)
-    listed = F.split("input", r" (?=\d+\. )")
-    w = w.select(F.lit("words").alias("task"), F.lit(0).alias("cell"), ((F.size(listed) == 180) & F.forall("outputs", lambda o: F.size(F.filter(listed, lambda x: F.endswith(x, F.concat(F.lit(" "), o)))) == 30)).alias("ok"))
-    return h.unionByName(v).unionByName(w).groupBy("task", "cell").agg(F.count(F.lit(1)).cast("int").alias("rows"), F.count_if("ok").cast("int").alias("right"))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from gaugeworks import queries
 from gaugeworks.functions import filters, metrics, text, translation
-from gaugeworks.functions.stats import bootstrap_stderr, pooled_stderr
+from gaugeworks.functions.bootstrap import bootstrap_stderr
+from gaugeworks.functions.stats import pooled_stderr
 from gaugeworks.operators import corpus, requests
 from gaugeworks.plans.catalog import template
 from gaugeworks.plans.evaluate import task_results

@@ -430,11 +430,18 @@ def decode(vocab: dict, ids: list[int]) -> str:
     return t.replace(SPACE, " ")[1:]
 
 
+def row_key(doc_id) -> int:
+    """The number that a row's draws hang on: a whole doc_id itself, -1 without one, else a 63-bit hash of its text."""
+    if doc_id is None or isinstance(doc_id, int):
+        return -1 if doc_id is None else doc_id
+    return xxhash.xxh64_intdigest(str(doc_id).encode()) >> 1
+
+
 def sample(docs: DataFrame, model_path: str, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
     """(doc_id, sample, ids, log_prob, perturbed, inclusion, round_trip): up to samples rows for every row of docs.
 
     round_trip says that the ids decode to the text (a text that holds U+2581 itself comes back with blanks). A null or empty text has the one segmentation
-    of the blank put before every text. Equal doc_ids draw alike; a null doc_id draws as -1. Very long words without blanks cost time and memory in proportion. An empty table gives no rows.
+    of the blank put before every text. Equal doc_ids draw alike; a null doc_id draws as -1, one that is no integer by a hash of its text. Very long words without blanks cost time and memory in proportion. An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
@@ -446,7 +453,7 @@ def sample(docs: DataFrame, model_path: str, samples: int = SAMPLES, seed: int =
         for batch in batches:
             for b in slices(batch, 1, SLICE):
                 texts = [t or "" for t in b.column(1).to_pylist()]
-                found = search(lat, texts, [-1 if d is None else int(d) for d in b.column(0).to_pylist()], samples, seed)
+                found = search(lat, texts, list(map(row_key, b.column(0).to_pylist())), samples, seed)
                 row = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 at, ids = expand(lat, [x[0] for f in found for x in f])
                 want = pa.array([b" " + t.encode() for t in texts], pa.large_binary()).take(pa.array(row))

@@ -151,8 +151,17 @@ def _with_fingerprint(docs: DataFrame) -> DataFrame:
     return materialize(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])), "simhash-rows")
 
 
+#: Columns of its own that deduplicate() adds on the way; those of docs that bear such a name are set aside meanwhile.
+OWN = ("__fp", "__n")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each component, whatever the ids: of the least doc_id; of rows with that id, of the least fingerprint, then the least by text, then by the other columns as JSON. Rows without doc_id are reduced to one a component by themselves, beside the one with an id."""
+    """One row of each component, whatever the ids: of the least doc_id; of rows with that id, of the least fingerprint, then the least by text, then by the other columns as JSON. Rows without doc_id are reduced to one a component by themselves, beside the one with an id.
+
+    Null and blank texts have fingerprint zero and link like any other. Further columns stay as they are, whatever their names. An empty table gives no rows.
+    """
+    if clash := {c: f"__own_{c}" for c in docs.columns if c in OWN}:
+        return deduplicate(docs.withColumnsRenamed(clash)).withColumnsRenamed({v: k for k, v in clash.items()})
     rows = _with_fingerprint(docs)
     seen = materialize(rows.groupBy(F.col("__fp").alias("fp"), F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")), "simhash-ids")
     fps = materialize(seen.select("fp").distinct(), "simhash-distinct")

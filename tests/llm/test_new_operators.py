@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, merkle, periodic, queries
+from gaugeworks.llm import bpe, merkle, periodic, pieces, queries, simhash
 from gaugeworks.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -239,3 +239,20 @@ def test_op13(spark, docs):
                 best = (s, length, q, 1000 * length // q)
         assert (r.n_runs, r.start, r.length, r.period, r.exponent_milli) == (len(found), *best)
         assert (r.runs_sha256, r.collapsed_sha256) == (sha("".join(f"{s},{m},{q}\n" for s, m, q in found)), sha(plain_collapse(w, found)))
+
+
+# ---- names and ids of other operators
+def test_deduplicate_keeps_columns_that_clash_with_its_own(spark):
+    rows = [(1, "one two three four five", 7, "a", 1.5), (2, "one two three four five", 8, None, None), (3, "quite another text here now", 9, "c", 2.5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __fp int, __n string, fp double")
+    out = simhash.deduplicate(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
+    assert simhash.deduplicate(df.limit(0)).columns == df.columns
+
+
+def test_pieces_take_ids_of_any_type(spark):
+    for kind, ids in (("string", ["a", "7", None]), ("double", [1.5, 2.0, None]), ("int", [1, 2, None])):
+        df = spark.createDataFrame([(i, "some words to cut in pieces") for i in ids], f"doc_id {kind}, text string")
+        got = pieces.sample(df, queries.TOKENIZER).collect()
+        assert {r.doc_id for r in got} == set(ids) and all(r.round_trip for r in got)
+    assert pieces.row_key(5) == 5 and pieces.row_key(None) == -1 and pieces.row_key("a") != pieces.row_key("b")

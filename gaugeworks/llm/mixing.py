@@ -4,8 +4,8 @@ DataFrame functions only. Every source is cut into blocks of documents by hash.
 target is met by whole rounds over all its blocks plus blocks in a permuted order up to the
 target; in the last few blocks single documents are chosen by hash thresholds, so the
 choice can be made row by row. The block draws of all sources are then dealt to output
-shards: at each node of a binary tree over the shards the sources' exact quotas are split by
-sequential draws without replacement (which is the multivariate hypergeometric law), every
+shards: at each node of a binary tree over the shards a half of the draws, chosen by least hash, goes
+left, which splits the sources' exact quotas by the multivariate hypergeometric law; every
 shard takes the next run of each source's permuted blocks, a document is taken once by each draw of its block, and rows are shuffled inside a shard.
 All randomness is hashes of the seed and the keys, so reruns agree.
 """
@@ -17,11 +17,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, small_side
+from .common import WORD, discard, materialize, small_side
 
 WEIGHTS, MAX_REPEATS, SHARDS, SEED = (1, 2, 3), 3, 8, 7
 BLOCKS, DOCS_A_BLOCK, REGION_DOCS, BACK, PASSES, VARIANTS = 256, 4, 512, 64, 4, 16
 SOURCES_BROADCAST, PLAN_BROADCAST, ROWS_A_PART = 50_000, 50_000, 20_000
+#: Bits of a hash that tell ranges of draws apart.
+HASH_RANGES = 16
 
 
 ADDED = ["mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_shards"]
@@ -32,22 +34,30 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """(source, source_size, n_docs, target) from (source, size) rows.
+    """(source, s, source_size, n_docs, target) from (source, size) rows, a written table; s numbers the sources by code point, null last, from 1.
 
-    Weights repeat over the sources by code point, null last. With caps max_repeats * size and one level L
-    for all, targets are least(cap, L * weight); as the sum of those is the least over k of
-    caps of the k sources lowest by cap/weight plus L times the other weights, the level that
-    shares out the whole total is the largest (total - caps) / weights over k. The windows run over one row a source.
+    Weights repeat in that order. With caps max_repeats * size and one level L for all, targets are least(cap, L * weight). L is sought from below: sources whose cap is under
+    the level are set to it and what is left is shared again, until none is; the set only grows, and each step is one sum over the sources. Numbers come
+    from ranges of sources laid out over tasks, so no task meets them all.
     """
     src = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    src = src.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int")))
+    order = [F.col("source").isNull(), F.col("source")]
+    laid = materialize(src.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "mix-order")
+    part = F.shiftright("at", 33)  # the partition's number; below it stands the row's place
+    ranges = laid.groupBy(part.alias("part")).agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    src = laid.withColumn("part", part).join(ranges.select("part", (before - F.col("low")).alias("shift")), "part").withColumn("s", F.col("at") + F.col("shift") + 1).drop("part", "at", "shift")
     cap = F.col("source_size") * float(max_repeats)
-    order = Window.orderBy(cap / F.col("w"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum(cap).over(before), F.lit(0.0))) / F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    src = src.withColumn("level", level).withColumn("level", F.max("level").over(Window.partitionBy()))
-    return src.select("source", "source_size", "n_docs", F.least(cap, F.greatest(F.col("level"), F.lit(0.0)) * F.col("w")).alias("target"))
+    src = src.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("s") - 1, F.lit(len(weights))) + 1).cast("int")))
+    src = materialize(src.withColumn("cap", cap), "mix-sources-sized")
+    discard(laid)
+    total, free, level, last = src.agg(F.sum("source_size"), F.sum("w")).first() + (None, None)
+    level = total / free if free else 0.0
+    while level != last:
+        low = F.col("cap") < F.lit(level) * F.col("w")
+        capped, free = src.agg(F.coalesce(F.sum(F.when(low, F.col("cap"))), F.lit(0.0)), F.sum(F.when(~low, F.col("w")))).first()
+        last, level = level, (total - capped) / free if free else level
+    return src.select("source", "s", "source_size", "n_docs", F.least("cap", F.lit(max(level, 0.0)) * F.col("w")).alias("target"))
 
 
 def _uniform(*keys) -> Column:
@@ -57,28 +67,27 @@ def _uniform(*keys) -> Column:
 def split_quotas(quotas: DataFrame, n_shards: int, seed: int = SEED) -> DataFrame:
     """(s, cuts): for (s, q) rows, one an s, the cumulative numbers of the q draws that go to shards 0, 1, ...; n_shards is a power of two.
 
-    A node's draws go left one by one with probability free places left / draws left, in order of s.
+    At each node every draw has a hash, and the half with the least go left: which draws these are is uniform over all halves, so how many
+    are of each source follows the multivariate hypergeometric law. Where the middle lies is found by counts of HASH_RANGES ranges of hashes; only the draws of the range with the middle are
+    ranked. No node gathers its sources or its draws.
     """
-    level = quotas.select(F.lit(1).cast("long").alias("node"), "s", "q")
+    draws = quotas.where("q > 0").select("s", F.explode(F.sequence(F.lit(1).cast("long"), F.col("q"))).alias("i"), F.lit(1).cast("long").alias("node"))
     for _ in range(n_shards.bit_length() - 1):
-        nodes = level.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("s", "q"))).alias("all"), F.sum("q").alias("total"))
-        even = (F.col("total") / 2 + F.when(_uniform(F.lit(seed), F.lit("odd"), F.col("node")) < 0.5, 0.5).otherwise(0.0)).cast("long")
-
-        def source(state, x):
-            def draw(t, i):
-                left = _uniform(F.lit(seed), F.col("node"), x["s"], i) * t["all"] < t["free"]
-                return F.struct((t["free"] - left.cast("long")).alias("free"), (t["all"] - 1).alias("all"), (t["got"] + left.cast("long")).alias("got"))
-
-            start = F.struct(state["free"].alias("free"), state["all"].alias("all"), F.lit(0).cast("long").alias("got"))
-            end = F.when(x["q"] > 0, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(x["q"], F.lit(1))), start, draw)).otherwise(start)
-            return F.struct(end["free"].alias("free"), end["all"].alias("all"), F.concat(state["out"], F.array(F.struct(x["s"].alias("s"), end["got"].alias("l"), (x["q"] - end["got"]).alias("r")))).alias("out"))
-
-        zero = F.struct(even.alias("free"), F.col("total").alias("all"), F.expr("cast(array() as array<struct<s:bigint,l:bigint,r:bigint>>)").alias("out"))
-        halves = nodes.select("node", F.explode(F.aggregate("all", zero, source, lambda t: t["out"])).alias("x"))
-        level = halves.select(F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("x.s").alias("s"), F.col("x.l").alias("q")), F.struct((F.col("node") * 2 + 1).alias("node"), F.col("x.s").alias("s"), F.col("x.r").alias("q")))).alias("y")).select("y.*")
-    by = F.sort_array(F.collect_list(F.struct("node", "q")))
-    sums = F.aggregate(by, F.expr("cast(array() as array<bigint>)"), lambda a, x: F.concat(a, F.array(x["q"] + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))))
-    return level.groupBy("s").agg(sums.alias("cuts"))
+        u = F.xxhash64(F.lit(seed), "node", "s", "i")
+        draws = materialize(draws.select("s", "i", "node", u.alias("u"), F.shiftrightunsigned(u, 64 - HASH_RANGES).alias("r")), "mix-draws")
+        upto = F.sum("n").over(Window.partitionBy("node").orderBy("r"))
+        counts = draws.groupBy("node", "r").agg(F.count(F.lit(1)).alias("n")).withColumns({"upto": upto, "total": F.sum("n").over(Window.partitionBy("node"))})
+        half = (F.col("total") / 2 + F.when(_uniform(F.lit(seed), F.lit("odd"), F.col("node")) < 0.5, 0.5).otherwise(0.0)).cast("long")
+        middle = counts.withColumn("half", half).where("upto - n < half AND half <= upto").select("node", F.col("r").alias("at"), (F.col("half") - F.col("upto") + F.col("n")).alias("need"))
+        middle = F.broadcast(materialize(middle, "mix-middle"))  # at most a row a node, fewer than n_shards
+        placed = draws.join(middle, "node", "left")
+        ranked = F.row_number().over(Window.partitionBy("node").orderBy("u", "s", "i"))
+        near = placed.where("r = at").withColumn("left", ranked <= F.col("need"))
+        far = placed.where("at IS NULL OR r <> at").withColumn("left", F.coalesce(F.col("r") < F.col("at"), F.lit(False)))
+        draws = near.unionByName(far).select("s", "i", F.when(F.col("left"), F.col("node") * 2).otherwise(F.col("node") * 2 + 1).alias("node"))
+    each = draws.groupBy("s").agg(*[F.count_if(F.col("node") <= n_shards + k).alias(f"c{k}") for k in range(n_shards)])
+    none = quotas.where("q <= 0").select("s", F.array(*[F.lit(0).cast("long")] * n_shards).alias("cuts"))
+    return each.select("s", F.array(*[f"c{k}" for k in range(n_shards)]).alias("cuts")).unionByName(none)
 
 
 def _hash(seed: int) -> Column:
@@ -91,7 +100,7 @@ def _block(blocks: Column, seed: int) -> Column:
 
 def plan(narrow: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, n_shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(sources, blocks): what the mix takes of every block. narrow is a written table (doc_id, source, size)."""
-    per_source = targets(narrow, weights, max_repeats).withColumns({"s": F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long"), "n_blocks": F.greatest(F.lit(1), F.least(F.greatest(F.lit(BLOCKS), F.floor(F.sqrt("n_docs"))), F.expr(f"n_docs div {DOCS_A_BLOCK}"))), "rounds": F.when(F.col("source_size") == 0, 0).otherwise(F.least(F.lit(max_repeats), F.floor(F.col("target") / F.col("source_size"))))})
+    per_source = targets(narrow, weights, max_repeats).withColumns({"n_blocks": F.greatest(F.lit(1), F.least(F.greatest(F.lit(BLOCKS), F.floor(F.sqrt("n_docs"))), F.expr(f"n_docs div {DOCS_A_BLOCK}"))), "rounds": F.when(F.col("source_size") == 0, 0).otherwise(F.least(F.lit(max_repeats), F.floor(F.col("target") / F.col("source_size"))))})
     sources = materialize(per_source.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("rounds") * F.col("source_size"))), "mix-sources")
     keyed = _keyed(narrow, sources, seed)
     permuted = Window.partitionBy("s").orderBy("key", "block")

@@ -138,6 +138,16 @@ def multi_choice_regex(choices: Column, pattern: str, group_select: int = 0, ign
 REGISTRY: dict[str, Callable[..., Filter]] = {"regex": regex, "regex_pos": regex_pos, "remove_whitespace": remove_whitespace, "lowercase": lowercase, "uppercase": uppercase, "map": map_values, "take_first": take_first, "take_first_k": take_first_k, "majority_vote": majority_vote, "format_span": format_span, "custom": custom, "multi_choice_regex": multi_choice_regex}
 
 
+def register(name: str, make: Callable[..., Filter] | None = None):
+    """Add a filter under a name of its own, by a call or as a decorator; options of a chain's step go to make. A name that is taken is an error."""
+    if make is None:
+        return lambda f: register(name, f)
+    if name in REGISTRY:
+        raise ValueError(f"there is a filter {name!r}")
+    REGISTRY[name] = make
+    return make
+
+
 def chain(steps: list[tuple[str, dict]]) -> Filter:
     built = [REGISTRY[name](**options) for name, options in steps]
     return lambda texts: reduce(lambda x, f: f(x), built, texts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +115,18 @@ def bits_per_byte(v: str = "v", w: str = "w") -> Column:
 
 
 AGGREGATIONS = {"mean": lambda: F.avg("v"), "nanmean": nanmean, "perplexity": perplexity, "weighted_perplexity": weighted_perplexity, "bits_per_byte": bits_per_byte, "bypass": lambda: F.lit(999.0)}
+
+
+
+def register(name: str, aggregation: Callable[[], Column], higher_is_better: bool = True) -> None:
+    """Add an aggregation over v and w under a name of its own; a name that is taken is an error. Without a known error it has none."""
+    if name in AGGREGATIONS:
+        raise ValueError(f"there is an aggregation {name!r}")
+    AGGREGATIONS[name] = aggregation
+    if not higher_is_better:
+        LOWER_IS_BETTER.add(name)
+
+
 LOWER_IS_BETTER = {"perplexity", "word_perplexity", "byte_perplexity", "bits_per_byte", "brier_score", "ter"}
 CLOSED_FORM_ERROR = {"mean", "acc_all"}
 BOOTSTRAPPED = {"median", "perplexity", "nanmean"}

@@ -1,4 +1,4 @@
-"""The k-th row of a group, or of a table, without sorting it: rows are counted by ranges of their key, and only the range that holds the k-th is looked into."""
+"""Places in an order without one task that sorts all: the k-th row of a group or a table by counts of ranges, and the numbers of all rows by ranges laid out over tasks."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ RANGES, SORTED, GROUPS = 4_096, 50_000, 20_000
 
 
 def kth(df: DataFrame, keys: list[str], order: str, place: Column, values: list[str]) -> DataFrame:
-    """(keys, values, n) of the row with place rows before it by order, then by values; place is an expression over n, the group's rows.
+    """(keys, values, n) of the row with place rows before it by order, then by values; place is an expression over n, the group's rows; no value may be named n.
 
     order is numeric; rows without one don't count, and a place beyond the group gives no row. Each pass counts a group's rows by RANGES equal ranges
     between its least and greatest key, within tasks first, so a row for each group and range is all that is shuffled; the range of the place is fitted to its own least and greatest
@@ -41,3 +41,16 @@ def kth(df: DataFrame, keys: list[str], order: str, place: Column, values: list[
         state = found
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(order, *[v for v in values if v != order]))
     return inside().withColumn("__at", number - 1).where("__at = __rest").select(*([] if one else keys), *values, "n")
+
+
+def numbered(docs: DataFrame, order: str, first: int = 0) -> DataFrame:
+    """docs with offset, the number of documents before each by order, from first on; order must be unique and not null.
+
+    Only (order) is sorted, by ranges over all tasks; a range's first number follows from the counts of those before it.
+    """
+    laid = written(docs.select(order).repartitionByRange(order).sortWithinPartitions(order).select(order, F.monotonically_increasing_id().alias("at")), "numbered")
+    part = F.shiftright("at", 33)  # the partition's number; below it stands the row's place
+    ranges = laid.groupBy(part.alias("part")).agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    places = laid.join(F.broadcast(ranges.select("part", (before - F.col("low")).alias("shift"))), part == F.col("part")).select(order, (F.col("at") + F.col("shift") + first).alias("offset"))
+    return docs.join(places, order)

@@ -222,6 +222,11 @@ def _count(pattern: str, t: str, flags: int = 0) -> int:
     return len(re.findall(pattern, t, flags))
 
 
+def capital_words(t: str) -> int:
+    """Words of capitals only; a word with hyphens or an apostrophe counts once, marks around it not at all."""
+    return sum(w.isupper() for w in t.split())
+
+
 def _highlights(t: str) -> int:
     return sum(bool(x.strip("*").strip()) for p in (r"\*[^\n*]*\*", r"\*\*[^\n*]*\*\*") for x in re.findall(p, t))
 
@@ -250,6 +255,7 @@ CHECKS: dict[str, Callable[[str, dict], bool]] = {
     "startend:quotation": lambda t, k: len(t.strip()) > 1 and t.strip()[0] == t.strip()[-1] == '"',
     "change_case:english_capital": lambda t, k: t.isupper(),
     "change_case:english_lowercase": lambda t, k: t.islower(),
+    "change_case:capital_word_frequency": lambda t, k: _compare(capital_words(t), k["capital_frequency"], k["capital_relation"]),
     "punctuation:no_comma": lambda t, k: "," not in t,
 }
 

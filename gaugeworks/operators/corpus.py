@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import kth
 from ..functions.text import let, ngrams, normalize, words
 from ..sources.scratch import removed, written
 
@@ -142,6 +143,28 @@ def match_statistics(evaluation: DataFrame, training: DataFrame, n: int, eval_ke
     return rows.agg(whole("n").alias("total"), whole("one").alias("unique"), whole("hit").alias("matching"), (whole("one") - whole("hit")).alias("non_matching"))
 
 
+#: Words whose counts may be broadcast (some 40 bytes each in a hash table); the others, none of which is frequent, are joined.
+HEAD_WORDS = 1_000_000
+
+
+def unigram_scores(docs: DataFrame, key: str, smoothing: float = 1.0, text: str = "text") -> DataFrame:
+    """(key, v, w): each document's log-likelihood under smoothed counts of all words, and its words. A document without words gives no row.
+
+    Words are counted, and compared, as 64-bit hashes. Where all or the most frequent are broadcast, documents stream by twice and only a row a document and task is shuffled.
+    """
+    each = docs.select(key, F.explode(words(F.col(text))).alias("t")).select(key, F.xxhash64("t").alias("h"))
+    counts = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "unigram-counts")
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    scored = counts.select("h", "n", F.log((F.col("n") + smoothing) / (total + smoothing * distinct or 1)).alias("p"))
+    if distinct <= HEAD_WORDS:
+        met = each.join(F.broadcast(scored.drop("n")), "h")
+    else:
+        cut = -kth(counts.select((-F.col("n")).alias("m")), [], "m", F.lit(HEAD_WORDS - 1), ["m"]).first()[0]
+        head = F.broadcast(scored.where(F.col("n") > cut).drop("n"))
+        met = each.join(head, "h").unionByName(each.join(head.select("h"), "h", "left_anti").join(scored.where(F.col("n") <= cut).drop("n"), "h"))
+    return met.groupBy(key).agg(F.sum("p").alias("v"), F.count(F.lit(1)).alias("w"))
+
+
 def spans(docs: DataFrame, key: str, n: int) -> DataFrame:
     """(key, ngram, start, stop): n-grams of the raw words, normalised afterwards, with the first and last character's place."""
 

@@ -4,24 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, normalize, words
-from ..sources.scratch import shared_folder, written
-
-
-def numbered(docs: DataFrame, order: str, first: int = 0) -> DataFrame:
-    """docs with offset, the number of documents before each by order, from first on; order must be unique and not null.
-
-    Only (order) is sorted, by ranges over all tasks; a range's first number follows from the counts of those before it.
-    """
-    laid = written(docs.select(order).repartitionByRange(order).sortWithinPartitions(order).select(order, F.monotonically_increasing_id().alias("at")), "store-order")
-    part = F.shiftright("at", 33)  # the partition's number; below it stands the row's place
-    ranges = laid.groupBy(part.alias("part")).agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
-    places = laid.join(F.broadcast(ranges.select("part", (before - F.col("low")).alias("shift"))), part == F.col("part")).select(order, (F.col("at") + F.col("shift") + first).alias("offset"))
-    return docs.join(places, order)
+from ..sources.scratch import shared_folder
 
 
 class GramStore:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import kth
+from ..functions.ordering import kth, numbered
 from ..functions.text import let
 
 
@@ -65,6 +65,8 @@ def _examples(docs: DataFrame, pool: DataFrame, n: int, sampler: str, seed: int)
     none = F.slice(F.array(F.struct(F.lit(0).alias("place"), F.lit(0).alias("pool_id"), F.lit("").alias("text"), F.lit("").alias("target"))), 1, 0)
     if sampler == "first_n":
         top = [F.struct(F.lit(r.pool_id).alias("place"), F.lit(r.pool_id).alias("pool_id"), F.lit(r.shown).alias("text"), F.lit(r.target).alias("target")) for r in ranked.orderBy("pool_id").limit(n + 1).collect()]
+        if 0 < len(top) < n:
+            raise ValueError(f"{n} examples asked of {len(top)}")
         if not top:
             return docs.select("doc_id", "text", none.alias("picked"))
         j = docs.select("doc_id", "text", F.array(*top).alias("some"))
@@ -72,8 +74,7 @@ def _examples(docs: DataFrame, pool: DataFrame, n: int, sampler: str, seed: int)
         size = pool.count()
         if not size:
             return docs.select("doc_id", "text", none.alias("picked"))
-        rank = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "pool_id"), "pool_id")) - 1  # over a few-shot split, small by nature
-        ring = ranked.withColumn("rank", rank)
+        ring = numbered(ranked.withColumn("draw", F.struct(F.xxhash64(F.lit(seed), "pool_id"), "pool_id")), "draw").withColumnRenamed("offset", "rank").drop("draw")
         drawn = F.transform(F.sequence(F.lit(0), F.lit(4 * n + 8)), lambda k: F.pmod(F.xxhash64(F.lit(seed), "doc_id", k), F.lit(size)))
         rest = F.transform(F.sequence(F.lit(0), F.lit(min(n, size - 1))), lambda k: F.pmod(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(size)) + k, F.lit(size)))
         places = F.slice(F.array_distinct(F.concat(drawn, rest)), 1, n + 1)
@@ -85,7 +86,7 @@ def _examples(docs: DataFrame, pool: DataFrame, n: int, sampler: str, seed: int)
 def few_shot(docs: DataFrame, pool: DataFrame, n: int, sampler: str = "first_n", seed: int = 1234, target_delimiter: str = " ", delimiter: str = "\n\n") -> DataFrame:
     """(doc_id, context): n examples of the pool (doc_id, text, target) before each document, never the document itself.
 
-    first_n takes the first by doc_id: only n + 1 rows of the pool can serve, whatever its size. default draws by hash: every
+    first_n takes the first by doc_id, an error if the pool has some but fewer: only n + 1 rows of it can serve, whatever its size. default draws by hash: every
     document draws places of the pool in hash order of its own (and should too few differ, the next ones from one place on), so a
     document meets n + 1 rows, not the pool; an empty pool gives none. An empty target adds neither its delimiter nor itself.
     """

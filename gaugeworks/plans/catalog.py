@@ -8,6 +8,7 @@ import os
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .evaluate import Aggregate, Group
 from .templates import Value, block, pieces
 
 
@@ -82,6 +83,24 @@ def expand_configs(name: str | dict, configs: dict[str, dict], changes: dict | N
     return {alias: {**c, **changes, "task": alias}}
 
 
+def groups(configs: dict[str, dict]) -> list[Group]:
+    """Groups of the configurations with their metrics: aggregate_metric_list holds metric, weight_by_size (true unless said) and filter_list (a name or a list, none unless said). Only means can be rolled up. A group without a list gives no group."""
+    out = []
+    for name, c in configs.items():
+        listed = c.get("aggregate_metric_list")
+        if not isinstance(c.get("task"), list) or not listed:
+            continue
+        aggregates = []
+        for m in [listed] if isinstance(listed, dict) else listed:
+            if m.get("aggregation", "mean") != "mean":
+                raise ValueError(f"{name}: only means can be rolled up")
+            kept = m.get("filter_list", "none")
+            aggregates.append(Aggregate(m["metric"], (kept,) if isinstance(kept, str) else tuple(kept), m.get("weight_by_size", True)))
+        members = tuple(m if isinstance(m, str) else m.get("group") or m["task"] for m in c["task"])
+        out.append(Group(c.get("group", name), members, aggregates=tuple(aggregates)))
+    return out
+
+
 def template(text: str, columns: list[str]) -> Column:
     """A column for a template over columns whose types aren't known: a column's name alone is that column. Where they are known, templates.compiled takes more."""
     return F.col(text) if text in columns else block(pieces(text), {c: Value(F.col(c)) for c in columns})

@@ -54,6 +54,15 @@ class Task:
     process: Callable[[DataFrame], DataFrame] | None = None
 
 
+@dataclass(frozen=True)
+class Aggregate:
+    """A metric of a group: of which filters, and whether members count by their size or alike."""
+
+    metric: str
+    filters: tuple[str, ...] = ("none",)
+    weight_by_size: bool = True
+
+
 @dataclass(frozen=True)
 class Group:
     name: str
@@ -61,6 +70,11 @@ class Group:
     metric: str = "acc"
     filters: tuple[str, ...] = ("none",)
     weight_by_size: bool = True
+    aggregates: tuple[Aggregate, ...] = ()  # several metrics, in place of the one above
+
+    @property
+    def rolled_up(self) -> tuple[Aggregate, ...]:
+        return self.aggregates or (Aggregate(self.metric, self.filters, self.weight_by_size),)
 
 
 def with_options(tasks: list[Task], predict_only: bool = False, **changes) -> list[Task]:
@@ -164,7 +178,10 @@ def task_results(samples: DataFrame, aggregation: dict[str, str] | None = None,
 
 
 def group_results(results: DataFrame, groups: list[Group]) -> DataFrame:
-    """(group, filter, metric, value, stderr, n): members' results pooled; a missing error leaves the group's null."""
+    """(group, filter, metric, value, stderr, n): for each of a group's metrics its members' results pooled, however deep they stand.
+
+    A member without a metric does not count for it; a missing error leaves the group's null, and a group of which no member has a metric has no row for it.
+    """
     spark = results.sparkSession
     known = {g.name: g for g in groups}
 
@@ -178,7 +195,7 @@ def group_results(results: DataFrame, groups: list[Group]) -> DataFrame:
         for m in g.members:
             if seen.setdefault(m, g.name) != g.name:
                 raise ValueError(f"{m} is in {seen[m]} and {g.name}")
-    edges = spark.createDataFrame([(g.name, t, g.metric, f, g.weight_by_size) for g in groups for t in dict.fromkeys(leaves(g.name)) for f in g.filters], "`group` string, task string, metric string, filter string, by_size boolean")
+    edges = spark.createDataFrame([(g.name, t, a.metric, f, a.weight_by_size) for g in groups for t in dict.fromkeys(leaves(g.name)) for a in g.rolled_up for f in a.filters], "`group` string, task string, metric string, filter string, by_size boolean")
     j = results.join(F.broadcast(edges), ["task", "metric", "filter"])
     complete = F.count("stderr") == F.count(F.lit(1))
     return j.groupBy("group", "filter", "metric").agg(F.when(F.first("by_size"), weighted_mean()).otherwise(weighted_mean(by_size=False)).alias("value"), F.when(complete, pooled_stderr()).alias("stderr"), F.sum("n").alias("n"))

@@ -220,12 +220,8 @@ _UNI = f"""tok AS (SELECT doc_id, unnest({_W}) AS w FROM documents), voc AS (SEL
 
 
 def _unigram(t) -> DataFrame:
-    """(doc_id, v, w): add-one unigram log-likelihood and words. Counts are joined to each document's distinct words, not to every word."""
-    words = t("documents").select("doc_id", F.explode(text.words(F.col("text"))).alias("t")).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("k"))
-    counts = words.groupBy("t").agg(F.sum("k").alias("n"))
-    total = counts.agg(F.sum("n") + F.count(F.lit(1))).first()[0] or 1
-    j = words.join(counts, "t")
-    return j.groupBy("doc_id").agg(F.sum(F.col("k") * F.log((F.col("n") + 1.0) / total)).alias("v"), F.sum("k").alias("w"))
+    """(doc_id, v, w): add-one unigram log-likelihood and words."""
+    return corpus.unigram_scores(t("documents"), "doc_id")
 
 
 @query(f"WITH {_UNI} SELECT doc_id, round(v, 4) AS ll, w AS words FROM ll")

@@ -6,17 +6,21 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .functions import bootstrap, similarity, text
+from .functions import bootstrap, common_runs, scoring, similarity, text
 from .functions.json_schema import complies
-from .operators import corpus, long_context
+from .functions.ordering import numbered
+from .operators import corpus, long_context, sentences
 from .operators import requests as R
-from .operators.gram_store import GramStore, numbered
+from .operators.gram_store import GramStore
+from .plans import catalog
+from .plans.evaluate import group_results, task_results
 from .plans.templates import PromptLibrary
-from .queries import _LETTERS, _OF_LETTERS, _OF_TOKENS, _PAIRS, _TOKENS, GRAMS, _pairs, norm_sql, query, r6, tokens_sql, weights_sql
+from .queries import _LETTERS, _OF_LETTERS, _OF_TOKENS, _PAIRS, _TOKENS, GRAMS, PUNCT_SQL, _pairs, query, r6, tokens_sql, weights_sql
 from .sources.offset_text import append_lines, read_lines
 from .sources.scratch import shared_folder, written
 
-_T = tokens_sql(norm_sql("text"))
+# the library lowers ASCII letters only
+_T = tokens_sql(f"translate(text, '{text.UPPER}{PUNCT_SQL}', '{text.LOWER}')")
 
 
 def _grams_sql(name: str, rows: str, columns: str, n: int) -> str:
@@ -58,7 +62,7 @@ def gram_store_matches(t):
     asked = GramStore(store.spark, f"asked_{uuid.uuid4().hex}", 8, 16)
     asked.append(numbered(t("benchmark"), "item_id"), "items")
     asked.append(numbered(t("conversations").withColumn("id", F.struct("conv_id", "turn")), "id"), "turns")
-    return store.matches(asked).withColumn("ngram", F.lower("ngram"))  # its SQL lowers every letter, not only ASCII's
+    return store.matches(asked)
 
 
 @query(f"WITH {_PLACED}, {_grams_sql('d', 'o', chr(34) + 'offset' + chr(34), 13)} SELECT ngram, count(*) AS docs FROM d GROUP BY ngram HAVING count(*) > 3")
@@ -190,3 +194,101 @@ def packed_long_contexts(t):
     whole = n(F.col("input")) == F.col("context_words") + n(F.col("text"))
     within = (F.col("context_words") <= F.col("budget")) & (F.col("context_words") + 2 * longest >= F.col("budget"))
     return c.select("item_id", F.col("budget").cast("int").alias("budget"), "depth", within.alias("within"), whole.alias("whole"), at_depth.alias("at_depth"), parts["question"].alias("question"), (parts["context"] == F.col("input")).alias("same"))
+
+
+# ---- sentences
+_Q = sentences.AROUND.replace("'", "''")
+_XLOG = lambda n, p: f"CASE WHEN {n} = 0 THEN 0 ELSE ({n}) * ln({p}) END"
+
+
+def _tokens_sql(name: str, rows: str, key: str) -> str:
+    """CTEs up to name (key, word, period, mark, next, big)."""
+    return f"""{name}_w AS (SELECT {key}, list_transform({tokens_sql('text')}, lambda x: trim(x, '{_Q}')) AS w FROM {rows}),
+ {name}_x AS (SELECT {key}, unnest(w) AS x, unnest(list_append(w[2:], NULL)) AS y FROM {name}_w WHERE len(w) > 0),
+ {name} AS (SELECT {key}, lower(CASE WHEN x LIKE '%.' THEN x[:-2] ELSE x END) AS word, x LIKE '%.' AS period, coalesce(regexp_matches(x, '[?!]$'), false) AS mark, lower(regexp_replace(y, '[.,;:?!]+$', '')) AS next, coalesce(y[1] <> lower(y[1]), false) AS big FROM {name}_x)"""
+
+
+_MODEL_SQL = f"""{_tokens_sql('t', 'documents', 'doc_id')}, z AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (period) AS p FROM t),
+ c AS (SELECT word, count(*) AS n, count(*) FILTER (period) AS p FROM t GROUP BY word HAVING regexp_matches(word, '\\p{{L}}')),
+ ab AS (SELECT word FROM (SELECT word, c.n, c.p, length(replace(word, '.', '')) AS l, length(word) AS m, z.p / z.n AS q FROM c, z WHERE c.p > 0)
+  WHERE -2 * ({_XLOG('p', 'q')} + {_XLOG('n - p', '1 - q')} - ({_XLOG('p', '0.99')} + {_XLOG('n - p', '1 - 0.99')})) * exp(-l) * (m - l + 1) * pow(l::DOUBLE, -(n - p)) >= 0.3),
+ st AS (SELECT next AS word, count(*)::DOUBLE AS s FROM t WHERE (mark OR period) AND next <> '' AND word NOT IN (SELECT word FROM ab) GROUP BY next),
+ b AS (SELECT word, c.n::DOUBLE AS w, s, (SELECT sum(s) FROM st) AS a, z.n AS n FROM c JOIN st USING (word), z),
+ sr AS (SELECT word FROM b WHERE w >= s AND n / a > w / s AND -2 * ({_XLOG('s', 'w / n')} + {_XLOG('a - s', '1 - w / n')} + {_XLOG('w - s', 'w / n')} + {_XLOG('(n - a - w + s)', '1 - w / n')}
+  - CASE WHEN s = a THEN 0 ELSE {_XLOG('s', 's / a')} + {_XLOG('a - s', '1 - s / a')} END - CASE WHEN w = s THEN 0 ELSE {_XLOG('w - s', '(w - s) / (n - a)')} + {_XLOG('(n - a - w + s)', '1 - (w - s) / (n - a)')} END) >= 30)"""
+
+
+def _sentences_sql(name: str, rows: str, key: str) -> str:
+    border = "mark OR NOT (word IN (SELECT word FROM ab) OR regexp_full_match(word, '\\p{L}|\\p{N}+')) OR (big AND next IN (SELECT word FROM sr))"
+    return f"""{_tokens_sql(name + '_t', rows, key)}, {name} AS (SELECT {key}, 1 + count(*) FILTER (next IS NOT NULL AND (mark OR period) AND ({border})) AS sentences FROM {name}_t GROUP BY {key})"""
+
+
+@query(f"WITH {_MODEL_SQL}, u AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations), {_sentences_sql('s', 'u', 'id')} SELECT id, sentences FROM s")
+def sentence_counts(t):
+    """Sentences of each turn, by what all documents teach of abbreviations and starters."""
+    turns = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return sentences.sentence_counts(turns, "id", sentences.fit(t("documents")))
+
+
+_STRIPPED = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_FORMS = "string_split(text, chr(10))"
+
+
+@query(f"""WITH {_MODEL_SQL}, d AS (SELECT doc_id, lang, text, {_FORMS} AS l FROM documents),
+ f AS (SELECT doc_id, lang, 0 AS i, text FROM d UNION ALL SELECT doc_id, lang, 1, {_STRIPPED.format("array_to_string(l[2:], chr(10))")} FROM d UNION ALL SELECT doc_id, lang, 2, {_STRIPPED.format("array_to_string(l[:len(l) - 1], chr(10))")} FROM d
+  UNION ALL SELECT doc_id, lang, 3, {_STRIPPED.format("CASE WHEN len(l) > 2 THEN array_to_string(l[2:len(l) - 1], chr(10)) ELSE '' END")} FROM d),
+ g AS (SELECT doc_id * 10 + i AS id, text FROM f UNION ALL SELECT doc_id * 10 + 4 + i, replace(text, '*', '') FROM f), {_sentences_sql('s', 'g', 'id')},
+ h AS (SELECT id, len(list_filter({tokens_sql('text')}, lambda w: upper(w) = w AND lower(w) <> w)) AS big, len({tokens_sql('text')}) > 0 AS filled FROM g),
+ j AS (SELECT id // 10 AS doc_id, bool_or(sentences >= 12) FILTER (id % 10 = 0) AS strict, bool_or(sentences >= 12) AS loose FROM s GROUP BY 1),
+ k AS (SELECT id // 10 AS doc_id, bool_or(filled AND big < 1) FILTER (id % 10 = 0) AS cs, bool_or(filled AND big < 1) AS cl FROM h GROUP BY 1)
+ SELECT lang, round(avg(coalesce(strict, false)::INT), 6) AS sentences_strict, round(avg(coalesce(loose, false)::INT), 6) AS sentences_loose, round(avg(cs::INT), 6) AS capitals_strict, round(avg(cl::INT), 6) AS capitals_loose FROM documents LEFT JOIN j USING (doc_id) JOIN k USING (doc_id) GROUP BY lang""")
+def sentence_and_capital_instructions(t):
+    """At least twelve sentences, and no word of capitals, strictly and loosely."""
+    d = t("documents")
+    model = sentences.fit(d)
+    out = d.select("doc_id", "lang")
+    for name, loose in (("strict", False), ("loose", True)):
+        many = sentences.enough_sentences(d, "doc_id", F.lit(12), F.lit("at least"), model, loose).select("doc_id", F.col("followed").alias(f"s_{name}"))
+        capital = scoring.instructions_followed(F.col("text"), F.array(F.lit("change_case:capital_word_frequency")), F.array(F.lit('{"capital_frequency": 1, "capital_relation": "less than"}')), loose)
+        out = out.join(many, "doc_id").join(d.select("doc_id", F.get(capital, 0).alias(f"c_{name}")), "doc_id")
+    share = lambda c, name: r6(F.avg(F.col(c).cast("int"))).alias(name)
+    return out.groupBy("lang").agg(share("s_strict", "sentences_strict"), share("s_loose", "sentences_loose"), share("c_strict", "capitals_strict"), share("c_loose", "capitals_loose"))
+
+
+# ---- groups of several metrics
+@query("""WITH s AS (SELECT source AS task, quality, toxic FROM labels JOIN documents USING (doc_id)),
+ r AS (SELECT task, 'acc' AS metric, avg(quality) AS v, stddev_samp(quality) / sqrt(count(*)) AS e, count(*) AS n FROM s GROUP BY task UNION ALL SELECT task, 'toxic', avg(toxic), stddev_samp(toxic) / sqrt(count(*)), count(*) FROM s GROUP BY task),
+ g AS (SELECT CASE WHEN substr(task, 4)::INT % 2 = 0 THEN 'even' ELSE 'odd' END AS grp, * FROM r UNION ALL SELECT 'all', * FROM r)
+ SELECT grp AS "group", 'none' AS filter, metric, round(CASE WHEN metric = 'acc' OR grp = 'all' THEN sum(v * n) / sum(n) ELSE avg(v) END, 6) AS value, round(CASE WHEN count(e) = count(*) THEN sqrt(sum((n - 1) * e * e * n) / (sum(n) - count(*)) / sum(n)) END, 6) AS stderr, sum(n)::BIGINT AS n
+ FROM g WHERE grp <> 'all' OR metric = 'toxic' GROUP BY grp, metric""")
+def group_rollup_several(t):
+    """Two metrics a group, weighted by size and not, and one of both groups."""
+    d = t("labels").join(t("documents").select("doc_id", F.col("source").alias("task")), "doc_id")
+    pairs = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("v")) for m, c in (("acc", "quality"), ("toxic", "toxic"))]))
+    samples = d.select("task", F.lit("none").alias("filter"), "doc_id", pairs)
+    two = [{"metric": "acc"}, {"metric": "toxic", "weight_by_size": False, "aggregation": "mean"}]
+    names = {"even": [f"src{i}" for i in range(0, 20, 2)], "odd": [f"src{i}" for i in range(1, 20, 2)]}
+    configs = {g: {"group": g, "task": members, "aggregate_metric_list": two} for g, members in names.items()} | {"all": {"group": "all", "task": ["even", "odd"], "aggregate_metric_list": {"metric": "toxic"}}}
+    r = group_results(task_results(samples), catalog.groups(configs))
+    return r.withColumns({"value": r6("value"), "stderr": r6("stderr")})
+
+
+# ---- common runs
+@query(f"""WITH {_PAIRS}, w AS (SELECT conv_id, turn, {tokens_sql("regexp_replace(lower(pred), '([一-龥]|[[:punct:]])', ' \\1 ', 'g')")} AS a, {tokens_sql("regexp_replace(lower(gold), '([一-龥]|[[:punct:]])', ' \\1 ', 'g')")} AS b FROM p),
+ x AS (SELECT conv_id, turn, unnest(a) AS t, generate_subscripts(a, 1) AS i FROM w), y AS (SELECT conv_id, turn, unnest(b) AS t, generate_subscripts(b, 1) AS j FROM w),
+ d AS (SELECT conv_id, turn, i - j AS d, i - row_number() OVER (PARTITION BY conv_id, turn, i - j ORDER BY i) AS r FROM x JOIN y USING (conv_id, turn, t)),
+ m AS (SELECT conv_id, turn, max(k) AS k FROM (SELECT conv_id, turn, d, r, count(*) AS k FROM d GROUP BY ALL) GROUP BY conv_id, turn)
+ SELECT conv_id, turn, coalesce(k, 0) AS run, round(coalesce(2.0 * k / nullif(len(a) + len(b), 0), 0), 6) AS f1 FROM w LEFT JOIN m USING (conv_id, turn)""")
+def common_run_scores(t):
+    """Each turn against the next by the longest run of tokens that both have."""
+    tokens = lambda c: common_runs.mixed_tokens(F.lower(c), r"[\p{Punct}]")
+    p = _pairs(t).withColumns({"a": tokens("pred"), "b": tokens("gold")})
+    return p.select("conv_id", "turn", common_runs.longest_common_run(F.col("a"), F.col("b")).alias("run"), r6(common_runs.common_run_f1(F.col("a"), F.col("b"))).alias("f1"))
+
+
+@query()
+def document_common_runs(t):
+    """Each whole document against the next by doc_id, the first one following the last, by the longest run of words that both have."""
+    d = numbered(t("documents").select("doc_id", "text"), "doc_id").select("doc_id", "offset", text.words(F.col("text")).alias("w"))
+    nxt = d.select(F.pmod(F.col("offset") - 1, F.lit(max(d.count(), 1))).alias("offset"), F.col("w").alias("v"))
+    return d.join(nxt, "offset").select("doc_id", common_runs.longest_common_run(F.col("w"), F.col("v")).alias("run"))

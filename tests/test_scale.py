@@ -11,13 +11,14 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.functions import bootstrap, metrics, ordering, similarity, translation
+from gaugeworks.functions import bootstrap, common_runs, filters, metrics, ordering, scoring, similarity, translation
 from gaugeworks.functions.json_schema import complies
-from gaugeworks.operators import corpus, long_context
+from gaugeworks.functions.ordering import numbered
+from gaugeworks.operators import corpus, long_context, sentences
 from gaugeworks.operators import requests as R
-from gaugeworks.operators.gram_store import GramStore, numbered
-from gaugeworks.plans import templates
-from gaugeworks.plans.evaluate import task_results
+from gaugeworks.operators.gram_store import GramStore
+from gaugeworks.plans import catalog, templates
+from gaugeworks.plans.evaluate import group_results, task_results
 from gaugeworks.sources import offset_text
 
 
@@ -372,3 +373,93 @@ def test_code_similarity(spark):
     got = [r.x for r in df.select(similarity.code_similarity(F.col("p"), F.col("g")).alias("x")).collect()]
     assert got == [0.8, 0.0, 0.0, 0.0, 1.0, 0.0]
     assert [r.x for r in df.select(similarity.indel_ratio(F.col("p"), F.lit("same")).alias("x")).collect()][4] == 1.0
+
+
+# ---- common runs
+def test_automaton_finds_the_longest_common_run(spark):
+    r = random.Random(11)
+    for _ in range(300):
+        a, b = ([r.choice("abc漢") for _ in range(r.randrange(0, 60))] for _ in range(2))
+        want = max((k for k in range(1, len(a) + 1) if {tuple(a[i : i + k]) for i in range(len(a) - k + 1)} & {tuple(b[i : i + k]) for i in range(len(b) - k + 1)}), default=0)
+        assert common_runs.Automaton(a).longest(b) == want
+    long = [str(r.randrange(50)) for _ in range(20_000)]
+    assert common_runs.Automaton(long).longest(["x", *long[5000:9000], "y", *long[:100]]) >= 4000
+    df = spark.createDataFrame([("北京 is 大, ok", "is 大 , ok 北京"), ("", "a"), (None, "a"), ("a b", "c")], "p string, g string")
+    p, g = (common_runs.mixed_tokens(F.col(c)) for c in "pg")
+    got = df.select(p.alias("t"), common_runs.longest_common_run(p, g).alias("n"), common_runs.common_run_f1(p, g).alias("f")).collect()
+    assert got[0].t == ["北", "京", "is", "大", ",", "ok"] and (got[0].n, round(got[0].f, 4)) == (4, 0.6667)
+    assert [(x.n, x.f) for x in got[1:]] == [(0, 0.0)] * 3
+
+
+# ---- sentences
+def test_sentences_of_a_learnt_corpus(spark):
+    r = random.Random(1)
+    names = ["Meyer", "Adams", "Novak", "Silva"]
+    texts = []
+    for i in range(300):
+        subject = r.choice(["the visitor", "a neighbour", "that doctor"])
+        texts.append(f"We met Dr. {r.choice(names)} near the {r.choice(['river', 'house', 'market'])}. The {r.choice(['road', 'garden', 'shop'])} was quiet. The {r.choice(['old', 'new'])} door opened, and {subject} went inside. Quiet and inside the {r.choice(['river', 'house', 'market'])} nobody spoke, and it was quiet enough inside that river or house or market to sleep well.")
+    model = sentences.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert "dr" in {x.word for x in model.abbreviations.collect()} and not {"quiet", "inside", "river"} & {x.word for x in model.abbreviations.collect()}
+    assert "the" in {x.word for x in model.starters.collect()}
+    rows = [(1, "Dr. Meyer came. He left."), (2, "Is it? Yes! \"Good.\" Fine"), (3, "one"), (4, "  "), (5, None), (6, "We saw Dr. The end."), (7, "J. Adams paid 3. 4 came."), (8, "He met Dr. meyer today.")]
+    got = {x.id: x.sentences for x in sentences.sentence_counts(spark.createDataFrame(rows, "id long, text string"), "id", model).collect()}
+    assert got == {1: 2, 2: 4, 3: 1, 6: 2, 7: 1, 8: 1}
+    asked = spark.createDataFrame([(1, "Title*\nOne. Two.\nbye", 3, "less than"), (2, "", 1, "at least"), (3, "Aa bb. Cc dd. Ee ff.", 3, "at least")], "id long, text string, n int, relation string")
+    for loose, want in ((False, {1: False, 2: False, 3: True}), (True, {1: True, 2: False, 3: True})):
+        assert {x.id: x.followed for x in sentences.enough_sentences(asked, "id", F.col("n"), F.col("relation"), model, loose).collect()} == want
+    none = sentences.fit(spark.createDataFrame([], "doc_id long, text string"))
+    assert sentences.sentence_counts(spark.createDataFrame(rows[:1], "id long, text string"), "id", none).first().sentences == 3
+
+
+def test_capital_words():
+    assert [scoring.follows(t, "change_case:capital_word_frequency", {"capital_frequency": 2, "capital_relation": "at least"}) for t in ("A BIG-ONE", "One TWO", "(NASA), \"UN\"!", "12 34")] == [True, False, True, False]
+
+
+# ---- unigrams, groups, registries
+def test_unigram_scores_with_and_without_a_head(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a a b c"), (2, "a b d e e f"), (3, ""), (4, None)], "doc_id long, text string")
+    n, total = {"a": 3, "b": 2, "c": 1, "d": 1, "e": 2, "f": 1}, 10 + 6
+    want = {1: sum(math.log((n[w] + 1) / total) for w in "aabc"), 2: sum(math.log((n[w] + 1) / total) for w in "abdeef")}
+    for most in (100, 2):
+        monkeypatch.setattr(corpus, "HEAD_WORDS", most)
+        got = {r.doc_id: r.v for r in corpus.unigram_scores(docs, "doc_id").collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert corpus.unigram_scores(docs.limit(0), "doc_id").count() == 0
+
+
+def test_groups_of_several_metrics(spark):
+    rows = [("a", "none", "acc", 0.5, 0.1, 10), ("b", "none", "acc", 1.0, None, 30), ("a", "none", "f1", 0.2, 0.1, 10), ("b", "strict", "f1", 0.6, 0.2, 30)]
+    results = spark.createDataFrame(rows, "task string, filter string, metric string, value double, stderr double, n long")
+    configs = {"g": {"group": "g", "task": ["a", {"task": "b", "repeats": 2}], "aggregate_metric_list": [{"metric": "acc"}, {"metric": "f1", "weight_by_size": False, "filter_list": ["none", "strict"]}]}, "top": {"group": "top", "task": ["g"], "aggregate_metric_list": {"metric": "acc", "weight_by_size": False}}, "plain": {"group": "plain", "task": ["c"]}}
+    groups = catalog.groups(configs)
+    assert [g.name for g in groups] == ["g", "top"]
+    got = {(r.group, r.filter, r.metric): (round(r.value, 6), r.stderr is None, r.n) for r in group_results(results, groups).collect()}
+    assert got == {("g", "none", "acc"): (0.875, True, 40), ("g", "none", "f1"): (0.2, False, 10), ("g", "strict", "f1"): (0.6, False, 30), ("top", "none", "acc"): (0.75, True, 40)}
+    with pytest.raises(ValueError, match="only means"):
+        catalog.groups({"g": {"group": "g", "task": ["a"], "aggregate_metric_list": [{"metric": "acc", "aggregation": "max"}]}})
+
+
+def test_registries_take_new_names(spark, monkeypatch):
+    monkeypatch.setattr(filters, "REGISTRY", dict(filters.REGISTRY))
+    monkeypatch.setattr(metrics, "AGGREGATIONS", dict(metrics.AGGREGATIONS))
+    monkeypatch.setattr(metrics, "LOWER_IS_BETTER", set(metrics.LOWER_IS_BETTER))
+
+    @filters.register("twice")
+    def twice(by=2):
+        return lambda texts: F.transform(texts, lambda t: F.repeat(t, by))
+
+    assert spark.range(1).select(filters.chain([("twice", {"by": 3}), ("take_first", {})])(F.array(F.lit("ab"))).alias("x")).first().x == ["ababab"]
+    metrics.register("least", lambda: F.min("v"), higher_is_better=False)
+    df = spark.createDataFrame([("t", "none", "least", i, float(i)) for i in (3, 1, 2)], "task string, filter string, metric string, doc_id long, v double")
+    r = task_results(df, {"least": "least"}).first()
+    assert (r.value, r.stderr, r.higher_is_better) == (1.0, None, False)
+    for f in (lambda: filters.register("twice", twice), lambda: metrics.register("mean", lambda: F.avg("v"))):
+        with pytest.raises(ValueError):
+            f()
+
+
+def test_too_few_examples_are_an_error(spark):
+    d = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "doc_id long, text string, target string")
+    with pytest.raises(ValueError, match="asked"):
+        R.few_shot(d, d, 3)

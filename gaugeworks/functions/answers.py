@@ -143,3 +143,24 @@ def option_named(response: Column, options: Column, *key) -> Column:
         return F.coalesce(named(r, lambda o, i: F.concat(F.lit("("), letter(i), F.lit(")"))), named(r, lambda o, i: F.concat(F.lit(" "), letter(i), F.lit(" "))), content, drawn)
 
     return text.let(F.concat(F.lit(" "), trimmed, F.lit(" ")), of)
+
+
+def text_contrast(df: DataFrame, key: str, prediction: str, right: str, wrong: str) -> DataFrame:
+    """(key, bleu, rouge1, rouge2, rougeLsum), each a contrast() of the prediction's scores against the right and the wrong references (arrays of texts; null ones don't count).
+
+    Every pair of texts is a row, scored by itself, so a question of many references is no heavy row. BLEU is that of one sentence, ROUGE counts runs of ASCII letters and digits
+    in lower case; both in 0 to 100. A key without a right or a wrong reference has null contrasts.
+    """
+    pairs = df.select(key, F.col(prediction).alias("pred"), F.inline(F.concat(_marked(right, True), _marked(wrong, False))))
+    pairs = pairs.where("ref IS NOT NULL")
+    words = lambda c: text.words(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    rouge = [(100 * translation.rouge_n(words("pred"), words("ref"), n)).alias(f"rouge{n}") for n in (1, 2)]
+    scored = pairs.select(key, "right", "pred", "ref", *rouge, (100 * text.rouge_lsum(F.col("pred"), F.col("ref"))).alias("rougeLsum"))
+    counted = translation.bleu_counts(scored, [key, "right", "rouge1", "rouge2", "rougeLsum"]).withColumn("bleu", translation.sentence_bleu())
+    names = ("bleu", "rouge1", "rouge2", "rougeLsum")
+    lists = [F.collect_list(F.when(F.col("right") == r, F.col(n))).alias(f"{n}_{r}") for n in names for r in (True, False)]
+    return counted.groupBy(key).agg(*lists).select(key, *[contrast(F.col(f"{n}_True"), F.col(f"{n}_False")).alias(n) for n in names])
+
+
+def _marked(c: str, right: bool) -> Column:
+    return F.transform(c, lambda x: F.struct(F.lit(right).alias("right"), x.alias("ref")))

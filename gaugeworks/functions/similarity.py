@@ -6,21 +6,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import common_length
 
 
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence: a row of its table is one long number, a bit a character of the shorter text, worked out by one addition."""
-    a, b = sorted((a, b), key=len)
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        met = row & places.get(c, 0)
-        row = (row + met | row - met) & full
-    return len(a) - row.bit_count()
-
 
 def indel_ratio(a: Column, b: Column) -> Column:
     """1 - edits / characters of both, in whole hundredths, 0 if either is empty or null; by code points."""

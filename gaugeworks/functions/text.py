@@ -130,17 +130,22 @@ def rouge_l(prediction: Column, reference: Column) -> Column:
     return run(prediction, reference)
 
 
-def _lcs_f1(a: list[str], b: list[str]) -> float:
-    """The longest common subsequence by bits: a word's places in b are a number, and one addition moves a whole row of the table on."""
-    at: dict[str, int] = {}
-    for i, w in enumerate(b):
+def common_length(a, b) -> int:
+    """Length of the longest common subsequence of two texts or lists, by bits: a token's places in the shorter one are a number, and one addition moves a whole row of the table on."""
+    a, b = sorted((a, b), key=len)
+    at: dict = {}
+    for i, w in enumerate(a):
         at[w] = at.get(w, 0) | 1 << i
-    full = (1 << len(b)) - 1
+    full = (1 << len(a)) - 1
     row = full
-    for w in a:
+    for w in b:
         hit = row & at.get(w, 0)
         row = (row + hit | row - hit) & full
-    same = len(b) - row.bit_count()
+    return len(a) - row.bit_count()
+
+
+def _lcs_f1(a: list[str], b: list[str]) -> float:
+    same = common_length(a, b)
     return 2.0 * same / (len(a) + len(b)) if same else 0.0
 
 

@@ -64,6 +64,17 @@ def bleu_score(order: int = 4) -> Column:
     return F.coalesce(F.when(F.least(*[F.col(f"m{n}") for n in range(1, order + 1)]) > 0, 100 * F.exp(logs + brevity)), F.lit(0.0))
 
 
+def sentence_bleu(order: int = 4) -> Column:
+    """BLEU in 0 to 100 of one row's counts: an order without a match counts as half a match, a second one as a quarter, and so on; 0 without any match or if a text is shorter than the orders."""
+    m, t = ([F.col(f"{x}{n}") for n in range(1, order + 1)] for x in "mt")
+    missed, logs = F.lit(0), []
+    for a, b in zip(m, t):
+        missed = missed + (a == 0).cast("int")
+        logs.append(F.log(F.when(a == 0, 1 / F.pow(F.lit(2.0), missed)).otherwise(a * 1.0) / b))
+    brevity = F.when(F.col("lp") >= F.col("lr"), 0.0).otherwise(1 - F.try_divide(F.col("lr") * 1.0, F.col("lp")))
+    return F.when((F.greatest(*m) > 0) & (F.least(*t) > 0), 100 * F.exp(reduce(lambda a, b: a + b, logs) / order + brevity)).otherwise(F.lit(0.0))
+
+
 def bleu(df: DataFrame, keys: list[str], pred: str = "pred", ref: str = "ref", order: int = 4) -> DataFrame:
     """(keys, bleu) in 0 to 100; 0 if an order has no match."""
     return _sums(bleu_counts(df, keys, pred, ref, order), keys).select(*keys, bleu_score(order).alias("bleu"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .functions import bootstrap, common_runs, scoring, similarity, text
+from .functions import answers, bootstrap, common_runs, scoring, similarity, text
 from .functions.json_schema import complies
 from .functions.ordering import numbered
 from .operators import corpus, long_context, sentences
@@ -292,3 +293,34 @@ def document_common_runs(t):
     d = numbered(t("documents").select("doc_id", "text"), "doc_id").select("doc_id", "offset", text.words(F.col("text")).alias("w"))
     nxt = d.select(F.pmod(F.col("offset") - 1, F.lit(max(d.count(), 1))).alias("offset"), F.col("w").alias("v"))
     return d.join(nxt, "offset").select("doc_id", common_runs.longest_common_run(F.col("w"), F.col("v")).alias("run"))
+
+
+# ---- right and wrong texts
+_SIDES = f"""q AS (SELECT conv_id, turn, text AS pred, [lead(text) OVER o, lead(text, 2) OVER o] AS a, [lag(text) OVER o] AS b FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+ r AS (SELECT conv_id, turn, kind, i, pred, ref FROM (SELECT conv_id, turn, pred, true AS kind, unnest(a) AS ref, generate_subscripts(a, 1) AS i FROM q UNION ALL SELECT conv_id, turn, pred, false, unnest(b), 1 FROM q) WHERE ref IS NOT NULL)"""
+_ALNUM = "list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')"
+
+
+def _pair_counts_sql(name: str, form: str, order: int) -> str:
+    """(conv_id, turn, kind, i, n, m, p, r) of every pair of texts."""
+    side = lambda c: f"SELECT conv_id, turn, kind, i, n, '{c}' AS side, {_OF_TOKENS} AS gram FROM (SELECT conv_id, turn, kind, i, {form.format(c)} AS x FROM r), (SELECT unnest(range(1, {order + 1})) AS n)"
+    keys = "conv_id, turn, kind, i, n"
+    return f"""{name}_g AS (SELECT {keys}, side, gram, count(*) AS c FROM ({side('pred')} UNION ALL {side('ref')}) GROUP BY ALL),
+ {name}_m AS (SELECT {keys}, sum(least(a.c, b.c)) AS m FROM {name}_g a JOIN {name}_g b USING ({keys}, gram) WHERE a.side = 'pred' AND b.side = 'ref' GROUP BY ALL),
+ {name}_t AS (SELECT {keys}, sum(c) FILTER (side = 'pred') AS p, sum(c) FILTER (side = 'ref') AS r FROM {name}_g GROUP BY ALL),
+ {name} AS (SELECT {keys}, coalesce(m, 0) AS m, coalesce(p, 0) AS p, coalesce(x.r, 0) AS r FROM (SELECT * EXCLUDE (pred, ref) FROM r, (SELECT unnest(range(1, {order + 1})) AS n)) LEFT JOIN {name}_t x USING ({keys}) LEFT JOIN {name}_m USING ({keys}))"""
+
+
+@query(f"""WITH {_SIDES}, {_pair_counts_sql('w', "list_filter(regexp_split_to_array(" + _TOKENS + ", '\\s+'), lambda t: t <> '')", 4)}, {_pair_counts_sql('l', _ALNUM, 2)},
+ z AS (SELECT *, count(*) FILTER (m = 0) OVER (PARTITION BY conv_id, turn, kind, i ORDER BY n) AS k FROM w),
+ u AS (SELECT conv_id, turn, kind, i, CASE WHEN max(m) > 0 AND min(p) > 0 THEN 100 * exp(avg(ln(CASE WHEN m = 0 THEN pow(2.0, -k) ELSE m END / nullif(p, 0))) + least(0, 1 - max(r) FILTER (n = 1) / nullif(max(p) FILTER (n = 1), 0))) ELSE 0 END AS bleu FROM z GROUP BY ALL),
+ v AS (SELECT conv_id, turn, kind, i, max(200.0 * m / nullif(p + r, 0)) FILTER (n = 1) AS r1, max(200.0 * m / nullif(p + r, 0)) FILTER (n = 2) AS r2 FROM l GROUP BY ALL),
+ s AS (SELECT conv_id, turn, max(bleu) FILTER (kind) AS ba, max(bleu) FILTER (NOT kind) AS bb, max(coalesce(r1, 0)) FILTER (kind) AS xa, max(coalesce(r1, 0)) FILTER (NOT kind) AS xb, max(coalesce(r2, 0)) FILTER (kind) AS ya, max(coalesce(r2, 0)) FILTER (NOT kind) AS yb FROM u JOIN v USING (conv_id, turn, kind, i) GROUP BY conv_id, turn)
+ SELECT conv_id, turn, round(ba, 5) AS bleu_max, round(ba - bb, 5) + 0.0 AS bleu_diff, (ba > bb)::INT::DOUBLE AS bleu_acc, round(xa - xb, 5) + 0.0 AS rouge1_diff, round(ya - yb, 5) + 0.0 AS rouge2_diff FROM s""")
+def right_and_wrong_texts(t):
+    """Each turn against the two after it as right, and the one before it as wrong answers."""
+    o = Window.partitionBy("conv_id").orderBy("turn")
+    c = t("conversations").select(F.struct("conv_id", "turn").alias("id"), "text", F.array(F.lead("text").over(o), F.lead("text", 2).over(o)).alias("a"), F.array(F.lag("text").over(o)).alias("b"))
+    x = answers.text_contrast(c, "id", "text", "a", "b")
+    r5 = lambda c: F.round(c, 5) + 0.0  # noqa: E731  no negative zeros
+    return x.select("id.conv_id", "id.turn", r5("bleu.best").alias("bleu_max"), r5("bleu.difference").alias("bleu_diff"), F.col("bleu.acc").alias("bleu_acc"), r5("rouge1.difference").alias("rouge1_diff"), r5("rouge2.difference").alias("rouge2_diff"))

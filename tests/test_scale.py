@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.functions import bootstrap, common_runs, filters, metrics, ordering, scoring, similarity, translation
+from gaugeworks.functions import answers, bootstrap, common_runs, filters, metrics, ordering, scoring, similarity, text, translation
 from gaugeworks.functions.json_schema import complies
 from gaugeworks.functions.ordering import numbered
 from gaugeworks.operators import corpus, long_context, sentences
@@ -365,7 +365,7 @@ def test_common_length_equals_the_table():
     r = random.Random(6)
     for _ in range(300):
         a, b = ("".join(r.choice("abé漢 ") for _ in range(r.randrange(0, 70))) for _ in range(2))
-        assert similarity.common_length(a, b) == plain_common(a, b)
+        assert text.common_length(a, b) == plain_common(a, b)
 
 
 def test_code_similarity(spark):
@@ -463,3 +463,17 @@ def test_too_few_examples_are_an_error(spark):
     d = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "doc_id long, text string, target string")
     with pytest.raises(ValueError, match="asked"):
         R.few_shot(d, d, 3)
+
+
+# ---- right and wrong texts
+def test_text_contrast(spark):
+    rows = [(1, "the cat sat on the mat today", ["the cat sat on the mat", None], ["a dog ran", "the cat sat"]), (2, "no match", ["xx yy zz ww"], ["no match"]), (3, "alone", [], ["alone"]), (4, None, ["a"], ["b"])]
+    df = spark.createDataFrame(rows, "k int, p string, r array<string>, w array<string>")
+    got = {x.k: x for x in answers.text_contrast(df, "k", "p", "r", "w").collect()}
+    assert got[1].bleu.acc == 1.0 and got[1].rouge1.best == pytest.approx(200 * 6 / 13) and got[1].rougeLsum.difference == pytest.approx(200 * 6 / 13 - 200 * 3 / 10)
+    m, t = (6, 5, 4, 3), (7, 6, 5, 4)
+    assert got[1].bleu.best == pytest.approx(100 * math.exp(sum(math.log(a / b) for a, b in zip(m, t)) / 4))
+    assert got[2].bleu.best == 0 and got[2].rouge1.difference == -100.0 and got[2].rouge1.acc == 0.0
+    assert got[3].bleu.best is None and got[3].bleu.difference is None and got[4].rouge1.best == 0.0
+    smooth = spark.createDataFrame([("a b c d e", "a b x d y")], "pred string, ref string")
+    assert translation.bleu_counts(smooth, []).select(translation.sentence_bleu().alias("b")).first().b == pytest.approx(100 * math.exp((math.log(3 / 5) + math.log(1 / 4) + math.log(1 / 2 / 3) + math.log(1 / 4 / 2)) / 4))

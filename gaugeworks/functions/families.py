@@ -138,19 +138,31 @@ def with_no_answer(df: DataFrame, keys: list[str], exact: str = "exact", f1: str
 
 
 # --- response filters
-def word_sort(listed: Column):
-    """The listed words in each response, in the order of their last occurrence, joined by blanks."""
+def cleared(ignore_case: bool = False, ignore_punctuation: bool = False, regexes_to_ignore=()):
+    """Each response without what the patterns find, then in lower case, then without punctuation of any script, as far as asked."""
+
+    def one(t: Column) -> Column:
+        for p in regexes_to_ignore or ():
+            t = F.regexp_replace(t, F.lit(p), F.lit(""))
+        t = F.lower(t) if ignore_case else t
+        return F.regexp_replace(t, r"\p{P}", "") if ignore_punctuation else t
+
+    return lambda texts: F.transform(texts, one)
+
+
+def word_sort(listed: Column, **ignore):
+    """The listed words in each response, in the order of their last occurrence, joined by blanks. ignore: what cleared() takes out of the responses before."""
 
     def one(t: Column) -> Column:
         seen = F.filter(F.regexp_extract_all(t, F.lit(r"(?U)(\w+)"), F.lit(1)), lambda w: F.array_contains(listed, w))
         last = lambda s: F.array_join(F.filter(s, lambda w, i: ~F.array_contains(F.slice(s, i + 2, F.greatest(F.size(s) - i - 1, F.lit(0))), w)), " ")
         return text.let(seen, last)
 
-    return lambda texts: F.transform(texts, one)
+    return lambda texts: F.transform(cleared(**ignore)(texts), one)
 
 
-def map_regex(values: dict[str, str], group_select: int = 0, fallback: str = "[invalid]"):
-    """The group_select-th match of any of the patterns in each response, replaced by the value of the first pattern found in it."""
+def map_regex(values: dict[str, str], group_select: int = 0, fallback: str = "[invalid]", **ignore):
+    """The group_select-th match of any of the patterns in each response, replaced by the value of the first pattern found in it. ignore: what cleared() takes out of the responses before."""
     union = "|".join(f"(?:{p})" for p in values)
     at = group_select + 1 if group_select >= 0 else group_select
 
@@ -158,7 +170,7 @@ def map_regex(values: dict[str, str], group_select: int = 0, fallback: str = "[i
         found = text.strip(F.try_element_at(F.regexp_extract_all(t, F.lit(f"({union})"), F.lit(1)), F.lit(at)))
         return F.coalesce(*[F.when((found != "") & F.rlike(found, F.lit(p)), F.lit(v)) for p, v in values.items()], F.lit(fallback))
 
-    return lambda texts: F.transform(texts, one)
+    return lambda texts: F.transform(cleared(**ignore)(texts), one)
 
 
 # English number words.
@@ -183,8 +195,8 @@ def number_of_words(run: str) -> int:
     return total + part
 
 
-def number_parse(pattern: str, group_select: int = 0, fallback: str = "[invalid]"):
-    """The group_select-th match of the pattern in each response, else the value of the group_select-th run of English number words, in digits. The longest word counts (sixteen, not six), also inside of others."""
+def number_parse(pattern: str, group_select: int = 0, fallback: str = "[invalid]", **ignore):
+    """After cleared(**ignore), the group_select-th match of the pattern in each response, else the value of the group_select-th run of English number words, in digits. The longest word counts (sixteen, not six), also inside of others."""
 
     def one(t: str | None) -> str:
         found = re.findall(pattern, t or "")
@@ -204,7 +216,7 @@ def number_parse(pattern: str, group_select: int = 0, fallback: str = "[invalid]
 
         return pd.Series([None if ts is None else [one(t) for t in ts] for ts in texts])
 
-    return run
+    return lambda texts: run(cleared(**ignore)(texts))
 
 
 # --- scores

@@ -115,6 +115,12 @@ def boxed(c: Column) -> Column:
     return run(c)
 
 
+def between_dollars(c: Column) -> Column:
+    """What stands between the first and the last dollar sign; the whole text if there are fewer than two."""
+    found = F.regexp_extract(c, r"(?s)\$(.*)\$", 1)
+    return F.when(F.regexp_like(c, F.lit(r"(?s)\$.*\$")), found).otherwise(c)
+
+
 # --- reading comprehension over sets of spans
 _ARTICLE, _PUNCTUATION = re.compile(r"\b(a|an|the)\b"), str.maketrans("", "", text.PUNCTUATION)
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .functions import answers, bootstrap, common_runs, scoring, similarity, text
+from .functions import answers, bootstrap, common_runs, families, scoring, similarity, text
 from .functions.json_schema import complies
 from .functions.ordering import numbered
 from .operators import corpus, long_context, sentences
@@ -324,3 +324,21 @@ def right_and_wrong_texts(t):
     x = answers.text_contrast(c, "id", "text", "a", "b")
     r5 = lambda c: F.round(c, 5) + 0.0  # noqa: E731  no negative zeros
     return x.select("id.conv_id", "id.turn", r5("bleu.best").alias("bleu_max"), r5("bleu.difference").alias("bleu_diff"), F.col("bleu.acc").alias("bleu_acc"), r5("rouge1.difference").alias("rouge1_diff"), r5("rouge2.difference").alias("rouge2_diff"))
+
+
+# ---- answers inside of responses
+_CLEARED = r"regexp_replace(lower(regexp_replace(text, '[0-9]+', '', 'g')), '\\p{P}', '', 'g')"
+_FOUND = "regexp_extract(' ' || t || ' ', '[^\\p{L}\\p{N}_](of|de|von|and|et|und|y)[^\\p{L}\\p{N}_]', 1)"  # this dialect's word borders know ASCII only
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, {_CLEARED} AS t FROM conversations), f AS (SELECT conv_id, turn, {_FOUND} AS x FROM c)
+ SELECT conv_id, turn, CASE WHEN x IN ('of', 'de', 'von') THEN 'owned' WHEN x <> '' THEN 'joined' ELSE '[invalid]' END AS answer FROM f""")
+def filter_map_ignoring(t):
+    """Responses lower-cased, without punctuation and digits, mapped by the first word that a pattern finds."""
+    f = families.map_regex({r"\b(?:of|de|von)\b": "owned", r"\b(?:and|et|und|y)\b": "joined"}, ignore_case=True, ignore_punctuation=True, regexes_to_ignore=["[0-9]+"])
+    return t("conversations").select("conv_id", "turn", F.get(f(F.array("text")), 0).alias("answer"))
+
+
+@query("""SELECT doc_id, md5(CASE WHEN length(text) - length(replace(text, '$', '')) > 1 THEN regexp_extract(text, '(?s)\\$(.*)\\$', 1) ELSE text END) AS answer_md5 FROM documents""")
+def dollar_answers(t):
+    return t("documents").select("doc_id", F.md5(scoring.between_dollars(F.col("text"))).alias("answer_md5"))

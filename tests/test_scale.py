@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.functions import answers, bootstrap, common_runs, filters, metrics, ordering, scoring, similarity, text, translation
+from gaugeworks.functions import answers, bootstrap, common_runs, families, filters, metrics, ordering, scoring, similarity, text, translation
 from gaugeworks.functions.json_schema import complies
 from gaugeworks.functions.ordering import numbered
 from gaugeworks.operators import corpus, long_context, sentences
@@ -477,3 +477,15 @@ def test_text_contrast(spark):
     assert got[3].bleu.best is None and got[3].bleu.difference is None and got[4].rouge1.best == 0.0
     smooth = spark.createDataFrame([("a b c d e", "a b x d y")], "pred string, ref string")
     assert translation.bleu_counts(smooth, []).select(translation.sentence_bleu().alias("b")).first().b == pytest.approx(100 * math.exp((math.log(3 / 5) + math.log(1 / 4) + math.log(1 / 2 / 3) + math.log(1 / 4 / 2)) / 4))
+
+
+def test_filters_clear_responses_before(spark):
+    texts = F.array(F.lit("The ANSWER is, B-2!"), F.lit("none"))
+    f = lambda x: spark.range(1).select(x(texts).alias("x")).first().x
+    assert f(families.map_regex({r"answer is b": "second"}, ignore_case=True, ignore_punctuation=True, regexes_to_ignore=["[0-9]"])) == ["second", "[invalid]"]
+    assert f(families.map_regex({r"answer is b": "second"})) == ["[invalid]"] * 2
+    assert f(families.number_parse(r"#(\d+)", ignore_punctuation=True)) == ["[invalid]", "1"]  # one in none
+    assert f(families.word_sort(F.array(F.lit("b"), F.lit("the")), ignore_case=True)) == ["the b", ""]
+    assert f(families.cleared(regexes_to_ignore=["[aeiou]"])) == ["Th ANSWER s, B-2!", "nn"]
+    d = spark.createDataFrame([("a $x$ b $y$ c",), ("one $ only",), ("$\n$",), (None,)], "t string").select(scoring.between_dollars(F.col("t")).alias("x"))
+    assert [r.x for r in d.collect()] == ["x$ b $y", "one $ only", "\n", None]

@@ -16,6 +16,7 @@ class GramStore:
 
     Stores of equal buckets join bucket by bucket. Each part adds at most a file a bucket, sorted. A part is there once its marker is, which is written last and names the
     attempt: what a lost driver left half written is never read, and the same parts may be given again, as those that are there are passed over. A null text has no n-grams.
+    All rows of an n-gram share a bucket: one that a third of all documents have makes that bucket's task long, though not its memory large, as rows stream by in order.
     """
 
     def __init__(self, spark: SparkSession, name: str, n: int, buckets: int = 64, folder: str | None = None):

@@ -16,6 +16,7 @@ from ..functions.filters import apply_chains
 from ..functions.stats import pooled_stderr, weighted_mean
 from ..functions.text import words
 from ..operators.requests import disjoint, multiple_choice, regroup, repeated, rolling_windows
+from ..sources.scratch import written
 
 
 class Scorer(Protocol):
@@ -202,13 +203,18 @@ def group_results(results: DataFrame, groups: list[Group]) -> DataFrame:
 
 
 def evaluate(spark: SparkSession, tasks: list[Task], scorer: Scorer, cache: DataFrame | None = None, bootstrap: int = 0) -> DataFrame:
-    """Results of all tasks; every task is one lazy plan and they are united before aggregation."""
+    """Results of all tasks; every task is one plan and they are united before aggregation.
+
+    The model is asked once a request: where the scores are read more than once, for several kinds of aggregation, medians or bootstrap errors, they are written first.
+    """
     samples = None
     how: dict[str, str] = {}
     for t in tasks:
         s = sample_metrics(t, cached_or_scored(requests(t), scorer, cache))
         samples = s if samples is None else samples.unionByName(s)
         how |= {m.name: m.aggregation for m in t.metrics}
+    if bootstrap or "median" in how.values() or len({"mean", *how.values()}) > 1:
+        samples = written(samples, "samples")
     return task_results(samples, how, bootstrap)
 
 

@@ -18,7 +18,7 @@ from gaugeworks.operators import corpus, long_context, sentences
 from gaugeworks.operators import requests as R
 from gaugeworks.operators.gram_store import GramStore
 from gaugeworks.plans import catalog, templates
-from gaugeworks.plans.evaluate import group_results, task_results
+from gaugeworks.plans.evaluate import Metric, Task, evaluate, group_results, task_results
 from gaugeworks.sources import offset_text
 
 
@@ -489,3 +489,24 @@ def test_filters_clear_responses_before(spark):
     assert f(families.cleared(regexes_to_ignore=["[aeiou]"])) == ["Th ANSWER s, B-2!", "nn"]
     d = spark.createDataFrame([("a $x$ b $y$ c",), ("one $ only",), ("$\n$",), (None,)], "t string").select(scoring.between_dollars(F.col("t")).alias("x"))
     assert [r.x for r in d.collect()] == ["x$ b $y", "one $ only", "\n", None]
+
+
+def test_the_model_is_asked_once_whatever_is_made_of_its_answers(spark, tmp_path):
+    """Several aggregations, pair metrics and bootstrap errors over one task must not score its requests again."""
+    folder = str(tmp_path)
+
+    def scorer(batches):
+        import uuid
+
+        for b in batches:
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(len(b)))
+            b["ll"], b["is_greedy"], b["text"] = 0.0, True, b["context"].str[-1]
+            yield b
+
+    docs = spark.createDataFrame([(i, f"q{i % 10}", str(i % 3)) for i in range(50)], "doc_id long, text string, target string")
+    exact = lambda: (F.col("prediction") == F.col("target")).cast("double")
+    chosen = [Metric("acc", exact), Metric("median", exact, "median"), Metric("ppl", exact, "perplexity"), Metric("mcc", lambda: F.lit(None), "mcc", gold=lambda: F.col("target"), pred=lambda: F.col("prediction"))]
+    results = evaluate(spark, [Task("t", docs, "generate_until", F.col("text"), F.col("target"), chosen)], scorer, bootstrap=20).collect()
+    assert {r.metric for r in results} == {"acc", "median", "ppl", "mcc"} and all(r.stderr is not None for r in results)
+    assert sum(int((tmp_path / n).read_text()) for n in os.listdir(folder)) == 50

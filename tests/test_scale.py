@@ -1,6 +1,5 @@
 """N-gram filters and stores, order statistics, bootstrap errors, templates, schemas, lines by byte ranges, packed contexts and code similarity against plain versions."""
 
-import hashlib
 import math
 import os
 import random
@@ -19,7 +18,7 @@ from gaugeworks.operators import requests as R
 from gaugeworks.operators.gram_store import GramStore
 from gaugeworks.plans import catalog, templates
 from gaugeworks.plans.evaluate import Metric, Task, evaluate, group_results, task_results
-from gaugeworks.sources import offset_text
+from gaugeworks.sources import offset_text, synthetic
 
 
 def plan_of(df):
@@ -510,3 +509,21 @@ def test_the_model_is_asked_once_whatever_is_made_of_its_answers(spark, tmp_path
     results = evaluate(spark, [Task("t", docs, "generate_until", F.col("text"), F.col("target"), chosen)], scorer, bootstrap=20).collect()
     assert {r.metric for r in results} == {"acc", "median", "ppl", "mcc"} and all(r.stderr is not None for r in results)
     assert sum(int((tmp_path / n).read_text()) for n in os.listdir(folder)) == 50
+
+
+# ---- synthetic tasks
+def test_synthetic_tasks_keep_their_answers(spark):
+    noise = ["The grass is green.", "The sky is blue.", "The sun is yellow."]
+    rows = synthetic.haystack(spark, [10, 40], [0, 50, 100], 5, noise).collect()
+    assert len(rows) == 30
+    for r in rows:
+        parts = re.findall(r"[^.]+\.", r.input)
+        at = next(i for i, x in enumerate(parts) if "magic" in x)
+        assert len(parts) == r.length + 1 and at == r.length * r.depth // 100 and r.query in parts[at] and r.outputs[0] in parts[at]
+    for r in synthetic.variable_chains(spark, 10, 3, 4, "The grass is green.").collect():
+        assert f"VAR {r.outputs[0]} = {r.query}" in r.input and all(f"VAR {b} = VAR {a}" in r.input for a, b in zip(r.outputs, r.outputs[1:]))
+    for r in synthetic.common_words(spark, 10, 5, 10).collect():
+        listed = re.findall(r"\d+\. (\S+)", r.input)
+        assert len(listed) == 5 * 30 + 10 * 3 and all(listed.count(w) == 30 for w in r.outputs)
+    with pytest.raises(ValueError):
+        synthetic.variable_chains(spark, 1, 9, 4, "x")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import families, filters, metrics, scoring, text, translation
+from .functions import families, filters, metrics, text, translation
 from .operators import requests as R
 from .plans.evaluate import Metric, Task, evaluate, sample_metrics
 from .queries import _PAIRS, _W, _label_samples, _pairs, _squad_sql, length_scorer, norm_sql, query, r6, tokens_sql

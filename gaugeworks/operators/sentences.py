@@ -70,8 +70,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """Abbreviations and starters of all words of docs. Words are counted within tasks first, so a row a word and task is shuffled; three sums come to the driver."""
     tokens = _tokens(docs, key, text)
     counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("period").alias("p"))
-    counts = written(counts.where(F.regexp_like("word", F.lit(r"\p{L}"))), "sentence-words")
-    total, periods = tokens.agg(F.count(F.lit(1)), F.count_if("period")).first()
+    counts = written(counts, "sentence-words")
+    total, periods = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("p"), F.lit(0))).first()
+    counts = counts.where(F.regexp_like("word", F.lit(r"\p{L}")))
     score = _abbreviation_score(F.col("n"), F.col("p"), periods, total, F.col("word"))
     short = written(counts.where((F.col("p") > 0) & (score >= ABBREVIATION)).select("word"), "sentence-abbreviations")
     ends = tokens.where(F.col("mark") | F.col("period")).where("next <> ''")

@@ -35,6 +35,11 @@ def normalize(c: Column) -> Column:
     return F.translate(c, UPPER + PUNCTUATION, LOWER)
 
 
+def normalize_all(c: Column) -> Column:
+    """As normalize(), but letters of all alphabets are lowered, each by itself: lower() alone makes two characters of \u0130 and another small sigma at a word's end."""
+    return F.lower(F.translate(c, "\u0130\u03a3" + PUNCTUATION, "i\u03c3"))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens joined by spaces; none if there are fewer tokens."""
 

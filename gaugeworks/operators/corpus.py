@@ -18,9 +18,9 @@ BROADCAST_GRAMS = 2_000_000
 BLOCK_WORDS, BITS, PROBES, MAX_FILTER = 32, 12, 5, 256 << 20
 
 
-def ngram_table(docs: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:
+def ngram_table(docs: DataFrame, key: str, n: int, text: str = "text", normal=normalize) -> DataFrame:
     """(key, ngram): distinct word n-grams of the normalised text."""
-    return docs.select(key, F.explode(F.array_distinct(ngrams(words(normalize(F.col(text))), n))).alias("ngram"))
+    return docs.select(key, F.explode(F.array_distinct(ngrams(words(normal(F.col(text))), n))).alias("ngram"))
 
 
 def gram_hashes(tokens: Column, n: int) -> Column:
@@ -33,13 +33,13 @@ def gram_hashes(tokens: Column, n: int) -> Column:
     return let(F.transform(tokens, lambda w: F.xxhash64(w)), of)
 
 
-def _placed(docs: DataFrame, key: str, n: int, text: str = "text") -> DataFrame:
+def _placed(docs: DataFrame, key: str, n: int, text: str = "text", normal=normalize) -> DataFrame:
     """(key, w, i, h): the words of a document and the place and hash of each of its n-grams."""
-    return docs.select(key, words(normalize(F.col(text))).alias("w")).select(key, "w", F.posexplode(gram_hashes(F.col("w"), n)).alias("i", "h"))
+    return docs.select(key, words(normal(F.col(text))).alias("w")).select(key, "w", F.posexplode(gram_hashes(F.col("w"), n)).alias("i", "h"))
 
 
-def _hashes(docs: DataFrame, n: int) -> DataFrame:
-    return docs.select(F.explode(gram_hashes(words(normalize(F.col("text"))), n)).alias("h"))
+def _hashes(docs: DataFrame, n: int, normal=normalize) -> DataFrame:
+    return docs.select(F.explode(gram_hashes(words(normal(F.col("text"))), n)).alias("h"))
 
 
 def _probes(h: Column) -> list[tuple[Column, Column]]:
@@ -75,9 +75,9 @@ def may_hold(rows: DataFrame, bits: DataFrame, blocks: int) -> DataFrame:
     return met.drop("block", "bits")
 
 
-def _surviving(docs: DataFrame, key: str, n: int, hashes: DataFrame, about: int, broadcast_grams: int | None = None) -> DataFrame:
+def _surviving(docs: DataFrame, key: str, n: int, hashes: DataFrame, about: int, broadcast_grams: int | None = None, normal=normalize) -> DataFrame:
     """(key, ngram), distinct and written: the n-grams of docs whose hash is, or for more than broadcast_grams may be, among hashes (h), of which about many are distinct. docs stream by; only what is left is shuffled."""
-    rows = _placed(docs, key, n)
+    rows = _placed(docs, key, n, normal=normal)
     if about <= (BROADCAST_GRAMS if broadcast_grams is None else broadcast_grams):
         side = written(hashes.distinct(), "gram-hashes")
         left = rows.join(F.broadcast(side), "h", "left_semi")
@@ -98,19 +98,19 @@ def _text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def shared_grams(a: DataFrame, b: DataFrame, n: int, a_key: str, b_key: str, broadcast_grams: int | None = None) -> tuple[DataFrame, DataFrame]:
+def shared_grams(a: DataFrame, b: DataFrame, n: int, a_key: str, b_key: str, broadcast_grams: int | None = None, normal=normalize) -> tuple[DataFrame, DataFrame]:
     """((a_key, ngram), (b_key, ngram)), distinct and written: the n-grams of either side that the other may hold too.
 
     The hashes of the side of fewer bytes meet the other side as it streams by, and what is left of it meets the first. So either table has every n-gram that both
-    sides have; what else is in it is a share of false positives, which the join of the two by n-gram takes out. Neither side is shuffled whole.
+    sides have; what else is in it is a share of false positives, which the join of the two by n-gram takes out. Neither side is shuffled whole. normal is the form that texts are compared in.
     """
     if _text_bytes(a) > _text_bytes(b):
-        large, small = shared_grams(b, a, n, b_key, a_key, broadcast_grams)
+        large, small = shared_grams(b, a, n, b_key, a_key, broadcast_grams, normal)
         return small, large
-    hashes = _hashes(a, n)
-    of_b = _surviving(b, b_key, n, hashes, _about(hashes), broadcast_grams)
+    hashes = _hashes(a, n, normal)
+    of_b = _surviving(b, b_key, n, hashes, _about(hashes), broadcast_grams, normal)
     back = of_b.select(_text_hash(n).alias("h"))
-    return _surviving(a, a_key, n, back, _about(back), broadcast_grams), of_b
+    return _surviving(a, a_key, n, back, _about(back), broadcast_grams, normal), of_b
 
 
 def _text_hash(n: int) -> Column:
@@ -118,25 +118,25 @@ def _text_hash(n: int) -> Column:
     return F.get(gram_hashes(F.split("ngram", " "), n), F.lit(0))
 
 
-def document_frequency(docs: DataFrame, n: int, more_than: int = 10, key: str = "doc_id") -> DataFrame:
+def document_frequency(docs: DataFrame, n: int, more_than: int = 10, key: str = "doc_id", normal=normalize) -> DataFrame:
     """(ngram, docs): n-grams of more than more_than documents. Hashes are counted first; only the frequent ones are written out, and counted again by their text."""
-    each = docs.select(F.explode(F.array_distinct(gram_hashes(words(normalize(F.col("text"))), n))).alias("h"))
+    each = docs.select(F.explode(F.array_distinct(gram_hashes(words(normal(F.col("text"))), n))).alias("h"))
     frequent = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > more_than).select("h"), "gram-frequent")
-    left = _surviving(docs, key, n, frequent, frequent.count())
+    left = _surviving(docs, key, n, frequent, frequent.count(), normal=normal)
     removed(frequent)
     return left.groupBy("ngram").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > more_than)
 
 
-def contaminated(evaluation: DataFrame, training: DataFrame, n: int, eval_key: str, train_key: str) -> DataFrame:
+def contaminated(evaluation: DataFrame, training: DataFrame, n: int, eval_key: str, train_key: str, normal=normalize) -> DataFrame:
     """Keys of evaluation rows that share an n-gram with training."""
-    own, other = shared_grams(evaluation, training, n, eval_key, train_key)
+    own, other = shared_grams(evaluation, training, n, eval_key, train_key, normal=normal)
     return own.join(other.select("ngram").distinct(), "ngram", "left_semi").select(eval_key).distinct()
 
 
-def match_statistics(evaluation: DataFrame, training: DataFrame, n: int, eval_key: str, train_key: str) -> DataFrame:
+def match_statistics(evaluation: DataFrame, training: DataFrame, n: int, eval_key: str, train_key: str, normal=normalize) -> DataFrame:
     """One row: total, unique, matching and non-matching evaluation n-grams. Training n-grams stream by as hashes."""
-    grams = evaluation.select(F.explode(ngrams(words(normalize(F.col("text"))), n)).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
-    own, other = shared_grams(evaluation, training, n, eval_key, train_key)
+    grams = evaluation.select(F.explode(ngrams(words(normal(F.col("text"))), n)).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
+    own, other = shared_grams(evaluation, training, n, eval_key, train_key, normal=normal)
     both = own.select("ngram").join(other.select("ngram"), "ngram", "left_semi").distinct()
     rows = grams.select("n", F.lit(1).alias("one"), F.lit(0).alias("hit")).unionByName(both.select(F.lit(0).cast("long").alias("n"), F.lit(0).alias("one"), F.lit(1).alias("hit")))
     whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
@@ -165,7 +165,7 @@ def unigram_scores(docs: DataFrame, key: str, smoothing: float = 1.0, text: str
     return met.groupBy(key).agg(F.sum("p").alias("v"), F.count(F.lit(1)).alias("w"))
 
 
-def spans(docs: DataFrame, key: str, n: int) -> DataFrame:
+def spans(docs: DataFrame, key: str, n: int, normal=normalize) -> DataFrame:
     """(key, ngram, start, stop): n-grams of the raw words, normalised afterwards, with the first and last character's place."""
 
     def run(batches):
@@ -179,7 +179,7 @@ def spans(docs: DataFrame, key: str, n: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "ngram", "start", "stop"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, ngram string, start long, stop long").withColumn("ngram", normalize(F.col("ngram")))
+    return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, ngram string, start long, stop long").withColumn("ngram", normal(F.col("ngram")))
 
 
 def cut_out(text: str, hits: list[tuple[int, int]], window: int = 200, cutoff: int = 10, least: int = 200) -> list[str]:
@@ -200,13 +200,13 @@ def cut_out(text: str, hits: list[tuple[int, int]], window: int = 200, cutoff: i
     return kept
 
 
-def clean(docs: DataFrame, contaminants: DataFrame, n: int, key: str = "doc_id", window: int = 200, cutoff: int = 10, least: int = 200) -> DataFrame:
+def clean(docs: DataFrame, contaminants: DataFrame, n: int, key: str = "doc_id", window: int = 200, cutoff: int = 10, least: int = 200, normal=normalize) -> DataFrame:
     """(key, chunks): the clean slices of each document. Only documents that share an n-gram with the contaminants go through Python; the others are one slice, or none if they are short."""
     other = contaminants.columns[0]
-    dirty = written(contaminated(docs, contaminants, n, key, other), "gram-dirty")
-    dirt = contaminants.select(F.explode(ngrams(words(normalize(F.col("text"))), n)).alias("ngram")).distinct()
+    dirty = written(contaminated(docs, contaminants, n, key, other, normal), "gram-dirty")
+    dirt = contaminants.select(F.explode(ngrams(words(normal(F.col("text"))), n)).alias("ngram")).distinct()
     suspects = docs.select(key, "text").join(dirty, key, "left_semi")
-    hits = spans(suspects, key, n).join(dirt, "ngram", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("hits"))
+    hits = spans(suspects, key, n, normal).join(dirt, "ngram", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("hits"))
 
     @F.pandas_udf("array<string>")
     def slices(text, hits):

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a range, of a read, and of a batch handed on.
 RANGE, READ, BATCH = 32 << 20, 1 << 20, 4 << 20
+#: Small ranges share a task, up to RANGE bytes, where there are more than so many.
+TASKS = 256
 _PACKED = {".gz": "gzip", ".zst": "zstd", ".bz2": "bz2"}
 _PART = re.compile(r"(\d{6})-(\d{6})-.*\.txt(\.zst|\.gz)?\Z")
 
@@ -44,6 +46,13 @@ class Range(ds.InputPartition):
     base: int | None
 
 
+@dataclass
+class Ranges(ds.InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    each: list[Range]
+
+
 def lines_from(stream, start: int, end: int | None) -> Iterator[tuple[int, bytes]]:
     """(offset, line) of the lines that begin in [start, end). A line that begins earlier is the range's before, even if it ends here; the last line is read to its end, wherever that is.
 
@@ -103,9 +112,14 @@ class _Reader(ds.DataSourceReader):
                 else:
                     out += [Range(path, a, min(a + self.size, size), base) for a in range(0, size, self.size) if a + self.size > self.low and (self.high is None or a <= self.high)]
             base = None if packed or base is None else base + size
-        return out or [Range("", 0, 0, 0)]
+        k = min(RANGE // self.size, len(out) // TASKS)
+        return ([Ranges(out[i : i + k]) for i in range(0, len(out), k)] if k > 1 else out) or [Range("", 0, 0, 0)]
 
-    def read(self, part: Range):
+    def read(self, part: Range | Ranges):
+        if isinstance(part, Ranges):
+            for one in part.each:
+                yield from self.read(one)
+            return
         if not part.path:
             return
         fs, _ = _open(self.path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -132,15 +133,17 @@ def _number(word: str) -> float | None:
         return None
 
 
-def _normal(span: str) -> list[str]:
+@lru_cache(4096)
+def _normal(span: str) -> tuple[str, ...]:
     words = []
     for w in re.split(r"[ \-]", span.lower()):
         value = _number(w)
         w = _ARTICLE.sub(" ", w.translate(_PUNCTUATION)) if value is None else str(value)
-        words += [str(_number(x)) if _number(x) is not None else x for x in w.split()]
-    return words
+        words += [x if (n := _number(x)) is None else str(n) for x in w.split()]
+    return tuple(words)
 
 
+@lru_cache(4096)
 def _bag(span: str) -> frozenset:
     return frozenset(_normal(span))
 

@@ -29,12 +29,28 @@ def first_code_line(text: Column) -> Column:
 
 def code_similarity(prediction: Column, golds: Column) -> Column:
     """The best ratio of the prediction's first code line to one of the golds (an array); 0 without golds."""
+    return line_similarity(first_code_line(prediction), golds)
+
+
+def _ratio(x: str, y: str, common: int) -> float:
+    return round(200 * common / (len(x) + len(y))) / 100
+
+
+def best_ratio(x: str, golds: list[str]) -> float:
+    """The best ratio of x to a gold; one whose length alone keeps it from more than the best so far is not looked into."""
+    best = 0.0
+    for y in sorted((y for y in golds or () if x and y), key=lambda y: abs(len(x) - len(y)) / (len(x) + len(y))):
+        if _ratio(x, y, min(len(x), len(y))) <= best:
+            break
+        best = max(best, _ratio(x, y, common_length(x, y)))
+    return best
+
+
+def line_similarity(line: Column, golds: Column) -> Column:
+    """The best ratio of a line to one of the golds (an array); 0 without golds."""
 
     @F.arrow_udf("double")
     def run(lines: pa.Array, every: pa.Array) -> pa.Array:
-        out = []
-        for x, ys in zip(lines.to_pylist(), every.to_pylist()):
-            out.append(max((round(200 * common_length(x, y) / (len(x) + len(y))) / 100 for y in ys or () if x and y), default=0.0))
-        return pa.array(out, pa.float64())
+        return pa.array([best_ratio(x, ys) for x, ys in zip(lines.to_pylist(), every.to_pylist())], pa.float64())
 
-    return run(first_code_line(prediction), golds)
+    return run(line, golds)

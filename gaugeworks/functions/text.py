@@ -143,10 +143,13 @@ def common_length(a, b) -> int:
         at[w] = at.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
     row = full
-    for w in b:
-        hit = row & at.get(w, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+    for i, w in enumerate(b):
+        if m := at.get(w):
+            hit = row & m
+            row = row + hit | row - hit
+            if not i & 255:  # what carries beyond the row does not come back
+                row &= full
+    return len(a) - (row & full).bit_count()
 
 
 def _lcs_f1(a: list[str], b: list[str]) -> float:

@@ -174,9 +174,9 @@ def text_line_places(t):
 @query()
 def code_line_similarity(t):
     """Each page's first line that is no comment against those of the two pages after it, the first page following the last."""
-    p = t("pages").select("page_id", "html", similarity.first_code_line(F.col("html")).alias("line"))
+    p = written(t("pages").select("page_id", similarity.first_code_line(F.col("html")).alias("line")), "code-lines")
     near = p.select("line", F.explode(F.array(F.col("page_id") - 1, F.col("page_id") - 2)).alias("page_id")).groupBy("page_id").agg(F.collect_list("line").alias("golds"))
-    return p.join(near, "page_id", "left").select("page_id", similarity.code_similarity(F.col("html"), F.col("golds")).alias("score"))
+    return p.join(near, "page_id", "left").select("page_id", similarity.line_similarity(F.col("line"), F.col("golds")).alias("score"))
 
 
 # ---- long contexts

@@ -12,6 +12,8 @@ from ..sources.scratch import written
 
 # The published thresholds, and the chance that an abbreviation has its period.
 ABBREVIATION, STARTER, WITH_PERIOD = 0.3, 30.0, 0.99
+#: Abbreviations, or starters, that may be broadcast.
+BROADCAST_WORDS = 1_000_000
 #: Quotes and brackets that may stand around a word.
 AROUND = "\"'()[]{}«»“”„‘’‚"
 
@@ -92,16 +94,30 @@ def sentence_counts(docs: DataFrame, key: str, model: Model, text: str = "text")
     a starter with a capital. The last word ends one in any case. Only words with a mark or a period are joined to the model.
     """
     rows = _tokens(docs, key, text)
+    if _few(model.abbreviations) and _few(model.starters):  # both are broadcast: one pass, and only a row a key and task is shuffled
+        short = F.broadcast(model.abbreviations.withColumn("short", F.lit(True)))
+        starter = F.broadcast(model.starters.select(F.col("word").alias("next"), F.lit(True).alias("starter")))
+        met = rows.join(short, "word", "left").join(starter, "next", "left")
+        end = F.col("next").isNotNull() & (F.col("mark") | F.col("period"))
+        return met.groupBy(key).agg((F.count_if(end & _border()) + 1).alias("sentences"))
     short = model.abbreviations.withColumn("short", F.lit(True))
     starter = model.starters.select(F.col("word").alias("next"), F.lit(True).alias("starter"))
     ends = rows.where(F.col("next").isNotNull() & (F.col("mark") | F.col("period")))
     ends = ends.join(short, "word", "left").join(starter, "next", "left")
-    doubtful = F.coalesce("short", F.lit(False)) | F.regexp_like("word", F.lit(r"\A(\p{L}|\p{N}+)\z"))
-    border = F.col("mark") | ~doubtful | (F.col("big") & F.coalesce("starter", F.lit(False)))
-    counted = ends.groupBy(key).agg(F.count_if(border).alias("borders"))
+    counted = ends.groupBy(key).agg(F.count_if(_border()).alias("borders"))
     return rows.select(key).distinct().join(counted, key, "left").select(key, (F.coalesce("borders", F.lit(0)) + 1).alias("sentences"))
 
 
+def _few(words: DataFrame) -> bool:
+    return words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+
+
+def _border() -> Column:
+    """Whether a sentence ends after a word with a mark or a period."""
+    doubtful = F.coalesce("short", F.lit(False)) | F.regexp_like("word", F.lit(r"\A(\p{L}|\p{N}+)\z"))
+    return F.col("mark") | ~doubtful | (F.col("big") & F.coalesce("starter", F.lit(False)))
+
+
 def response_forms(text: Column, loose: bool) -> Column:
     """The texts that an instruction may be judged on: the response; loosely also without its first, last, or first and last line, and each without asterisks."""
     if not loose:
@@ -119,9 +135,16 @@ def response_forms(text: Column, loose: bool) -> Column:
 
 def enough_sentences(docs: DataFrame, key: str, wanted: Column, relation: Column, model: Model, loose: bool = False, text: str = "text") -> DataFrame:
     """(key, followed) for every row: whether the response has, by relation ("less than", else "at least"), as many sentences as wanted; a blank one never has."""
-    forms = docs.select(F.col(key).alias("k"), wanted.alias("wanted"), relation.alias("relation"), F.posexplode(response_forms(F.col(text), loose)).alias("i", "form"))
+    judged = enough_sentences_both(docs, key, wanted, relation, model, text, loose)
+    return judged.select(key, F.col("loose" if loose else "strict").alias("followed"))
+
+
+def enough_sentences_both(docs: DataFrame, key: str, wanted: Column, relation: Column, model: Model, text: str = "text", loose: bool = True) -> DataFrame:
+    """(key, strict, loose): enough_sentences() by the response itself, and by any of its forms; the former is the first of the latter, and equal forms are judged once."""
+    forms = docs.select(F.col(key).alias("k"), wanted.alias("wanted"), relation.alias("relation"), F.posexplode(F.array_distinct(response_forms(F.col(text), loose))).alias("i", "form"))
     forms = forms.withColumn("id", F.struct("k", "i"))
     n = sentence_counts(forms.select("id", "form"), "id", model, "form")
     holds = F.when(F.col("relation") == "less than", F.col("sentences") < F.col("wanted")).otherwise(F.col("sentences") >= F.col("wanted"))
-    judged = forms.select("id", "k", "wanted", "relation").join(n, "id", "left").groupBy("k").agg(F.bool_or(F.coalesce(holds, F.lit(False))).alias("followed"))
+    holds = F.coalesce(holds, F.lit(False))
+    judged = forms.select("id", "k", "i", "wanted", "relation").join(n, "id", "left").groupBy("k").agg(F.bool_or(holds & (F.col("i") == 0)).alias("strict"), F.bool_or(holds).alias("loose"))
     return judged.withColumnRenamed("k", key)

@@ -247,11 +247,13 @@ def sentence_and_capital_instructions(t):
     """At least twelve sentences, and no word of capitals, strictly and loosely."""
     d = t("documents")
     model = sentences.fit(d)
-    out = d.select("doc_id", "lang")
+    many = sentences.enough_sentences_both(d, "doc_id", F.lit(12), F.lit("at least"), model)
+    out = many.withColumnsRenamed({"strict": "s_strict", "loose": "s_loose"})
+    capitals = {}
     for name, loose in (("strict", False), ("loose", True)):
-        many = sentences.enough_sentences(d, "doc_id", F.lit(12), F.lit("at least"), model, loose).select("doc_id", F.col("followed").alias(f"s_{name}"))
         capital = scoring.instructions_followed(F.col("text"), F.array(F.lit("change_case:capital_word_frequency")), F.array(F.lit('{"capital_frequency": 1, "capital_relation": "less than"}')), loose)
-        out = out.join(many, "doc_id").join(d.select("doc_id", F.get(capital, 0).alias(f"c_{name}")), "doc_id")
+        capitals[f"c_{name}"] = F.get(capital, 0)
+    out = d.select("doc_id", "lang", *[c.alias(name) for name, c in capitals.items()]).join(out, "doc_id")
     share = lambda c, name: r6(F.avg(F.col(c).cast("int"))).alias(name)
     return out.groupBy("lang").agg(share("s_strict", "sentences_strict"), share("s_loose", "sentences_loose"), share("c_strict", "capitals_strict"), share("c_loose", "capitals_loose"))
 

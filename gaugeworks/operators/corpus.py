@@ -77,23 +77,37 @@ def may_hold(rows: DataFrame, bits: DataFrame, blocks: int) -> DataFrame:
 
 def _surviving(docs: DataFrame, key: str, n: int, hashes: DataFrame, about: int, broadcast_grams: int | None = None, normal=normalize) -> DataFrame:
     """(key, ngram), distinct and written: the n-grams of docs whose hash is, or for more than broadcast_grams may be, among hashes (h), of which about many are distinct. docs stream by; only what is left is shuffled."""
-    rows = _placed(docs, key, n, normal=normal)
-    if about <= (BROADCAST_GRAMS if broadcast_grams is None else broadcast_grams):
-        side = written(hashes.distinct(), "gram-hashes")
-        left = rows.join(F.broadcast(side), "h", "left_semi")
-    else:
-        side, blocks = gram_filter(hashes, about)
-        left = may_hold(rows, side, blocks)
-    out = written(left.select(key, F.concat_ws(" ", F.slice("w", F.col("i") + 1, F.lit(n))).alias("ngram")).distinct(), "gram-survivors")
+    side, blocks = gram_side(hashes, about, broadcast_grams)
+    out = written(met_grams(docs, key, n, side, blocks, normal=normal), "gram-survivors")
     removed(side)
     return out
 
 
+def gram_side(hashes: DataFrame, about: int, broadcast_grams: int | None = None) -> tuple[DataFrame, int | None]:
+    """What documents meet as they stream by, written: the distinct hashes (h) and None, or beyond broadcast_grams a filter of their bits and its number of blocks."""
+    if about <= (BROADCAST_GRAMS if broadcast_grams is None else broadcast_grams):
+        return written(hashes.distinct(), "gram-hashes"), None
+    return gram_filter(hashes, about)
+
+
+def met_grams(docs: DataFrame, key: str, n: int, side: DataFrame, blocks: int | None, text: str = "text", normal=normalize) -> DataFrame:
+    """(key, ngram), distinct: the n-grams of docs that a gram_side() holds, or may hold."""
+    rows = _placed(docs, key, n, text, normal)
+    left = rows.join(F.broadcast(side), "h", "left_semi") if blocks is None else may_hold(rows, side, blocks)
+    return left.select(key, F.concat_ws(" ", F.slice("w", F.col("i") + 1, F.lit(n))).alias("ngram")).distinct()
+
+
 def _about(hashes: DataFrame) -> int:
     """Distinct hashes, within some two hundredths."""
     return hashes.agg(F.approx_count_distinct("h", 0.02)).first()[0]
 
 
+def counted_hashes(docs: DataFrame, n: int, normal=normalize) -> tuple[DataFrame, int]:
+    """Hashes (h) of the n-grams of docs, and about how many of them are distinct."""
+    hashes = _hashes(docs, n, normal)
+    return hashes, _about(hashes)
+
+
 def _text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
@@ -120,13 +134,18 @@ def _text_hash(n: int) -> Column:
 
 def document_frequency(docs: DataFrame, n: int, more_than: int = 10, key: str = "doc_id", normal=normalize) -> DataFrame:
     """(ngram, docs): n-grams of more than more_than documents. Hashes are counted first; only the frequent ones are written out, and counted again by their text."""
-    each = docs.select(F.explode(F.array_distinct(gram_hashes(words(normal(F.col("text"))), n))).alias("h"))
-    frequent = written(each.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > more_than).select("h"), "gram-frequent")
+    frequent = frequent_hashes(docs, n, more_than, normal=normal)
     left = _surviving(docs, key, n, frequent, frequent.count(), normal=normal)
     removed(frequent)
     return left.groupBy("ngram").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > more_than)
 
 
+def frequent_hashes(docs: DataFrame, n: int, more_than: int, text: str = "text", normal=normalize) -> DataFrame:
+    """(h), written: hashes of n-grams that more than more_than documents have; only hashes are shuffled."""
+    each = docs.select(F.explode(F.array_distinct(gram_hashes(words(normal(F.col(text))), n))).alias("h"))
+    return written(each.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > more_than).select("h"), "gram-frequent")
+
+
 def contaminated(evaluation: DataFrame, training: DataFrame, n: int, eval_key: str, train_key: str, normal=normalize) -> DataFrame:
     """Keys of evaluation rows that share an n-gram with training."""
     own, other = shared_grams(evaluation, training, n, eval_key, train_key, normal=normal)

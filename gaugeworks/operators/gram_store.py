@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, normalize, words
 from ..sources.scratch import shared_folder
+from .corpus import met_grams
 
 
 class GramStore:
@@ -35,13 +36,21 @@ class GramStore:
         names = [x.getPath().getName() for x in self._fs.listStatus(self._markers)] if self._fs.exists(self._markers) else []
         return {n.rpartition("@")[0]: n for n in sorted(names)}
 
-    def append(self, docs: DataFrame, part: str, offset: str = "offset", text: str = "text") -> bool:
-        """Add the n-grams of docs (offset, text); False if the part is there. The one shuffle of these n-grams is here."""
+    def append(self, docs: DataFrame, part: str, offset: str = "offset", text: str = "text", among: tuple[DataFrame, int | None] | None = None) -> bool:
+        """Add the n-grams of docs (offset, text); False if the part is there. The one shuffle of these n-grams is here.
+
+        among, a gram_side() of the n-grams that will be asked for, keeps the others (but for a share of false positives) from being moved and kept.
+        """
         if part in self.parts():
             return False
         attempt = f"{part}@{uuid.uuid4().hex}"
-        grams = docs.select(F.explode(F.array_distinct(ngrams(words(normalize(F.col(text))), self.n))).alias("ngram"), F.col(offset).cast("long").alias("offset"))
-        grams.withColumn("part", F.lit(attempt)).repartition(self.buckets, "ngram").sortWithinPartitions("ngram").write.insertInto(self.name)
+        docs = docs.select(F.col(offset).cast("long").alias("offset"), F.col(text).alias("text"))
+        if among is None:
+            grams = docs.select(F.explode(F.array_distinct(ngrams(words(normalize(F.col("text"))), self.n))).alias("ngram"), "offset")
+        else:
+            grams = met_grams(docs, "offset", self.n, *among).select("ngram", "offset")
+        # the write of a bucketed table sorts by itself
+        grams.repartition(self.buckets, "ngram").withColumn("part", F.lit(attempt)).write.insertInto(self.name)
         self._fs.create(self._at(f"{self.path}-parts/{attempt}")).close()
         return True
 

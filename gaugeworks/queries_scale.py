@@ -18,7 +18,7 @@ from .plans.evaluate import group_results, task_results
 from .plans.templates import PromptLibrary
 from .queries import _LETTERS, _OF_LETTERS, _OF_TOKENS, _PAIRS, _TOKENS, GRAMS, PUNCT_SQL, _pairs, query, r6, tokens_sql, weights_sql
 from .sources.offset_text import append_lines, read_lines
-from .sources.scratch import shared_folder, written
+from .sources.scratch import removed, shared_folder, written
 
 # the library lowers ASCII letters only
 _T = tokens_sql(f"translate(text, '{text.UPPER}{PUNCT_SQL}', '{text.LOWER}')")
@@ -36,19 +36,20 @@ def conversation_overlap_3gram(t):
     return own.join(other.select("ngram").distinct(), "ngram", "left_semi").select("doc_id").distinct()
 
 
-def _store(t, name: str, table, order: str, parts: dict, n: int) -> GramStore:
-    """A new store of a table, a part after the other."""
+def _store(t, name: str, table, order: str, parts: dict, n: int, among) -> GramStore:
+    """A new store of a table's n-grams among those that will be asked for, a part after the other."""
     placed = written(numbered(table, order), "store-rows")
     store = GramStore(placed.sparkSession, f"{name}_{uuid.uuid4().hex}", n, 16)
     for part, rows in parts.items():
-        store.append(placed.where(rows), part)
+        store.append(placed.where(rows), part, among=among)
+    removed(placed, among[0])
     return store
 
 
-def _documents_store(t, n: int) -> GramStore:
+def _documents_store(t, n: int, among) -> GramStore:
     known = ["de", "en", "es", "fr"]
     parts = {k: F.col("lang") == k for k in known} | {"other": ~F.coalesce(F.col("lang").isin(known), F.lit(False))}
-    return _store(t, "documents", t("documents"), "doc_id", parts, n)
+    return _store(t, "documents", t("documents"), "doc_id", parts, n, among)
 
 
 _PLACED = "o AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS \"offset\", CASE WHEN lang IN ('de', 'en', 'es', 'fr') THEN lang ELSE 'other' END AS part, text FROM documents)"
@@ -58,8 +59,9 @@ _PLACED = "o AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS \"offset\", C
  {_grams_sql('d', 'o', '"offset", part', 8)}, {_grams_sql('b', '(SELECT * FROM i UNION ALL SELECT * FROM c)', '"offset", part', 8)}
  SELECT ngram, d."offset", d.part, b."offset" AS other_offset, b.part AS other_part FROM d JOIN b USING (ngram)""")
 def gram_store_matches(t):
-    """Two benchmarks, items and turns, against one store of documents."""
-    store = _documents_store(t, 8)
+    """Two benchmarks, items and turns, against one store of documents, which takes the n-grams that may be asked for."""
+    both = t("benchmark").select("text").unionByName(t("conversations").select("text"))
+    store = _documents_store(t, 8, corpus.gram_side(*corpus.counted_hashes(both, 8)))
     asked = GramStore(store.spark, f"asked_{uuid.uuid4().hex}", 8, 16)
     asked.append(numbered(t("benchmark"), "item_id"), "items")
     asked.append(numbered(t("conversations").withColumn("id", F.struct("conv_id", "turn")), "id"), "turns")
@@ -68,7 +70,8 @@ def gram_store_matches(t):
 
 @query(f"WITH {_PLACED}, {_grams_sql('d', 'o', chr(34) + 'offset' + chr(34), 13)} SELECT ngram, count(*) AS docs FROM d GROUP BY ngram HAVING count(*) > 3")
 def gram_store_frequent(t):
-    return _documents_store(t, 13).frequent(3)
+    hashes = corpus.frequent_hashes(t("documents"), 13, 3)
+    return _documents_store(t, 13, corpus.gram_side(hashes, hashes.count())).frequent(3)
 
 
 # ---- bootstrap

@@ -118,13 +118,15 @@ def plan(narrow: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, n_s
     region = keyed.select("s", "block", "size", "hash").join(side, ["s", "block"])
     variants = F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("v")
     left = materialize(region.select("s", variants, "hash", "size", "e0").withColumn("hash", F.xxhash64("hash", "v")), "mix-region")
-    chosen = None
+    chosen, before_pass = None, left
     for k in range(PASSES):
         room = left.where(F.col("size") <= F.col(f"e{k}")).groupBy("s", "v", "hash", f"e{k}").agg(F.sum("size").alias("size"))
         room = room.withColumn("upto", F.sum("size").over(Window.partitionBy("s", "v").orderBy("hash"))).where(F.col("upto") <= F.col(f"e{k}"))
-        got = room.groupBy("s", "v").agg(F.max("hash").alias(f"t{k}"), F.sum("size").alias("got"))
+        got = materialize(room.groupBy("s", "v").agg(F.max("hash").alias(f"t{k}"), F.sum("size").alias("got")), "mix-got")
         left = left.join(got, ["s", "v"], "left").withColumn(f"e{k + 1}", F.col(f"e{k}") - F.coalesce("got", F.lit(0))).drop("got")
-        left = materialize(left.where(F.col(f"t{k}").isNull() | (F.col("hash") > F.col(f"t{k}")) | (F.col("size") > F.col(f"e{k}"))).drop(f"t{k}"), "mix-left")
+        rest = materialize(left.where(F.col(f"t{k}").isNull() | (F.col("hash") > F.col(f"t{k}")) | (F.col("size") > F.col(f"e{k}"))).drop(f"t{k}"), "mix-left")
+        discard(before_pass)
+        left = before_pass = rest
         got = got.drop("got")
         chosen = got if chosen is None else chosen.join(got, ["s", "v"], "full")
     rooms = left.groupBy("s", "v").agg(*[F.first(f"e{k}").alias(f"e{k}") for k in range(1, PASSES + 1)])
@@ -132,9 +134,11 @@ def plan(narrow: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, n_s
     last = last.groupBy("s", "v").agg(F.min(F.struct("off", "hash")).alias("near"))
     ways = rooms.join(last, ["s", "v"], "left").join(chosen, ["s", "v"], "left")
     ways = ways.select("s", "v", *[f"e{k}" for k in range(1, PASSES)], *[f"t{k}" for k in range(PASSES)], F.col("near.hash").alias("last"), F.coalesce("near.off", f"e{PASSES}").alias("miss"))
-    marks = ways.groupBy("s").agg(F.min_by(F.struct(*[c for c in ways.columns if c not in ("s", "miss")]), F.struct("miss", "v")).alias("w")).select("s", "w.*")
+    # written, as are the cuts: the driver plans a few short queries, not one of all passes and levels
+    marks = materialize(ways.groupBy("s").agg(F.min_by(F.struct(*[c for c in ways.columns if c not in ("s", "miss")]), F.struct("miss", "v")).alias("w")).select("s", "w.*"), "mix-marks")
     draws = blocks.select("s", "block", "key", F.explode(F.expr("if(rounds + cast(full OR region AS int) > 0, sequence(1, cast(rounds + cast(full OR region AS int) AS int)), cast(array() AS array<int>))")).alias("copy"))
-    cuts = split_quotas(draws.groupBy("s").agg(F.count(F.lit(1)).alias("q")), n_shards, seed)
+    quotas = materialize(draws.groupBy("s").agg(F.count(F.lit(1)).alias("q")), "mix-quotas")
+    cuts = materialize(split_quotas(quotas, n_shards, seed), "mix-cuts")
     order = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed), F.lit("draw"), "key", "copy"), "block", "copy")
     dealt = draws.withColumn("at", F.row_number().over(order)).join(cuts, "s").withColumn("shard", F.size(F.filter("cuts", lambda c: c < F.col("at"))))
     shards = dealt.groupBy("s", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("draws"))

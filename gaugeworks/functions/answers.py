@@ -153,9 +153,10 @@ def text_contrast(df: DataFrame, key: str, prediction: str, right: str, wrong: s
     """
     pairs = df.select(key, F.col(prediction).alias("pred"), F.inline(F.concat(_marked(right, True), _marked(wrong, False))))
     pairs = pairs.where("ref IS NOT NULL")
-    words = lambda c: text.words(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    lowered = lambda c: F.lower(F.translate(c, "\u0130", "i"))  # noqa: E731  each letter by itself: lower() alone makes two characters of it
+    words = lambda c: text.words(F.regexp_replace(lowered(c), "[^a-z0-9]+", " "))
     rouge = [(100 * translation.rouge_n(words("pred"), words("ref"), n)).alias(f"rouge{n}") for n in (1, 2)]
-    scored = pairs.select(key, "right", "pred", "ref", *rouge, (100 * text.rouge_lsum(F.col("pred"), F.col("ref"))).alias("rougeLsum"))
+    scored = pairs.select(key, "right", "pred", "ref", *rouge, (100 * text.rouge_lsum(lowered("pred"), lowered("ref"))).alias("rougeLsum"))
     counted = translation.bleu_counts(scored, [key, "right", "rouge1", "rouge2", "rougeLsum"]).withColumn("bleu", translation.sentence_bleu())
     names = ("bleu", "rouge1", "rouge2", "rougeLsum")
     lists = [F.collect_list(F.when(F.col("right") == r, F.col(n))).alias(f"{n}_{r}") for n in names for r in (True, False)]

@@ -324,8 +324,9 @@ def _pair_counts_sql(name: str, form: str, order: int) -> str:
  SELECT conv_id, turn, round(ba, 5) AS bleu_max, round(ba - bb, 5) + 0.0 AS bleu_diff, (ba > bb)::INT::DOUBLE AS bleu_acc, round(xa - xb, 5) + 0.0 AS rouge1_diff, round(ya - yb, 5) + 0.0 AS rouge2_diff FROM s""")
 def right_and_wrong_texts(t):
     """Each turn against the two after it as right, and the one before it as wrong answers."""
-    o = Window.partitionBy("conv_id").orderBy("turn")
+    o = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last())
     c = t("conversations").select(F.struct("conv_id", "turn").alias("id"), "text", F.array(F.lead("text").over(o), F.lead("text", 2).over(o)).alias("a"), F.array(F.lag("text").over(o)).alias("b"))
+    c = c.where("id.conv_id IS NOT NULL AND id.turn IS NOT NULL")  # neighbours like any other, but no rows of the result, as in the SQL
     x = answers.text_contrast(c, "id", "text", "a", "b")
     r5 = lambda c: F.round(c, 5) + 0.0  # noqa: E731  no negative zeros
     return x.select("id.conv_id", "id.turn", r5("bleu.best").alias("bleu_max"), r5("bleu.difference").alias("bleu_diff"), F.col("bleu.acc").alias("bleu_acc"), r5("rouge1.difference").alias("rouge1_diff"), r5("rouge2.difference").alias("rouge2_diff"))

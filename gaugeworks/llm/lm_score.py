@@ -27,7 +27,7 @@ from .common import bounded_batches, materialize, pieces, text_bytes, word_hashe
 VOCABULARY, CLASSES, TOP, MAX_TOP = 1 << 17, 48, 1 << 16, 1 << 20
 DIM, HIDDEN, SIDE = 8, 24, 2
 BATCH, RATE, SEED, ROUNDS, TRAINER_BYTES, MAX_TRAINERS = 8192, 0.2, 5, 2, 12 << 20, 4096
-SLICE, SEGMENT, BLOCK, SMOOTH = 1 << 20, 1 << 16, 1 << 10, 0.1
+SLICE, SEGMENT, BLOCK, SMOOTH, ROWS = 1 << 20, 1 << 16, 1 << 10, 0.1, 2016
 
 
 def grown(words: int) -> tuple[int, int]:
@@ -84,44 +84,64 @@ def around(leaf: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.stack([ctx[at + k] for k in range(-SIDE, SIDE + 1) if k], 1)
 
 
-def _softmax(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Of h @ w, no number of h beyond 1: the greatest logit is only looked for where one could overflow."""
+def _powers(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax of h @ w, no number of h beyond 1, and what to divide its rows by: the greatest logit is only looked for where one could overflow."""
     z = h @ w
     if np.abs(w).sum(0).max() > 80:
         z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
+    return z, z @ np.ones(z.shape[1], np.float32)
+
+
+def _errors(h: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Softmax of h @ w, less 1 at each row's place."""
+    z, total = _powers(h, w)
+    z *= (1 / total)[:, None]
+    z[np.arange(len(z)), at] -= 1
     return z
 
 
+def _chosen(h: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Softmax of h @ w at each row's place; so many rows at a time that the logits stay in the cache."""
+    out = np.empty(len(h), np.result_type(h, w))
+    for a in range(0, len(h), ROWS):
+        z, total = _powers(h[a : a + ROWS], w)
+        np.divide(z[np.arange(len(z)), at[a : a + ROWS]], total, out=out[a : a + ROWS])
+    return out
+
+
 def _hidden(p: list[np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The layer's inputs and outputs, with a 1 after these."""
-    x = p[0][ctx].reshape(len(ctx), -1)
+    x = p[0].take(ctx.ravel(), axis=0).reshape(len(ctx), -1)
     h = np.ones((len(x), HIDDEN + 1), np.float32)
-    np.tanh(x @ p[1] + p[2], out=h[:, :-1])
+    y = x @ p[1]
+    y += p[2]
+    np.tanh(y, out=h[:, :-1])
     return x, h
 
 
-def _by_class(cls: np.ndarray):
-    """(class, rows) in turn."""
+def _by_class(leaf: np.ndarray, classes: int) -> tuple:
+    """Rows in the order of their classes; class and place within it of each, in the rows' own order; (class, first row, last) in turn."""
+    cls, place = np.divmod(leaf, classes)
     order = np.argsort(cls.astype(np.uint16), kind="stable")
     ordered = cls[order]
-    cut = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
-    a = 0
-    for b in [*cut.tolist(), len(order)]:
-        yield int(ordered[a]), order[a:b]
-        a = b
+    cut = [0, *(np.flatnonzero(ordered[1:] != ordered[:-1]) + 1).tolist(), len(cls)]
+    return order, cls, place, [(int(ordered[a]), a, b) for a, b in zip(cut, cut[1:]) if b > a]
 
 
 def log_probs(p: list[np.ndarray], ctx: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     """Of each word's leaf given the words around it."""
-    cls, place = np.divmod(leaf, p[3].shape[1])
-    h = _hidden(p, ctx)[1]
-    z = _softmax(h, p[3])
-    out = z[np.arange(len(z)), cls].astype(np.float64)
-    for c, rows in _by_class(cls) if len(cls) else ():
-        out[rows] *= _softmax(h[rows], p[4][c])[np.arange(len(rows)), place[rows]]
-    return np.log(out + 1e-30)
+    order, cls, place, runs = _by_class(leaf, p[3].shape[1])
+    h, got = np.empty((len(leaf), HIDDEN + 1), np.float32), np.empty(len(leaf))
+    for a in range(0, len(leaf), ROWS):
+        h[a : a + ROWS] = _hidden(p, ctx[a : a + ROWS])[1]
+    got[:] = _chosen(h, p[3], cls)
+    h, got, place = h.take(order, axis=0), got[order], place[order]
+    for c, a, b in runs:
+        got[a:b] *= _chosen(h[a:b], p[4][c], place[a:b])
+    out = np.empty(len(leaf))
+    out[order] = np.log(got + 1e-30)
+    return out
 
 
 class Trainer:
@@ -133,32 +153,34 @@ class Trainer:
     def _step(self, k: int, g: np.ndarray, at=...) -> None:
         s = self.seen[k][at]
         s += g * g
-        if at is not ... and not isinstance(at, int):
+        if at is not ...:
             self.seen[k][at] = s
         self.params[k][at] -= RATE * g / np.sqrt(s)
 
     def gradients(self, ctx: np.ndarray, leaf: np.ndarray) -> list[tuple]:
-        """Of the mean negative log-probability: (parameter, gradient, rows it is of)."""
-        p, n, out = self.params, len(leaf), []
-        cls, place = np.divmod(leaf, p[3].shape[1])
+        """Of the mean negative log-probability: (parameter, gradient, rows it is of). Rows are taken in the order of their classes, so each class's lie together."""
+        p, n = self.params, len(leaf)
+        order, cls, place, runs = _by_class(leaf, p[3].shape[1])
+        ctx, cls, place = ctx.take(order, axis=0), cls[order], place[order]
         x, h = _hidden(p, ctx)
-        d = _softmax(h, p[3])
-        d[np.arange(n), cls] -= 1
-        out.append((3, h.T @ d / n, ...))
+        d = _errors(h, p[3], cls)
         dh = d @ p[3][:-1].T
-        for c, rows in _by_class(cls):
-            hc = h[rows]
-            dc = _softmax(hc, p[4][c])
-            dc[np.arange(len(rows)), place[rows]] -= 1
-            dh[rows] += dc @ p[4][c, :-1].T
-            out.append((4, hc.T @ dc / n, c))
-        dh *= (1 - h[:, :-1] ** 2) / n
-        out += [(1, x.T @ dh, ...), (2, dh.sum(0), ...)]
+        of_leaves = np.zeros_like(p[4])
+        for c, a, b in runs:
+            dc = _errors(h[a:b], p[4][c], place[a:b])
+            dh[a:b] += dc @ p[4][c, :-1].T
+            np.matmul(h[a:b].T, dc, out=of_leaves[c])
+        of_leaves /= n
+        slope = h[:, :-1] ** 2
+        np.subtract(1, slope, out=slope)
+        slope /= n
+        dh *= slope
         dx = (dh @ p[1].T).reshape(-1, DIM)
         flat = ctx.ravel()
         order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
-        return [*out, (0, np.add.reduceat(dx[order], first, axis=0), flat[order][first])]
+        flat = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        return [(3, h.T @ d / n, ...), (4, of_leaves, ...), (1, x.T @ dh, ...), (2, dh.sum(0), ...), (0, np.add.reduceat(dx.take(order, axis=0), first, axis=0), flat[first])]
 
     def fit(self, leaf: np.ndarray, size: np.ndarray) -> None:
         for a, b, lo, hi in _segments(size):

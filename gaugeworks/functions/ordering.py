@@ -44,13 +44,17 @@ def kth(df: DataFrame, keys: list[str], order: str, place: Column, values: list[
 
 
 def numbered(docs: DataFrame, order: str, first: int = 0) -> DataFrame:
-    """docs with offset, the number of documents before each by order, from first on; order must be unique and not null.
+    """docs with offset, the number of documents before each by order, from first on; order must be unique and not null. Only (order) is sorted."""
+    return docs.join(numbered_rows(docs.select(order), order, first=first), order)
 
-    Only (order) is sorted, by ranges over all tasks; a range's first number follows from the counts of those before it.
+
+def numbered_rows(rows: DataFrame, *order: str, first: int = 0) -> DataFrame:
+    """rows with offset, the number of rows before each by order, from first on. Whole rows are sorted, so they should be short, and order may repeat or be null.
+
+    They are sorted by ranges of the first of order over all tasks; a range's first number follows from the counts of those before it.
     """
-    laid = written(docs.select(order).repartitionByRange(order).sortWithinPartitions(order).select(order, F.monotonically_increasing_id().alias("at")), "numbered")
+    laid = written(rows.repartitionByRange(order[0]).sortWithinPartitions(*order).select(*rows.columns, F.monotonically_increasing_id().alias("at")), "numbered")
     part = F.shiftright("at", 33)  # the partition's number; below it stands the row's place
     ranges = laid.groupBy(part.alias("part")).agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
-    places = laid.join(F.broadcast(ranges.select("part", (before - F.col("low")).alias("shift"))), part == F.col("part")).select(order, (F.col("at") + F.col("shift") + first).alias("offset"))
-    return docs.join(places, order)
+    return laid.join(F.broadcast(ranges.select("part", (before - F.col("low")).alias("shift"))), part == F.col("part")).select(*rows.columns, (F.col("at") + F.col("shift") + first).alias("offset"))

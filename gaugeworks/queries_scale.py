@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import answers, bootstrap, common_runs, families, scoring, similarity, text
 from .functions.json_schema import complies
-from .functions.ordering import numbered
+from .functions.ordering import numbered, numbered_rows
 from .operators import corpus, long_context, sentences
 from .operators import requests as R
 from .operators.gram_store import GramStore
@@ -176,10 +176,12 @@ def text_line_places(t):
 # ---- code lines
 @query()
 def code_line_similarity(t):
-    """Each page's first line that is no comment against those of the two pages after it, the first page following the last."""
-    p = written(t("pages").select("page_id", similarity.first_code_line(F.col("html")).alias("line")), "code-lines")
-    near = p.select("line", F.explode(F.array(F.col("page_id") - 1, F.col("page_id") - 2)).alias("page_id")).groupBy("page_id").agg(F.collect_list("line").alias("golds"))
-    return p.join(near, "page_id", "left").select("page_id", similarity.line_similarity(F.col("line"), F.col("golds")).alias("score"))
+    """Each page's first line that is no comment against those of the two pages after it by page_id, whatever ids are missing, the first page following the last."""
+    p = numbered_rows(t("pages").select("page_id", similarity.first_code_line(F.col("html")).alias("line")), "page_id", "line")
+    n = F.lit(max(p.count(), 1))
+    before = F.array(F.pmod(F.col("offset") - 1, n), F.pmod(F.col("offset") - 2, n))
+    near = p.select("line", F.explode(before).alias("offset")).groupBy("offset").agg(F.collect_list("line").alias("golds"))
+    return p.join(near, "offset").select("page_id", similarity.line_similarity(F.col("line"), F.col("golds")).alias("score"))
 
 
 # ---- long contexts

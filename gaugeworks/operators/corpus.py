@@ -12,10 +12,11 @@ from ..functions.text import let, ngrams, normalize, words
 from ..sources.scratch import removed, written
 
 
-#: Distinct 64-bit n-gram hashes that may be broadcast as they are (some 40 bytes each in a hash table); beyond, a filter of their bits is.
-BROADCAST_GRAMS = 2_000_000
-#: A filter has blocks of 32 words of 64 bits; BITS for each hash, of which PROBES are set, give about 0.5 % false positives. It may grow to MAX_FILTER bytes (180 million hashes); then the share of false positives grows instead.
-BLOCK_WORDS, BITS, PROBES, MAX_FILTER = 32, 12, 5, 256 << 20
+#: Distinct 64-bit n-gram hashes that may be broadcast as they are (some 100 bytes each while the driver builds their table); beyond, a filter of their bits is.
+BROADCAST_GRAMS = 500_000
+#: A filter has blocks of 32 words of 64 bits; BITS for each hash, of which PROBES are set, give about 0.5 % false positives. It may grow to MAX_FILTER bytes (22 million hashes), since the driver builds and sends
+#: it at some five times its size; beyond, hashes that no document has are taken out first, by a filter of COARSE_PROBES that passes more, and if still too many are left, the share of false positives grows instead.
+BLOCK_WORDS, BITS, PROBES, COARSE_PROBES, MAX_FILTER = 32, 12, 5, 2, 32 << 20
 
 
 def ngram_table(docs: DataFrame, key: str, n: int, text: str = "text", normal=normalize) -> DataFrame:
@@ -42,10 +43,10 @@ def _hashes(docs: DataFrame, n: int, normal=normalize) -> DataFrame:
     return docs.select(F.explode(gram_hashes(words(normal(F.col("text"))), n)).alias("h"))
 
 
-def _probes(h: Column) -> list[tuple[Column, Column]]:
+def _probes(h: Column, probes: int = PROBES) -> list[tuple[Column, Column]]:
     """The (word, mask) pairs that a hash sets in its block: eleven bits of a second hash each."""
     other = F.xxhash64(h)
-    bits = [F.shiftright(other, 11 * k).bitwiseAND(F.lit(BLOCK_WORDS * 64 - 1).cast("long")).cast("int") for k in range(PROBES)]
+    bits = [F.shiftright(other, 11 * k).bitwiseAND(F.lit(BLOCK_WORDS * 64 - 1).cast("long")).cast("int") for k in range(probes)]
     return [(F.shiftright(b, 6), F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(F.lit(63)))) for b in bits]
 
 
@@ -53,41 +54,58 @@ def _block(blocks: int) -> Column:
     return F.pmod("h", F.lit(blocks).cast("long"))
 
 
-def gram_filter(hashes: DataFrame, about: int) -> tuple[DataFrame, int]:
+def gram_filter(hashes: DataFrame, about: int, probes: int = PROBES) -> tuple[DataFrame, int]:
     """A Bloom filter of the hashes (h), of which about many are distinct: (block, bits) rows, written, and the number of blocks.
 
     Bits are joined by or, within tasks first, so what is shuffled is bounded by tasks times the filter, whatever the number of hashes.
     """
     size = BLOCK_WORDS * 64
     blocks = max(1, min(-(-about * BITS // size), MAX_FILTER // (size // 8)))
-    each = hashes.select(_block(blocks).alias("block"), F.inline(F.array(*[F.struct(w.alias("word"), m.alias("mask")) for w, m in _probes(F.col("h"))])))
+    each = hashes.select(_block(blocks).alias("block"), F.inline(F.array(*[F.struct(w.alias("word"), m.alias("mask")) for w, m in _probes(F.col("h"), probes)])))
     joined = each.groupBy("block", "word").agg(F.bit_or("mask").alias("mask")).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("m"))
     bits = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
     return written(joined.select("block", bits.alias("bits")), "gram-filter"), blocks
 
 
-def may_hold(rows: DataFrame, bits: DataFrame, blocks: int) -> DataFrame:
+def may_hold(rows: DataFrame, bits: DataFrame, blocks: int, probes: int = PROBES) -> DataFrame:
     """The rows (h, ...) whose hash may be in the filter: all that are, and few others. The filter is broadcast; rows stream by, unshuffled."""
-    tests = [F.get("bits", w).bitwiseAND(m) != 0 for w, m in _probes(F.col("h"))]
+    tests = [F.get("bits", w).bitwiseAND(m) != 0 for w, m in _probes(F.col("h"), probes)]
     met = rows.withColumn("block", _block(blocks)).join(F.broadcast(bits), "block")
     for t in tests:
         met = met.where(t)
     return met.drop("block", "bits")
 
 
-def _surviving(docs: DataFrame, key: str, n: int, hashes: DataFrame, about: int, broadcast_grams: int | None = None, normal=normalize) -> DataFrame:
-    """(key, ngram), distinct and written: the n-grams of docs whose hash is, or for more than broadcast_grams may be, among hashes (h), of which about many are distinct. docs stream by; only what is left is shuffled."""
-    side, blocks = gram_side(hashes, about, broadcast_grams)
+def _surviving(docs: DataFrame, key: str, n: int, hashes: DataFrame, about: int, broadcast_grams: int | None = None, normal=normalize, own: bool = False) -> DataFrame:
+    """(key, ngram), distinct and written: the n-grams of docs whose hash is, or for more than broadcast_grams may be, among hashes (h), of which about many are distinct. docs stream by; only what is left is shuffled. own: docs have all of the hashes."""
+    side, blocks = gram_side(hashes, about, broadcast_grams, None if own else _hashes(docs, n, normal))
     out = written(met_grams(docs, key, n, side, blocks, normal=normal), "gram-survivors")
     removed(side)
     return out
 
 
-def gram_side(hashes: DataFrame, about: int, broadcast_grams: int | None = None) -> tuple[DataFrame, int | None]:
-    """What documents meet as they stream by, written: the distinct hashes (h) and None, or beyond broadcast_grams a filter of their bits and its number of blocks."""
+def gram_side(hashes: DataFrame, about: int, broadcast_grams: int | None = None, against: DataFrame | None = None) -> tuple[DataFrame, int | None]:
+    """What documents meet as they stream by, written: the distinct hashes (h) and None, or beyond broadcast_grams a filter of their bits and its number of blocks.
+
+    Where a filter of MAX_FILTER bytes would pass too many, hashes that are not in against, those of the documents (h), are left out: the documents' stream by the filter, and what it passes
+    is shuffled and joined with hashes, eight bytes a row. So what goes through the driver is bounded whatever the number of hashes.
+    """
     if about <= (BROADCAST_GRAMS if broadcast_grams is None else broadcast_grams):
         return written(hashes.distinct(), "gram-hashes"), None
-    return gram_filter(hashes, about)
+    if against is None or about * BITS <= MAX_FILTER * 8:
+        return gram_filter(hashes, about)
+    coarse, blocks = gram_filter(hashes, about, COARSE_PROBES)
+    # Spark would size the hashes by the few bytes of their texts, and broadcast them
+    met = written(hashes.join(may_hold(against, coarse, blocks, COARSE_PROBES).hint("merge"), "h", "left_semi").distinct(), "gram-met")
+    side = gram_side(met, met.count(), broadcast_grams)
+    removed(coarse, met)
+    return side
+
+
+def asked_side(asked: DataFrame, docs: DataFrame, n: int, normal=normalize) -> tuple[DataFrame, int | None]:
+    """The gram_side() of the n-grams of asked, for docs to stream by."""
+    hashes, about = counted_hashes(asked, n, normal)
+    return gram_side(hashes, about, against=_hashes(docs, n, normal))
 
 
 def met_grams(docs: DataFrame, key: str, n: int, side: DataFrame, blocks: int | None, text: str = "text", normal=normalize) -> DataFrame:
@@ -123,11 +141,11 @@ def shared_grams(a: DataFrame, b: DataFrame, n: int, a_key: str, b_key: str, bro
         return small, large
     hashes = _hashes(a, n, normal)
     of_b = _surviving(b, b_key, n, hashes, _about(hashes), broadcast_grams, normal)
-    back = of_b.select(_text_hash(n).alias("h"))
+    back = of_b.select(text_hash(n).alias("h"))
     return _surviving(a, a_key, n, back, _about(back), broadcast_grams, normal), of_b
 
 
-def _text_hash(n: int) -> Column:
+def text_hash(n: int) -> Column:
     """The hash of an n-gram from its text; none of its words holds a blank."""
     return F.get(gram_hashes(F.split("ngram", " "), n), F.lit(0))
 
@@ -135,7 +153,7 @@ def _text_hash(n: int) -> Column:
 def document_frequency(docs: DataFrame, n: int, more_than: int = 10, key: str = "doc_id", normal=normalize) -> DataFrame:
     """(ngram, docs): n-grams of more than more_than documents. Hashes are counted first; only the frequent ones are written out, and counted again by their text."""
     frequent = frequent_hashes(docs, n, more_than, normal=normal)
-    left = _surviving(docs, key, n, frequent, frequent.count(), normal=normal)
+    left = _surviving(docs, key, n, frequent, frequent.count(), normal=normal, own=True)
     removed(frequent)
     return left.groupBy("ngram").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > more_than)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, normalize, words
 from ..sources.scratch import shared_folder
-from .corpus import met_grams
+from .corpus import gram_side, met_grams, text_hash
 
 
 class GramStore:
@@ -59,6 +59,11 @@ class GramStore:
         there = self.parts()
         return self.spark.table(self.name).where(F.col("part").isin(list(there.values()))).withColumn("part", F.col("part").substr(F.lit(1), F.length("part") - 33))
 
+    def gram_side(self) -> tuple[DataFrame, int | None]:
+        """What texts meet that are asked for the n-grams that are there, as append() takes it."""
+        hashes = self.rows().select(text_hash(self.n).alias("h"))
+        return gram_side(hashes, hashes.agg(F.approx_count_distinct("h", 0.02)).first()[0])
+
     def matches(self, other: "GramStore") -> DataFrame:
         """(ngram, offset, part, other_offset, other_part): n-grams of both stores. With equal buckets both are read in place: no Exchange."""
         if (self.n, self.buckets) != (other.n, other.buckets):

@@ -59,12 +59,14 @@ _PLACED = "o AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS \"offset\", C
  {_grams_sql('d', 'o', '"offset", part', 8)}, {_grams_sql('b', '(SELECT * FROM i UNION ALL SELECT * FROM c)', '"offset", part', 8)}
  SELECT ngram, d."offset", d.part, b."offset" AS other_offset, b.part AS other_part FROM d JOIN b USING (ngram)""")
 def gram_store_matches(t):
-    """Two benchmarks, items and turns, against one store of documents, which takes the n-grams that may be asked for."""
+    """Two benchmarks, items and turns, against one store of documents; each takes the n-grams that the other may have."""
     both = t("benchmark").select("text").unionByName(t("conversations").select("text"))
-    store = _documents_store(t, 8, corpus.gram_side(*corpus.counted_hashes(both, 8)))
+    store = _documents_store(t, 8, corpus.asked_side(both, t("documents"), 8))
+    among = store.gram_side()
     asked = GramStore(store.spark, f"asked_{uuid.uuid4().hex}", 8, 16)
-    asked.append(numbered(t("benchmark"), "item_id"), "items")
-    asked.append(numbered(t("conversations").withColumn("id", F.struct("conv_id", "turn")), "id"), "turns")
+    asked.append(numbered(t("benchmark"), "item_id"), "items", among=among)
+    asked.append(numbered(t("conversations").withColumn("id", F.struct("conv_id", "turn")), "id"), "turns", among=among)
+    removed(among[0])
     return store.matches(asked)
 
 

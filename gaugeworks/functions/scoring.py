@@ -233,7 +233,7 @@ def _count(pattern: str, t: str, flags: int = 0) -> int:
 
 def capital_words(t: str) -> int:
     """Words of capitals only; a word with hyphens or an apostrophe counts once, marks around it not at all."""
-    return sum(w.isupper() for w in t.split())
+    return sum(map(str.isupper, t.split()))
 
 
 def _highlights(t: str) -> int:
@@ -277,7 +277,7 @@ def follows(t: str, name: str, arguments: dict, loose: bool = False) -> bool | N
     if loose:
         lines = t.split("\n")
         cuts = [t, *("\n".join(x).strip() for x in (lines[1:], lines[:-1], lines[1:-1]))]
-        forms = [y for x in cuts for y in (x, x.replace("*", ""))]
+        forms = dict.fromkeys(y for x in cuts for y in (x, x.replace("*", "")))
     return any(bool(x.strip()) and bool(CHECKS[name](x, arguments)) for x in forms)
 
 

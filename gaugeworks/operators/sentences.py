@@ -30,17 +30,29 @@ def _bare(w: Column) -> Column:
     return F.btrim(w, F.lit(AROUND))
 
 
-def _tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, word, period, mark, next, big): each word in lower case without its period, whether it has one, whether it ends by ? or !, the word after it (bare and lower), and whether that begins with a capital."""
+def _word() -> tuple[Column, Column]:
+    """The word x in lower case without its period, and whether it has one."""
+    period = F.endswith("x", F.lit("."))
+    return F.lower(F.when(period, F.expr("substring(x, 1, length(x) - 1)")).otherwise(F.col("x"))).alias("word"), period.alias("period")
+
+
+def _words(docs: DataFrame, text: str) -> DataFrame:
+    """(word, period): each word."""
+    return docs.select(F.explode(F.transform(words(F.col(text)), _bare)).alias("x")).select(*_word())
+
+
+def _ends(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, word, period, mark, next, big) of the words that may end a sentence, and of each text's last word: the word in lower case without its period, whether it has one, whether it ends by ? or !, the word after it (bare and lower; null after the last), and whether that begins with a capital.
+
+    The others are left out before they are rows of their own."""
 
     def pairs(w):
-        return F.transform(w, lambda x, i: F.struct(_bare(x).alias("x"), _bare(F.get(w, i + 1)).alias("y")))
+        each = F.transform(w, lambda x, i: F.struct(x.alias("x"), F.get(w, i + 1).alias("y")))
+        return F.filter(each, lambda p: p["y"].isNull() | F.substring(p["x"], -1, 1).isin(".", "?", "!"))
 
-    rows = docs.select(key, F.inline(let(words(F.col(text)), pairs)))
-    period = F.endswith("x", F.lit("."))
-    word = F.lower(F.when(period, F.expr("substring(x, 1, length(x) - 1)")).otherwise(F.col("x")))
+    rows = docs.select(key, F.inline(let(F.transform(words(F.col(text)), _bare), pairs)))
     first = F.substring("y", 1, 1)
-    return rows.select(key, word.alias("word"), period.alias("period"), F.coalesce(F.regexp_like("x", F.lit(r"[?!]\z")), F.lit(False)).alias("mark"), F.lower(F.regexp_replace("y", r"[.,;:?!]+\z", "")).alias("next"), F.coalesce(first != F.lower(first), F.lit(False)).alias("big"))
+    return rows.select(key, *_word(), F.substring("x", -1, 1).isin("?", "!").alias("mark"), F.lower(F.regexp_replace("y", r"[.,;:?!]+\z", "")).alias("next"), F.coalesce(first != F.lower(first), F.lit(False)).alias("big"))
 
 
 def _log(n: Column, p: Column) -> Column:
@@ -70,14 +82,13 @@ def _starter_score(breaks: int, whole: Column, starts: Column, total: int) -> Co
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """Abbreviations and starters of all words of docs. Words are counted within tasks first, so a row a word and task is shuffled; three sums come to the driver."""
-    tokens = _tokens(docs, key, text)
-    counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("period").alias("p"))
+    counts = _words(docs, text).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("period").alias("p"))
     counts = written(counts, "sentence-words")
     total, periods = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("p"), F.lit(0))).first()
     counts = counts.where(F.regexp_like("word", F.lit(r"\p{L}")))
     score = _abbreviation_score(F.col("n"), F.col("p"), periods, total, F.col("word"))
     short = written(counts.where((F.col("p") > 0) & (score >= ABBREVIATION)).select("word"), "sentence-abbreviations")
-    ends = tokens.where(F.col("mark") | F.col("period")).where("next <> ''")
+    ends = _ends(docs, key, text).where(F.col("mark") | F.col("period")).where("next <> ''")
     starts = ends.join(short, "word", "left_anti").groupBy("next").agg(F.count(F.lit(1)).alias("s"))
     starts = written(starts, "sentence-starts")
     breaks = starts.agg(F.sum("s")).first()[0] or 0
@@ -93,7 +104,7 @@ def sentence_counts(docs: DataFrame, key: str, model: Model, text: str = "text")
     A sentence ends after a word with ? or !, and after one with a period unless that is an abbreviation, a single letter or a number: then only if the next word is
     a starter with a capital. The last word ends one in any case. Only words with a mark or a period are joined to the model.
     """
-    rows = _tokens(docs, key, text)
+    rows = _ends(docs, key, text)
     if _few(model.abbreviations) and _few(model.starters):  # both are broadcast: one pass, and only a row a key and task is shuffled
         short = F.broadcast(model.abbreviations.withColumn("short", F.lit(True)))
         starter = F.broadcast(model.starters.select(F.col("word").alias("next"), F.lit(True).alias("starter")))
@@ -140,11 +151,18 @@ def enough_sentences(docs: DataFrame, key: str, wanted: Column, relation: Column
 
 
 def enough_sentences_both(docs: DataFrame, key: str, wanted: Column, relation: Column, model: Model, text: str = "text", loose: bool = True) -> DataFrame:
-    """(key, strict, loose): enough_sentences() by the response itself, and by any of its forms; the former is the first of the latter, and equal forms are judged once."""
-    forms = docs.select(F.col(key).alias("k"), wanted.alias("wanted"), relation.alias("relation"), F.posexplode(F.array_distinct(response_forms(F.col(text), loose))).alias("i", "form"))
-    forms = forms.withColumn("id", F.struct("k", "i"))
-    n = sentence_counts(forms.select("id", "form"), "id", model, "form")
+    """(key, strict, loose): enough_sentences() by the response itself, and by any of its forms; the former is the first of the latter, and equal forms are judged once.
+
+    Without some of its lines a text has part of its words, in the same order, so never more sentences: for "at least" none of these forms decides, only the whole text with and without asterisks.
+    """
+    judged = F.array(F.col(text))
+    if loose:
+        judged = F.when(relation == "less than", response_forms(F.col(text), True)).otherwise(F.array(F.col(text), F.replace(F.col(text), F.lit("*"), F.lit(""))))
+    forms = docs.select(F.col(key).alias("k"), wanted.alias("wanted"), relation.alias("relation"), F.posexplode(F.array_distinct(judged)).alias("i", "form"))
+    forms = forms.select(F.struct("k", "i", "wanted", "relation").alias("id"), "form")
+    n = sentence_counts(forms, "id", model, "form").select("id.*", "sentences")
     holds = F.when(F.col("relation") == "less than", F.col("sentences") < F.col("wanted")).otherwise(F.col("sentences") >= F.col("wanted"))
     holds = F.coalesce(holds, F.lit(False))
-    judged = forms.select("id", "k", "i", "wanted", "relation").join(n, "id", "left").groupBy("k").agg(F.bool_or(holds & (F.col("i") == 0)).alias("strict"), F.bool_or(holds).alias("loose"))
-    return judged.withColumnRenamed("k", key)
+    found = n.groupBy("k").agg(F.bool_or(holds & (F.col("i") == 0)).alias("strict"), F.bool_or(holds).alias("loose"))
+    every = docs.select(key).distinct()  # a blank text has no count
+    return every.join(found, F.col(key).eqNullSafe(F.col("k")), "left").select(key, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("strict", "loose")])
